@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -114,19 +115,34 @@ def pieces(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def word_hashes(run: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words are maximal runs of bytes other than space and 0x09-0x0D, hashed by a rolling hash over the whole run of texts.
+class Hashed(NamedTuple):
+    """Words of a run of texts: hashes, first and last-plus-one byte, each text's first word (and the end), each text's
+    first byte (and the end), bytes, and rolling hash sums before each byte."""
 
-    Returns hashes, first and last-plus-one byte of each word, offsets of each text's words, and the bytes."""
+    h: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+    byte_at: np.ndarray
+    buf: np.ndarray
+    sums: np.ndarray
+
+    def span_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash of bytes a to b, equal for equal bytes at any place."""
+        return mix((self.sums[b] - self.sums[a]) * _powers[1][a])
+
+
+def word_hashes(run: list[bytes], lower: bool = True, space: np.ndarray = _SPACE) -> Hashed:
+    """Words are maximal runs of bytes that are not ``space`` (0x20, 0x09-0x0D; the byte between texts always is)."""
     raw = b"\n".join([*run, b""])
     buf = np.frombuffer(raw.lower() if lower else raw, np.uint8)
     inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[buf]
+    inside[1:-1] = ~space[buf]
     turn = np.diff(inside)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    power, inverse = _power_tables(len(buf) + 1)
-    prefix = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_LETTER[buf] * power[: len(buf)], out=prefix[1:])
-    h = mix((prefix[end] - prefix[start]) * inverse[start])
+    power, _ = _power_tables(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_LETTER[buf] * power[: len(buf)], out=sums[1:])
     at = np.cumsum([0, *(len(b) + 1 for b in run)])
-    return h, start, end, np.searchsorted(start, at), buf
+    got = Hashed(start, start, end, np.searchsorted(start, at), at, buf, sums)
+    return got._replace(h=got.span_hash(start, end))

@@ -43,7 +43,8 @@ LEAF = 16
 def shingle_sets(texts: Sequence[str | None], width: int = 5) -> Iterator[np.ndarray]:
     """For each text the sorted hashes of its distinct ``width``-word shingles, A-Z lower-cased; none without words."""
     for _, run in pieces(texts):
-        h, _, _, at, _ = word_hashes(run)
+        words = word_hashes(run)
+        h, at = words.h, words.at
         all_windows = windows(h, width)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             t = np.sort(all_windows[a : b - width + 1] if b - a >= width else windows(h[a:b], width))
