@@ -29,7 +29,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = secrets.secret_findings(docs, secrets.scan_ledger(docs))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
-    kinds = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    kinds = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secrets.BASE]
     return found.withColumn("base", base).select("doc_id", *kinds, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
