@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from .common import Hashed, pieces, with_columns, word_hashes
 
 #: Bounds of the fitting sample: documents and bytes of each a language.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 3000
+SAMPLE_DOCS, SAMPLE_BYTES = 250, 2500
 #: Languages that a model can hold.
 MAX_LABELS = 64
 #: Hashed feature rows.
 FEATURE_BITS = 17
 #: Words whose lattices are worked through together.
-LATTICE_WORDS = 1_000_000
+LATTICE_WORDS = 400_000
 STEPS, BATCH, LENGTH = 240, 64, 48
 
 _APART = np.ones(256, bool)
