@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from collections.abc import Iterator, Sequence
@@ -53,8 +54,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark's cleaner delete the shuffle files of plans that nobody holds any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # Python's handles go in the first round, the plans they held in the second
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)
 
 
 def with_columns(df: DataFrame, **types: str) -> DataFrame:

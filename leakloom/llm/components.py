@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Edges that one task holds at most while it drops those that close a circle.
+EDGES_A_TASK = 200_000
+
+
+def _forest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a task's edges those that a spanning forest of them needs, as (root, node)."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = x = up[p]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            ra, rb = root(a), root(b)
+            up[max(ra, rb)] = min(ra, rb)
+    yield pd.DataFrame([(r, x) for x in list(up) if (r := root(x)) != x], columns=["a", "b"], dtype="int64")
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """edges(a, b) -> (node, comp): every node that has an edge with its component's least node, itself included.
 
     Each round is written to the shared folder; only a count and a checksum of the edges reach the driver.
     Self loops and repeated or reversed edges don't matter; no edges give no rows."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = edges.where("a <> b").select("a", "b")
+    tasks = 1 + edges.count() // EDGES_A_TASK
+    edges = edges.repartition(tasks).mapInPandas(_forest, "a long, b long")
+    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-forest")
     last = None
     for i in range(60):
         # large star: a node's larger neighbours go to its least neighbour

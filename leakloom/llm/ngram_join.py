@@ -11,10 +11,10 @@ quadratic. The points are therefore dealt into cells first, without losing a pai
 the similarity share a shingle among the rarest quarter of each (any one global order is right; ours is
 by a fixed-size count sketch over the whole corpus, then by hash), and each shared rare shingle is a cell.
 
-1. equal sets become one class; 2. each cell's members are held against the cell's first class (a star:
-linear in the cell), bounded, verified and joined into components; 3. cells that still hold several
-components are searched with R-trees, in blocks of bounded size, for pairs across components; 4. these
-are verified, and the components merged. No cap drops a candidate.
+1. equal sets become one class; 2. each cell's members are held against a few first classes of the cell in
+different orders (stars: linear in the cell), bounded, verified and joined into components; 3. cells that
+still hold several components are searched with R-trees, in blocks of bounded size, for pairs across
+components; 4. these are verified, and the components merged. No cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 #: Most rows of one block of a cell.
 BLOCK_ROWS = 256
+#: Masks that reorder keys, so that round 2 finds other first members in a cell than round 1.
+ORDERS = (0x2545F4914F6CDD1D, 0x5DEECE66D1234567, 0x369DEA0F31A53F85, 0x1B873593CC9E2D51)
 LEAF = 16
 
 
@@ -254,7 +256,7 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75
 
     # cells: rare shingles that two classes share
     rows = docs.where("doc_id is not null").select("text").mapInPandas(_prefixes(width, num, den, sketch), "token long, key long")
-    shared = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token", "lo")
+    shared = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
     cells = scratch.keep(rows.join(shared, "token").distinct(), "cells")
     del rows, shared
     scratch.release()
@@ -265,13 +267,31 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75
         close = f"{num} * greatest(na, nb) <= {den} * least(na, nb)"
         return pairs.join(a, "a").join(b, "b").where(close).mapInPandas(_bounded(num, den), "a long, b long")
 
-    star = scratch.keep(pruned(cells.where("lo <> key").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct()), "star")
-    links = _verify(star, classes, docs, scratch, "1", width, num, den)
-    comps = components(links, scratch, "c1")  # node, comp
+    def labelled(comps: DataFrame, name: str) -> DataFrame:
+        """Cell members with their components so far."""
+        known = cells.select("token", "key").join(comps.withColumnRenamed("node", "key"), "key", "left")
+        return scratch.keep(known.withColumn("comp", F.coalesce("comp", "key")), name)
 
-    # cells that still hold several components
-    known = cells.select("token", "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    known = scratch.keep(known, "known")
+    # round 1: each member against the least and the largest key of its cells
+    star = cells.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
+    star = scratch.keep(pruned(star), "star")
+    links = _verify(star, classes, docs, scratch, "1", width, num, den)
+    comps = components(links, scratch, "c1")
+
+    # round 2: in cells that still hold several components, against members that come first in other orders
+    known = labelled(comps, "known1")
+    orders = [F.min(F.col("key").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"c{i}") for i, m in enumerate(ORDERS)]
+    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *orders).where("lo <> hi")
+    more = known.join(mixed, "token").select(F.explode(F.array(*(f"c{i}" for i in range(len(ORDERS))))).alias("a"), F.col("key").alias("b"), "comp").where("a <> b").distinct()
+    own = known.select(F.col("key").alias("a"), F.col("comp").alias("comp_a")).distinct()
+    more = scratch.keep(pruned(more.join(own, "a").where("comp <> comp_a").select("a", "b").join(star, ["a", "b"], "left_anti")), "more")
+    links = scratch.keep(links.union(_verify(more, classes, docs, scratch, "2", width, num, den)), "links")
+    comps = components(links, scratch, "c2")
+    del known, mixed, own
+    scratch.drop("known1", "links1", "links2")
+
+    # round 3: all pairs across components, by R-tree, in the cells that are left
+    known = labelled(comps, "known2")
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", "c")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK_ROWS)).cast("int")
     own = F.pmod(F.xxhash64("key", "token"), blocks).cast("int")
@@ -280,16 +300,17 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75
     dealt = dealt.select("token", "key", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     dealt = dealt.join(classes.select("key", "n", "vec"), "key").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     rest = dealt.mapInPandas(_cell_pairs(num, den), "a long, b long").distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = star.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     del dealt, mixed, known
-    more = _verify(rest, classes, docs, scratch, "2", width, num, den)
-    comps = components(links.union(more), scratch, "c2")
+    scratch.drop("known2", "cells")
+    last = _verify(rest, classes, docs, scratch, "3", width, num, den)
+    comps = components(links.union(last), scratch, "c3")
 
     # keys to the smallest doc_id of the component
     named = classes.select("key", "rep").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select("key", "component_id")
     out = signed.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    scratch.drop("cells", "known", "star", "rest", "links1", "links2")
+    scratch.drop("star", "more", "rest", "links", "links3")
     return out
