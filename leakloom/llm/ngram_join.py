@@ -14,7 +14,8 @@ by a fixed-size count sketch over the whole corpus, then by hash), and each shar
 1. equal sets become one class; 2. each cell's members are held against a few first classes of the cell in
 different orders (stars: linear in the cell), bounded, verified and joined into components; 3. cells that
 still hold several components are searched with R-trees, in blocks of bounded size, for pairs across
-components; 4. these are verified, and the components merged. No cap drops a candidate.
+components (cells with the same first member are gathered, so a pair is searched once); 4. these are
+verified, and the components merged. No cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, windows, with_columns, word_hashes
+from .common import Scratch, map_documents, pieces, windows, with_columns, word_hashes
 from .components import components
 
 #: Coordinates of a count vector.
@@ -109,12 +110,12 @@ def _signatures(width: int):
             if rows:
                 if len(got := np.concatenate(seen)):
                     sketch += np.bincount((got >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-                out = pd.DataFrame(rows, columns=["doc_id", "n", "key", "vec"])
-                yield out.astype({"doc_id": "Int64", "key": "Int64"}).assign(kind=0)
+                out = pd.DataFrame([(d, n, None, v) for d, n, _, v in rows], columns=["doc_id", "n", "key", "vec"])
+                yield out.assign(key=pd.array([r[2] for r in rows], "Int64"), kind=0)
         if sketch.any():
             # counts within one task are small; saturation can only change the order of cells, never the result
             blocks = np.minimum(sketch, 65535).astype("<u2").reshape(-1, SKETCH_BLOCK)
-            yield pd.DataFrame({"doc_id": range(len(blocks)), "n": 0, "key": 0, "vec": [b.tobytes() for b in blocks], "kind": 1})
+            yield pd.DataFrame({"doc_id": [str(i) for i in range(len(blocks))], "n": 0, "key": 0, "vec": [b.tobytes() for b in blocks], "kind": 1})
 
     return run
 
@@ -160,7 +161,7 @@ def _bounded(num: int, den: int):
 
 
 def _cell_pairs(num: int, den: int):
-    """Rows sorted by (token, i, j); the block (i, j) of a cell holds blocks i and j of its members."""
+    """Rows sorted by (first, i, j); the block (i, j) of a gathering holds blocks i and j of its members."""
 
     def pairs(g: pd.DataFrame) -> list[tuple[int, int]]:
         i, j = g["i"].iat[0], g["j"].iat[0]
@@ -179,7 +180,7 @@ def _cell_pairs(num: int, den: int):
         held = None
         for pdf in batches:
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            cell = held[["token", "i", "j"]].to_numpy()
+            cell = held[["first", "i", "j"]].to_numpy()
             cut = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
             if not len(cut):
                 continue
@@ -199,7 +200,7 @@ def _cell_pairs(num: int, den: int):
             ok = (best >= need(g[0]["n"].to_numpy(), g[1]["n"].to_numpy(), num, den)) & (g[0]["comp"].to_numpy() != g[1]["comp"].to_numpy())
             a, b = g[0]["key"].to_numpy()[ok], g[1]["key"].to_numpy()[ok]
             out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-        for k in np.flatnonzero(length > 2):
+        for k in np.flatnonzero(length > 2).tolist():
             out.update(pairs(pdf.iloc[cuts[k] : cuts[k + 1]]))
         return pd.DataFrame(list(out), columns=["a", "b"], dtype=np.int64)
 
@@ -245,7 +246,7 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75
     spark = documents.sparkSession
     scratch = Scratch(spark)
     docs = with_columns(documents, doc_id="long", text="string")
-    made = scratch.keep(docs.mapInPandas(_signatures(width), "doc_id long, n long, key long, vec binary, kind int"), "made")
+    made = scratch.keep(map_documents(docs, _signatures(width), "doc_id long, n long, key long, vec binary, kind int"), "made")
     signed = made.where("kind = 0").drop("kind")
     merged = made.where("kind = 1").select("doc_id", "vec").repartition(16, "doc_id").mapInPandas(_merge_sketch, "block long, counts binary").collect()
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -290,20 +291,23 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75
     del known, mixed, own
     scratch.drop("known1", "links1", "links2")
 
-    # round 3: all pairs across components, by R-tree, in the cells that are left
+    # round 3: cells that are left, gathered under their first member (two members of a cell share it), each gathering
+    # searched once by R-tree for all pairs across components
     known = labelled(comps, "known2")
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("token", "c")
+    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("first")).where("lo <> hi").select("token", "first")
+    near = scratch.keep(known.join(mixed, "token").select("first", "key", "comp").distinct(), "near")
+    del known, mixed
+    scratch.drop("known2", "cells")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK_ROWS)).cast("int")
-    own = F.pmod(F.xxhash64("key", "token"), blocks).cast("int")
-    dealt = known.join(mixed, "token").withColumn("own", own).withColumn("blocks", blocks)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", "key", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(classes.select("key", "n", "vec"), "key").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = near.join(near.groupBy("first").agg(F.count("*").alias("c")), "first").withColumn("blocks", blocks)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key", "first"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("first", "key", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.join(classes.select("key", "n", "vec"), "key").repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
     rest = dealt.mapInPandas(_cell_pairs(num, den), "a long, b long").distinct()
     tried = star.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    del dealt, mixed, known
-    scratch.drop("known2", "cells")
+    del dealt
+    scratch.drop("near")
     last = _verify(rest, classes, docs, scratch, "3", width, num, den)
     comps = components(links.union(last), scratch, "c3")
 
