@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import with_columns
+from .common import map_documents, with_columns
 
 #: Words a worker's table holds at most; a full table is emptied.
 TABLE_WORDS = 300_000
@@ -124,7 +124,7 @@ def bpe_encode_decode(documents: DataFrame, path: str) -> DataFrame:
             ids = [np.frombuffer(table.ids(t), "<u4") for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [i.astype(np.int32) for i in ids], "decoded": [_decode(i, pieces).decode() for i in ids]})
 
-    return with_columns(documents, doc_id="long", text="string").mapInPandas(run, "doc_id long, ids array<int>, decoded string")
+    return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, ids array<int>, decoded string")
 
 
 def bpe_digests(documents: DataFrame, path: str) -> DataFrame:
@@ -143,7 +143,7 @@ def bpe_digests(documents: DataFrame, path: str) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
 
-    return with_columns(documents, doc_id="long", text="string").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 class PrefixTable(dict):
@@ -166,7 +166,7 @@ class PrefixTable(dict):
             got = self.fits[a, b] = [t.value for t in self.table.tok.model.tokenize(a + b)] == [a, b]
         return got
 
-    def __missing__(self, word: str) -> np.ndarray:
+    def __missing__(self, word: str) -> bytes | list[int]:
         w = word[1:] if word[0] == "\0" else "".join(_LETTER[b] for b in word.encode())
         last, counts = [""], [0]
         for i in range(1, len(w) + 1):
@@ -178,7 +178,7 @@ class PrefixTable(dict):
                     break
             else:
                 raise ValueError(f"no encoding of {w[:i]!r}")
-        got = self[word] = np.array(counts[1:], np.int32)
+        got = self[word] = bytes(counts[1:]) if counts[-1] < 256 else counts[1:]
         return got
 
 
@@ -191,7 +191,7 @@ class PrefixCounter:
 
     def table(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(end byte of each split word, token count of the text up to there)."""
-        if len(self.counts) > TABLE_WORDS:
+        if len(self.counts) > 2 * TABLE_WORDS:  # its entries are a few bytes
             self.counts.clear()
         ends, totals = [], []
         for special, part in self.words.parts(text or ""):
@@ -199,9 +199,9 @@ class PrefixCounter:
                 ends.append(len(part.encode()))
                 totals.append(1)
                 continue
-            for c in map(self.counts.__getitem__, self.words.words(part)):
-                ends.append(len(c))
-                totals.append(c[-1])
+            got = list(map(self.counts.__getitem__, self.words.words(part)))
+            ends += map(len, got)
+            totals += [c[-1] for c in got]
         return np.cumsum(ends, dtype=np.int64), np.cumsum(totals, dtype=np.int64)
 
     def upto(self, text: str, n_bytes: int) -> int:
@@ -249,7 +249,7 @@ def prefix_token_counts(documents: DataFrame, path: str, keep_table: bool = True
             yield pd.DataFrame(out)
 
     schema = "doc_id long, n_bytes long, n_tokens long" + ", ends array<long>, counts array<long>" * keep_table
-    return with_columns(documents, doc_id="long", text="string").mapInPandas(run, schema)
+    return map_documents(with_columns(documents, doc_id="long", text="string"), run, schema)
 
 
 def crc32_of(ids: bytes) -> int:
