@@ -118,6 +118,12 @@ def pieces(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
+def map_documents(docs: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas over docs(doc_id, ...); ids travel as strings, as pandas would round long integers beside nulls."""
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema.replace("doc_id long", "doc_id string"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 class Hashed(NamedTuple):
     """Words of a run of texts: hashes, first and last-plus-one byte, each text's first word (and the end), each text's
     first byte (and the end), bytes, and rolling hash sums before each byte."""

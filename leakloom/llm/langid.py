@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, pieces, with_columns, word_hashes
+from .common import Hashed, map_documents, pieces, with_columns, word_hashes
 
 #: Bounds of the fitting sample: documents and bytes of each a language.
 SAMPLE_DOCS, SAMPLE_BYTES = 250, 2500
@@ -223,4 +223,4 @@ def predict(documents: DataFrame, model: Crf) -> DataFrame:
             rows = [r if t.isascii() or any(map(str.isalpha, t)) else ("und", 0.0) for r, t in zip(rows, texts, strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]})
 
-    return with_columns(documents, doc_id="long", text="string").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, lang_pred string, score double")

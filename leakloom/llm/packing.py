@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _tables
-from .common import Scratch, with_columns
+from .common import Scratch, map_documents, with_columns
 
 #: Bins a packer keeps open at once.
 OPEN_BINS = 512
@@ -74,16 +74,15 @@ def best_fit_pack(documents: DataFrame, path: str, capacity: int = 2048, end_id:
         table, packer = _tables(path), BestFit(capacity, OPEN_BINS, TaskContext.get().partitionId() << 36)
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["text"], strict=True):
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = table.ids(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own), *packer.add(len(own) // 4)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place"])
 
     docs = with_columns(documents, doc_id="long", text="string")
-    placed = scratch.keep(docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long"), "placed")
+    placed = scratch.keep(map_documents(docs, run, "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place long"), "placed")
     loose = scratch.keep(placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < capacity), "loose")
     tasks = 1 + loose.count() // BINS_A_TASK
 

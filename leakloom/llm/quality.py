@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pieces, windows, word_hashes
+from .common import Scratch, map_documents, pieces, windows, word_hashes
 
 SHARE, STEPS = 0.75, 3
 #: Documents that an estimate needs at least.
@@ -128,7 +128,7 @@ def quality_verdicts(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"))
-    rows = docs.mapInPandas(_counts, f"doc_id long, lang string, source string, {kinds}")
+    rows = map_documents(docs, _counts, f"doc_id long, lang string, source string, {kinds}")
     named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     w, ch, ln = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
     rows = rows.select("*", named("lang").alias("lang_k"), named("source").alias("own_source"), ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"), F.log(w).alias("x0"), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / w).alias("x1"), F.log1p(100 * F.col("n_symbols") / ch).alias("x2"), F.asin(F.sqrt(F.col("n_dup_lines") / ln)).alias("x3"), F.asin(F.sqrt(F.col("n_repeat_words") / w)).alias("x4"), F.asin(F.sqrt(F.least(F.col("n_upper") / ch, F.lit(1.0)))).alias("x5"))
