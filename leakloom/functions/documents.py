@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def decoded_blob(t: Column) -> Column:
     """VARIANT of a base64 or plain JSON document (also wrapped as b'...'); an empty object if it is neither."""
     raw = F.regexp_replace(t, r"^b'(.*)'$", "$1")
-    text = F.decode(F.try_to_binary(raw, F.lit("base64")), "UTF-8")
+    text = F.try_validate_utf8(F.try_to_binary(raw, F.lit("base64")).cast("string"))
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(raw), F.parse_json(F.lit("{}")))
 
 
