@@ -15,7 +15,9 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +27,9 @@ from .common import map_documents, with_columns
 
 #: Words a worker's table holds at most; a full table is emptied.
 TABLE_WORDS = 300_000
+#: Bits of a token id in a pair of ids.
+ID_BITS = 20
+_LAST = itemgetter(-1)
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _SPACES, _DIGITS = r"\t-\r \x85\xa0", "0-9²³¹¼-¾"
 _LOWER = "a-zªµºß-öø-ÿ"
@@ -146,38 +151,55 @@ def bpe_digests(documents: DataFrame, path: str) -> DataFrame:
     return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+class Neighbours(dict):
+    """first id << ID_BITS | second id -> whether the library encodes their joined text as just these two."""
+
+    def __init__(self, tok: Tokenizer, texts: list[str]):
+        super().__init__()
+        self.tok, self.texts = tok, texts
+
+    def __missing__(self, pair: int) -> bool:
+        a, b = self.texts[pair >> ID_BITS], self.texts[pair & ((1 << ID_BITS) - 1)]
+        got = self[pair] = [t.value for t in self.tok.model.tokenize(a + b)] == [a, b]
+        return got
+
+
 class PrefixTable(dict):
     """Split word -> token counts of all its byte prefixes, by dynamic programming over last tokens.
 
     Byte-pair encodings have this property: a token sequence is the encoding of its text exactly if each
     neighbouring pair is the encoding of that pair's text. So the last token of a prefix is the one suffix
-    in the vocabulary that goes with the last token of the prefix before it, and counts add up by one."""
+    in the vocabulary that goes with the last token of the prefix before it, and counts add up by one.
+    An automaton over the vocabulary lists the suffixes of every prefix, longest first, in one pass."""
 
     def __init__(self, table: WordTable):
         super().__init__()
-        self.table, self.vocab, self.fits = table, table.tok.get_vocab(with_added_tokens=False), {}
-        self.longest = max(map(len, self.vocab))
-
-    def together(self, a: str, b: str) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > TABLE_WORDS:
-                self.fits.clear()
-            got = self.fits[a, b] = [t.value for t in self.table.tok.model.tokenize(a + b)] == [a, b]
-        return got
+        vocab = table.tok.get_vocab(with_added_tokens=False)
+        texts = [""] * (max(vocab.values()) + 1)
+        self.ends = ahocorasick.Automaton()
+        for text, i in vocab.items():
+            texts[i] = text
+            self.ends.add_word(text, (len(text), i))
+        self.ends.make_automaton()
+        self.fits, self.code = Neighbours(table.tok, texts), dict(enumerate(_LETTER))
+
+    def shrink(self) -> None:
+        """Empty what has grown past its bound."""
+        for table in (self, self.fits):
+            if len(table) > 2 * TABLE_WORDS:  # entries are a few bytes
+                table.clear()
 
     def __missing__(self, word: str) -> bytes | list[int]:
-        w = word[1:] if word[0] == "\0" else "".join(_LETTER[b] for b in word.encode())
-        last, counts = [""], [0]
-        for i in range(1, len(w) + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = w[j:i]
-                if t in self.vocab and (not j or self.together(last[j], t)):
-                    last.append(t)
-                    counts.append(counts[j] + 1)
-                    break
-            else:
-                raise ValueError(f"no encoding of {w[:i]!r}")
+        w = word[1:] if word[0] == "\0" else word.encode().decode("latin-1").translate(self.code)
+        last, counts, fits = [0], [0], self.fits
+        for end, (n, token) in self.ends.iter(w):
+            if end + 1 == len(last):
+                start = end + 1 - n
+                if not start or fits[last[start] << ID_BITS | token]:
+                    last.append(token)
+                    counts.append(counts[start] + 1)
+        if len(last) <= len(w):
+            raise ValueError(f"no encoding of {w[: len(last)]!r}")
         got = self[word] = bytes(counts[1:]) if counts[-1] < 256 else counts[1:]
         return got
 
@@ -191,8 +213,7 @@ class PrefixCounter:
 
     def table(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(end byte of each split word, token count of the text up to there)."""
-        if len(self.counts) > 2 * TABLE_WORDS:  # its entries are a few bytes
-            self.counts.clear()
+        self.counts.shrink()
         ends, totals = [], []
         for special, part in self.words.parts(text or ""):
             if special:
@@ -201,7 +222,7 @@ class PrefixCounter:
                 continue
             got = list(map(self.counts.__getitem__, self.words.words(part)))
             ends += map(len, got)
-            totals += [c[-1] for c in got]
+            totals += map(_LAST, got)
         return np.cumsum(ends, dtype=np.int64), np.cumsum(totals, dtype=np.int64)
 
     def upto(self, text: str, n_bytes: int) -> int:
