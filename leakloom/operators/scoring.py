@@ -95,6 +95,24 @@ def leak_level(score: Column) -> Column:
     return F.when(score >= 0.7, 2).when(score >= 0.5, 1).otherwise(0)
 
 
+def path_relevance(paths: Column, tokens: list[str], bad_ending: Column | None = None) -> Column:
+    """How far the paths of findings point to a company of these lower-case words, 0 to 1; no path or no word gives 0."""
+    add = lambda cond, w: F.when(cond, w).otherwise(0.0)
+
+    def one(p: Column) -> Column:
+        parts, score = F.split(p, r"[/\\.]"), F.lit(0.0)
+        for t in tokens:
+            score = score + F.when(F.array_contains(parts, t), 0.4).when(F.exists(parts, lambda x: x.contains(t)), 0.2).otherwise(0.0)
+            score = score + add(p.contains(f"com/{t}") | p.contains(f"com.{t}"), 0.5) + add(p.rlike(T.one_of([t]) + ".*(?:config|properties|credentials|auth|secret|key)"), 0.3)
+        score = score + F.when(P.is_binary_file(p), -0.3).when(F.lit(False) if bad_ending is None else bad_ending, -0.5).otherwise(0.0)
+        return F.when(P.is_false_positive_path(p), -0.1).when(P.is_framework_path(p), -0.05).otherwise(score)
+
+    low = F.transform(F.filter(paths, lambda p: F.length(p) > 0), F.lower)
+    total = F.aggregate(F.transform(low, one), F.lit(0.0), lambda a, x: a + x)
+    total = total * F.when(F.size(F.filter(low, P.is_false_positive_path)) > 0.5 * F.size(low), 0.5).otherwise(1.0)
+    return F.when(F.size(low) > 0, clamp(total)).otherwise(0.0) if tokens else F.lit(0.0)
+
+
 def profitability(org: Column, sens: Column, n: Column, company_committer: Column, digits: int = 2) -> Column:
     tp = 0.5 * org + 0.5 * sens
     up = lambda cond, v, t: F.when(cond, F.greatest(t, F.lit(v))).otherwise(t)

@@ -127,6 +127,7 @@ q("str32_masked", "SELECT repo, file, rule, seq, CASE WHEN length(match) > 8 THE
 q("cls18_level", "SELECT p_partkey, CASE WHEN p_size / 50 >= 0.7 THEN 2 WHEN p_size / 50 >= 0.5 THEN 1 ELSE 0 END AS level FROM part", lambda s, d: V.table(s, d, "part"))(lambda d: d.select("p_partkey", S.leak_level(c("p_size") / 50).alias("level")))
 q("cls01_secret_class", None, V.findings)(lambda d: d.select("repo", "file", "rule", "seq", S.secret_class(c("rule"), c("match"), F.lit("src/app.py")).alias("k")).select("repo", "file", "rule", "seq", "k.type", "k.weight"))
 q("cls04_validity", None, V.findings)(lambda d: d.select("repo", "file", "rule", "seq", F.round(S.validity(c("match"), F.lit("src/app.py"), S.secret_class(c("rule"), c("match"), F.lit("src/app.py"))["type"], F.lit(0.5)), 6).alias("validity")))
+q("sco03_path_relevance", "SELECT id, round(CAST(CASE WHEN contains(url, 'example') THEN 0 ELSE least(1, (CASE WHEN contains(url, '/org3/') THEN CASE WHEN contains(url, '.com/') THEN 1.2 ELSE 0.7 END ELSE 0 END) + (CASE WHEN url LIKE '%/repo1' THEN 0.7 WHEN contains(url, '/repo1') THEN 0.5 ELSE 0 END)) END AS DOUBLE), 6) AS score FROM incidents")(lambda d: d.select("id", F.round(S.path_relevance(F.array(F.concat("url", F.lit("/config/app.properties"))), ["org3", "repo1"]), 6).alias("score")))
 _TP = "greatest(org * 0.5 + sens * 0.5, CASE WHEN n > 0 AND org >= 0.15 THEN 0.5 ELSE 0 END, CASE WHEN n >= 5 AND org >= 0.15 THEN 0.6 ELSE 0 END, CASE WHEN n > 0 AND org < 0.15 THEN 0.15 ELSE 0 END, CASE WHEN n >= 10 AND org < 0.15 THEN 0.25 ELSE 0 END, CASE WHEN sens >= 0.7 AND org >= 0.1 THEN 0.55 ELSE 0 END, CASE WHEN sens >= 0.5 AND org >= 0.1 THEN 0.4 ELSE 0 END)"
 q("sco07_profitability", f"SELECT l_orderkey, l_linenumber, round(least(1, {_TP}), 9) AS tp FROM (SELECT l_orderkey, l_linenumber, l_discount * 10::DOUBLE AS org, l_quantity / 64::DOUBLE AS sens, l_linenumber AS n FROM lineitem)", lambda s, d: V.table(s, d, "lineitem"))(lambda d: d.select("l_orderkey", "l_linenumber", S.profitability(c("l_discount") * 10, c("l_quantity") / 64, c("l_linenumber"), F.lit(False), digits=9).alias("tp")))
 q("sco12_verdict", "SELECT l_orderkey, l_linenumber, CASE WHEN u <= 0.1 AND org < 0.1 OR u <= 0.2 AND f AND i THEN 0 WHEN u <= 0.2 AND (f OR i) THEN 5 ELSE 4 END AS result FROM (SELECT *, org < 0.05 AND sens <= 0.2 AS f, l_linenumber % 2 = 0 AS i FROM (SELECT l_orderkey, l_linenumber, l_discount * 2::DOUBLE AS u, l_tax * 4::DOUBLE AS org, l_quantity / 64::DOUBLE AS sens FROM lineitem))", lambda s, d: V.table(s, d, "lineitem"))(lambda d: d.select("l_orderkey", "l_linenumber", S.verdict(c("l_discount") * 2, c("l_tax") * 4, c("l_quantity") / 64, F.lit(0.5), F.lit(0.5), F.lit(0.5), c("l_linenumber") % 2 == 0, F.lit(False))["result"].alias("result")))
