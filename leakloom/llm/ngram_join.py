@@ -11,11 +11,11 @@ quadratic. The points are therefore dealt into cells first, without losing a pai
 the similarity share a shingle among the rarest quarter of each (any one global order is right; ours is
 by a fixed-size count sketch over the whole corpus, then by hash), and each shared rare shingle is a cell.
 
-1. equal sets become one class; 2. each cell's members are held against a few first classes of the cell in
-different orders (stars: linear in the cell), bounded, verified and joined into components; 3. cells that
-still hold several components are searched with R-trees, in blocks of bounded size, for pairs across
-components (cells with the same first member are gathered, so a pair is searched once); 4. these are
-verified, and the components merged. No cap drops a candidate.
+1. equal sets become one class; 2. cells are gathered under their first member (most pairs share one gathering only)
+and dealt into blocks of bounded size; an R-tree over each block finds the members that have a partner the bound allows;
+3. these members' texts are brought to their block and all its pairs are compared exactly at once, by a product of
+0/1 matrices over the shingles that both sides hold. A pair counts in the least of the gatherings that both members
+share, so every link comes out just once, also inside components. No cap drops a candidate.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ GROUPS = 128
 #: Counters of the sketch that orders shingles by rarity; fixed at any input size (4 MB once merged).
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
-#: Most rows of one block of a cell.
-BLOCK_ROWS = 256
-#: Masks that reorder keys, so that round 2 finds other first members in a cell than round 1.
-ORDERS = (0x2545F4914F6CDD1D, 0x5DEECE66D1234567, 0x369DEA0F31A53F85, 0x1B873593CC9E2D51)
+#: Most members, and about the most shingles, of one block of a gathering.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
+#: Columns of one product of 0/1 matrices.
+COLUMNS = 4096
 LEAF = 16
 
 
@@ -150,101 +150,149 @@ def _prefixes(width: int, num: int, den: int, sketch):
     return run
 
 
-def _bounded(num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                best = np.minimum(read_vectors(pdf["va"].tolist()), read_vectors(pdf["vb"].tolist())).sum(axis=1)
-                yield pdf.loc[best >= need(pdf["na"].to_numpy(), pdf["nb"].to_numpy(), num, den), ["a", "b"]]
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set (arrays without repeats)."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+    if not len(owner):
+        return out
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ours = owner < len(left)
+    common = (np.bincount(at[ours], minlength=len(values)) > 0) & (np.bincount(at[~ours], minlength=len(values)) > 0)
+    column = (np.cumsum(common) - 1)[at]
+    live = np.flatnonzero(common[at])
+    live = live[np.argsort(column[live], kind="stable")]
+    column, owner = column[live], owner[live]
+    for c in range(0, int(common.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[part], column[part] - c] = 1
+        out += (held[: len(left)] @ held[len(left) :].T).astype(np.int64)
+    return out
 
-    return run
 
+def _block_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Whole blocks of rows sorted by (first, i, j): frames, and where each block in them begins (and the end)."""
+    held = None
+    for pdf in batches:
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        cell = held[["first", "i", "j"]].to_numpy()
+        cut = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
+        if len(cut):
+            yield held.iloc[: cut[-1]], np.array([0, *cut])
+            held = held.iloc[cut[-1] :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
 
-def _cell_pairs(num: int, den: int):
-    """Rows sorted by (first, i, j); the block (i, j) of a gathering holds blocks i and j of its members."""
-
-    def pairs(g: pd.DataFrame) -> list[tuple[int, int]]:
-        i, j = g["i"].iat[0], g["j"].iat[0]
-        key, comp, size, own = (g[c].to_numpy() for c in ("key", "comp", "n", "own"))
-        vec = read_vectors(g["vec"].tolist())
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        tree, out = CountVectorRTree(size[right], vec[right]), []
-        for x in left:
-            hit = right[tree.search(int(size[x]), vec[x], num, den)]
-            hit = hit[(comp[hit] != comp[x]) & ((key[hit] > key[x]) | (i != j))]
-            out += [(key[x], k) if key[x] < k else (k, key[x]) for k in key[hit]]
-        return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            cell = held[["first", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-            if not len(cut):
-                continue
-            yield emit(held.iloc[: cut[-1]], [0, *cut])
-            held = held.iloc[cut[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield emit(held, [0, len(held)])
-
-    def emit(pdf: pd.DataFrame, cuts) -> pd.DataFrame:
-        out: set[tuple[int, int]] = set()
-        cuts = np.asarray(cuts)
-        length = np.diff(cuts)
-        two = cuts[:-1][length == 2]  # most cells: two members, done at once
-        if len(two):
-            g = pdf.iloc[two], pdf.iloc[two + 1]
-            best = np.minimum(*(read_vectors(x["vec"].tolist()) for x in g)).sum(axis=1)
-            ok = (best >= need(g[0]["n"].to_numpy(), g[1]["n"].to_numpy(), num, den)) & (g[0]["comp"].to_numpy() != g[1]["comp"].to_numpy())
-            a, b = g[0]["key"].to_numpy()[ok], g[1]["key"].to_numpy()[ok]
-            out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
-        for k in np.flatnonzero(length > 2).tolist():
-            out.update(pairs(pdf.iloc[cuts[k] : cuts[k + 1]]))
-        return pd.DataFrame(list(out), columns=["a", "b"], dtype=np.int64)
+def _sides(i: int, j: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(own == i), np.flatnonzero(own == j)
 
-    return run
 
+def _uncovered(key: np.ndarray, before: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+    """Pairs of the block that count here: no earlier gathering holds both members."""
+    new = overlaps([before[x] for x in left], [before[x] for x in right]) == 0
+    return new & (key[left][:, None] < key[right]) if same else new
+
+
+def _block_members(num: int, den: int):
+    """The members of blocks that have a partner which the bound allows."""
+
+    def wanted(key, size, own, vec, before, i: int, j: int) -> np.ndarray:
+        left, right = _sides(i, j, own)
+        if not len(left) or not len(right):
+            return left[:0]
+        tree, near = CountVectorRTree(size[right], vec[right]), np.zeros((len(left), len(right)), bool)
+        for k, x in enumerate(left):
+            near[k, tree.search(int(size[x]), vec[x], num, den)] = True
+        if near.any():
+            near &= _uncovered(key, before, left, right, i == j)
+        return np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
 
-def _verified(width: int, num: int, den: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out, last, base = [], None, None
-            firsts = shingle_sets(pdf["ta"].where(pdf["a"] != pdf["a"].shift(), ""), width)
-            for a, b, f, t in zip(pdf["a"], pdf["b"], firsts, shingle_sets(pdf["tb"], width), strict=True):
-                if a != last:
-                    last, base = a, f
-                both = len(np.intersect1d(base, t, assume_unique=True))
-                if den * both >= num * (len(base) + len(t) - both) and set_key(base) == a and set_key(t) == b:
-                    out.append((a, b))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        for pdf, cuts in _block_groups(batches):
+            length, keep = np.diff(cuts), []
+            two = cuts[:-1][length == 2]  # most blocks: two members, bounded at once
+            if len(two):
+                g = pdf.iloc[two], pdf.iloc[two + 1]
+                best = np.minimum(*(read_vectors(x["vec"].tolist()) for x in g)).sum(axis=1)
+                ok = best >= need(g[0]["n"].to_numpy(), g[1]["n"].to_numpy(), num, den)
+                split = (g[0]["i"] == g[0]["j"]).to_numpy() | (g[0]["own"].to_numpy() != g[1]["own"].to_numpy())
+                for k, x, y in zip(two[ok & split].tolist(), g[0]["before"][ok & split], g[1]["before"][ok & split], strict=True):
+                    if not len(x) or not len(y) or not len(np.intersect1d(x, y)):
+                        keep += [k, k + 1]
+            for b in np.flatnonzero(length > 2).tolist():
+                g = pdf.iloc[cuts[b] : cuts[b + 1]]
+                own = (g[c].to_numpy() for c in ("key", "n", "own"))
+                keep += (cuts[b] + wanted(*own, read_vectors(g["vec"].tolist()), g["before"].tolist(), g["i"].iat[0], g["j"].iat[0])).tolist()
+            yield pdf.iloc[keep][["first", "i", "j", "own", "key", "before"]]
 
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, width: int, num: int, den: int) -> DataFrame:
-    """The pairs of class keys whose sets reach the similarity. Whole texts travel: they are shorter than their hashes."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = keys.join(classes.select("key", "rep"), "key")
-    texts = scratch.keep(wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("key", "text"), f"texts{name}")
-    right = pairs.join(texts.withColumnRenamed("key", "b").withColumnRenamed("text", "tb"), "b")
-    both = right.join(texts.withColumnRenamed("key", "a").withColumnRenamed("text", "ta"), "a").select("a", "b", "ta", "tb")
-    links = scratch.keep(both.mapInPandas(_verified(width, num, den), "a long, b long").distinct(), f"links{name}")
-    del keys, wanted, right, both, texts
-    scratch.drop(f"texts{name}")
-    return links
+def _forest_of(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which links (left x right) a spanning forest of the block needs."""
+    tree, free_l, free_r = np.zeros_like(links), links.any(axis=1), links.any(axis=0)
+    same = len(left) == len(right) and bool((left == right).all())
+    while free_l.any():
+        x = int(free_l.argmax())
+        free_l[x], todo = False, [(0, x)]
+        if same:
+            free_r[x] = False
+        while todo:
+            side, x = todo.pop()
+            for s in (0, 1) if same else (side,):
+                got = np.flatnonzero(links[x] & free_r) if s == 0 else np.flatnonzero(links[:, x] & free_l)
+                if s == 0:
+                    tree[x, got], free_r[got] = True, False
+                else:
+                    tree[got, x], free_l[got] = True, False
+                if same:
+                    free_l[got] = free_r[got] = False
+                todo += [(1 - s, y) for y in got.tolist()]
+    return tree
+
+
+def _block_links(width: int, num: int, den: int, pairs: bool):
+    """All links of blocks, of whole texts, as (a, b, n) of class keys: with ``pairs`` each link and its overlap; else
+    the number of each member's links (a = b) and the links of a spanning forest (n = 0), in proportion to the members."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, cuts in _block_groups(batches):
+            keys, owns, firsts, seconds, before, texts = (pdf[c].to_numpy() for c in ("key", "own", "i", "j", "before", "text"))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sets = list(shingle_sets(texts[a:b], width))
+                # rows that repeat a doc_id may bring other texts than the class has, or its text again
+                good, seen = [], set()
+                for k, t in enumerate(sets):
+                    if len(t) and (key := int(keys[a + k])) not in seen and set_key(t) == key:
+                        seen.add(key)
+                        good.append(k)
+                key, own, sets = keys[a:b][good], owns[a:b][good], [sets[k] for k in good]
+                left, right = _sides(firsts[a], seconds[a], own)
+                if not len(left) or not len(right):
+                    continue
+                both = overlaps([sets[x] for x in left], [sets[x] for x in right])
+                size = np.array([len(t) for t in sets])
+                links = den * both >= num * (size[left][:, None] + size[right] - both)
+                if links.any():
+                    links &= _uncovered(key, [before[a + k] for k in good], left, right, firsts[a] == seconds[a])
+                if not links.any():
+                    continue
+                x, y = np.nonzero(links if pairs else _forest_of(links, left, right))
+                u, v = key[left[x]], key[right[y]]
+                yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "n": both[x, y] if pairs else 0})
+                if not pairs:
+                    who, many = np.concatenate([key[left], key[right]]), np.concatenate([links.sum(axis=1), links.sum(axis=0)])
+                    yield pd.DataFrame({"a": who, "b": who, "n": many})[many > 0]
 
-def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links).
+    return run
 
-    Documents link when den * |overlap| >= num * |union| of their shingle sets.
-    A null or wordless text has no shingles and links with nothing. A row with a null doc_id keeps its size
-    and takes part through equal sets only. Repeated rows stay; rows that share a doc_id share its node.
-    An empty table gives an empty result. Other columns are ignored."""
+
+def _classes_and_links(documents: DataFrame, width: int, num: int, den: int, scratch: Scratch, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, key) of every row, classes (key, rep, n), and what _block_links says of them."""
     spark = documents.sparkSession
-    scratch = Scratch(spark)
     docs = with_columns(documents, doc_id="long", text="string")
     made = scratch.keep(map_documents(docs, _signatures(width), "doc_id long, n long, key long, vec binary, kind int"), "made")
     signed = made.where("kind = 0").drop("kind")
@@ -255,66 +303,73 @@ def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75
     sketch = spark.sparkContext.broadcast(counts)
     classes = scratch.keep(signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("vec").alias("vec")), "classes")
 
-    # cells: rare shingles that two classes share
+    # cells, rare shingles that two classes share, gathered under their first member
     rows = docs.where("doc_id is not null").select("text").mapInPandas(_prefixes(width, num, den, sketch), "token long, key long")
     shared = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    cells = scratch.keep(rows.join(shared, "token").distinct(), "cells")
+    near = scratch.keep(rows.join(shared, "token").select(F.col("lo").alias("first"), "key").distinct(), "near")
     del rows, shared
     scratch.release()
 
-    def pruned(pairs: DataFrame) -> DataFrame:
-        a = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-        b = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-        close = f"{num} * greatest(na, nb) <= {den} * least(na, nb)"
-        return pairs.join(a, "a").join(b, "b").where(close).mapInPandas(_bounded(num, den), "a long, b long")
-
-    def labelled(comps: DataFrame, name: str) -> DataFrame:
-        """Cell members with their components so far."""
-        known = cells.select("token", "key").join(comps.withColumnRenamed("node", "key"), "key", "left")
-        return scratch.keep(known.withColumn("comp", F.coalesce("comp", "key")), name)
-
-    # round 1: each member against the least and the largest key of its cells
-    star = cells.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
-    star = scratch.keep(pruned(star), "star")
-    links = _verify(star, classes, docs, scratch, "1", width, num, den)
-    comps = components(links, scratch, "c1")
-
-    # round 2: in cells that still hold several components, against members that come first in other orders
-    known = labelled(comps, "known1")
-    orders = [F.min(F.col("key").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"c{i}") for i, m in enumerate(ORDERS)]
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *orders).where("lo <> hi")
-    more = known.join(mixed, "token").select(F.explode(F.array(*(f"c{i}" for i in range(len(ORDERS))))).alias("a"), F.col("key").alias("b"), "comp").where("a <> b").distinct()
-    own = known.select(F.col("key").alias("a"), F.col("comp").alias("comp_a")).distinct()
-    more = scratch.keep(pruned(more.join(own, "a").where("comp <> comp_a").select("a", "b").join(star, ["a", "b"], "left_anti")), "more")
-    links = scratch.keep(links.union(_verify(more, classes, docs, scratch, "2", width, num, den)), "links")
-    comps = components(links, scratch, "c2")
-    del known, mixed, own
-    scratch.drop("known1", "links1", "links2")
-
-    # round 3: cells that are left, gathered under their first member (two members of a cell share it), each gathering
-    # searched once by R-tree for all pairs across components
-    known = labelled(comps, "known2")
-    mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("key").alias("first")).where("lo <> hi").select("token", "first")
-    near = scratch.keep(known.join(mixed, "token").select("first", "key", "comp").distinct(), "near")
-    del known, mixed
-    scratch.drop("known2", "cells")
-    blocks = F.ceil(F.col("c") / F.lit(BLOCK_ROWS)).cast("int")
-    dealt = near.join(near.groupBy("first").agg(F.count("*").alias("c")), "first").withColumn("blocks", blocks)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key", "first"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("first", "key", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = dealt.join(classes.select("key", "n", "vec"), "key").repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
-    rest = dealt.mapInPandas(_cell_pairs(num, den), "a long, b long").distinct()
-    tried = star.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.keep(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    del dealt
+    # blocks of gatherings; a row is in one block with each block of its gathering
+    member = near.join(classes.select("key", "n"), "key")
+    most = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    dealt = near.join(member.groupBy("first").agg(most.alias("blocks")), "first")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key", "first"), F.col("blocks")).cast("int"))
+    known = near.groupBy("key").agg(F.collect_list("first").alias("firsts"))
+    dealt = dealt.join(known, "key").withColumn("before", F.filter("firsts", lambda f: f < F.col("first"))).join(classes.select("key", "n", "vec"), "key")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "vec", "before")
+    dealt = dealt.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
+    found = scratch.keep(dealt.mapInPandas(_block_members(num, den), "first long, i int, j int, own int, key long, before array<long>"), "found")
+    del member, dealt, known
     scratch.drop("near")
-    last = _verify(rest, classes, docs, scratch, "3", width, num, den)
-    comps = components(links.union(last), scratch, "c3")
+
+    # exact comparison; whole texts travel: they are shorter than their hashes
+    wanted = found.select("key").distinct().join(classes.select("key", "rep"), "key")
+    texts = scratch.keep(wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("key", "text"), "texts")
+    del wanted
+    scratch.release()
+    whole = found.join(texts, "key").repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
+    links = scratch.keep(whole.mapInPandas(_block_links(width, num, den, pairs), "a long, b long, n long"), "links")
+    del whole
+    scratch.drop("found", "texts")
+    return signed.select("doc_id", "n", "key"), classes.select("key", "rep", "n"), links
+
+
+def ngram_jaccard_join(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the join of all rows with each other.
+
+    members: doc_id, n_shingles, class_key of every row; rows with equal shingle sets have one class, a row without
+    shingles has none. links: class_a, class_b, doc_a, doc_b, n_a, n_b, overlap, each pair of different classes with
+    den * overlap >= num * |union| once, inside components too; doc_a and doc_b are the classes' least doc_ids.
+    A class whose rows all have a null doc_id links with nothing."""
+    rows, classes, links = _classes_and_links(documents, width, num, den, Scratch(documents.sparkSession), pairs=True)
+    a = classes.select(F.col("key").alias("class_a"), F.col("rep").alias("doc_a"), F.col("n").alias("n_a"))
+    b = classes.select(F.col("key").alias("class_b"), F.col("rep").alias("doc_b"), F.col("n").alias("n_b"))
+    pairs = links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.col("n").alias("overlap")).join(a, "class_a").join(b, "class_b")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key")), pairs.select("class_a", "class_b", "doc_a", "doc_b", "n_a", "n_b", "overlap")
+
+
+def ngram_jaccard_members(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """One row per document: doc_id, n_shingles, n_links, component_id (least doc_id reachable over links).
+
+    Documents link when den * |overlap| >= num * |union| of their shingle sets; n_links counts the links of a document's
+    class with other classes (ngram_jaccard_join lists them; equal sets are one class and don't count).
+    A null or wordless text has no shingles and links with nothing. A row with a null doc_id keeps its size
+    and takes part through equal sets only. Repeated rows stay; rows that share a doc_id share its node.
+    An empty table gives an empty result. Other columns are ignored."""
+    scratch = Scratch(documents.sparkSession)
+    signed, classes, links = _classes_and_links(documents, width, num, den, scratch, pairs=False)
+    comps = components(links.where("a <> b"), scratch, "c")
 
     # keys to the smallest doc_id of the component
     named = classes.select("key", "rep").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("key", "component_id")
-    out = signed.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    scratch.drop("star", "more", "rest", "links", "links3")
-    return out
+    many = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
+    named = named.join(least, "comp").join(many, "key", "left").select("key", "n_links", "component_id")
+    return signed.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of ngram_jaccard_members."""
+    return ngram_jaccard_members(documents, width, num, den).drop("n_links")

@@ -53,6 +53,30 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_jaccard_components(empty).collect() == []
 
 
+def test_ngram_join_finds_links_inside_components(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(90):  # near copies of near copies: many links inside one component
+        w = list(base if i < 60 else rows[i - 60][1].split())
+        for k in rng.integers(0, 200, 3):
+            w[k] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(200, rows[0][1]), (201, rows[0][1].upper()), (202, None), (None, rows[1][1])]
+    sets = {i: shingles(t) for i, t in rows if i is not None and i < 200}
+    want = {(i, j, len(sets[i] & sets[j])) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (512, 7):  # one block, and many
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+        members, links = ngram_join.ngram_jaccard_join(df)
+        got = [(min(r.doc_a, r.doc_b), max(r.doc_a, r.doc_b), r.overlap) for r in links.collect()]
+        assert len(want) > 500 and len(got) == len(set(got)) and set(got) == want
+        key = {r.doc_id: r.class_key for r in members.collect()}
+        assert key[0] == key[200] == key[201] and key[202] is None and key[None] == key[1] and len(key) == 94
+        found = ngram_join.ngram_jaccard_members(df).where("doc_id < 202").collect()
+        assert {r.component_id for r in found} == {0}
+        assert all(r.n_links == sum(r.doc_id % 200 in p[:2] for p in want) for r in found if r.doc_id < 201)
+
+
 def test_rtree_finds_all_bounded():
     rng = np.random.default_rng(1)
     vec = rng.integers(0, 6, (300, ngram_join.GROUPS)).astype(np.int32)
