@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 from operator import itemgetter
 
 import ahocorasick
@@ -27,6 +28,8 @@ from .common import map_documents, with_columns
 
 #: Words a worker's table holds at most; a full table is emptied.
 TABLE_WORDS = 300_000
+#: Characters of text whose prefix tables a worker holds at once.
+PART_CHARS = 1 << 19
 #: Bits of a token id in a pair of ids.
 ID_BITS = 20
 _LAST = itemgetter(-1)
@@ -36,6 +39,10 @@ _LOWER = "a-zªµºß-öø-ÿ"
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 _WORD_SPLIT = re.compile(f"{_CONTRACTIONS}|[{_LOWER}]+|[{_DIGITS}]|[^{_SPACES}{_LOWER}{_DIGITS}]+")
 _BYTE_SPLIT = re.compile(f"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^{_SPACES}{_LETTERS}{_DIGITS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+#: Whitespace of the byte tokenizer's split, first characters of words that a prefix may split otherwise, contractions of over two characters.
+_ALL_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_ODD_FIRST = frozenset("\0\t\n\x0b\x0c\r \x85\xa0'")
+_LONG_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 
 
 def byte_letters() -> list[str]:
@@ -204,48 +211,108 @@ class PrefixTable(dict):
         return got
 
 
+def tokens_upto(stored: bytes, n_bytes: int) -> int:
+    """Tokens of the first n_bytes bytes, from a stored prefix table; inside a character, as its word's bytes add up."""
+    v = int(np.frombuffer(stored, "<i4")[n_bytes])
+    return v if v >= 0 else ~v
+
+
+def longest_prefix(stored: bytes, budget: int) -> int:
+    """Bytes of the longest prefix of whole characters that takes at most ``budget`` tokens, from a stored prefix table."""
+    v = np.frombuffer(stored, "<i4")
+    fits = np.flatnonzero((v >= 0) & (v <= budget))
+    return int(fits[-1]) if len(fits) else 0
+
+
 class PrefixCounter:
-    """Exact token counts at every prefix of a text that ends where a split word ends, and at every byte prefix of each word."""
+    """Exact token counts at every prefix of a text.
+
+    Inside a split word a prefix's count is that of the words before and the word's own prefix, as the same words split
+    off, but for three cases that get counts of their own: a whitespace run is one word up to its last character, and
+    only what follows splits that off; 're, 've and 'll aren't contractions before their last letter; and a special
+    token cut short is plain text that may go on with the word before it."""
 
     def __init__(self, path: str):
         self.words = WordTable(path)
         self.counts = PrefixTable(self.words)
 
-    def table(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(end byte of each split word, token count of the text up to there)."""
+    def _plain(self, word: str) -> str:
+        """The text of a split word."""
+        return bytes(_BYTE[c] for c in word[1:]).decode() if word[0] == "\0" else word
+
+    def _total(self, text: str) -> int:
+        return sum(self.counts[w][-1] for w in self.words.words(text))
+
+    def table(self, text: str | None, prefixes: bool = False) -> tuple[np.ndarray, np.ndarray, bytes | None]:
+        """(end byte of each split word, token count of the text up to there, prefix table if asked for).
+
+        The prefix table holds 4 bytes for each byte prefix, the empty one first: its count, or ~count where it ends
+        inside a character. A tokenizer that normalises has none, as its bytes aren't the text's."""
         self.counts.shrink()
-        ends, totals = [], []
-        for special, part in self.words.parts(text or ""):
+        text = text or ""
+        ends, totals, inside, own = [], [], [], []
+        fixed: list[tuple[int, int]] = []  # (byte, count) of prefixes that split otherwise
+        at = count = 0
+        last = ""  # the split word before, if no special token is between
+        prefixes = prefixes and not self.words.lower
+        for special, part in self.words.parts(text):
             if special:
-                ends.append(len(part.encode()))
+                n = len(part.encode())
+                if prefixes:
+                    before = count - (own[-1] if last else 0)
+                    fixed += [(at + len(part[:m].encode()), before + self._total(last + part[:m])) for m in range(1, len(part))]
+                    inside.append(np.ones(n, np.int32))
+                ends.append(n)
                 totals.append(1)
+                own.append(1)
+                at, count, last = at + n, count + 1, ""
                 continue
-            got = list(map(self.counts.__getitem__, self.words.words(part)))
-            ends += map(len, got)
-            totals += map(_LAST, got)
-        return np.cumsum(ends, dtype=np.int64), np.cumsum(totals, dtype=np.int64)
+            words = self.words.words(part)
+            got = list(map(self.counts.__getitem__, words))
+            n, t = list(map(len, got)), list(map(_LAST, got))
+            if prefixes:
+                inside += [np.frombuffer(b"".join(got), np.uint8)] if all(type(g) is bytes for g in got) else [np.array(list(g), np.int32) for g in got]
+                fixed += self._fixed(words, n, t, at, count)
+                last = self._plain(words[-1]) if words else last
+            ends += n
+            totals += t
+            own += t
+            at, count = at + sum(n), count + sum(t)
+        lengths, sums = np.array(ends, np.int64), np.cumsum(totals, dtype=np.int64)
+        if not prefixes:
+            return np.cumsum(lengths), sums, None
+        out = np.zeros(at + 1, np.int32)
+        if at:
+            out[1:] = np.concatenate(inside) + np.repeat(sums - np.array(own), lengths)
+        for k, v in fixed:
+            out[k] = v
+        if not text.isascii():
+            later = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) & 0xC0 == 0x80)
+            out[later] = ~out[later]
+        return np.cumsum(lengths), sums, out.astype("<i4").tobytes()
+
+    def _fixed(self, words: list[str], n: list[int], t: list[int], at: int, count: int) -> list[tuple[int, int]]:
+        """(byte, count) of prefixes that end with a whitespace run of two words, or inside a contraction."""
+        found = [i for i, w in enumerate(words) if w[0] in _ODD_FIRST and (w[0] != " " or len(w) == 1 or w[1] in _ODD_FIRST)]
+        if not found:
+            return []
+        ends, totals, out = list(accumulate(n, initial=at)), list(accumulate(t, initial=count)), []
+        for i in found:
+            w = self._plain(words[i])
+            if w in _LONG_CONTRACTIONS:
+                out.append((ends[i] + 2, totals[i] + self._total("'") + self._total(w[1])))
+            elif i + 1 < len(words) and _ALL_SPACE.fullmatch(w) and _ALL_SPACE.match(after := self._plain(words[i + 1])):
+                out.append((ends[i + 1] + len(after[0].encode()), totals[i] + self._total(w + after[0])))
+        return out
+
+    def prefix_table(self, text: str) -> bytes:
+        return self.table(text, prefixes=True)[2]
 
     def upto(self, text: str, n_bytes: int) -> int:
-        """Tokens of the text's first n_bytes bytes when its words stay split as they are (a truncation of the token table, no re-encoding)."""
-        ends, totals = self.table(text)
-        k = int(np.searchsorted(ends, n_bytes, "right"))
-        before = int(totals[k - 1]) if k else 0
-        rest = n_bytes - (int(ends[k - 1]) if k else 0)
-        if k == len(ends) or not rest:
-            return before
-        at = -1
-        for special, part in self.words.parts(text):
-            for w in [part] if special else self.words.words(part):
-                at += 1
-                if at == k:
-                    return before + (1 if special else int(self.counts[w][rest - 1]))
-        return before
+        return tokens_upto(self.prefix_table(text), n_bytes)
 
     def longest(self, text: str, budget: int) -> int:
-        """Bytes of the longest run of whole words from the start that takes at most ``budget`` tokens."""
-        ends, totals = self.table(text)
-        k = int(np.searchsorted(totals, budget, "right"))
-        return int(ends[k - 1]) if k else 0
+        return longest_prefix(self.prefix_table(text), budget)
 
 
 def _counters(path: str, cache: dict = {}) -> PrefixCounter:  # noqa: B006
@@ -255,21 +322,25 @@ def _counters(path: str, cache: dict = {}) -> PrefixCounter:  # noqa: B006
 
 
 def prefix_token_counts(documents: DataFrame, path: str, keep_table: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and, if keep_table, ends array<long> and counts array<long>: the token count of every
-    prefix that ends with a split word. Truncation and budget questions are lookups in these arrays.
+    """doc_id, n_bytes, n_tokens and, if keep_table, ends array<long>, counts array<long> (each split word's end and the
+    whole text's count there) and prefixes binary: the token count of every prefix, as tokens_upto and longest_prefix
+    read it. A tokenizer that normalises has no prefixes (null).
 
     A null or empty text has 0 bytes, 0 tokens and empty arrays. Repeated rows stay, other columns are ignored."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = _counters(path)
         for pdf in batches:
-            got = [counter.table(t) for t in pdf["text"]]
-            out = {"doc_id": pdf["doc_id"], "n_bytes": [int(e[-1]) if len(e) else 0 for e, _ in got] if not counter.words.lower else [len((t or "").encode()) for t in pdf["text"]], "n_tokens": [int(c[-1]) if len(c) else 0 for _, c in got]}
-            if keep_table:
-                out |= {"ends": [e for e, _ in got], "counts": [c for _, c in got]}
-            yield pd.DataFrame(out)
-
-    schema = "doc_id long, n_bytes long, n_tokens long" + ", ends array<long>, counts array<long>" * keep_table
+            # prefix tables are four times their texts: they leave the worker in parts
+            part = np.cumsum([len(t or "") for t in pdf["text"]]) // PART_CHARS
+            for _, own in pdf.groupby(part, sort=False):
+                got = [counter.table(t, keep_table) for t in own["text"]]
+                out = {"doc_id": own["doc_id"].array, "n_bytes": [int(e[-1]) if len(e) else 0 for e, _, _ in got] if not counter.words.lower else [len((t or "").encode()) for t in own["text"]], "n_tokens": [int(c[-1]) if len(c) else 0 for _, c, _ in got]}
+                if keep_table:
+                    out |= {"ends": [e for e, _, _ in got], "counts": [c for _, c, _ in got], "prefixes": [p for _, _, p in got]}
+                yield pd.DataFrame(out)
+
+    schema = "doc_id long, n_bytes long, n_tokens long" + ", ends array<long>, counts array<long>, prefixes binary" * keep_table
     return map_documents(with_columns(documents, doc_id="long", text="string"), run, schema)
 
 

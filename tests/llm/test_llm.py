@@ -148,6 +148,20 @@ def test_prefix_counts(docs, empty):
     assert bpe.prefix_token_counts(empty, BYTE).collect() == []
 
 
+def test_prefix_counts_at_every_prefix(spark):
+    texts = ["End.\n\nNext  one \n x\r\n\r\n\ty", "we'll they're I've it's ''ll 'r 're!", "a  <|endoftext|>b!<|endoftext|><|endoftext|>\n\n<|endof", "é\n\nü \xa0\x85 ß", "日本 \u3000\n語 we'll\u2003\u2003x 😀\n\n", " " * 300 + "x" + "\n" * 70 + "y", "z" * 700, ""]
+    real = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text like '%\n\n%' or length(text) < 400").limit(20).collect()]
+    tok, rows = Tokenizer.from_file(BYTE), [*texts, *(t[:600] for t in real if t)]
+    got = bpe.prefix_token_counts(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), BYTE).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        t = rows[r.doc_id]
+        want = [(len(t[:k].encode()), len(tok.encode(t[:k], add_special_tokens=False).ids)) for k in range(len(t) + 1)]
+        assert [(b, bpe.tokens_upto(r.prefixes, b)) for b, _ in want] == want
+        for budget in (0, 1, 3, 17, 10**6):
+            assert bpe.longest_prefix(r.prefixes, budget) == max(b for b, n in want if n <= budget)
+
+
 def test_shards(docs, empty):
     rows = sharding.shard_by_bytes(docs, 6).collect()
     size = {}
