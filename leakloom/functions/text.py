@@ -54,6 +54,15 @@ def is_known_placeholder(t: Column) -> Column:
     return F.coalesce(s.isin(R.PLACEHOLDERS) | s.rlike(shape), F.lit(False))
 
 
+def is_known_example_secret(t: Column) -> Column:
+    """A secret of published documentation, one inside the text, or over ten characters of one."""
+    s = F.trim(F.lower(t))
+    hit = F.lit(False)
+    for e in R.EXAMPLE_SECRETS:
+        hit = hit | s.contains(e) | ((F.length(s) > 10) & F.contains(F.lit(e), s))
+    return F.coalesce(hit, F.lit(False))
+
+
 def contains_any(t: Column, words: list[str]) -> Column:
     return F.coalesce(F.lower(t).rlike(one_of(words)), F.lit(False))
 

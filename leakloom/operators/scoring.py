@@ -35,6 +35,7 @@ def context_score(path: Column, before: Column, match: Column, after: Column) ->
     words = F.array(*(add(text.contains(k), w) for k, w in R.CONTEXT_WEIGHTS.items()))
     score = F.aggregate(words, F.lit(0.0), lambda a, w: a + w)
     score = score + add(P.is_false_positive_path(path), -0.4) + add(p.rlike(r"config|properties|\.env|secret|credential"), 0.2) + add(p.rlike(r"\.prod|production|live|deploy"), 0.25)
+    score = score + add(T.contains_any(p, R.DOC_MARKS), -0.3)
     return score + add(text.rlike(r"(#|//|/\*|\*/|<!--|-->|todo:|fixme:)\s*example"), -0.15)
 
 
@@ -62,12 +63,13 @@ def format_score(match: Column, kind: Column) -> Column:
     return out.when(kind.isin("test_password", "dev_password", "dummy_password"), 0.1).when(kind == "certificate", cert).otherwise(0.5)
 
 
-def validity(match: Column, path: Column, kind: Column, credibility: Column, fake_words: Column | None = None) -> Column:
-    """How likely the match is a working secret, 0 to 1."""
+def validity(match: Column, path: Column, kind: Column, credibility: Column, fake_words: Column | None = None, company_words: list[str] | None = None) -> Column:
+    """How likely the match is a working secret, 0 to 1; company_words are words of the company looked for."""
     n, structured = F.length(match), T.has_meaningful_structure(match)
     add = lambda cond, w: F.when(cond, w).otherwise(0.0)
-    penalty = add(P.is_binary_file(path), 0.6) + add(T.is_known_placeholder(match), 0.5) + add(P.is_template_config(path), 0.3) + add(P.is_mock_path(path), 0.15) + add(T.contains_local_host(match), 0.1)
+    penalty = add(P.is_binary_file(path), 0.6) + add(T.is_known_example_secret(match), 0.5) + add(T.is_known_placeholder(match), 0.5) + add(P.is_template_config(path), 0.3) + add(P.is_mock_path(path), 0.15) + add(T.contains_local_host(match), 0.1)
     penalty = penalty + add(T.looks_like_encoded(match) & ~structured, 0.3) + add(T.has_repetitive_pattern(match), 0.3) + add(P.is_false_positive_path(path), 0.2)
+    penalty = penalty + add(T.is_random_with_keyword(match, company_words or []), 0.2)
     base = 0.35 * entropy_score(T.entropy(match), kind) + 0.35 * format_score(match, kind) + 0.20 * credibility + 0.05 + add(structured, 0.2)
     v = base * F.greatest(F.lit(0.3), 1 - F.least(penalty, F.lit(0.7)))
     if fake_words is not None:
