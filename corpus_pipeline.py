@@ -14,36 +14,53 @@ from leakloom.llm import langid, ngram_join, packing, pii, quality
 from leakloom.llm.common import Scratch
 from leakloom.llm.queries import DEMO_KEY, WORD_BPE
 
-#: A text whose best language has a lower mean marginal has no language we know.
-LEAST_SCORE = 0.4
+#: A row's identity within a stage, in the place of doc_id: rows equal in all of these have one verdict.
+ROW = ("doc_id", "text", "lang", "source")
+
+
+def by_row(docs: DataFrame) -> DataFrame:
+    """docs with a 64-bit hash of ROW as ``_row``: null and repeated doc_ids tell rows with different contents apart."""
+    return docs.withColumn("_row", F.xxhash64(*(x for c in ROW for x in (F.col(c).isNull(), F.col(c)))))
+
+
+def as_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("_row")).drop("_row")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or of no known language go; the predicted language replaces a missing one."""
-    found = langid.predict(docs, langid.fit(docs, ~langid.held_out())).dropDuplicates(["doc_id"])
-    kept = docs.join(found.where(f"lang_pred <> 'und' and score >= {LEAST_SCORE}"), "doc_id")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Documents without letters go (all, if no row has a language to learn from); the predicted language replaces a
+    missing one. A text of several known languages stays, whatever the top one's share. Each row has its own verdict,
+    also with a null or repeated doc_id; equal rows all stay."""
+    rows, model = by_row(docs), langid.fit(docs, ~langid.held_out())
+    found = langid.predict(as_ids(rows), model).where("lang_pred <> 'und'").select(F.col("doc_id").alias("_row"), "lang_pred").dropDuplicates(["_row"])
+    return rows.join(found, "_row").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are outliers of their language and source go."""
-    kept = quality.quality_verdicts(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Documents that fail the base rules or are outliers of their language and source go. Each row has its own verdict,
+    also with a null or repeated doc_id; equal rows all stay."""
+    rows = by_row(docs)
+    kept = quality.quality_verdicts(as_ids(rows)).where("kept").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one whose id names the component. Rows that repeat an id count once."""
-    first = ngram_join.ngram_jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document of each group stays: that of the least doc_id, null last. Rows with a null doc_id take part as all
+    others do; rows that share a doc_id stay apart if their texts do; equal rows count once."""
+    rows = by_row(docs)
+    groups = ngram_join.ngram_jaccard_components(as_ids(rows)).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
+    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row")).select("_row")
+    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced in all texts; n_chars follows."""
+    """Personal data is replaced in all texts; n_chars follows. All rows stay."""
     return pii.pseudonymise(docs, DEMO_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of all that is left: one row per piece."""
+    """Token sequences of all that is left: one row per piece; rows with null or repeated ids have theirs."""
     return packing.best_fit_pack(docs, public_tokenizers.path(WORD_BPE))
 
 
