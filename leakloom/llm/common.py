@@ -1,27 +1,38 @@
-"""Shared plumbing: scratch tables in the cluster's shared folder, and vectorised word hashing."""
+"""Shared plumbing: scratch tables in the cluster's shared folder, documents through Python in bounded parts, and
+vectorised word hashing."""
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import tempfile
-import time
 import uuid
-
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text hashed at once in a Python worker; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 21
+#: Bytes of an Arrow batch that become one pandas frame in a worker; a longer row is a frame of its own.
+FRAME_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named (tests)."""
+    """The folder that driver and executors share; one of our own only where none is named and all run in one process (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="leakloom-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -30,34 +41,40 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables that cut lineage: written once to the shared folder, so a lost executor costs no recomputation.
 
-    ``keep`` writes and rereads a DataFrame; ``drop`` deletes tables no later step reads."""
+    ``keep`` writes and rereads a DataFrame, and Spark deletes the write's shuffle files when it is over; ``drop`` deletes
+    tables that no later step reads. What is left goes when the driver ends, as lazy results may still read it."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/leakloom-{uuid.uuid4().hex}", 0
+        path, fs = self._fs()
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _fs(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n}-{name}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
+        path, schema, before = f"{self.root}/{self.n}-{name}", df.schema, self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            for s in fs.listStatus(path):
-                if s.getPath().getName().split("-", 1)[1] in names:
-                    fs.delete(s.getPath(), True)
-        self.release()
-
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of plans that nobody holds any more."""
-        for _ in range(2):  # Python's handles go in the first round, the plans they held in the second
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.4)
+        path, fs = self._fs()
+        for s in fs.listStatus(path):
+            if s.getPath().getName().split("-", 1)[1] in names:
+                fs.delete(s.getPath(), True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of FRAME_BYTES for the session, where it has the default of 64 MB: both sides hold a batch several times over."""
+    if spark.conf.get(_BATCH) in ("64MB", "67108864b", "67108864"):
+        spark.conf.set(_BATCH, f"{FRAME_BYTES}b")
 
 
 def with_columns(df: DataFrame, **types: str) -> DataFrame:
@@ -65,7 +82,50 @@ def with_columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()))
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system, so that idle workers don't keep what they once needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frames(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+    """An Arrow batch as pandas frames of about FRAME_BYTES of text each."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // FRAME_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a).to_pandas()
+
+
+def map_documents(docs: DataFrame, run: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``run`` over pandas frames of docs(doc_id, ...) of bounded size; ids travel as strings, as pandas would round long
+    integers beside nulls."""
+    small_batches(docs.sparkSession)
+    carried = to_arrow_schema(StructType.fromDDL(schema.replace("doc_id long", "doc_id string")))
+
+    def arrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield from frames(batch)
+                give_back()
+
+        for out in run(parts()):
+            yield from pa.Table.from_pandas(out[carried.names], schema=carried, preserve_index=False).to_batches()
+
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(arrow, schema.replace("doc_id long", "doc_id string"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
+#: Key of all word hashes.
+_SEED = np.uint64(0xA0761D6478BD642F)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -89,19 +149,9 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x5851F42D4C957F2D
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            t = np.full(n, base, np.uint64)
-            t[0] = 1
-            _powers[k] = np.cumprod(t, dtype=np.uint64)
-    return _powers[0], _powers[1]
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed side by side with other words'; the rest of a longer word is hashed on its own.
+_SIDE = 64
 
 
 def pieces(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -118,15 +168,9 @@ def pieces(texts: Sequence[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def map_documents(docs: DataFrame, run, schema: str) -> DataFrame:
-    """mapInPandas over docs(doc_id, ...); ids travel as strings, as pandas would round long integers beside nulls."""
-    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema.replace("doc_id long", "doc_id string"))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
 class Hashed(NamedTuple):
     """Words of a run of texts: hashes, first and last-plus-one byte, each text's first word (and the end), each text's
-    first byte (and the end), bytes, and rolling hash sums before each byte."""
+    first byte (and the end), bytes, and the eight bytes from each place on."""
 
     h: np.ndarray
     start: np.ndarray
@@ -134,24 +178,32 @@ class Hashed(NamedTuple):
     at: np.ndarray
     byte_at: np.ndarray
     buf: np.ndarray
-    sums: np.ndarray
+    eight: np.ndarray
 
-    def span_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of bytes a to b, equal for equal bytes at any place."""
-        return mix((self.sums[b] - self.sums[a]) * _powers[1][a])
+    def gram(self, at: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+        """Hash of the n <= 8 bytes from each place on."""
+        return mix((self.eight[at] & _FIRST_BYTES[n]) ^ np.uint64(salt * int(_P) & (1 << 64) - 1))
 
 
 def word_hashes(run: list[bytes], lower: bool = True, space: np.ndarray = _SPACE) -> Hashed:
     """Words are maximal runs of bytes that are not ``space`` (0x20, 0x09-0x0D; the byte between texts always is)."""
-    raw = b"\n".join([*run, b""])
-    buf = np.frombuffer(raw.lower() if lower else raw, np.uint8)
-    inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~space[buf]
-    turn = np.diff(inside)
-    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    power, _ = _power_tables(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_LETTER[buf] * power[: len(buf)], out=sums[1:])
+    raw = b"\n".join([*run, b"\n" * 8])
+    raw = raw.lower() if lower else raw
+    buf = np.frombuffer(raw, np.uint8)
+    gap = space[buf]
+    turn = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    turn = turn if gap[0] else np.concatenate(([0], turn))
+    start, end = turn[::2], turn[1::2]
     at = np.cumsum([0, *(len(b) + 1 for b in run)])
-    got = Hashed(start, start, end, np.searchsorted(start, at), at, buf, sums)
-    return got._replace(h=got.span_hash(start, end))
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+    size = end - start
+    # eight bytes at a time, each mixed in before the next
+    h = mix((eight[start] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _P + _SEED))
+    for k in range(8, _SIDE, 8):
+        who = np.flatnonzero(size > k)
+        if not len(who):
+            break
+        h[who] = mix(h[who] * _P + (eight[start[who] + k] & _FIRST_BYTES[np.minimum(size[who] - k, 8)]))
+    for i in np.flatnonzero(size > _SIDE).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] + _SIDE : end[i]], int(h[i]))
+    return Hashed(h, start, end, np.searchsorted(start, at), at, buf, eight)

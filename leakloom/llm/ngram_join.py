@@ -11,8 +11,9 @@ quadratic. The points are therefore dealt into cells first, without losing a pai
 the similarity share a shingle among the rarest quarter of each (any one global order is right; ours is
 by a fixed-size count sketch over the whole corpus, then by hash), and each shared rare shingle is a cell.
 
-1. equal sets become one class; 2. cells are gathered under their first member (most pairs share one gathering only)
-and dealt into blocks of bounded size; an R-tree over each block finds the members that have a partner the bound allows;
+1. equal sets become one class, named by 128 bits of hash; 2. one shuffle brings each rare shingle's classes together, and
+those that share one are gathered under the first of them (most pairs share one gathering only); gatherings are dealt into
+blocks of bounded size, and an R-tree over each block finds the members that have a partner the bound allows;
 3. these members' texts are brought to their block and all its pairs are compared exactly at once, by a product of
 0/1 matrices over the shingles that both sides hold. A pair counts in the least of the gatherings that both members
 share, so every link comes out just once, also inside components. No cap drops a candidate.
@@ -25,7 +26,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_documents, pieces, windows, with_columns, word_hashes
@@ -33,13 +34,16 @@ from .components import components
 
 #: Coordinates of a count vector.
 GROUPS = 128
-#: Counters of the sketch that orders shingles by rarity; fixed at any input size (4 MB once merged).
-SKETCH_BITS = 20
+#: Counters of the sketch that orders shingles by rarity: 4 MB, or 16 MB from SKETCH_STEP bytes of input on. At 100 TB a counter
+#: holds millions of shingles; those that stand out of its noise, from some thousand copies on, still come last.
+SKETCH_BITS, SKETCH_STEP = (20, 22), 1 << 34
 SKETCH_BLOCK = 1 << 14
 #: Most members, and about the most shingles, of one block of a gathering.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 #: Columns of one product of 0/1 matrices.
 COLUMNS = 4096
+#: Gatherings of several blocks, and bytes of candidate members, that are broadcast at most.
+FEW, FEW_BYTES = 100_000, 16 << 20
 LEAF = 16
 
 
@@ -54,8 +58,10 @@ def shingle_sets(texts: Sequence[str | None], width: int = 5) -> Iterator[np.nda
             yield t[np.concatenate(([True], t[1:] != t[:-1]))] if len(t) else t
 
 
-def set_key(tokens: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
+def set_key(tokens: np.ndarray) -> tuple[int, int]:
+    """A set's name: both halves of a 128-bit hash, as signed 64-bit integers."""
+    high, low = divmod(xxhash.xxh3_128_intdigest(tokens.tobytes()), 1 << 64)
+    return high - (1 << 63), low - (1 << 63)
 
 
 def count_vector(tokens: np.ndarray, groups: int = GROUPS) -> bytes:
@@ -98,24 +104,22 @@ class CountVectorRTree:
         return self.order[live]
 
 
-def _signatures(width: int):
+def _signatures(width: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        shift = np.uint64(64 - SKETCH_BITS)
+        sketch = np.zeros(1 << bits, np.uint32)
+        shift = np.uint64(64 - bits)
         for pdf in batches:
-            rows, seen = [], []
+            rows = []
             for doc_id, t in zip(pdf["doc_id"], shingle_sets(pdf["text"], width), strict=True):
-                rows.append((doc_id, len(t), set_key(t) if len(t) else None, count_vector(t) if len(t) else None))
-                seen.append(t)
-            if rows:
-                if len(got := np.concatenate(seen)):
-                    sketch += np.bincount((got >> shift).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-                out = pd.DataFrame([(d, n, None, v) for d, n, _, v in rows], columns=["doc_id", "n", "key", "vec"])
-                yield out.assign(key=pd.array([r[2] for r in rows], "Int64"), kind=0)
+                rows.append((doc_id, len(t), *(set_key(t) if len(t) else (None, None)), count_vector(t) if len(t) else None, 0))
+                np.add.at(sketch, (t >> shift).astype(np.int64), np.uint32(1))
+            doc_ids, n, key, more, vec, kind = zip(*rows, strict=True)
+            # a null beside them would round plain integers
+            yield pd.DataFrame({"doc_id": doc_ids, "n": n, "key": pd.array(key, "Int64"), "more": pd.array(more, "Int64"), "vec": vec, "kind": kind})
         if sketch.any():
             # counts within one task are small; saturation can only change the order of cells, never the result
             blocks = np.minimum(sketch, 65535).astype("<u2").reshape(-1, SKETCH_BLOCK)
-            yield pd.DataFrame({"doc_id": [str(i) for i in range(len(blocks))], "n": 0, "key": 0, "vec": [b.tobytes() for b in blocks], "kind": 1})
+            yield pd.DataFrame({"doc_id": [str(i) for i in range(len(blocks))], "n": 0, "key": 0, "more": 0, "vec": [b.tobytes() for b in blocks], "kind": 1})
 
     return run
 
@@ -130,26 +134,41 @@ def _merge_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"block": list(sums), "counts": [v.tobytes() for v in sums.values()]})
 
 
-def _prefixes(width: int, num: int, den: int, sketch):
+def _prefixes(width: int, num: int, den: int, sketch, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shift, counts = np.uint64(64 - SKETCH_BITS), sketch.value
+        shift, counts, done = np.uint64(64 - bits), sketch.value, set()
         for pdf in batches:
-            tokens, keys, done = [], [], set()
+            tokens, keys = [], []
             for t in shingle_sets(pdf["text"], width):
                 n = len(t)
-                if n == 0 or (key := set_key(t)) in done:
+                if n == 0 or (key := set_key(t)) in done:  # a task names a set once, however many copies it has
                     continue
                 done.add(key)
                 p = n - -(-num * n // den) + 1
                 order = np.lexsort((t, counts[(t >> shift).astype(np.int64)]))[:p]
                 tokens.append(t[order])
-                keys.append(np.full(p, key, np.int64))
+                keys.append(np.full(p, key[0], np.int64))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "key": np.concatenate(keys)})
+                yield pd.DataFrame({"doc_id": None, "token": np.concatenate(tokens).view(np.int64), "key": np.concatenate(keys)})
 
     return run
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows sorted by (token, key): each key beside the first key of its token, and the first beside itself; tokens
+    of a single key give nothing. Only the last token is held from one batch to the next."""
+    token = first = None
+    for pdf in batches:
+        t, k = pdf["token"].to_numpy(), pdf["key"].to_numpy()
+        new = np.concatenate(([t[0] != token], t[1:] != t[:-1]))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
+        lo = np.where(at < 0, first if first is not None else 0, k[at])
+        later = lo != k
+        got = np.unique(np.concatenate([np.stack([lo[later], k[later]], axis=1), np.stack([lo[later], lo[later]], axis=1)]), axis=0)
+        token, first = t[-1], lo[-1]
+        yield pd.DataFrame({"first": got[:, 0], "key": got[:, 1]})
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each left with each right set (arrays without repeats)."""
     out = np.zeros((len(left), len(right)), np.int64)
@@ -190,16 +209,16 @@ def _sides(i: int, j: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(own == i), np.flatnonzero(own == j)
 
 
-def _uncovered(key: np.ndarray, before: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
+def _uncovered(before: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool) -> np.ndarray:
     """Pairs of the block that count here: no earlier gathering holds both members."""
     new = overlaps([before[x] for x in left], [before[x] for x in right]) == 0
-    return new & (key[left][:, None] < key[right]) if same else new
+    return np.triu(new, 1) if same else new
 
 
 def _block_members(num: int, den: int):
     """The members of blocks that have a partner which the bound allows."""
 
-    def wanted(key, size, own, vec, before, i: int, j: int) -> np.ndarray:
+    def wanted(size, own, vec, before, i: int, j: int) -> np.ndarray:
         left, right = _sides(i, j, own)
         if not len(left) or not len(right):
             return left[:0]
@@ -207,7 +226,7 @@ def _block_members(num: int, den: int):
         for k, x in enumerate(left):
             near[k, tree.search(int(size[x]), vec[x], num, den)] = True
         if near.any():
-            near &= _uncovered(key, before, left, right, i == j)
+            near &= _uncovered(before, left, right, i == j)
         return np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,9 +243,8 @@ def _block_members(num: int, den: int):
                         keep += [k, k + 1]
             for b in np.flatnonzero(length > 2).tolist():
                 g = pdf.iloc[cuts[b] : cuts[b + 1]]
-                own = (g[c].to_numpy() for c in ("key", "n", "own"))
-                keep += (cuts[b] + wanted(*own, read_vectors(g["vec"].tolist()), g["before"].tolist(), g["i"].iat[0], g["j"].iat[0])).tolist()
-            yield pdf.iloc[keep][["first", "i", "j", "own", "key", "before"]]
+                keep += (cuts[b] + wanted(g["n"].to_numpy(), g["own"].to_numpy(), read_vectors(g["vec"].tolist()), g["before"].tolist(), g["i"].iat[0], g["j"].iat[0])).tolist()
+            yield pdf.iloc[keep][["first", "i", "j", "own", "key", "more", "node", "before"]]
 
     return run
 
@@ -254,22 +272,27 @@ def _forest_of(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
     return tree
 
 
+def class_name(key: int, more: int) -> str:
+    return f"{key + (1 << 63):016x}{more + (1 << 63):016x}"
+
+
 def _block_links(width: int, num: int, den: int, pairs: bool):
-    """All links of blocks, of whole texts, as (a, b, n) of class keys: with ``pairs`` each link and its overlap; else
-    the number of each member's links (a = b) and the links of a spanning forest (n = 0), in proportion to the members."""
+    """All links of blocks, of whole texts, as classes a and b, their nodes u and v, and n: with ``pairs`` each link and its
+    overlap; else the number of each member's links (a = b) and the links of a spanning forest (n = 0), in proportion to
+    the members."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cuts in _block_groups(batches):
-            keys, owns, firsts, seconds, before, texts = (pdf[c].to_numpy() for c in ("key", "own", "i", "j", "before", "text"))
+            keys, more, nodes, owns, firsts, seconds, before, texts = (pdf[c].to_numpy() for c in ("key", "more", "node", "own", "i", "j", "before", "text"))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 sets = list(shingle_sets(texts[a:b], width))
                 # rows that repeat a doc_id may bring other texts than the class has, or its text again
                 good, seen = [], set()
                 for k, t in enumerate(sets):
-                    if len(t) and (key := int(keys[a + k])) not in seen and set_key(t) == key:
+                    if len(t) and (key := (int(keys[a + k]), int(more[a + k]))) not in seen and set_key(t) == key:
                         seen.add(key)
                         good.append(k)
-                key, own, sets = keys[a:b][good], owns[a:b][good], [sets[k] for k in good]
+                own, node, sets = owns[a:b][good], nodes[a:b][good], [sets[k] for k in good]
                 left, right = _sides(firsts[a], seconds[a], own)
                 if not len(left) or not len(right):
                     continue
@@ -277,63 +300,69 @@ def _block_links(width: int, num: int, den: int, pairs: bool):
                 size = np.array([len(t) for t in sets])
                 links = den * both >= num * (size[left][:, None] + size[right] - both)
                 if links.any():
-                    links &= _uncovered(key, [before[a + k] for k in good], left, right, firsts[a] == seconds[a])
+                    links &= _uncovered([before[a + k] for k in good], left, right, firsts[a] == seconds[a])
                 if not links.any():
                     continue
+                name = np.array([class_name(int(keys[a + k]), int(more[a + k])) for k in good], object)
                 x, y = np.nonzero(links if pairs else _forest_of(links, left, right))
-                u, v = key[left[x]], key[right[y]]
-                yield pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v), "n": both[x, y] if pairs else 0})
+                yield pd.DataFrame({"a": name[left[x]], "b": name[right[y]], "u": node[left[x]], "v": node[right[y]], "n": both[x, y] if pairs else 0})
                 if not pairs:
-                    who, many = np.concatenate([key[left], key[right]]), np.concatenate([links.sum(axis=1), links.sum(axis=0)])
-                    yield pd.DataFrame({"a": who, "b": who, "n": many})[many > 0]
+                    who, many = np.concatenate([left, right]), np.concatenate([links.sum(axis=1), links.sum(axis=0)])
+                    who, many = who[many > 0], many[many > 0]
+                    yield pd.DataFrame({"a": name[who], "b": name[who], "u": node[who], "v": node[who], "n": many})
 
     return run
 
 
 def _classes_and_links(documents: DataFrame, width: int, num: int, den: int, scratch: Scratch, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, key) of every row, classes (key, rep, n), and what _block_links says of them."""
+    """(doc_id, n, key, more) of every row, classes (key, more, node, n), and what _block_links says of them. A class's node
+    is its least doc_id."""
     spark = documents.sparkSession
     docs = with_columns(documents, doc_id="long", text="string")
-    made = scratch.keep(map_documents(docs, _signatures(width), "doc_id long, n long, key long, vec binary, kind int"), "made")
+    bits = SKETCH_BITS[int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SKETCH_STEP]
+    made = scratch.keep(map_documents(docs, _signatures(width, bits), "doc_id long, n long, key long, more long, vec binary, kind int"), "made")
     signed = made.where("kind = 0").drop("kind")
     merged = made.where("kind = 1").select("doc_id", "vec").repartition(16, "doc_id").mapInPandas(_merge_sketch, "block long, counts binary").collect()
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+    counts = np.zeros(1 << bits, np.uint32)
     for r in merged:
         counts[r.block * SKETCH_BLOCK :][:SKETCH_BLOCK] = np.frombuffer(r.counts, np.uint32)
     sketch = spark.sparkContext.broadcast(counts)
-    classes = scratch.keep(signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("vec").alias("vec")), "classes")
+    classes = scratch.keep(signed.where("key is not null and doc_id is not null").groupBy("key", "more").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("vec").alias("vec")), "classes")
 
-    # cells, rare shingles that two classes share, gathered under their first member
-    rows = docs.where("doc_id is not null").select("text").mapInPandas(_prefixes(width, num, den, sketch), "token long, key long")
-    shared = rows.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    near = scratch.keep(rows.join(shared, "token").select(F.col("lo").alias("first"), "key").distinct(), "near")
-    del rows, shared
-    scratch.release()
+    # cells, rare shingles that two classes share, gathered under their first member; 64 bits of a class's name do here, as
+    # two classes that share them only bring candidates
+    rows = map_documents(docs.where("doc_id is not null"), _prefixes(width, num, den, sketch, bits), "doc_id string, token long, key long").select("token", "key")
+    near = scratch.keep(rows.repartition("token").sortWithinPartitions("token", "key").mapInPandas(_gathered, "first long, key long").distinct(), "near")
 
     # blocks of gatherings; a row is in one block with each block of its gathering
     member = near.join(classes.select("key", "n"), "key")
     most = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
-    dealt = near.join(member.groupBy("first").agg(most.alias("blocks")), "first")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key", "first"), F.col("blocks")).cast("int"))
-    known = near.groupBy("key").agg(F.collect_list("first").alias("firsts"))
-    dealt = dealt.join(known, "key").withColumn("before", F.filter("firsts", lambda f: f < F.col("first"))).join(classes.select("key", "n", "vec"), "key")
+    large = scratch.keep(member.groupBy("first").agg(most.alias("blocks")).where("blocks > 1"), "large")
+    large = F.broadcast(large) if large.count() <= FEW else large
+    dealt = near.join(large, "first", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    known = near.groupBy("key").agg(F.collect_list("first").alias("firsts"))  # at most one for each rare shingle of the text
+    dealt = dealt.join(known, "key").withColumn("before", F.filter("firsts", lambda f: f < F.col("first"))).join(classes, "key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key", "more", "first"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "vec", "before")
+    dealt = dealt.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "more", "node", "n", "vec", "before")
     dealt = dealt.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
-    found = scratch.keep(dealt.mapInPandas(_block_members(num, den), "first long, i int, j int, own int, key long, before array<long>"), "found")
-    del member, dealt, known
+    found = scratch.keep(dealt.mapInPandas(_block_members(num, den), "first long, i int, j int, own int, key long, more long, node long, before array<long>"), "found")
     scratch.drop("near")
 
-    # exact comparison; whole texts travel: they are shorter than their hashes
-    wanted = found.select("key").distinct().join(classes.select("key", "rep"), "key")
-    texts = scratch.keep(wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep").select("key", "text"), "texts")
-    del wanted
-    scratch.release()
-    whole = found.join(texts, "key").repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
-    links = scratch.keep(whole.mapInPandas(_block_links(width, num, den, pairs), "a long, b long, n long"), "links")
-    del whole
-    scratch.drop("found", "texts")
-    return signed.select("doc_id", "n", "key"), classes.select("key", "rep", "n"), links
+    # exact comparison; whole texts travel: they are shorter than their hashes. Few members go to the texts where these lie,
+    # so that each text moves once only, to its block
+    size = found.agg(F.sum(F.size("before") * 8 + 100)).first()[0] or 0
+    whole = docs.withColumnRenamed("doc_id", "node").join(F.broadcast(found) if size <= FEW_BYTES else found, "node")
+    whole = whole.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
+    links = scratch.keep(whole.mapInPandas(_block_links(width, num, den, pairs), "a string, b string, u long, v long, n long"), "links")
+    scratch.drop("found", "large")
+    return signed.select("doc_id", "n", "key", "more"), classes.select("key", "more", "node", "n"), links
+
+
+def _name() -> Column:
+    """class_name in Spark."""
+    half = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63))))), 16, "0")
+    return F.concat(half("key"), half("more"))
 
 
 def ngram_jaccard_join(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -344,10 +373,10 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, num: int = 75, den:
     den * overlap >= num * |union| once, inside components too; doc_a and doc_b are the classes' least doc_ids.
     A class whose rows all have a null doc_id links with nothing."""
     rows, classes, links = _classes_and_links(documents, width, num, den, Scratch(documents.sparkSession), pairs=True)
-    a = classes.select(F.col("key").alias("class_a"), F.col("rep").alias("doc_a"), F.col("n").alias("n_a"))
-    b = classes.select(F.col("key").alias("class_b"), F.col("rep").alias("doc_b"), F.col("n").alias("n_b"))
-    pairs = links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.col("n").alias("overlap")).join(a, "class_a").join(b, "class_b")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("key").alias("class_key")), pairs.select("class_a", "class_b", "doc_a", "doc_b", "n_a", "n_b", "overlap")
+    named = classes.select(_name().alias("name"), "n")
+    a, b = named.select(F.col("name").alias("class_a"), F.col("n").alias("n_a")), named.select(F.col("name").alias("class_b"), F.col("n").alias("n_b"))
+    pairs = links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.col("u").alias("doc_a"), F.col("v").alias("doc_b"), F.col("n").alias("overlap")).join(a, "class_a").join(b, "class_b")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), _name().alias("class_key")), pairs.select("class_a", "class_b", "doc_a", "doc_b", "n_a", "n_b", "overlap")
 
 
 def ngram_jaccard_members(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -356,18 +385,15 @@ def ngram_jaccard_members(documents: DataFrame, width: int = 5, num: int = 75, d
     Documents link when den * |overlap| >= num * |union| of their shingle sets; n_links counts the links of a document's
     class with other classes (ngram_jaccard_join lists them; equal sets are one class and don't count).
     A null or wordless text has no shingles and links with nothing. A row with a null doc_id keeps its size
-    and takes part through equal sets only. Repeated rows stay; rows that share a doc_id share its node.
-    An empty table gives an empty result. Other columns are ignored."""
+    and takes part through equal sets only. Repeated rows stay; rows that share a doc_id but not a text are documents of
+    their own. An empty table gives an empty result. Other columns are ignored."""
     scratch = Scratch(documents.sparkSession)
     signed, classes, links = _classes_and_links(documents, width, num, den, scratch, pairs=False)
-    comps = components(links.where("a <> b"), scratch, "c")
-
-    # keys to the smallest doc_id of the component
-    named = classes.select("key", "rep").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    many = links.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
-    named = named.join(least, "comp").join(many, "key", "left").select("key", "n_links", "component_id")
-    return signed.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    comps = components(links.where("a <> b").select(F.col("u").alias("a"), F.col("v").alias("b")), scratch, "c").withColumnRenamed("comp", "component_id")
+    many = links.where("a = b").groupBy("a").agg(F.sum("n").alias("n_links"))
+    named = classes.withColumn("a", _name()).join(many, "a", "left").join(comps, "node", "left")
+    named = named.select("key", "more", "n_links", F.coalesce("component_id", "node").alias("component_id"))
+    return signed.join(named, ["key", "more"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
