@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,32 @@ def verdict_document(v: Column) -> Column:
 def first_filled(*cs: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
+
+
+#: Characters that count as a token, what a repository's unknown numbers and texts are stored as.
+TOKEN_CHARS = 4
+DEFAULTS = {"size": 0, "stargazers_count": 0, "forks_count": 0, "open_issues_count": 0, "subscribers_count": 0, "contributors_count": 0, "commits_count": 0, "commiters_count": 0, "ai_result": -1, "topics": "_", "description": "_"} | {f"has_{k}": 0 for k in ("issues", "projects", "downloads", "wiki", "pages")}
+
+
+def trimmed(t: Column, tokens: int) -> Column:
+    """As much of the text as a budget of tokens has room for, at TOKEN_CHARS a token."""
+    return F.left(t, F.lit(tokens * TOKEN_CHARS))
+
+
+def says(v: Column, phrases: list[str]) -> Column:
+    """Whether any phrase is somewhere in a document, whatever the case."""
+    low = F.lower(F.to_json(v))
+    hit = F.lit(False)
+    for p in phrases:
+        hit = hit | F.contains(low, F.lit(p.lower()))
+    return F.coalesce(hit, F.lit(False))
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    """Unknown values of the statistics that df has, as they are stored."""
+    return df.na.fill({k: v for k, v in DEFAULTS.items() if k in df.columns})
+
+
+def decoded_text(b: Column) -> Column:
+    """Bytes as UTF-8, or as Latin-1 if they are none."""
+    return F.coalesce(F.try_validate_utf8(b.cast("string")), F.decode(b, "ISO-8859-1"))

@@ -17,9 +17,9 @@ def one_of(words: list[str]) -> str:
 
 def entropy(t: Column) -> Column:
     """Shannon entropy in bits of the first 10,000 characters; 0 for null or empty."""
-    chars = F.split(F.left(t, F.lit(10000)), "")
-    n = F.size(chars).cast("double")
-    parts = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
+    s = F.left(t, F.lit(10000))
+    n = F.length(s).cast("double")
+    parts = F.transform(F.array_distinct(F.split(s, "")), lambda x: (n - F.length(F.replace(s, x, F.lit("")))) / n)
     bits = F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
     return F.when(F.length(t) > 0, bits).otherwise(0.0)
 

@@ -18,8 +18,8 @@ def r1(c: Column) -> Column:
 
 
 def in_period(df: DataFrame, start: str, end: str) -> DataFrame:
-    """Both bounds are midnights, as BETWEEN dates says."""
-    return df.where(F.col("found_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    """Both bounds are midnights, as BETWEEN dates says; newest first."""
+    return df.where(F.col("found_at").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))).orderBy(F.desc("found_at"))
 
 
 def counts_by(df: DataFrame, *keys: str | Column) -> DataFrame:
@@ -55,14 +55,15 @@ def risk_score(df: DataFrame) -> DataFrame:
 
 
 def peak_hour(df: DataFrame) -> DataFrame:
-    """The hour with most leaks, the smallest if several."""
+    """The hour with most leaks, the smallest if several: rows of a table have no first one."""
     g = df.groupBy(F.hour("found_at").alias("h")).agg(F.count("*").alias("c"))
     return g.agg(F.coalesce(F.max_by("h", F.struct("c", -F.col("h"))), F.lit(0)).alias("peak_hour"))
 
 
 def monthly_trends(df: DataFrame, months: int = 12) -> DataFrame:
+    """The last months that have incidents, in their order."""
     g = df.groupBy(F.date_format("found_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("incidents"), F.count_if(F.col("result") == 1).alias("resolved"))
-    return g.orderBy(F.desc("month")).limit(months).withColumn("efficiency", F.round(F.col("resolved") * 100.0 / F.col("incidents")).cast("int"))
+    return g.orderBy(F.desc("month")).limit(months).withColumn("efficiency", F.round(F.col("resolved") * 100.0 / F.col("incidents")).cast("int")).orderBy("month")
 
 
 def technical_types(df: DataFrame) -> DataFrame:
@@ -98,3 +99,110 @@ def scan_metrics(df: DataFrame) -> DataFrame:
     """From (quality, toxic) labels as (real, flagged): precision and rates with denominators of at least 1."""
     real, hit = F.count_if((F.col("toxic") == 1) & (F.col("quality") == 1)), F.count_if(F.col("toxic") == 1)
     return df.agg(hit.alias("found"), real.alias("real"), F.round(real / F.greatest(F.lit(1), hit), 6).alias("precision"), F.round(hit / F.greatest(F.lit(1), F.count("*")), 6).alias("rate"))
+
+
+def first_peak_hour(df: DataFrame, order: str = "id") -> DataFrame:
+    """The hour with most leaks, of several that which a leak came in first; 0 for none."""
+    g = df.groupBy(F.hour("found_at").alias("h")).agg(F.count("*").alias("c"), F.min(order).alias("first"))
+    return g.agg(F.coalesce(F.max_by("h", F.struct("c", -F.col("first"))), F.lit(0)).alias("peak_hour"))
+
+
+def status_breakdown(df: DataFrame) -> DataFrame:
+    """result, cnt, percentage of all, and how many counted as done."""
+    g = counts_by(df, F.col("result").cast("string").alias("result"))
+    return g.withColumn("percentage", r1(F.col("cnt") * 100.0 / F.sum("cnt").over(W.partitionBy()))).withColumn("done", F.coalesce(F.col("result") == "1", F.lit(False)))
+
+
+def created_daily(df: DataFrame, time: str = "created_at") -> DataFrame:
+    return counts_by(df.where(F.col(time).isNotNull()), F.to_date(time).alias("day")).orderBy("day")
+
+
+def error_analysis(reports: DataFrame) -> DataFrame:
+    """One row: error_reports, successful_reports, too_large_repo_errors of reports(raw text, ai VARIANT)."""
+    c = F.col
+    said = F.coalesce(F.try_variant_get("ai", "$.Thinks", "string") == "Not state", F.lit(False))
+    filters = F.lower(F.coalesce(F.to_json(F.try_variant_get("ai", "$.filters", "variant")), F.lit("")))
+    large = filters.rlike("too large|слишком большой|repository is too big")
+    bad = said | large | F.coalesce(F.lower(c("raw")).contains("error"), F.lit(False))
+    return reports.agg(F.count_if(bad).alias("error_reports"), F.count_if(~bad).alias("successful_reports"), F.count_if(large).alias("too_large_repo_errors"))
+
+
+def nested_keys(findings: DataFrame) -> DataFrame:
+    """By repo: keys of its report as a nested document, scanners, findings and their fields (fields: an array)."""
+    return findings.groupBy("repo").agg((F.countDistinct("scanner") + F.count("*") + F.sum(F.size("fields"))).alias("keys"))
+
+
+#: Risk, usual places and marks of each technical category in a report, and its numbers that are no measurements.
+TECHNICAL = {
+    "API Keys": ("high", ["config/", "src/", ".env"], ["GOOGLE_API_KEY", "FIREBASE_KEY", "GCP_KEY"]),
+    "Database Credentials": ("critical", ["config/", "scripts/", "docker/"], ["DATABASE_URL", "DB_PASSWORD", "MYSQL_ROOT"]),
+    "Private Keys": ("critical", ["ssl/", "certs/", ".ssh/"], ["-----BEGIN RSA", "-----BEGIN PRIVATE", "id_rsa"]),
+    "Debug Information": ("medium", ["logs/", "debug/", "tmp/"], ["console.log", "print(", "DEBUG=true"]),
+    "Other": ("medium", ["various/"], ["various patterns"]),
+}
+DETECTION_RATE, SCAN_SECONDS, RESOLUTION_DAYS, PREVIOUS_RISK = 89.4, 45, 2.8, 0.7
+
+
+def labelled_types(df: DataFrame) -> DataFrame:
+    """technical_types with the risk_level, locations and patterns that the report gives the category, most frequent first."""
+    known = F.create_map(*(x for k, (risk, places, marks) in TECHNICAL.items() for x in (F.lit(k), F.struct(F.lit(risk).alias("risk_level"), F.array(*map(F.lit, places)).alias("locations"), F.array(*map(F.lit, marks)).alias("patterns")))))
+    return technical_types(df).withColumn("__k", known[F.col("category")]).select("category", "cnt", "severity", "__k.*").orderBy(F.desc("cnt"), "category")
+
+
+def constant_metrics(df: DataFrame) -> DataFrame:
+    """scanner_metrics with the numbers that a report of this form carries as constants."""
+    return scanner_metrics(df).withColumns({"detection_rate": F.lit(DETECTION_RATE), "average_scan_seconds": F.lit(SCAN_SECONDS), "resolution_days": F.lit(RESOLUTION_DAYS)})
+
+
+def severity_label(level: Column) -> Column:
+    return F.when(level >= 2.5, "high").when(level >= 1.5, "medium").otherwise("low")
+
+
+def risk_bars(df: DataFrame) -> DataFrame:
+    """level (high, medium, low), repos, share of all three, previous and trend of the report's risk bars."""
+    m = template_metrics(df).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("high", "medium", "low"))), F.array("high", "medium", "low"))).alias("level", "repos"))
+    share = F.round(F.col("repos") * 100.0 / F.sum("repos").over(W.partitionBy()), 1)
+    return m.select("level", "repos", share.alias("share"), (F.col("repos") + PREVIOUS_RISK).alias("previous"), F.lit("decreasing").alias("trend"))
+
+
+def month_bars(df: DataFrame) -> DataFrame:
+    """Monthly trends with the heights of a month's bars: 200 for the most incidents, 150 for the most resolved."""
+    high = lambda c, n: F.round(F.col(c) * float(n) / F.greatest(F.max(c).over(W.partitionBy()), F.lit(1)), 1)
+    return monthly_trends(df).withColumns({"incidents_height": high("incidents", 200), "resolved_height": high("resolved", 150)})
+
+
+def company_efficiency(df: DataFrame, n: int = 10) -> DataFrame:
+    """company_breakdown with the share resolved and its colour."""
+    g = company_breakdown(df, n).withColumn("efficiency", F.round(F.col("resolved") * 100.0 / F.greatest(F.col("total"), F.lit(1))).cast("int"))
+    return g.withColumn("colour", F.when(F.col("efficiency") >= 80, "green").when(F.col("efficiency") >= 60, "yellow").otherwise("red"))
+
+
+def type_shares(df: DataFrame, n: int = 10) -> DataFrame:
+    """top_types with their share of all incidents; a missing type is Unknown."""
+    all_ = df.withColumn("leak_type", F.coalesce("leak_type", F.lit("Unknown")))
+    return counts_by(all_, "leak_type").withColumn("percentage", r1(F.col("cnt") * 100.0 / F.sum("cnt").over(W.partitionBy()))).orderBy(F.desc("cnt"), "leak_type").limit(n)
+
+
+def throughput(df: DataFrame) -> DataFrame:
+    """One row from scans(seconds, findings, real, ok): precision, success_rate, repos_per_hour, secrets_per_hour; denominators are 1 at least."""
+    per = lambda a, b: a / F.greatest(b, F.lit(1))
+    n, hours = F.count("*"), F.sum("seconds") / 3600
+    over = lambda a: F.when(F.sum("seconds") > 0, a / hours).otherwise(0.0)
+    return df.agg(per(F.sum("real"), F.sum("findings")).alias("precision"), per(F.count_if("ok"), n).alias("success_rate"), over(n).alias("repos_per_hour"), over(F.sum("findings")).alias("secrets_per_hour"))
+
+
+def page(title: str, frames: dict[str, DataFrame], rows: int = 100) -> str:
+    """An HTML page with a table for each of some aggregates (a report's tables have few rows; ``rows`` are shown); all text is escaped."""
+    from html import escape
+
+    cell = lambda tag, v: f"<{tag}>{escape('' if v is None else str(v))}</{tag}>"
+    out = [f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
+    for name, df in frames.items():
+        body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in df.limit(rows).collect())
+        out.append(f"<h2>{escape(name)}</h2><table><tr>{''.join(cell('th', c) for c in df.columns)}</tr>{body}</table>")
+    return "\n".join(out)
+
+
+def shortened(t: Column, n: int) -> Column:
+    """Up to n characters, the last three as dots where some are missing."""
+    return F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n - 3)), F.lit("..."))).otherwise(t)

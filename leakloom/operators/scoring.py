@@ -49,8 +49,7 @@ def format_score(match: Column, kind: Column) -> Column:
     n, low = F.length(match), F.lower(match)
     both = match.rlike(r"\p{L}") & match.rlike(r"[0-9]")
     key = F.when((n >= 32) & both, 0.85).when((n >= 20) & both, 0.7).when((n >= 16) & match.rlike(r"[\p{L}0-9]"), 0.55).when(n < 12, 0.2).otherwise(0.4)
-    common = "password 123456 admin root test guest demo sample example default user pass password1 password123 admin123 root123 test123 qwerty abc123 letmein welcome monkey master".split()
-    word = F.when(low.isin(common), 0.25).when(n < 6, 0.15).when((n >= 12) & match.rlike(r"\p{Lu}") & match.rlike("[0-9]"), 0.75).when(n >= 8, 0.5).otherwise(0.3)
+    word = F.when(low.isin(R.COMMON_PASSWORDS), 0.25).when(n < 6, 0.15).when((n >= 12) & match.rlike(r"\p{Lu}") & match.rlike("[0-9]"), 0.75).when(n >= 8, 0.5).otherwise(0.3)
     parts = F.split(match, r"\.")
     jwt = F.when((F.size(parts) == 3) & F.forall(parts, lambda p: F.length(p) > 10), 0.9).when(low.startswith("eyj"), 0.8).otherwise(0.4)
     aws = F.when(match.rlike("^AKIA[A-Z0-9]{16}$"), 0.95).when((n == 40) & match.rlike("^[A-Za-z0-9+/]+$"), 0.85).otherwise(0.4)
@@ -76,7 +75,7 @@ def validity(match: Column, path: Column, kind: Column, credibility: Column, fak
         v = v * F.greatest(F.lit(0.2), 1 - 0.2 * fake_words)
     v = v * F.when(n < 6, 0.3).when((n < 10) & match.rlike(r"^[\p{L}\p{N}]+$"), 0.6).otherwise(1.0)
     v = v * F.when((F.size(F.array_distinct(F.split(match, ""))) <= 2) & (n > 3), 0.1).otherwise(1.0)
-    up, down = F.length(F.regexp_replace(match, r"[^\p{Lu}]", "")) / n, F.length(F.regexp_replace(match, r"[^\p{Ll}]", "")) / n
+    up, down = (F.length(F.regexp_replace(match, rf"[^\p{{{k}}}]", "")) / F.greatest(n, F.lit(1)) for k in ("Lu", "Ll"))
     return clamp(v * F.when((n > 50) & ~structured & up.between(0.2000001, 0.7999999) & down.between(0.2000001, 0.7999999), 0.4).otherwise(1.0))
 
 

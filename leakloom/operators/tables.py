@@ -21,8 +21,11 @@ def unseen(candidates: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def first_seen(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key, by a mergeable aggregate; rows of equal order are told apart by their other columns."""
+    names = df.columns
+    by = [F.col(k).alias(f"__k{i}") if isinstance(k, str) else k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    least = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order))
+    return df.groupBy(*by).agg(F.min_by(F.struct(*names), least).alias("__r")).select("__r.*")
 
 
 def capped(df: DataFrame, keys: list[str], order: list[Column | str], most: int) -> DataFrame:
@@ -58,19 +61,23 @@ def reconciled(leaks: DataFrame, reachable: DataFrame, key: str = "url") -> Data
 
 
 def committers_first_seen(df: DataFrame) -> DataFrame:
-    """Per repo, in order of seq, committers whose name and e-mail are both new (order-dependent, so a grouped map per repo)."""
+    """Per repo, in order of seq, committers whose name and e-mail are both new.
+
+    Whether a row counts depends on all that counted before it, so a repo's people are one group in Python: equal pairs of
+    name and e-mail are cut to their first row before, so it holds a repo's distinct people, not its commits."""
 
     def run(pdf):
         names, mails, keep = set(), set(), []
-        for name, mail in zip(pdf.sort_values("seq")["name"], pdf.sort_values("seq")["email"], strict=True):
+        pdf = pdf.sort_values("seq")
+        for name, mail in zip(pdf["name"], pdf["email"], strict=True):
             ok = name not in names and mail not in mails
             keep.append(ok)
             if ok:
                 names.add(name)
                 mails.add(mail)
-        return pdf.sort_values("seq")[keep]
+        return pdf[keep]
 
-    return df.groupBy("repo").applyInPandas(run, df.schema)
+    return first_seen(df, ["repo", "name", "email"], ["seq"]).groupBy("repo").applyInPandas(run, df.schema)
 
 
 def stats_coerced(df: DataFrame, ints: list[str], bools: list[str]) -> DataFrame:

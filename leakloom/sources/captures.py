@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.functions.documents import first_filled
 from leakloom.functions.paths import valid_listed_url
+from leakloom.operators.tables import first_seen
 
 
 def gitleaks(spark: SparkSession, path: str) -> DataFrame:
@@ -16,9 +17,16 @@ def gitleaks(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.lit("gitleaks").alias("scanner"), F.col("File").alias("file"), first_filled(F.col("Match"), F.col("Secret")).alias("match"), at.alias("position"), F.col("RuleID").alias("rule"))
 
 
+def objects(line: Column) -> Column:
+    """The JSON objects of a line that holds several: it is split at each }{ outside of strings."""
+    strings = r'"(?:[^"\\]|\\.)*"'
+    # strings are passed over whole, so that what is split at is outside of them
+    return F.split(F.regexp_replace(line, "(" + strings + r")|(\})\s*(?=\{)", "$1$2\u0001"), "(?<=[}])\u0001")
+
+
 def trufflehog(spark: SparkSession, path: str) -> DataFrame:
     """JSON objects, also several run together in a line; broken ones are skipped."""
-    lines = spark.read.text(path).select(F.explode(F.split(F.regexp_replace("value", r"\}\s*\{", "}\n{"), "\n")).alias("j"))
+    lines = spark.read.text(path).select(F.explode(objects(F.col("value"))).alias("j")).withColumn("j", F.replace("j", F.lit("\u0001"), F.lit("")))
     v = F.try_parse_json("j")
     get = lambda p: F.try_variant_get(v, p, "string")
     out = lines.select(F.lit("trufflehog").alias("scanner"), get("$.SourceMetadata.Data.Git.file").alias("file"), first_filled(get("$.RawV2"), get("$.Raw")).alias("match"), get("$.SourceMetadata.Data.Git.commit").alias("position"), get("$.DetectorName").alias("rule"), F.coalesce(F.try_variant_get(v, "$.Verified", "boolean"), F.lit(False)).alias("verified"))
@@ -42,16 +50,26 @@ def detect_secrets(spark: SparkSession, path: str, lines: DataFrame | None = Non
 
 
 def deepsecrets(spark: SparkSession, path: str) -> DataFrame:
-    """A map of file to lines; first of each 100-character head, cut to it."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, array<struct<line: string>>>").alias("m"))
-    flat = raw.select(F.explode("m").alias("file", "ls")).select("file", F.posexplode("ls.line").alias("at", "line")).withColumn("match", F.left("line", F.lit(100)))
-    return flat.dropDuplicates(["match"]).select(F.lit("deepsecrets").alias("scanner"), "file", "match", F.col("at").cast("string").alias("position"), F.lit(None).cast("string").alias("rule"))
+    """A map of file to lines; of a capture's lines with one 100-character head the first counts, cut to it."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("capture"), F.from_json("value", "map<string, array<struct<line: string>>>").alias("m"))
+    flat = raw.select("capture", F.posexplode(F.map_entries("m")).alias("nth", "e")).select("capture", "nth", F.col("e.key").alias("file"), F.posexplode("e.value.line").alias("at", "line")).withColumn("match", F.left("line", F.lit(100)))
+    once = first_seen(flat, ["capture", "match"], ["nth", "at"])
+    return once.select(F.lit("deepsecrets").alias("scanner"), "file", "match", F.col("at").cast("string").alias("position"), F.lit(None).cast("string").alias("rule"))
+
+
+#: What a line of the scanner's own says.
+SERVICE_LINES = ["[ERROR] Matched one or more prohibited patterns", "Syntax error:", "newline unexpected", "Usage:", "git-secrets"]
 
 
 def git_secrets(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of file:line:match; bare lines of six characters or more are matches themselves."""
-    p = F.split("value", ":", 3)
-    df = spark.read.text(path).select(F.when(F.size(p) == 3, p[0]).alias("file"), F.when(F.size(p) == 3, F.trim(p[2])).otherwise(F.trim("value")).alias("match"), F.when(F.size(p) == 3, p[1]).alias("position"))
+    """Lines of file:line:match or file:match with a match of three characters or more; bare lines of six or more are matches
+    themselves; the scanner's own lines are none."""
+    line = F.trim("value")
+    p = F.split(line, ":", 3)
+    own = F.lit(False)
+    for s in SERVICE_LINES:
+        own = own | F.contains(line, F.lit(s))
+    df = spark.read.text(path).where(~own).select(F.when(F.size(p) > 1, F.trim(p[0])).alias("file"), F.trim(F.element_at(p, -1)).alias("match"), F.when(F.size(p) == 3, F.trim(F.get(p, 1))).alias("position"))
     long = (F.col("file").isNotNull() & (F.length("match") >= 3)) | (F.col("file").isNull() & (F.length("match") >= 6))
     return df.where(long).select(F.lit("gitsecrets").alias("scanner"), "file", "match", "position", F.lit(None).cast("string").alias("rule"))
 
