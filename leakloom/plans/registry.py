@@ -13,29 +13,7 @@ from leakloom.operators import tables as D
 from leakloom.streaming import ingest as I
 
 from . import views as V
-from .views import ORACLE_VIEWS
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-c = F.col
-
-
-def q(name: str, sql: str | None, view=V.incidents):
-    """Register a function of a view's DataFrame, with its oracle."""
-
-    def put(f):
-        QUERIES[name] = lambda spark, sf_dir: f(view(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[name] = (ORACLE_VIEWS if "FROM" in sql else "") + sql
-        return f
-
-    return put
-
-
-def tables(*names: str):
-    """A view of several tables: the query gets them in order."""
-    return lambda spark, sf_dir: [getattr(V, n)(spark, sf_dir) if hasattr(V, n) else V.table(spark, sf_dir, n) for n in names]
-
+from .catalog import ORACLE_SQL, QUERIES, c, q, tables
 
 # scans
 q("src01_equality_scan", "SELECT id, url, level FROM incidents WHERE level = 2 ORDER BY id LIMIT 100 OFFSET 10")(lambda d: D.scan(d.select("id", "url", "level"), {"level": 2}, 100, 10))
@@ -138,3 +116,8 @@ q("snk08_coerced", "SELECT id, coalesce(TRY_CAST(leak_type AS INTEGER), 0) AS a,
 q("stm05_minute_counters", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL", lambda s, d: V.table(s, d, "events"))(lambda d: I.counters(d, "event_type"))
 q("stm07_lifecycle", "SELECT url, max_by(result, id) AS status FROM incidents GROUP BY url")(lambda d: d.groupBy("url").agg(F.max_by("result", "id").alias("status")))
 q("ded05_committers", None, V.committers)(lambda d: D.committers_first_seen(d.select(c("repo"), c("name"), c("email"), c("id").alias("seq"))))
+
+# the rest registers itself
+from . import analysis_queries, store_queries, text_queries  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
