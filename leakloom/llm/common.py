@@ -41,8 +41,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables that cut lineage: written once to the shared folder, so a lost executor costs no recomputation.
 
-    ``keep`` writes and rereads a DataFrame, and Spark deletes the write's shuffle files when it is over; ``drop`` deletes
-    tables that no later step reads. What is left goes when the driver ends, as lazy results may still read it."""
+    ``keep`` writes and rereads a DataFrame, and Spark deletes the write's shuffle files when it is over; ``small`` carries
+    a table of a checked number of rows through the driver instead of files; ``drop`` deletes tables that no later step
+    reads. What is left goes when the driver ends, as lazy results may still read it."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/leakloom-{uuid.uuid4().hex}", 0
@@ -64,6 +65,11 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
+    def small(self, df: DataFrame, name: str, most: int) -> DataFrame:
+        """df, cut off from its lineage: as rows of the driver if it has at most ``most``, else as keep does."""
+        rows = df.limit(most + 1).collect()
+        return self.spark.createDataFrame(rows, df.schema) if len(rows) <= most else self.keep(df, name)
+
     def drop(self, *names: str) -> None:
         path, fs = self._fs()
         for s in fs.listStatus(path):
