@@ -1,7 +1,7 @@
 """Language ID by a linear-chain conditional random field over words.
 
-A word's features are its affixes and byte n-grams (hashed) and lexicon entries (its whole form, and membership in
-each language's word list). Learned transitions tie neighbouring words, so code-switched text is labelled in runs.
+A word's features are its whole form, affixes and byte n-grams (hashed), and lexicon entries: membership in each language's
+word list, or in none. Learned transitions tie neighbouring words, so code-switched text is labelled in runs.
 A document's score for a language is the mean of its words' marginals, by forward-backward over the whole text.
 The model is fitted on a bounded sample of labelled documents; mixed sequences are cut from it to learn switches.
 """
@@ -20,8 +20,10 @@ from .common import Hashed, map_documents, pieces, with_columns, word_hashes
 
 #: Bounds of the fitting sample: documents and bytes of each a language.
 SAMPLE_DOCS, SAMPLE_BYTES = 250, 2500
-#: Languages that a model can hold.
-MAX_LABELS = 64
+#: Languages that a model can hold (half a megabyte each); more are an error.
+MAX_LABELS = 1000
+#: Documents of the sample that a word of a language's list is in at least.
+LISTED = 2
 #: Hashed feature rows.
 FEATURE_BITS = 17
 #: Words whose lattices are worked through together.
@@ -38,6 +40,8 @@ class Crf(NamedTuple):
     weights: np.ndarray
     transitions: np.ndarray
     starts: np.ndarray
+    #: each language's word list, as sorted hashes
+    lists: list[np.ndarray]
 
 
 def _words(run: list[bytes]) -> Hashed:
@@ -53,60 +57,82 @@ def features(w: Hashed) -> tuple[np.ndarray, np.ndarray]:
     size, mask = w.end - w.start, np.uint64((1 << FEATURE_BITS) - 1)
     index, rows = [np.arange(len(size))], [w.h]
 
-    def add(who: np.ndarray, a: np.ndarray, b: np.ndarray, salt: int) -> None:
+    def add(who: np.ndarray, at: np.ndarray, n: int, salt: int) -> None:
         index.append(who)
-        rows.append((w.span_hash(a, b) ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) >> np.uint64(3))
+        rows.append(w.gram(at, n, salt))
 
     for k in range(1, 5):
         who = np.flatnonzero(size >= k)
-        add(who, w.start[who], w.start[who] + k, k)
-        add(who, w.end[who] - k, w.end[who], 8 + k)
+        add(who, w.start[who], k, k)
+        add(who, w.end[who] - k, k, 8 + k)
     own = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(w.start, size)
     for n in range(2, 5):
         ok = at + n <= np.repeat(w.end, size)
-        add(own[ok], at[ok], at[ok] + n, 16 + n)
+        add(own[ok], at[ok], n, 16 + n)
     return np.concatenate(index), (np.concatenate(rows) & mask).astype(np.int64)
 
 
-def emissions(w: Hashed, weights: np.ndarray) -> np.ndarray:
+def listed(h: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """words x languages: whether the language's list has the word."""
+    out = np.zeros((len(h), len(lists)), bool)
+    for k, own in enumerate(lists):
+        if len(own):
+            out[:, k] = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+    return out
+
+
+def lexicon(member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word index, feature row) pairs of memberships; the last row is that of words in no list."""
+    index, k = np.nonzero(np.column_stack([member, ~member.any(axis=1)]))
+    return index, (1 << FEATURE_BITS) + k
+
+
+def emissions(w: Hashed, model: Crf) -> np.ndarray:
     """Score of each label for each word; each distinct word is scored once."""
+    n = len(model.labels)
     if not len(w.h):
-        return np.zeros((0, weights.shape[1]), np.float32)
+        return np.zeros((0, n), np.float32)
     _, first, back = np.unique(w.h, return_index=True, return_inverse=True)
     own = w._replace(h=w.h[first], start=w.start[first], end=w.end[first])
-    index, rows = features(own)
-    out = np.empty((len(first), weights.shape[1]), np.float32)
-    for k in range(weights.shape[1]):
-        out[:, k] = np.bincount(index, weights[:, k][rows], len(first))
+    out = np.zeros((len(first), n), np.float32)
+    for index, rows in (features(own), lexicon(listed(own.h, model.lists))):
+        for k in range(n):
+            out[:, k] += np.bincount(index, model.weights[:, k][rows], len(first))
     return out[back]
 
 
-def marginals(em: np.ndarray, at: np.ndarray, model: Crf) -> np.ndarray:
-    """Mean marginal of each label for each of the sequences em[at[i]:at[i+1]], worked through side by side."""
+def posteriors(em: np.ndarray, at: np.ndarray, model: Crf) -> np.ndarray:
+    """Marginal of each label for each word, by forward-backward over the sequences em[at[i]:at[i+1]], side by side."""
     size = np.diff(at)
     order = np.argsort(-size, kind="stable")
     first, size = at[:-1][order], size[order]
     longest, n = int(size[0]) if len(size) else 0, len(size)
     live = np.searchsorted(-size, -np.arange(longest), "left")  # sequences longer than t
-    e = np.exp(em - em.max(axis=1, keepdims=True))
+    e = np.exp(em - em.max(axis=1, keepdims=True)) if len(em) else em
     t, s = np.exp(model.transitions), np.exp(model.starts)
     alpha = np.empty_like(e)
     for k in range(longest):
         p = first[: live[k]] + k
         a = e[p] * (s if k == 0 else alpha[p - 1] @ t)
         alpha[p] = a / a.sum(axis=1, keepdims=True)
-    total = np.zeros((n, em.shape[1]))
     beta = np.ones((n, em.shape[1]))
     for k in range(longest - 1, -1, -1):
         m = live[k]
         p = first[:m] + k
         g = alpha[p] * beta[:m]
-        total[:m] += g / g.sum(axis=1, keepdims=True)
+        alpha[p] = g / g.sum(axis=1, keepdims=True)
         b = (e[p] * beta[:m]) @ t.T
         beta[:m] = b / b.sum(axis=1, keepdims=True)
-    out = np.zeros((n, em.shape[1]))
-    out[order] = total / np.maximum(size, 1)[:, None]
+    return alpha
+
+
+def means(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Means of rows[at[i]:at[i+1]]; 0 for none."""
+    out, size = np.zeros((len(at) - 1, rows.shape[1])), np.diff(at)
+    if len(rows):
+        some = size > 0
+        out[some] = np.add.reduceat(rows, at[:-1][some], axis=0, dtype=np.float64) / size[some][:, None]
     return out
 
 
@@ -114,18 +140,26 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
     """Stochastic gradient (AdaGrad) on the log-likelihood of mixed sequences cut from the sample."""
     labels = sorted(set(langs))
     rng, n = np.random.default_rng(seed), max(len(labels), 1)
+    runs = [(first, _words(run)) for first, run in pieces(lowered(texts))]
+    # word lists: how many documents of a language a word is in
+    seen = [(labels.index(langs[first + i]), np.unique(w.h[a:b])) for first, w in runs for i, (a, b) in enumerate(zip(w.at[:-1], w.at[1:], strict=True))]
+    counts = [np.unique(np.concatenate([h for k, h in seen if k == own] or [np.zeros(0, np.uint64)]), return_counts=True) for own in range(n)]
+    lists = [words[many >= LISTED] for words, many in counts]
+    # a document doesn't count for its own words
+    others = [words[many > LISTED] for words, many in counts]
     em_index, label_of, sizes = [], [], []
     base = 0
-    for lang, (first, run) in [(None, p) for p in pieces(lowered(texts))]:
-        del lang
-        w = _words(run)
-        index, rows = features(w)
+    for first, w in runs:
+        own = np.concatenate([np.full(b - a, labels.index(langs[first + i])) for i, (a, b) in enumerate(zip(w.at[:-1], w.at[1:], strict=True))])
+        member, strict = listed(w.h, lists), listed(w.h, others)
+        member[np.arange(len(own)), own] = strict[np.arange(len(own)), own]
+        index, rows = map(np.concatenate, zip(features(w), lexicon(member), strict=True))
         order = np.argsort(index, kind="stable")
         em_index.append((rows[order], np.bincount(index, minlength=len(w.h))))
-        label_of += [np.repeat(labels.index(langs[first + i]), b - a) for i, (a, b) in enumerate(zip(w.at[:-1], w.at[1:], strict=True))]
+        label_of.append(own)
         sizes += np.diff(w.at).tolist()
         base += len(w.h)
-    weights, t, s = np.zeros((1 << FEATURE_BITS, n)), np.eye(n) * 2.0, np.zeros(n)
+    weights, t, s = np.zeros(((1 << FEATURE_BITS) + n + 1, n)), np.eye(n) * 2.0, np.zeros(n)
     if base:
         rows = np.concatenate([r for r, _ in em_index])
         many = np.concatenate([c for _, c in em_index])
@@ -174,7 +208,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Crf:
             pair = pair / BATCH + 1e-3 * t
             gt += pair**2
             t -= 0.1 * pair / np.sqrt(gt)
-    return Crf(labels, weights.astype(np.float32), t, s)
+    return Crf(labels, weights.astype(np.float32), t, s, lists)
 
 
 def held_out() -> Column:
@@ -182,45 +216,75 @@ def held_out() -> Column:
 
 
 def fit(documents: DataFrame, train_on: Column | None = None) -> Crf:
-    """A model from at most about SAMPLE_DOCS documents a language, of each a window of SAMPLE_BYTES characters, chosen by hash.
+    """A model from about SAMPLE_DOCS different texts of each language, of each a window of SAMPLE_BYTES characters, chosen by hash.
 
-    Only text and lang of rows that ``train_on`` selects are read; rows with null or empty lang or text don't count."""
+    Only text and lang of rows that ``train_on`` selects are read; rows with null or empty lang or text don't count, and
+    copies of a text count once. More than MAX_LABELS languages are an error."""
     rows = documents.where((train_on if train_on is not None else F.lit(True)) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS)
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages")
+    if not counts:
+        return train([], [])
     window = F.substring("text", F.lit(1) + (F.col("h") % F.greatest(F.length("text") - SAMPLE_BYTES, F.lit(1))).cast("int"), F.lit(SAMPLE_BYTES))
-    picked = rows.join(F.broadcast(counts), "lang").where(F.col("h") * F.col("count") < F.lit(SAMPLE_DOCS * (1 << 30)))
-    got = sorted(picked.select("lang", window.alias("text"), "h").orderBy("h").limit(2 * SAMPLE_DOCS * MAX_LABELS).collect(), key=lambda r: (r.h, r.lang, r.text))
-    return train([r.text for r in got], [r.lang for r in got])
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, SAMPLE_DOCS * (1 << 30) // n)))
+    picked = rows.where(F.col("h") < share[F.col("lang")]).groupBy("lang", "h").agg(F.min(window).alias("text")).collect()
+    got = sorted(picked, key=lambda r: (r["h"], r["lang"], r["text"]))
+    return train([r["text"] for r in got], [r["lang"] for r in got])
+
+
+def _lattices(texts: list[str], model: Crf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(marginals of words, each text's first word and the end) of about LATTICE_WORDS words; texts stay whole."""
+    em, sizes, n = [], [], 0
+    for _, run in pieces(texts):
+        w = _words(run)
+        em.append(emissions(w, model))
+        sizes += np.diff(w.at).tolist()
+        n += len(w.h)
+        if n > LATTICE_WORDS:
+            at = np.cumsum([0, *sizes])
+            yield posteriors(np.concatenate(em), at, model), at
+            em, sizes, n = [], [], 0
+    if sizes:
+        at = np.cumsum([0, *sizes])
+        yield posteriors(np.concatenate(em), at, model), at
 
 
 def predict(documents: DataFrame, model: Crf) -> DataFrame:
     """doc_id, lang_pred, score: whole texts only are read. Null or letterless texts are ``und`` with score 0, as is all
-    if the model knows no language. Ties go to the first label in order. Repeated rows stay."""
+    if the model knows no language. Ties go to the first label in order. Repeated rows stay. A very long text takes some
+    20 bytes for each word and language in its worker."""
     held = documents.sparkSession.sparkContext.broadcast(model)
 
-    def lattices(texts: list[str]) -> Iterator[np.ndarray]:
-        m, em, sizes, n = held.value, [], [], 0
-        for _, run in pieces(texts):
-            w = _words(run)
-            em.append(emissions(w, m.weights))
-            sizes += np.diff(w.at).tolist()
-            n += len(w.h)
-            if n > LATTICE_WORDS:
-                yield marginals(np.concatenate(em), np.cumsum([0, *sizes]), m)
-                em, sizes, n = [], [], 0
-        if sizes:
-            yield marginals(np.concatenate(em), np.cumsum([0, *sizes]), m)
-
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labels = held.value.labels
         for pdf in batches:
             texts = lowered(pdf["text"])
             rows = []
-            for mean in lattices(texts) if labels else ():
+            for mean in (means(*x) for x in _lattices(texts, held.value)) if labels else ():
                 rows += [(labels[k], float(s)) if s > 0 else ("und", 0.0) for k, s in zip(mean.argmax(axis=1).tolist(), mean.max(axis=1).clip(0, 1).tolist(), strict=True)]
             rows = rows or [("und", 0.0)] * len(texts)
             rows = [r if t.isascii() or any(map(str.isalpha, t)) else ("und", 0.0) for r, t in zip(rows, texts, strict=True)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]})
 
     return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, lang_pred string, score double")
+
+
+def label_words(documents: DataFrame, model: Crf) -> DataFrame:
+    """doc_id, runs array<struct<lang, first, n_words>>: whole texts in runs of words with the same likeliest label, in order.
+
+    Words are maximal runs of letters (of all but ASCII: of characters), counted from 0. Null or letterless texts have no
+    runs, as have all if the model knows no language. Repeated rows stay."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def runs(best: np.ndarray) -> list[dict]:
+        cut = np.flatnonzero(np.diff(best, prepend=-1, append=-1))
+        return [{"lang": held.value.labels[best[a]], "first": int(a), "n_words": int(b - a)} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [runs(g[a:b].argmax(axis=1)) if b > a else [] for g, at in (_lattices(lowered(pdf["text"]), held.value) if held.value.labels else ()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "runs": out or [[]] * len(pdf)})
+
+    return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, runs array<struct<lang: string, first: int, n_words: int>>")

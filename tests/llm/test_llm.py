@@ -210,7 +210,7 @@ def test_langid(spark, docs, empty):
     # a switch in the middle: marginals follow the words
     by = {r.lang: r.text for r in real.where("length(text) > 3000").dropDuplicates(["lang"]).collect()}
     w = langid._words([langid.lowered([by["fr"][:800]])[0].encode(), langid.lowered([by["de"][:800]])[0].encode()])
-    mean = langid.marginals(langid.emissions(w, model.weights), w.at, model)
+    mean = langid.means(langid.posteriors(langid.emissions(w, model), w.at, model), w.at)
     assert [model.labels[k] for k in mean.argmax(axis=1)] == ["fr", "de"]
 
 
