@@ -1,9 +1,11 @@
 """Quality rules: base counts, and robust multivariate outliers of transformed statistics.
 
 For each language and source (and each language, for sources with few documents) a minimum-covariance-determinant
-estimate is made over all its documents: from medians and quartile ranges, concentration steps keep the share
-SHARE with the smallest Mahalanobis distances and estimate anew. A document is rejected by its distance.
-Quantiles and moments are mergeable aggregates, so no group gathers in one task.
+estimate is made over all its documents: of the subsets that hold SHARE of them, the one whose covariance has the smallest
+determinant. Three deterministic starts (median and quartile ranges; the covariances of the hyperbolic tangents and of the
+spatial signs of the standardised statistics) take concentration steps: the documents nearest to an estimate make
+the next one. The start with the smallest determinant goes on until its determinant falls no more. A document is
+rejected by its Mahalanobis distance. Quantiles and moments are mergeable aggregates, so no group gathers in one task.
 """
 
 from __future__ import annotations
@@ -18,31 +20,35 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_documents, pieces, windows, word_hashes
 
-SHARE, STEPS = 0.75, 3
-#: Documents that an estimate needs at least.
+#: Share of the documents that an estimate rests on; steps that all starts take, and most steps of the best one.
+SHARE, STEPS, MOST_STEPS = 0.75, 2, 12
+#: Documents that an estimate needs at least: ten for each statistic.
 LEAST = 60
-#: Chance of a Gaussian document to lie beyond the cut-off.
+#: Chance of a Gaussian document to lie beyond the cut-off; plain documents have longer tails, so it is small.
 TAIL = 1e-6
-#: Spread of a statistic that counts at least, so that statistics that are nearly always 0 don't reject at a breath.
-FLOORS = {"x0": 0.3, "x1": 0.08, "x2": 0.35, "x3": 0.2, "x4": 0.2, "x5": 0.06}
-_X = list(FLOORS)
-_PAIRS = [(i, j) for i in range(len(_X)) for j in range(i, len(_X))]
+#: Average words (of five letters, three in a hundred of them capitals) that a document's ratios are smoothed with: those of a
+#: short text scatter more, and would make outliers of plain ones.
+PRIOR = 50
+#: Groups of which a table is small enough for the driver and a broadcast: some 300 bytes for each start, so 18 MB.
+FEW = 20_000
+_X = [f"x{i}" for i in range(6)]
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: First bytes of characters that are in words.
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)]] = False
 
 
 def text_counts(texts: Iterable[str | None], window: int = 8) -> list[tuple[int, int, int, int, int, int, int]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper of each text."""
     texts, out = list(texts), []
-    for first, run in pieces(texts):
+    for _, run in pieces(texts):
         w = word_hashes(run, lower=False)
-        upto = lambda mask, w=w: np.concatenate(([0], np.cumsum(mask)))[w.byte_at]
-        chars, symbols, upper = (np.diff(upto(m)).tolist() for m in (~_BLANK[w.buf] & ((w.buf & 0xC0) != 0x80), _SYMBOL[w.buf], _UPPER[w.buf]))
+        total = lambda mask, w=w: np.add.reduceat(mask[: w.byte_at[-1]], w.byte_at[:-1], dtype=np.int64).tolist()
+        chars, symbols, upper = total(_WORD[w.buf]), total(_SYMBOL[w.buf]), total(_UPPER[w.buf])
         wins = windows(w.h, window)
         for i, (a, b) in enumerate(zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True)):
             repeats = 0
@@ -59,7 +65,6 @@ def text_counts(texts: Iterable[str | None], window: int = 8) -> list[tuple[int,
                     repeats = int((np.cumsum(step)[:-1] > 0).sum())
             lines = [x for x in run[i].split(b"\n") if x and not x.isspace()] if b > a else []
             out.append((b - a, chars[i], symbols[i], len(lines) - len(set(lines)), repeats, len(lines), upper[i]))
-        del first
     return out
 
 
@@ -84,41 +89,117 @@ def _quantile(p: float, k: int) -> float:
     return lo
 
 
-_FIRST = ["lang_k", "source_k", "n", *(f"m{i}" for i in range(len(_X))), *(f"p{i}_{j}" for i, j in _PAIRS)]
-_STATE = "lang_k string, source_k string, n long, " + ", ".join(f"{c} double" for c in _FIRST[3:])
+def _pairs(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i, p)]
 
 
-def _state(rows: pd.DataFrame, means: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
-    cov = cov + np.diag([v * v for v in FLOORS.values()])
-    inv = np.linalg.inv(cov) if len(cov) else np.zeros((0, len(_X), len(_X)))
-    out = {c: rows[c].array for c in ("lang_k", "source_k", "n")} | {f"m{i}": means[:, i] for i in range(len(_X))}
-    return pd.DataFrame(out | {f"p{i}_{j}": inv[:, i, j] * (1 if i == j else 2) for i, j in _PAIRS})
+def _state_schema(by: list[str], p: int) -> str:
+    floats = ["det", *(f"f{i}" for i in range(p)), *(f"m{i}" for i in range(p)), *(f"p{i}_{j}" for i, j in _pairs(p))]
+    return ", ".join([*(f"{c} string" for c in by), "start int", "n long", *(f"{c} double" for c in floats)])
 
 
-def _from_quartiles(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        q = np.array([[list(r[c]) for c in _X] for _, r in pdf.iterrows()], float).reshape(-1, len(_X), 3)
-        sd = (q[:, :, 2] - q[:, :, 0]) / 1.349
-        yield _state(pdf, q[:, :, 1], np.einsum("ij,jk->ijk", sd**2, np.eye(len(_X))))
+def _state(rows: pd.DataFrame, by: list[str], start: object, floors: np.ndarray, means: np.ndarray, cov: np.ndarray) -> pd.DataFrame:
+    """Means and precisions by group and start; a spread counts as the statistic's floor at least."""
+    p = means.shape[1]
+    cov = cov.copy()
+    at = np.arange(p)
+    cov[:, at, at] = np.maximum(cov[:, at, at], np.maximum(floors, 1e-9) ** 2)
+    inv = np.linalg.inv(cov) if len(cov) else cov
+    out = {c: rows[c].array for c in [*by, "n"]} | {"start": start, "det": np.linalg.slogdet(cov)[1]}
+    out |= {f"f{i}": floors[:, i] for i in range(p)} | {f"m{i}": means[:, i] for i in range(p)}
+    return pd.DataFrame(out | {f"p{i}_{j}": inv[:, i, j] * (1 if i == j else 2) for i, j in _pairs(p)})
+
+
+def _matrix(pdf: pd.DataFrame, name: str, p: int) -> np.ndarray:
+    out = np.zeros((len(pdf), p, p))
+    for i, j in _pairs(p):
+        out[:, i, j] = out[:, j, i] = pdf[f"{name}{i}_{j}"].to_numpy(float)
+    return out
 
 
-def _from_moments(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    p = len(_X)
+def _starts(by: list[str], p: int):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            means, scale, floors = (pdf[[f"{k}{i}" for i in range(p)]].to_numpy(float) for k in ("m", "s", "f"))
+            size = scale[:, :, None] * scale[:, None, :]
+            for start, shape in enumerate((np.eye(p)[None].repeat(len(pdf), 0), _matrix(pdf, "t", p), _matrix(pdf, "u", p))):
+                # only the order of distances counts, so a little is added that makes every shape invertible
+                yield _state(pdf, by, start, floors, means, (shape + 0.01 * np.eye(p)) * size)
+
+    return run
+
+
+def _from_moments(by: list[str], p: int):
     factor = SHARE / _chi2(_quantile(SHARE, p), p + 2)  # makes the estimate right for Gaussian data
-    for pdf in batches:
-        m = pdf["kept_n"].to_numpy(float)[:, None]
-        means = pdf[[f"s{i}" for i in range(p)]].to_numpy(float) / m
-        cov = np.zeros((len(pdf), p, p))
-        for i, j in _PAIRS:
-            cov[:, i, j] = cov[:, j, i] = (pdf[f"s{i}_{j}"].to_numpy(float) / m[:, 0] - means[:, i] * means[:, j]) * factor
-        yield _state(pdf, means, cov)
 
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = pdf["kept_n"].to_numpy(float)[:, None]
+            means, floors = pdf[[f"s{i}" for i in range(p)]].to_numpy(float) / m, pdf[[f"f{i}" for i in range(p)]].to_numpy(float)
+            cov = _matrix(pdf, "s", p) / m[:, :, None] - means[:, :, None] * means[:, None, :]
+            yield _state(pdf, by, pdf["start"].array, floors, means, cov * factor)
 
-def _distance() -> Column:
-    terms = [F.col(f"p{i}_{j}") * (F.col(_X[i]) - F.col(f"m{i}")) * (F.col(_X[j]) - F.col(f"m{j}")) for i, j in _PAIRS]
+    return run
+
+
+def _distance(xs: list[str]) -> Column:
+    terms = [F.col(f"p{i}_{j}") * (F.col(xs[i]) - F.col(f"m{i}")) * (F.col(xs[j]) - F.col(f"m{j}")) for i, j in _pairs(len(xs))]
     return sum(terms[1:], terms[0])
 
 
+def least_determinant(points: DataFrame, by: list[str], xs: list[str], floors: list[Column], scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """Rows of _state_schema: the minimum-covariance-determinant estimate of each group of points(by, xs) with ``least`` rows.
+
+    ``floors`` are aggregates: the least spread of each statistic in a group. Groups and statistics have no nulls."""
+    p, pairs = len(xs), _pairs(len(xs))
+    start = points.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(xs)), *(f.cast("double").alias(f"f{i}") for i, f in enumerate(floors))).where(F.col("n") >= least)
+    scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.col(f"f{i}"), F.lit(1e-9)).alias(f"s{i}") for i in range(p)]
+    start = scratch.small(start.select(*by, "n", *(F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(p)), *scale, *(f"f{i}" for i in range(p))), "quartiles", FEW)
+    small = F.broadcast if start.count() <= FEW else lambda df: df
+    z = points.join(small(start), by).select(*by, *(((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, x in enumerate(xs)))
+    z = z.withColumn("zz", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(1, p)), F.col("z0") ** 2), F.lit(1e-12)))
+    shapes = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in pairs] + [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}_{j}") for i, j in pairs]
+    schema = _state_schema(by, p)
+    state = scratch.small(z.groupBy(*by).agg(*shapes).join(small(start), by).mapInPandas(_starts(by, p), schema), "state-0", 3 * FEW)
+    sums = [F.sum(xs[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in pairs]
+    kept = [F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(p)))]
+
+    def step(state: DataFrame) -> DataFrame:
+        near = points.join(small(state), by).select(*by, "start", "n", *(f"f{i}" for i in range(p)), *xs, _distance(xs).alias("d"))
+        cut = scratch.small(near.groupBy(*by, "start").agg(F.percentile_approx("d", SHARE, 1000).alias("cut")), "cut", 3 * FEW)
+        moments = near.join(small(cut), [*by, "start"]).where("d <= cut").groupBy(*by, "start").agg(*kept, F.count("*").alias("kept_n"), *sums)
+        return moments.mapInPandas(_from_moments(by, p), schema)
+
+    def best(*states: DataFrame) -> DataFrame:
+        each = states[0] if len(states) == 1 else states[0].unionByName(states[1])
+        names = [c for c in each.columns if c not in by]
+        return each.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("r")).select(*by, "r.*")
+
+    for k in range(1, STEPS + 1):
+        state = scratch.small(step(state), f"state-{k}", 3 * FEW)
+    state = scratch.small(best(state), "best", FEW)
+    for k in range(MOST_STEPS):
+        new = scratch.small(best(state, step(state)), f"best-{k}", FEW)
+        old = state.select(*by, F.col("det").alias("was"))
+        fell = new.join(old, by).agg(F.max(F.col("was") - F.col("det"))).first()[0]
+        state = new
+        if fell is None or fell < 1e-3:
+            break
+    return state
+
+
+def _angle(share: Column) -> Column:
+    """A share so transformed that its sampling error is the same at all sizes."""
+    return F.asin(F.sqrt(F.least(share, F.lit(1.0))))
+
+
+def _floors() -> list[Column]:
+    """Half the step that one more line, symbol or repeated window makes in a statistic, in a document of its group's median size."""
+    w, ch, ln = (F.greatest(F.percentile_approx(c, 0.5, 1000), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
+    steps = [1 / w, 1 / ch, F.log1p(100 / ch), _angle(1 / ln), _angle(16 / w), _angle(1 / ch)]
+    return [x / 2 for x in steps]
+
+
 def quality_verdicts(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (null without an estimate).
 
@@ -130,28 +211,20 @@ def quality_verdicts(documents: DataFrame) -> DataFrame:
     kinds = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"))
     rows = map_documents(docs, _counts, f"doc_id long, lang string, source string, {kinds}")
     named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
-    w, ch, ln = (F.greatest(F.col(c), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
-    rows = rows.select("*", named("lang").alias("lang_k"), named("source").alias("own_source"), ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"), F.log(w).alias("x0"), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / w).alias("x1"), F.log1p(100 * F.col("n_symbols") / ch).alias("x2"), F.asin(F.sqrt(F.col("n_dup_lines") / ln)).alias("x3"), F.asin(F.sqrt(F.col("n_repeat_words") / w)).alias("x4"), F.asin(F.sqrt(F.least(F.col("n_upper") / ch, F.lit(1.0)))).alias("x5"))
-    rows = scratch.keep(rows.drop("lang", "source", "n_lines", "n_upper"), "counts")
+    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    w, ch, ln = F.col("n_words") + PRIOR, F.col("word_chars") + PRIOR * 5, F.greatest(F.col("n_lines"), F.lit(1))
+    own = F.greatest(F.col("n_words"), F.lit(1))
+    x = [F.log(own), F.log(ch / w), F.log1p(100 * F.col("n_symbols") / ch), _angle(F.col("n_dup_lines") / ln), _angle(F.col("n_repeat_words") / own), _angle((F.col("n_upper") + PRIOR * 0.15) / ch)]
+    rows = rows.select("*", named("lang").alias("lang_k"), named("source").alias("own_source"), base.alias("base_failed"), *(e.cast("double").alias(n) for n, e in zip(_X, x, strict=True)))
+    rows = scratch.keep(rows.drop("lang", "source", "n_upper"), "counts")
 
-    level = F.explode(F.array(F.col("own_source"), F.lit("*"))).alias("source_k")
-    points = rows.where("not base_failed").select("lang_k", level, *_X)
     by = ["lang_k", "source_k"]
-    start = points.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in _X)).where(F.col("n") >= LEAST)
-    state = scratch.keep(start.mapInPandas(_from_quartiles, _STATE), "state0")
-    for step in range(1, STEPS + 1):
-        near = points.join(state, by).select(*by, "n", *_X, _distance().alias("d"))
-        cut = near.groupBy(*by).agg(F.percentile_approx("d", SHARE, 1000).alias("cut"))
-        sums = [F.sum(_X[i]).alias(f"s{i}") for i in range(len(_X))] + [F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"s{i}_{j}") for i, j in _PAIRS]
-        moments = near.join(F.broadcast(cut) if _few(state) else cut, by).where("d <= cut").groupBy(*by).agg(F.max("n").alias("n"), F.count("*").alias("kept_n"), *sums)
-        state = scratch.keep(moments.mapInPandas(_from_moments, _STATE), f"state{step}")
-    limit = _quantile(1 - TAIL, len(_X))
-    own = rows.join(state.withColumnRenamed("source_k", "own_source"), ["lang_k", "own_source"], "left").withColumn("near", _distance()).drop(*_FIRST[2:])
-    wide = own.join(state.where("source_k = '*'").drop("source_k"), "lang_k", "left").withColumn("wider", _distance())
+    level = F.explode(F.array(F.col("own_source"), F.lit("*"))).alias("source_k")
+    state = least_determinant(rows.where("not base_failed").select("lang_k", level, "n_words", "word_chars", "n_lines", *_X), by, _X, _floors(), scratch)
+    state = state.drop("start", "n", "det", *(f"f{i}" for i in range(len(_X))))
+    small = F.broadcast if state.count() <= FEW else lambda df: df
+    limit, inner = _quantile(1 - TAIL, len(_X)), state.drop(*by).columns
+    own = rows.join(small(state.withColumnRenamed("source_k", "own_source")), ["lang_k", "own_source"], "left").withColumn("near", _distance(_X)).drop(*inner)
+    wide = own.join(small(state.where("source_k = '*'").drop("source_k")), "lang_k", "left").withColumn("wider", _distance(_X))
     out = wide.withColumn("distance", F.coalesce("near", "wider"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"), "distance")
-
-
-def _few(state: DataFrame) -> bool:
-    """Whether the groups' table is small enough to broadcast (its rows are counted first)."""
-    return state.count() <= 20_000
