@@ -40,13 +40,13 @@ def _stars(e: DataFrame) -> bool:
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """edges(a, b) -> (node, comp): every node that has an edge with its component's least node, itself included.
 
-    Each round is written to the shared folder; only a count of edges reaches the driver. Rounds end when all that is
+    Each round is written to the shared folder, a file for EDGES_A_TASK edges; only a count of edges reaches the driver. Rounds end when all that is
     left are stars, so edges that one task's forest has settled need none.
     Self loops and repeated or reversed edges don't matter; no edges give no rows."""
     edges = edges.where("a <> b").select("a", "b")
     tasks = 1 + edges.count() // EDGES_A_TASK
     edges = edges.repartition(tasks).mapInPandas(_forest, "a long, b long")
-    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-forest")
+    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(tasks), f"{name}-forest")
     for i in range(60):
         if _stars(e):
             break
@@ -57,7 +57,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         # small star: a node and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = scratch.keep(small, f"{name}-{i}")
+        e = scratch.keep(small.coalesce(tasks), f"{name}-{i}")
         if i > 1:
             scratch.drop(f"{name}-{i - 2}")
     else:
