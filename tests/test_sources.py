@@ -130,3 +130,61 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["scan", "o/r", f"gitsecrets={tmp_path}/s.txt", "--out", str(tmp_path / "out")]) == 0
     got = spark.read.json(str(tmp_path / "out")).collect()
     assert [(r.repo, r["match"], r.leak_no) for r in got] == [("o/r", "very*******alue", 0)]
+
+
+def test_status_text(spark):
+    from leakloom.operators import narrative as S
+
+    row = {"unified_probability": 0.55, "credibility": 0.4, "is_tiny": True, "is_personal": False, "is_very_popular": None, "obj_type": "Code", "dork": "zeta", "description": "d" * 60, "topics": "_", "committers": [f"n{i}/m{i}" for i in range(7)], "corporate": [("z", "z@zeta.q", "zeta.q", True), ("y", "y@y.q", "y.q", False)], "first_line": None, "hits": {"gitleaks": 2, "grepscan": 1}, "report_length": 9, "ai_related": False, "ai_confidence": 0.5, "ai_level": "high", "ai_score": 0.75, "ai_summary": " ", "org_relevance": 0.1, "sensitive": 0.25}
+    schema = "unified_probability double, credibility double, is_tiny boolean, is_personal boolean, is_very_popular boolean, obj_type string, dork string, description string, topics string, committers array<string>, corporate array<struct<name string, email string, domain string, matches_company boolean>>, first_line string, hits map<string, long>, report_length long, ai_related boolean, ai_confidence double, ai_level string, ai_score double, ai_summary string, org_relevance double, sensitive double"
+    df = spark.createDataFrame([tuple(row.values())], schema.replace("name string", "name: string").replace("email string", "email: string").replace("domain string", "domain: string").replace("matches_company boolean", "matches_company: boolean"))
+    lines = df.select(S.status(F.col, "en").alias("s")).first().s.split("\n- ")
+    assert lines[0] == "Medium chance of leak" and "TARGET COMPANY email: z <z@zeta.q>" in lines[1] and "(domain: y.q)" in lines[2]
+    assert "Brief description: " + "d" * 50 + "..." in lines and "Topics: Topics: none" in lines
+    assert "Found the following committers: n0/m0, n1/m1, n2/m2, n3/m3, n4/m4. There are 2 more committers" in lines
+    assert lines.index("Found 1 leaks by grepscan scanner") < lines.index("Found 2 leaks by gitleaks scanner") < lines.index("Total leaks found: 3")
+    assert lines[-1].endswith("Org Relevance: 0.10, Sensitive Data: 0.25, True Positive: 0.55, False Positive: 0.45") and len(lines) == len(set(lines))
+    closed = df.select(S.with_reason(F.array(F.lit("a"), F.lit("Brief description: x")), F.lit("why"), "en").alias("r"), S.with_reason(F.array(F.lit("a")), F.lit("why"), "en").alias("s"), S.with_reason(F.array(F.lit("a")), F.lit(" "), "en").alias("t")).first()
+    assert closed.r == ["a", "Brief description: x | why"] and closed.s == ["a", "Brief description: - | why"] and closed.t == ["a"]
+
+
+def test_jobs(spark):
+    from leakloom import jobs
+
+    urls = spark.createDataFrame([("https://github.com/a/b",), ("https://github.com/a/b/c",), ("https://github.com/k/n",), ("https://github.com/x/y",), ("https://github.com/p/q",), ("no",)], "url string")
+    one = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    out = jobs.listed(urls, one("https://github.com/k/n/tree"), one("https://github.com/p/q"), spark.createDataFrame([("https://github\\.com/x/.*",)], "term string"))
+    assert [tuple(r) for r in out.collect()] == [("https://github.com/a/b", "https://github.com/a/b")]
+    leaks = spark.createDataFrame([(i, f"https://github.com/o/r{i % 8}", 5 if i >= 8 else 4) for i in range(12)] + [(50, "https://gitlab.com/o/r", 5)], "id long, url string, result int")
+    plan = {k: sorted((r.id, r.batch) for r in d.collect()) for k, d in jobs.schedule(leaks)}
+    assert plan == {"deep": [(8, "0-0"), (9, "0-0"), (10, "0-0"), (11, "0-0")], "again": [(4, "0-0"), (5, "0-0"), (6, "0-0"), (7, "0-0")]}
+    t = jobs.in_turn(["a", "b"])
+    assert [next(t) for _ in range(5)] == ["a", "b", "a", "b", "a"]
+    waits, left = [], [OSError(), ConnectionError()]
+
+    def step():
+        if left:
+            raise left.pop()
+        return "done"
+
+    assert jobs.retried(step, 3, waits.append) == "done" and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        jobs.retried(lambda: open("/none/of/these"), 2, waits.append)
+    c = spark.createDataFrame([("r", True), ("s", None)], "repo string, ai_related boolean")
+    a = spark.createDataFrame([("r", False, 0.5, 0.1, 0.2)], "repo string, ai_related boolean, ai_confidence double, ai_tp double, ai_severity double")
+    assert sorted((r.repo, r.ai_result) for r in jobs.with_answers(c, a).collect()) == [("r", 0), ("s", -1)]
+
+
+def test_log_lines():
+    import logging
+    import sys
+
+    from leakloom.log import JsonLines
+
+    try:
+        raise KeyError("q")
+    except KeyError:
+        r = logging.LogRecord("z", logging.WARNING, "f.py", 3, "a %s é", ("b",), sys.exc_info(), "g")
+    r.repo = "o/r"
+    out = json.loads(JsonLines().format(r))
+    assert (out["level"], out["message"], out["repo"], out["line"]) == ("WARNING", "a b é", "o/r", 3) and "KeyError" in out["exception"]
