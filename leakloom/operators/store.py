@@ -112,6 +112,17 @@ def with_companies(companies: DataFrame, dorks: DataFrame, targets: DataFrame) -
     return out, dorks.unionByName(coded, allowMissingColumns=True), targets.select("company_name").join(ids, "company_name", "left").select("company_name", F.coalesce("company_id", F.lit(1)).alias("company_id"))
 
 
+#: Names of companies that older stores have no row for.
+COMPANIES = {1: "vtb", 2: "inno", 3: "t1"}
+
+
+def company_name(stored: Column, company_id: Column) -> Column:
+    """The stored name, else the known one of an old id, else one made of the id; an id that is no number is a name itself."""
+    number = company_id.cast("string").try_cast("long")
+    known = F.create_map(*(x for k, v in COMPANIES.items() for x in (F.lit(k).cast("long"), F.lit(v))))
+    return F.when(number.isNull(), company_id.cast("string")).otherwise(F.coalesce(stored, known[number], F.concat(F.lit("company_"), number.cast("string"))))
+
+
 def current_terms(dorks: DataFrame) -> DataFrame:
     """company_id, term: the last stored list of each company, decoded."""
     last = dorks.groupBy("company_id").agg(F.max_by("dork", "id").alias("dork"))

@@ -213,3 +213,7 @@ q("dat01_stamp", "SELECT id, CASE WHEN id % 2 = 0 THEN date_trunc('second', foun
 q("prj07_candidates", "SELECT id, 'Code' AS obj_type, 'https://github.com/org' || company_id || '/repo' || (id % 97) AS repo_url, 'org' || company_id || '/repo' || (id % 97) AS repo_name, 'org' || company_id AS author_name FROM incidents")(
     lambda d: d.select("id", G.candidate("Code", F.concat(F.lit("https://github.com/org"), c("company_id"), F.lit("/repo"), c("id") % 97, F.lit("/blob/x.py")), F.lit("d"), F.lit(None).cast("string"), c("company_id")).alias("r")).select("id", "r.obj_type", "r.repo_url", "r.repo_name", "r.author_name")
 )
+q("j05_fallback_names", "SELECT id, CASE WHEN id % 9 = 0 THEN 'own' ELSE coalesce(s_name, CASE company_id WHEN 1 THEN 'vtb' WHEN 2 THEN 'inno' WHEN 3 THEN 't1' END, 'company_' || company_id) END AS name FROM incidents LEFT JOIN supplier ON s_suppkey = company_id AND s_suppkey <> 2 AND s_suppkey <> 3", tables("incidents", "supplier"))(
+    lambda t: t[0].join(t[1].where("s_suppkey not in (2, 3)"), c("s_suppkey") == c("company_id"), "left").select("id", O.company_name(c("s_name"), F.when(c("id") % 9 == 0, "own").otherwise(c("company_id").cast("string"))).alias("name"))
+)
+q("src03_url_ids", "SELECT url, max_by(result, id) AS result, max(id) AS id FROM incidents WHERE level > 0 GROUP BY url")(lambda d: D.latest(d.where("level > 0").select("url", "result", "id"), "url", "id"))

@@ -80,3 +80,26 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = I.counters(events.withColumn("ts", F.col("ts").cast("timestamp")), "event_type")
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_stream_flushes_each_new_address_once(spark, tmp_path):
+    rows = [(f"u{i % 7}", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "url string, at int").withColumn("ts", F.timestamp_seconds(F.col("at")))
+    for k in range(3):
+        df.where(F.col("at") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([("u3",)], "url string")
+    stream = I.new_candidates(I.event_stream(spark, str(tmp_path / "in"), "url string, at int, ts timestamp", 1), known, "url", "ts")
+
+    def sink(batch, n):  # a batch that runs again writes the same folder
+        batch.select("url").write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={n}"))
+
+    for _ in range(2):  # the second run finds nothing new
+        I.flushed(stream, sink, str(tmp_path / "cp")).awaitTermination()
+    got = [r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == [f"u{i}" for i in range(7) if i != 3]
+
+
+def test_stream_sessions(spark):
+    rows = [("a", 0), ("a", 60), ("a", 4000), ("b", 10)]
+    df = spark.createDataFrame(rows, "k string, s int").withColumn("ts", F.timestamp_seconds(F.col("s")))
+    assert sorted((r.k, r.n) for r in I.sessions(df, "k").collect()) == [("a", 1), ("a", 2), ("b", 1)]
