@@ -29,7 +29,7 @@ from .common import map_documents, with_columns
 #: Words a worker's table holds at most; a full table is emptied.
 TABLE_WORDS = 300_000
 #: Characters of text whose prefix tables a worker holds at once.
-PART_CHARS = 1 << 19
+TABLE_CHARS = 1 << 19
 #: Bits of a token id in a pair of ids.
 ID_BITS = 20
 _LAST = itemgetter(-1)
@@ -234,6 +234,8 @@ class PrefixCounter:
 
     def __init__(self, path: str):
         self.words = WordTable(path)
+        if self.words.lower:
+            raise ValueError("prefixes are counted for tokenizers that don't normalise texts")
         self.counts = PrefixTable(self.words)
 
     def _plain(self, word: str) -> str:
@@ -247,14 +249,13 @@ class PrefixCounter:
         """(end byte of each split word, token count of the text up to there, prefix table if asked for).
 
         The prefix table holds 4 bytes for each byte prefix, the empty one first: its count, or ~count where it ends
-        inside a character. A tokenizer that normalises has none, as its bytes aren't the text's."""
+        inside a character."""
         self.counts.shrink()
         text = text or ""
         ends, totals, inside, own = [], [], [], []
         fixed: list[tuple[int, int]] = []  # (byte, count) of prefixes that split otherwise
         at = count = 0
         last = ""  # the split word before, if no special token is between
-        prefixes = prefixes and not self.words.lower
         for special, part in self.words.parts(text):
             if special:
                 n = len(part.encode())
@@ -321,10 +322,11 @@ def _counters(path: str, cache: dict = {}) -> PrefixCounter:  # noqa: B006
     return cache[path]
 
 
-def prefix_token_counts(documents: DataFrame, path: str, keep_table: bool = True) -> DataFrame:
+def prefix_token_counts(documents: DataFrame, path: str, keep_table: bool = True, budget: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and, if keep_table, ends array<long>, counts array<long> (each split word's end and the
     whole text's count there) and prefixes binary: the token count of every prefix, as tokens_upto and longest_prefix
-    read it. A tokenizer that normalises has no prefixes (null).
+    read it; with a budget of tokens also fits_bytes, the longest prefix it has room for, read from that table in the worker.
+    For byte-level tokenizers; one that normalises texts is an error, as a prefix of its words needn't be one of the text.
 
     A null or empty text has 0 bytes, 0 tokens and empty arrays. Repeated rows stay, other columns are ignored."""
 
@@ -332,15 +334,17 @@ def prefix_token_counts(documents: DataFrame, path: str, keep_table: bool = True
         counter = _counters(path)
         for pdf in batches:
             # prefix tables are four times their texts: they leave the worker in parts
-            part = np.cumsum([len(t or "") for t in pdf["text"]]) // PART_CHARS
+            part = np.cumsum([len(t or "") for t in pdf["text"]]) // TABLE_CHARS
             for _, own in pdf.groupby(part, sort=False):
-                got = [counter.table(t, keep_table) for t in own["text"]]
-                out = {"doc_id": own["doc_id"].array, "n_bytes": [int(e[-1]) if len(e) else 0 for e, _, _ in got] if not counter.words.lower else [len((t or "").encode()) for t in own["text"]], "n_tokens": [int(c[-1]) if len(c) else 0 for _, c, _ in got]}
+                got = [counter.table(t, keep_table or budget is not None) for t in own["text"]]
+                out = {"doc_id": own["doc_id"].array, "n_bytes": [int(e[-1]) if len(e) else 0 for e, _, _ in got], "n_tokens": [int(c[-1]) if len(c) else 0 for _, c, _ in got]}
+                if budget is not None:
+                    out["fits_bytes"] = [longest_prefix(p, budget) for _, _, p in got]
                 if keep_table:
                     out |= {"ends": [e for e, _, _ in got], "counts": [c for _, c, _ in got], "prefixes": [p for _, _, p in got]}
                 yield pd.DataFrame(out)
 
-    schema = "doc_id long, n_bytes long, n_tokens long" + ", ends array<long>, counts array<long>, prefixes binary" * keep_table
+    schema = "doc_id long, n_bytes long, n_tokens long" + ", fits_bytes long" * (budget is not None) + ", ends array<long>, counts array<long>, prefixes binary" * keep_table
     return map_documents(with_columns(documents, doc_id="long", text="string"), run, schema)
 
 

@@ -46,8 +46,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = bpe.prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    counts = bpe.prefix_token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), keep_table=False, budget=1024)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fits_bytes")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
