@@ -39,19 +39,26 @@ def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_SPANS = "array<struct<start: int, kind_no: int, kind: string, stop: int>>"
+#: Matches whose places are summed up together: appending copies an array, so long lists are built in two levels.
+CHUNK = 256
+
+
 def rule_spans(rule: Rule) -> Column:
     """array<struct<start, kind_no, kind, stop>> of a rule's leftmost non-overlapping matches in ``text``, in code points.
 
-    Matches and the gaps between them (a split at the pattern) give every start as a running sum of lengths."""
-    p = _lit(rule.pattern)
+    Matches and the gaps between them (a split at the pattern) give every start as a running sum of lengths, first within
+    chunks of matches, then over chunks."""
+    p, kind_no = _lit(rule.pattern), [r.kind for r in RULES].index(rule.kind) if rule in RULES else 99
     gaps, found = f"transform(split(text, {p}, -1), g -> length(g))", f"regexp_extract_all(text, {p}, 1)"
-    sums = f"""aggregate(zip_with({gaps}, {found}, (g, m) -> struct(g AS g, m AS m)),
-        struct(0 AS at, cast(array() AS array<struct<start: int, kind_no: int, kind: string, stop: int>>) AS spans),
+    kept = rule.keep.replace("m,", "x.m,").replace("(m)", "(x.m)")
+    within = f"""aggregate(chunk, struct(0 AS at, cast(array() AS {_SPANS}) AS spans),
         (a, x) -> struct(a.at + x.g + coalesce(length(x.m), 0) AS at,
-            if(x.m IS NOT NULL AND ({rule.keep.replace("m,", "x.m,").replace("(m)", "(x.m)")}),
-               array_append(a.spans, struct(a.at + x.g AS start, {[r.kind for r in RULES].index(rule.kind) if rule in RULES else 99} AS kind_no, '{rule.kind}' AS kind, a.at + x.g + length(x.m) AS stop)), a.spans) AS spans),
-        a -> a.spans)"""
-    return F.expr(f"if({rule.hint}, {sums}, cast(array() AS array<struct<start: int, kind_no: int, kind: string, stop: int>>))")
+            if(x.m IS NOT NULL AND ({kept}), array_append(a.spans, struct(a.at + x.g AS start, {kind_no} AS kind_no, '{rule.kind}' AS kind, a.at + x.g + length(x.m) AS stop)), a.spans) AS spans))"""
+    chunks = f"transform(transform(array(zip_with({gaps}, {found}, (g, m) -> struct(g AS g, m AS m))), z -> transform(sequence(0, (size(z) - 1) div {CHUNK}), c -> slice(z, c * {CHUNK} + 1, {CHUNK})))[0], chunk -> {within})"
+    sums = f"""flatten(aggregate({chunks}, struct(0 AS at, cast(array() AS array<{_SPANS}>) AS parts),
+        (a, r) -> struct(a.at + r.at AS at, array_append(a.parts, transform(r.spans, s -> struct(a.at + s.start AS start, s.kind_no AS kind_no, s.kind AS kind, a.at + s.stop AS stop))) AS parts), a -> a.parts))"""
+    return F.expr(f"if({rule.hint}, {sums}, cast(array() AS {_SPANS}))")
 
 
 def scan_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
