@@ -206,3 +206,47 @@ def page(title: str, frames: dict[str, DataFrame], rows: int = 100) -> str:
 def shortened(t: Column, n: int) -> Column:
     """Up to n characters, the last three as dots where some are missing."""
     return F.when(F.length(t) > n, F.concat(F.left(t, F.lit(n - 3)), F.lit("..."))).otherwise(t)
+
+
+def total(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("cnt"))
+
+
+def by_status(df: DataFrame) -> DataFrame:
+    return counts_by(df, F.col("result").cast("string").alias("result"))
+
+
+def average_level(df: DataFrame) -> DataFrame:
+    return df.agg(F.coalesce(F.avg("level"), F.lit(0.0)).alias("avg_level"))
+
+
+def distinct_companies(df: DataFrame) -> DataFrame:
+    """Companies with a number other than 0."""
+    return df.agg(F.countDistinct(F.when(F.col("company_id") != 0, F.col("company_id"))).alias("n"))
+
+
+def distinct_urls(df: DataFrame) -> DataFrame:
+    return df.agg(F.countDistinct("url").alias("n"))
+
+
+def daily(df: DataFrame, time: str = "found_at") -> DataFrame:
+    return counts_by(df, F.to_date(time).alias("day"))
+
+
+def serious(df: DataFrame, least: int = 2) -> DataFrame:
+    return df.where(F.col("level") >= least)
+
+
+def top_leaks(df: DataFrame, n: int = 10) -> DataFrame:
+    """The gravest incidents, of equal ones the newest."""
+    return df.orderBy(F.desc("level"), F.desc("found_at"), "id").limit(n)
+
+
+def level_shares(df: DataFrame) -> DataFrame:
+    g = counts_by(df, "level")
+    return g.select("level", F.round(F.col("cnt") / F.sum("cnt").over(W.partitionBy()), 6).alias("share"))
+
+
+def first_matches(findings: DataFrame, order: list[str]) -> DataFrame:
+    """repo, match: a repository's first finding."""
+    return findings.groupBy("repo").agg(F.min_by("match", F.struct(*order)).alias("match"))

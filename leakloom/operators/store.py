@@ -37,13 +37,13 @@ def with_ids(rows: DataFrame, table: DataFrame, key: str, id_: str = "id") -> Da
     """rows with ids after the table's largest, in order of the first three digits of their key's MD5, then of the key.
 
     Each of the 4,096 heads is numbered on its own; one row a head carries the count before it, so no task sorts all rows."""
-    top = table.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("__top"))
+    top = table.agg(F.coalesce(F.max(id_), F.lit(0)).cast("long").alias("__c")).select(F.lit("").alias("__h"), "__c")
     headed = rows.withColumn("__h", F.left(F.md5(F.col(key).cast("string")), F.lit(3)))
-    sizes = headed.groupBy("__h").agg(F.count("*").alias("__c"))  # 4,096 rows at most
-    before = sizes.withColumn("__b", F.sum("__c").over(W.orderBy("__h")) - F.col("__c")).crossJoin(top)  # one row
+    sizes = headed.groupBy("__h").agg(F.count("*").alias("__c")).unionByName(top)  # 4,097 rows at most
+    before = sizes.select("__h", (F.sum("__c").over(W.orderBy("__h")) - F.col("__c")).alias("__b"))
     own = F.row_number().over(W.partitionBy("__h").orderBy(key))
-    out = headed.withColumn("__i", own).join(before.select("__h", "__b", "__top"), "__h")
-    return out.withColumn(id_, F.col("__top") + F.col("__b") + F.col("__i")).drop("__h", "__i", "__b", "__top")
+    out = headed.withColumn("__i", own).join(before, "__h")
+    return out.withColumn(id_, F.col("__b") + F.col("__i")).drop("__h", "__i", "__b")
 
 
 def inserted(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -189,3 +189,45 @@ def checked_once(repos: DataFrame, key: str = "url", order: str = "seq") -> Data
     """Repositories in the order they were met, each once."""
     return D.first_seen(repos, [key], [order])
 
+
+#: Kilobytes of a repository that is cloned at most.
+MOST_KB = 300_000
+
+
+def with_status(leaks: DataFrame, *codes: int) -> DataFrame:
+    return leaks.where(F.col("result").isin(*codes))
+
+
+def id_of(leaks: DataFrame, url: str) -> DataFrame:
+    """The id of the first incident of an address; no row if there is none."""
+    return leaks.where(F.col("url") == url).orderBy("id").limit(1).select("id")
+
+
+def ids_of(urls: DataFrame, leaks: DataFrame) -> DataFrame:
+    """url, id (null: none) of each address, for many at once."""
+    return urls.select("url").distinct().join(leaks.groupBy("url").agg(F.min("id").alias("id")), "url", "left")
+
+
+def of_leaks(rows: DataFrame, leaks: DataFrame, key: str = "leak_id") -> DataFrame:
+    """Rows of a table that belong to these incidents."""
+    return rows.join(leaks.select(F.col("id").alias(key)).distinct(), key, "left_semi").select(*rows.columns)
+
+
+def company_of(rows: DataFrame, leaks: DataFrame, key: str = "leak_id") -> DataFrame:
+    """Rows with the company of their incident, 1 where it has none."""
+    return rows.join(leaks.select(F.col("id").alias(key), F.col("company_id").alias("__c")), key, "left").withColumn("company_id", F.coalesce("__c", F.lit(1))).drop("__c")
+
+
+def account_names(links: DataFrame, accounts: DataFrame) -> DataFrame:
+    """leak_id, names: the accounts linked to each incident, sorted."""
+    named = links.join(accounts.select(F.col("id").alias("account_id"), "account"), "account_id")
+    return named.groupBy("leak_id").agg(F.array_sort(F.collect_set("account")).alias("names"))
+
+
+def lines_of(findings: DataFrame, lines: DataFrame) -> DataFrame:
+    """findings(file, line_no, ...) with the text of their line, null where there is none."""
+    return findings.join(lines.select("file", "line_no", "text"), ["file", "line_no"], "left")
+
+
+def small_enough(repos: DataFrame, most: int = MOST_KB) -> DataFrame:
+    return repos.where(F.col("size") <= most)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leakloom.functions import paths as P
 from leakloom.functions import text as T
 from leakloom.operators import reports as R
 from leakloom.operators import scoring as S
+from leakloom.operators import store as O
 from leakloom.operators import tables as D
+from leakloom.sources import lists as L
 from leakloom.streaming import ingest as I
 
 from . import views as V
@@ -19,8 +20,8 @@ from .catalog import ORACLE_SQL, QUERIES, c, q, tables
 q("src01_equality_scan", "SELECT id, url, level FROM incidents WHERE level = 2 ORDER BY id LIMIT 100 OFFSET 10")(lambda d: D.scan(d.select("id", "url", "level"), {"level": 2}, 100, 10))
 q("src02_period_scan", "SELECT * FROM incidents WHERE found_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'")(lambda d: R.in_period(d, "2024-01-05", "2024-01-20"))
 q("src03_latest_by_url", "SELECT url, max_by(result, id) AS result, max(id) AS id FROM incidents GROUP BY url")(lambda d: D.latest(d.select("url", "result", "id"), "url", "id"))
-q("src04_status_scan", "SELECT id, url FROM incidents WHERE result = 5")(lambda d: d.where("result = 5").select("id", "url"))
-q("src05_point_lookup", "SELECT id FROM incidents WHERE url = 'https://github.com/org0/repo0' ORDER BY id LIMIT 1")(lambda d: d.where(c("url") == "https://github.com/org0/repo0").orderBy("id").limit(1).select("id"))
+q("src04_status_scan", "SELECT id, url FROM incidents WHERE result = 5")(lambda d: O.with_status(d, 5).select("id", "url"))
+q("src05_point_lookup", "SELECT id FROM incidents WHERE url = 'https://github.com/org0/repo0' ORDER BY id LIMIT 1")(lambda d: O.id_of(d, "https://github.com/org0/repo0"))
 q("src06_terms_decoded", "SELECT id % 50 AS company_id, unnest(string_split(url || ', ' || leak_type, ', ')) AS term FROM incidents")(lambda d: d.select((c("id") % 50).alias("company_id"), F.base64(F.encode(F.concat_ws(", ", "url", "leak_type"), "UTF-8")).alias("dork")).select("company_id", F.explode(F.split(F.decode(F.unbase64("dork"), "UTF-8"), ", ")).alias("term")))
 q("src21_file_lines", "SELECT repo, file, line_no, length(text) AS n FROM repo_lines WHERE length(trim(text)) BETWEEN 1 AND 1000", V.repo_lines)(lambda d: d.where(F.length(F.trim("text")).between(1, 1000)).select("repo", "file", "line_no", F.length("text").alias("n")))
 
@@ -28,30 +29,30 @@ q("src21_file_lines", "SELECT repo, file, line_no, length(text) AS n FROM repo_l
 q("prj03_leak_row", "SELECT id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS leak_type, length(text) AS n FROM (SELECT doc_id AS id, text FROM documents)", lambda s, d: V.table(s, d, "documents"))(lambda d: d.select(c("doc_id").alias("id"), T.truncated(c("text")).alias("leak_type"), F.length("text").alias("n")))
 q("flt02_deepscan_candidates", "SELECT id, url FROM incidents WHERE result = 5 AND url LIKE 'https://github.com/%'")(lambda d: d.where((c("result") == 5) & P.valid_repo_host(c("url"))).select("id", "url"))
 q("flt03_rescan_candidates", "SELECT id, url FROM incidents WHERE result = 4 AND url LIKE 'https://github.com/%'")(lambda d: d.where((c("result") == 4) & P.valid_repo_host(c("url"))).select("id", "url"))
-q("flt05_size_gate", "SELECT p_partkey, p_size FROM part WHERE p_size <= 30", lambda s, d: V.table(s, d, "part"))(lambda d: d.where("p_size <= 30").select("p_partkey", "p_size"))
-q("flt12_serious", "SELECT id, level FROM incidents WHERE level >= 2")(lambda d: d.where("level >= 2").select("id", "level"))
+q("flt05_size_gate", "SELECT p_partkey, p_size FROM part WHERE p_size <= 30", lambda s, d: V.table(s, d, "part"))(lambda d: O.small_enough(d.select("p_partkey", c("p_size").alias("size")), 30).select("p_partkey", c("size").alias("p_size")))
+q("flt12_serious", "SELECT id, level FROM incidents WHERE level >= 2")(lambda d: R.serious(d).select("id", "level"))
 
 # joins
 q("j01_anti_known", "SELECT id, url FROM incidents a WHERE NOT EXISTS (SELECT 1 FROM incidents b WHERE b.level = 3 AND b.url = a.url)")(lambda d: D.unseen(d.select("id", "url"), d.where("level = 3"), "url"))
 q("j02_anti_excluded", "SELECT id, url FROM incidents WHERE NOT regexp_matches(url, '^https://[a-z.]+/org(1|2|3)/.*$')")(lambda d: d.where(~c("url").rlike("^https://[a-z.]+/org(1|2|3)/.*$")).select("id", "url"))
-q("j03_semi_stats", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')", tables("lineitem", "orders"))(lambda t: t[0].join(t[1].where("o_orderstatus = 'F'"), c("l_orderkey") == c("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber"))
+q("j03_semi_stats", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')", tables("lineitem", "orders"))(lambda t: O.of_leaks(t[0].select("l_orderkey", "l_linenumber"), t[1].where("o_orderstatus = 'F'").select(c("o_orderkey").alias("id")), "l_orderkey"))
 q("j05_company_name", "SELECT id, coalesce(s_name, CASE company_id WHEN 1 THEN 'first' END, 'company_' || company_id) AS name FROM incidents LEFT JOIN supplier ON s_suppkey = company_id AND s_suppkey > 5", tables("incidents", "supplier"))(lambda t: t[0].join(t[1].where("s_suppkey > 5"), c("s_suppkey") == c("company_id"), "left").select("id", F.coalesce("s_name", F.when(c("company_id") == 1, "first"), F.concat(F.lit("company_"), "company_id")).alias("name")))
-q("j06_company_of_leak", "SELECT o_orderkey, coalesce(company_id, 1) AS company_id FROM orders LEFT JOIN incidents ON id = o_orderkey", tables("orders", "incidents"))(lambda t: t[0].join(t[1], c("id") == c("o_orderkey"), "left").select("o_orderkey", F.coalesce("company_id", F.lit(1)).alias("company_id")))
+q("j06_company_of_leak", "SELECT o_orderkey, coalesce(company_id, 1) AS company_id FROM orders LEFT JOIN incidents ON id = o_orderkey", tables("orders", "incidents"))(lambda t: O.company_of(t[0].select("o_orderkey"), t[1], "o_orderkey").select("o_orderkey", "company_id"))
 q("j08_bridge", "SELECT o_custkey, list_sort(list_distinct(list(n_name))) AS names FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY o_custkey", tables("orders", "customer", "nation"))(lambda t: t[0].join(t[1], c("o_custkey") == c("c_custkey")).join(t[2], c("c_nationkey") == c("n_nationkey")).groupBy("o_custkey").agg(F.array_sort(F.collect_set("n_name")).alias("names")))
-q("j09_term_product", "SELECT DISTINCT n_name || ' ' || r_name AS term FROM nation, region WHERE n_nationkey >= 3", tables("nation", "region"))(lambda t: t[0].where("n_nationkey >= 3").crossJoin(F.broadcast(t[1])).select(F.concat_ws(" ", "n_name", "r_name").alias("term")).distinct())
+q("j09_term_product", "SELECT DISTINCT n_name || ' ' || r_name AS term FROM nation, region WHERE n_nationkey >= 3", tables("nation", "region"))(lambda t: L.products(t[0].where("n_nationkey >= 3").select(c("n_name").alias("term")), t[1].select(c("r_name").alias("term"))))
 q("j10_token_in_text", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') OR contains(lower(text), 'une')", lambda s, d: V.table(s, d, "documents"))(lambda d: d.where(F.exists(F.array(F.lit("the"), F.lit("une")), lambda t: F.contains(F.lower("text"), t))).select("doc_id"))
 q("j13_upsert", "SELECT id, max_by(level, src) AS level, max_by(result, src) AS result FROM (SELECT id, level, result, 0 AS src FROM incidents WHERE id % 3 > 0 UNION ALL SELECT id, level + 1, result, 1 FROM incidents WHERE id % 2 = 0) GROUP BY id")(lambda d: D.upsert(d.where("id % 3 > 0").select("id", "level", "result"), d.where("id % 2 = 0").select("id", (c("level") + 1).alias("level"), "result"), "id", ["level", "result"]))
 q("j15_line_lookup", "SELECT f.file, r.line_no, length(r.text) AS n FROM (SELECT DISTINCT file FROM findings WHERE rule = 'licence') f JOIN repo_lines r ON r.file = f.file AND r.line_no = 0", tables("findings", "repo_lines"))(lambda t: t[0].where("rule = 'licence'").select("file").distinct().join(t[1].where("line_no = 0"), "file").select("file", "line_no", F.length("text").alias("n")))
 
 # aggregates
-q("agg01_count", "SELECT count(*) AS cnt FROM incidents")(lambda d: d.agg(F.count("*").alias("cnt")))
-q("agg02_by_result", "SELECT CAST(result AS VARCHAR) AS result, count(*) AS cnt FROM incidents GROUP BY 1")(lambda d: R.counts_by(d, c("result").cast("string").alias("result")))
+q("agg01_count", "SELECT count(*) AS cnt FROM incidents")(R.total)
+q("agg02_by_result", "SELECT CAST(result AS VARCHAR) AS result, count(*) AS cnt FROM incidents GROUP BY 1")(R.by_status)
 q("agg03_top_types", "SELECT leak_type, count(*) AS cnt FROM incidents GROUP BY 1 ORDER BY cnt DESC, leak_type LIMIT 3")(lambda d: R.top_types(d, 3))
 q("agg04_by_level", "SELECT level, count(*) AS cnt FROM incidents GROUP BY 1")(lambda d: R.counts_by(d, "level"))
-q("agg05_avg_level", "SELECT coalesce(avg(level), 0.0) AS avg_level FROM incidents")(lambda d: d.agg(F.coalesce(F.avg("level"), F.lit(0.0)).alias("avg_level")))
-q("agg06_distinct_companies", "SELECT count(DISTINCT CASE WHEN company_id <> 0 THEN company_id END) AS n FROM incidents")(lambda d: d.agg(F.countDistinct(F.when(c("company_id") != 0, c("company_id"))).alias("n")))
-q("agg07_distinct_urls", "SELECT count(DISTINCT url) AS n FROM incidents")(lambda d: d.agg(F.countDistinct("url").alias("n")))
-q("agg08_daily", "SELECT CAST(found_at AS DATE) AS day, count(*) AS cnt FROM incidents GROUP BY 1")(lambda d: R.counts_by(d, F.to_date("found_at").alias("day")))
+q("agg05_avg_level", "SELECT coalesce(avg(level), 0.0) AS avg_level FROM incidents")(R.average_level)
+q("agg06_distinct_companies", "SELECT count(DISTINCT CASE WHEN company_id <> 0 THEN company_id END) AS n FROM incidents")(R.distinct_companies)
+q("agg07_distinct_urls", "SELECT count(DISTINCT url) AS n FROM incidents")(R.distinct_urls)
+q("agg08_daily", "SELECT CAST(found_at AS DATE) AS day, count(*) AS cnt FROM incidents GROUP BY 1")(R.daily)
 q("agg10_basic_stats", "SELECT count(*) AS total, coalesce(avg(level), 0.0) AS avg_level, count(*) FILTER (level >= 2) AS serious, count(*) FILTER (level >= 3) AS critical, count(DISTINCT CASE WHEN company_id <> 0 THEN company_id END) AS companies, count(DISTINCT url) AS urls FROM incidents")(R.basic_stats)
 q("agg12_peak_hour", "SELECT CAST(h AS INTEGER) AS peak_hour FROM (SELECT hour(found_at) AS h, count(*) AS c FROM incidents GROUP BY 1) ORDER BY c DESC, h LIMIT 1")(R.peak_hour)
 _CATEGORY = "CASE WHEN regexp_matches(upper(leak_type), 'API|KEY') THEN 'API Keys' WHEN regexp_matches(upper(leak_type), 'DATABASE|DB{}') THEN 'Database Credentials' WHEN regexp_matches(upper(leak_type), 'PRIVATE|RSA{}') THEN 'Private Keys' WHEN regexp_matches(upper(leak_type), 'DEBUG|LOG') THEN 'Debug Information' ELSE 'Other' END"
@@ -79,9 +80,9 @@ q("rpt_template_metrics", "SELECT round(count(*) FILTER (result = 1) * 100.0::DO
 _by = ["repo", "rule"]
 q("win01_numbering", "SELECT repo, file, rule, seq, row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) - 1 AS leak_no FROM findings", V.findings)(lambda d: D.numbered(d, _by, ["file", "seq"]).drop("match"))
 q("win03_cap_per_scanner", "SELECT repo, file, rule, seq FROM findings QUALIFY row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) <= 3", V.findings)(lambda d: D.capped(d, _by, ["file", "seq"], 3).drop("match"))
-q("win08_first_line", "SELECT repo, min_by(match, lpad(CAST(file AS VARCHAR), 20, '0') || lpad(CAST(seq AS VARCHAR), 9, '0') || rule) AS match FROM findings GROUP BY repo", V.findings)(lambda d: d.groupBy("repo").agg(F.min_by("match", F.struct("file", "seq", "rule")).alias("match")))
-q("win09_share", "SELECT level, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM incidents GROUP BY level")(lambda d: R.counts_by(d, "level").select("level", F.round(c("cnt") / F.sum("cnt").over(W.partitionBy()), 6).alias("share")))
-q("srt04_top_leaks", "SELECT id, level, found_at FROM incidents ORDER BY level DESC, found_at DESC, id LIMIT 10")(lambda d: d.orderBy(F.desc("level"), F.desc("found_at"), "id").limit(10).select("id", "level", "found_at"))
+q("win08_first_line", "SELECT repo, min_by(match, lpad(CAST(file AS VARCHAR), 20, '0') || lpad(CAST(seq AS VARCHAR), 9, '0') || rule) AS match FROM findings GROUP BY repo", V.findings)(lambda d: R.first_matches(d, ["file", "seq", "rule"]))
+q("win09_share", "SELECT level, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM incidents GROUP BY level")(R.level_shares)
+q("srt04_top_leaks", "SELECT id, level, found_at FROM incidents ORDER BY level DESC, found_at DESC, id LIMIT 10")(lambda d: R.top_leaks(d).select("id", "level", "found_at"))
 q("set01_union", "SELECT rule, match FROM findings WHERE rule = 'email' UNION ALL SELECT rule, match FROM findings WHERE rule = 'ipv4'", V.findings)(lambda d: d.where("rule = 'email'").select("rule", "match").unionByName(d.where("rule = 'ipv4'").select("rule", "match")))
 q("set05_except", "SELECT url FROM incidents WHERE level > 0 EXCEPT SELECT url FROM incidents WHERE level = 0")(lambda d: d.where("level > 0").select("url").subtract(d.where("level = 0").select("url")))
 q("ded01_lines", "SELECT file, line_no FROM repo_lines QUALIFY row_number() OVER (PARTITION BY file, lower(trim(text)) ORDER BY line_no) = 1", V.repo_lines)(lambda d: D.first_seen(d, ["file", F.lower(F.trim("text"))], ["line_no"]).select("file", "line_no"))

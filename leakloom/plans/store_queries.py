@@ -22,7 +22,7 @@ _ids = "row_number() OVER (ORDER BY left(md5({k}), 3), {k})"
 
 # requests and writes
 q("src07_request", "SELECT s_suppkey AS id, s_name AS company_name, s_name AS name FROM supplier ORDER BY id LIMIT 20 OFFSET 2", _by_table("supplier"))(lambda d: O.request({"companies": d.select(c("s_suppkey").alias("id"), c("s_name").alias("company_name"))}, "company", {}, 20, 2))
-q("src05_bulk_lookup", "SELECT b.url, min(a.id) AS id FROM (SELECT DISTINCT url FROM incidents WHERE level = 3) b LEFT JOIN incidents a ON a.url = b.url AND a.level = 0 GROUP BY b.url")(lambda d: d.where("level = 3").select("url").distinct().join(d.where("level = 0").groupBy("url").agg(F.min("id").alias("id")), "url", "left"))
+q("src05_bulk_lookup", "SELECT b.url, min(a.id) AS id FROM (SELECT DISTINCT url FROM incidents WHERE level = 3) b LEFT JOIN incidents a ON a.url = b.url AND a.level = 0 GROUP BY b.url")(lambda d: O.ids_of(d.where("level = 3"), d.where("level = 0")))
 q("src06_last_list", "SELECT company_id, unnest(string_split(dork, ', ')) AS term FROM (SELECT id % 20 AS company_id, max_by(leak_type || ', ' || url, id) AS dork FROM incidents GROUP BY 1)")(lambda d: O.current_terms(d.select("id", (c("id") % 20).alias("company_id"), F.base64(F.encode(F.concat_ws(", ", "leak_type", "url"), "UTF-8")).alias("dork"))))
 q("snk01_inserted", f"SELECT s_suppkey AS id, s_name AS account, 0 AS need_monitor FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + {_ids.format(k='account')}, account, need_monitor FROM (SELECT c_name AS account, c_custkey % 2 AS need_monitor FROM customer)", tables("supplier", "customer"))(
     lambda t: O.inserted(t[0].select(c("s_suppkey").alias("id"), c("s_name").alias("account"), F.lit(0).cast("long").alias("need_monitor")), t[1].select(c("c_name").alias("account"), (c("c_custkey") % 2).alias("need_monitor"), c("c_custkey").alias("seq")).unionByName(t[0].select(c("s_name").alias("account"), F.lit(9).cast("long").alias("need_monitor"), F.lit(0).cast("long").alias("seq"))), "account")
@@ -217,3 +217,5 @@ q("j05_fallback_names", "SELECT id, CASE WHEN id % 9 = 0 THEN 'own' ELSE coalesc
     lambda t: t[0].join(t[1].where("s_suppkey not in (2, 3)"), c("s_suppkey") == c("company_id"), "left").select("id", O.company_name(c("s_name"), F.when(c("id") % 9 == 0, "own").otherwise(c("company_id").cast("string"))).alias("name"))
 )
 q("src03_url_ids", "SELECT url, max_by(result, id) AS result, max(id) AS id FROM incidents WHERE level > 0 GROUP BY url")(lambda d: D.latest(d.where("level > 0").select("url", "result", "id"), "url", "id"))
+q("j08_account_names", "SELECT o_custkey AS leak_id, list_sort(list_distinct(list(o_orderpriority))) AS names FROM orders GROUP BY 1", _by_table("orders"))(lambda d: O.account_names(d.select(c("o_custkey").alias("leak_id"), c("o_orderkey").alias("account_id")), d.select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("account"))))
+q("j15_lines_of", "SELECT f.file, f.seq AS line_no, length(r.text) AS n FROM findings f LEFT JOIN repo_lines r ON r.file = f.file AND r.line_no = f.seq WHERE f.rule = 'email'", tables("findings", "repo_lines"))(lambda t: O.lines_of(t[0].where("rule = 'email'").select("file", c("seq").alias("line_no")), t[1]).select("file", "line_no", F.length("text").alias("n")))

@@ -57,6 +57,14 @@ def product_terms(terms: DataFrame, base: list[str], skip: int = 3) -> DataFrame
     return rows.distinct().join(terms.select("company_id", "term").distinct(), ["company_id", "term"], "left_anti")
 
 
+def products(terms: DataFrame, others: DataFrame, column: str = "term", most: int = MOST_PATTERNS) -> DataFrame:
+    """term: each term followed by each of the others, once. The others are a short list; more than ``most`` are an error."""
+    second = [r[0] for r in others.select(column).distinct().limit(most + 1).collect()]
+    if len(second) > most:
+        raise ValueError(f"more than {most} terms to combine with")
+    return terms.select(F.explode(F.array(*(F.concat(F.col(column), F.lit(f" {x}")) for x in sorted(second)))).alias("term")).distinct() if second else terms.select(F.col(column).alias("term")).limit(0)
+
+
 def overridden(config: DataFrame, stored: DataFrame, key: str = "company_id") -> DataFrame:
     """Rows of the configuration, but the stored ones of every company that has such."""
     return stored.unionByName(config.join(stored.select(key).distinct(), key, "left_anti").select(*stored.columns))

@@ -77,9 +77,9 @@ def evicted(cache: DataFrame, keep: int) -> DataFrame:
 
 def cache_stats(cache: DataFrame, uses: DataFrame, max_bytes: int) -> DataFrame:
     """One row: repo_count, total_size_bytes, usage_percent, cache_hits, cache_misses, cache_hit_rate; shares of nothing are 0."""
-    size = cache.agg(F.count("*").alias("repo_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"))
-    hits = uses.agg(F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses"))
-    both = size.crossJoin(hits)  # one row each
+    size = cache.agg(F.lit(1).alias("one"), F.count("*").alias("repo_count"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"))
+    hits = uses.agg(F.lit(1).alias("one"), F.count_if("hit").alias("cache_hits"), F.count_if(~F.col("hit")).alias("cache_misses"))
+    both = size.join(hits, "one").drop("one")  # one row each
     rate = F.col("cache_hits") * 100 / F.greatest(F.col("cache_hits") + F.col("cache_misses"), F.lit(1))
     return both.withColumn("usage_percent", F.col("total_size_bytes") * 100 / max_bytes if max_bytes > 0 else F.lit(0.0)).withColumn("cache_hit_rate", rate)
 
