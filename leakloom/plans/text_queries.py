@@ -10,6 +10,7 @@ from leakloom.functions import text as T
 from leakloom.operators import analysis as A
 from leakloom.operators import findings as N
 from leakloom.operators import tables as D
+from leakloom.sources import captures as C
 
 from . import sql
 from . import views as V
@@ -126,3 +127,26 @@ _RECURSIVE = ORACLE_VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + ", "
 ORACLE_SQL["ded05_committers"] = _RECURSIVE + _STEP.format(n="name", e="email") + " SELECT o.repo, o.name, o.email, o.seq FROM o JOIN r USING (repo, i) WHERE keep"
 q("ded05_ordered", None, V.committers)(lambda d: D.committers_first_seen(d.select("repo", F.concat(F.lit("n"), c("id") * 3 % 7).alias("name"), F.concat(F.lit("e"), c("id") % 11).alias("email"), c("id").alias("seq"))))
 ORACLE_SQL["ded05_ordered"] = _RECURSIVE + _STEP.format(n="'n' || (id * 3 % 7)", e="'e' || (id % 11)") + " SELECT o.repo, o.name, o.email, o.seq FROM o JOIN r USING (repo, i) WHERE keep"
+
+# captures of scanners, as they write them, one for each repository
+_s = F.struct
+_whole = lambda d, x: d.groupBy("repo").agg(F.collect_list(x).alias("x")).select(F.to_json("x").alias("value"))
+q("src23_gitleaks", "SELECT 'gitleaks' AS scanner, path AS file, match, 'V:' || (seq % 7) || '-' || (seq % 7 + 1) || ';H:1-2;' AS position, rule FROM repo_findings WHERE match <> ''", V.repo_findings)(
+    lambda d: C.gitleaks_rows(_whole(d, _s((c("seq") % 7).alias("StartLine"), (c("seq") % 7 + 1).alias("EndLine"), F.lit(1).alias("StartColumn"), F.lit(2).alias("EndColumn"), F.when(c("seq") % 2 == 0, c("match")).otherwise("").alias("Match"), c("match").alias("Secret"), c("path").alias("File"), c("rule").alias("RuleID"))))
+)
+q("src24_git_secrets", "SELECT 'gitsecrets' AS scanner, 'f' || file AS file, trim(match) AS match, CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) END AS position, NULL AS rule FROM findings WHERE length(trim(match)) >= 3 AND (seq % 2 = 0 OR NOT contains(match, ':'))", V.findings)(
+    lambda d: C.git_secrets_rows(d.where("seq % 2 = 0 or not contains(match, ':')").select(F.concat_ws(":", F.concat(F.lit("f"), "file"), F.when(c("seq") % 2 == 0, c("seq")).cast("string"), "match").alias("value")).unionByName(d.select(F.lit("Usage: git-secrets").alias("value"))))
+)
+q("src25_detect_secrets", "SELECT 'detect_secrets' AS scanner, r.file, r.text AS match, CAST(f.seq AS VARCHAR) AS position, f.rule, f.seq % 2 = 0 AS verified FROM findings f LEFT JOIN (SELECT CAST(file AS VARCHAR) AS file, line_no, text FROM repo_lines) r ON r.file = CAST(f.file AS VARCHAR) AND r.line_no = f.seq", tables("findings", "repo_lines"))(
+    lambda t: C.detect_secrets_rows(t[0].groupBy("file").agg(F.collect_list(_s(c("rule").alias("type"), c("seq").alias("line_number"), (c("seq") % 2 == 0).alias("is_verified"))).alias("x")).select(F.to_json(_s(F.create_map(c("file").cast("string"), "x").alias("results"))).alias("value")), t[1].select(c("file").cast("string").alias("file"), "line_no", "text"))
+)
+q("src26_kingfisher", "SELECT 'kingfisher' AS scanner, path AS file, match, CAST(CAST(seq % 9 AS INT) AS VARCHAR) AS position, rule FROM repo_findings", V.repo_findings)(
+    lambda d: C.kingfisher_rows(d.groupBy("repo", "rule").agg(F.collect_list(_s(_s(c("path").alias("path"), (c("seq") % 9).alias("line"), c("match").alias("snippet")).alias("finding"))).alias("matches")).groupBy("repo").agg(F.collect_list(_s(c("rule").alias("id"), "matches")).alias("findings_by_rule")).select(F.to_json(_s("findings_by_rule")).alias("value")).unionByName(d.select(F.lit("a line of its log").alias("value"))))
+)
+q("src27_deepsecrets", "SELECT 'deepsecrets' AS scanner, CAST(file AS VARCHAR) AS file, left(match, 100) AS match FROM findings QUALIFY row_number() OVER (PARTITION BY file, left(match, 100) ORDER BY rule, seq) = 1", V.findings)(
+    lambda d: C.deepsecrets_rows(d.groupBy("file").agg(F.array_sort(F.collect_list(_s("rule", "seq", c("match").alias("line")))).alias("x")).select(c("file").cast("string").alias("capture"), F.to_json(F.create_map(c("file").cast("string"), F.transform("x", lambda x: _s(x["line"].alias("line"))))).alias("value"))).select("scanner", "file", "match")
+)
+q("src28_trufflehog", "SELECT 'trufflehog' AS scanner, path AS file, match, 'c' || repo AS position, rule, seq % 2 = 0 AS verified FROM repo_findings", V.repo_findings)(
+    lambda d: C.trufflehog_rows(d.groupBy("repo").agg(F.array_join(F.collect_list(F.to_json(_s(c("rule").alias("DetectorName"), (c("seq") % 2 == 0).alias("Verified"), c("match").alias("RawV2"), F.lit("}{ in a string").alias("Raw"), _s(_s(_s(c("path").alias("file"), F.concat(F.lit("c"), "repo").alias("commit")).alias("Git")).alias("Data")).alias("SourceMetadata")))), "").alias("value")))
+)
+q("src08_url_list", "SELECT url FROM incidents WHERE contains(url, 'github.com')")(lambda d: C.url_rows(d.select(F.concat(F.lit(" "), "url", F.lit("  ")).alias("value")).unionByName(d.select(F.concat(F.lit("//"), "url").alias("value")))))
