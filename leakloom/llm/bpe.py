@@ -1,12 +1,13 @@
 """BPE by distinct-word tables.
 
-A text is split into the tokenizer's words; each distinct word is encoded once per Python worker into a
-table (word -> ids), and a text's ids are joined from it by position. Splitting has two ways with equal
-results: patterns over explicit Latin-1 classes for texts that fit Latin-1 (where NFC changes nothing),
-and the tokenizers library's own normaliser and pre-tokeniser for all other texts.
-
-The table is per worker and bounded. One global table would need every (document, position, word) to be
-shuffled, about three times the input; words recur so often that workers encode few of them again.
+Spark splits the texts of a part (one task's, one after another until PART_CHARS) into the tokenizer's words; a text becomes
+the numbers of its words in its part's list, small numbers for frequent words. The lists are dealt by word, each distinct
+word is encoded once, the ids go back to the lists, and each part's texts take theirs by position; ids become text again
+by an id-to-piece table. Lists and numbers travel packed, so what moves is each part's distinct words and about a byte and
+a half for each word of text. Splitting has two ways with equal results: patterns over explicit Latin-1 classes for texts
+that fit Latin-1 (where NFC changes nothing), and the tokenizers library's own normaliser and pre-tokeniser for all others.
+
+WordTable is the same table inside one worker, bounded, for operators that need ids of whole texts as they come.
 """
 
 from __future__ import annotations
@@ -14,20 +15,25 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_documents, with_columns
+from .common import Scratch, give_back, map_documents, with_columns
 
 #: Words a worker's table holds at most; a full table is emptied.
 TABLE_WORDS = 300_000
+#: Characters of text that share one list of distinct words; texts whose numbers are packed together.
+PART_CHARS, ROW_TEXTS = 1 << 25, 512
 #: Characters of text whose prefix tables a worker holds at once.
 TABLE_CHARS = 1 << 19
 #: Bits of a token id in a pair of ids.
@@ -71,10 +77,15 @@ class WordTable(dict):
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.hint = min((s[:2] for s in self.special), default="\0")
 
-    def __missing__(self, word: str) -> bytes:
+    def encode(self, word: str) -> bytes:
+        """Ids of one split word, or of a special token behind two NULs."""
+        if word.startswith("\0\0"):
+            return self.special[word[2:]]
         mapped = word[1:] if word[0] == "\0" else "".join(_LETTER[b] for b in word.encode())
-        got = np.array([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
-        self[word] = got
+        return np.array([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = got = self.encode(word)
         return got
 
     def parts(self, text: str) -> Iterator[tuple[bool, str]]:
@@ -119,43 +130,160 @@ def _tables(path: str, cache: dict = {}) -> WordTable:  # noqa: B006  a worker k
     return cache[path]
 
 
-def _decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
-    """Id-to-piece join by position. The word tokenizer file names no decoder, so pieces are separated by one space."""
-    return b" ".join([pieces[i] for i in ids.tolist()])
+class Numbers(dict):
+    """Word -> its number, in order of first appearance."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-def bpe_encode_decode(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded string: whole texts encoded and decoded (special tokens kept).
 
-    Null is the empty text: no ids, empty decoding. Repeated rows stay, other columns are ignored."""
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers byte plane by byte plane, compressed: the upper planes of small numbers are nearly nothing."""
+    return squeeze(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def squeeze(b: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b)
+
+
+def expand(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
+_SPLIT = ["part", "doc_ids", "lengths", "numbers", "bucket", "sizes", "words"]
+
+
+def _numbered(path: str, buckets: int):
+    """Rows (part, doc_ids, lengths, numbers) of ROW_TEXTS texts and (part, numbers, bucket, sizes, words) of a part's
+    distinct words, by number; these numbers are differences."""
+
+    def close(part: int, texts: list[tuple], known: Numbers) -> Iterator[pd.DataFrame]:
+        flat = np.concatenate([n for _, n in texts]) if texts else np.zeros(0, np.int64)
+        order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")  # frequent words first
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        rows = []
+        for a in range(0, len(texts), ROW_TEXTS):
+            some = texts[a : a + ROW_TEXTS]
+            rows.append((part, [d for d, _ in some], pack(np.array([len(n) for _, n in some])), pack(rank[np.concatenate([n for _, n in some])]), None, None, None))
+        words = [w.encode() for w in known]
+        words = [words[i] for i in order.tolist()]
+        dealt = np.array([zlib.crc32(w) for w in words], np.int64) % buckets
+        for b in np.unique(dealt).tolist():
+            own = np.flatnonzero(dealt == b)
+            mine = [words[i] for i in own.tolist()]
+            rows.append((part, None, None, pack(np.diff(own, prepend=0)), b, pack(np.array([len(w) for w in mine])), squeeze(b"".join(mine))))
+        yield pd.DataFrame(rows, columns=_SPLIT).astype({"bucket": "Int32"})
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = _tables(path)
-        pieces = table.pieces()
+        table, part = _tables(path), TaskContext.get().partitionId() << 32
+        texts, size, known = [], 0, Numbers()
         for pdf in batches:
-            ids = [np.frombuffer(table.ids(t), "<u4") for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [i.astype(np.int32) for i in ids], "decoded": [_decode(i, pieces).decode() for i in ids]})
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                if size > PART_CHARS:
+                    yield from close(part, texts, known)
+                    part, texts, size, known = part + 1, [], 0, Numbers()
+                numbers: list[int] = []
+                for special, piece in table.parts(text or ""):
+                    numbers += map(known.__getitem__, ["\0\0" + piece] if special else table.words(piece))
+                texts.append((doc_id, np.array(numbers, np.uint32)))
+                size += len(text or "")
+        if texts:
+            yield from close(part, texts, known)
 
-    return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, ids array<int>, decoded string")
+    return run
 
 
-def bpe_digests(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: as bpe_encode_decode, with digests in place of the long columns."""
+def _encode_lists(path: str):
+    """Lists of words, sorted by bucket -> the same with each word's ids; a word of a bucket is encoded once."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = _tables(path)
-        pieces = table.pieces()
-        decimal = [b"%d" % i for i in range(len(pieces))]
+        table, bucket, known = _tables(path), None, {}
         for pdf in batches:
             rows = []
-            for t in pdf["text"]:
-                ids = np.frombuffer(table.ids(t), "<u4").tolist()
-                rows.append((len(ids), hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest(), hashlib.sha256(b" ".join([pieces[i] for i in ids])).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
-
-    return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for part, b, numbers, sizes, words in zip(pdf["part"], pdf["bucket"], pdf["numbers"], pdf["sizes"], pdf["words"], strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                text, at, got = expand(words), 0, []
+                for n in unpack(sizes).tolist():
+                    w = text[at : at + n]
+                    at += n
+                    if w not in known:
+                        known[w] = table.encode(w.decode())
+                    got.append(known[w])
+                rows.append((part, numbers, pack(np.array([len(g) // 4 for g in got])), pack(np.frombuffer(b"".join(got), "<u4"))))
+            yield pd.DataFrame(rows, columns=["part", "numbers", "sizes", "ids"])
+
+    return run
+
+
+def _encoded(documents: DataFrame, path: str, finish: Callable, schema: str) -> DataFrame:
+    """finish(doc_ids, numbers, ids) for each part: rows of ``schema`` from its texts' word numbers and its words' ids."""
+    scratch = Scratch(documents.sparkSession)
+    buckets = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = with_columns(documents, doc_id="long", text="string")
+    split = scratch.keep(map_documents(docs, _numbered(path, buckets), "part long, doc_ids array<string>, lengths binary, numbers binary, bucket int, sizes binary, words binary"), "split")
+    lists = split.where("bucket is not null").select("part", "bucket", "numbers", "sizes", "words")
+    back = lists.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_encode_lists(path), "part long, numbers binary, sizes binary, ids binary")
+
+    def of_part(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        places = [np.cumsum(unpack(n), dtype=np.int64) for n in right["numbers"]]
+        ids: list = [None] * sum(map(len, places))
+        for own, sizes, packed in zip(places, right["sizes"], right["ids"], strict=True):
+            flat, cuts = unpack(packed), np.cumsum(unpack(sizes)).tolist()
+            for k, a, b in zip(own.tolist(), [0, *cuts[:-1]], cuts, strict=True):
+                ids[k] = flat[a:b]
+        numbers = [n for lengths, own in zip(left["lengths"], left["numbers"], strict=True) for n in np.split(unpack(own), np.cumsum(unpack(lengths))[:-1])]
+        out = finish([d for ds in left["doc_ids"] for d in ds], numbers, ids)
+        give_back()
+        return out
+
+    carried = schema.replace("doc_id long", "doc_id string")
+    texts = split.where("bucket is null").select("part", "doc_ids", "lengths", "numbers")
+    out = texts.groupBy("part").cogroup(back.groupBy("part")).applyInPandas(of_part, carried)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _joined(numbers: np.ndarray, words: list[bytes]) -> bytes:
+    """The words of these numbers, by position, with a space between; words without ids are empty and leave none."""
+    return b" ".join([w for k in numbers.tolist() if (w := words[k])])
+
+
+def bpe_encode_decode(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids array<int>, decoded string: whole texts encoded and decoded (special tokens kept).
+
+    The word tokenizer's file names no decoder, so decoding writes its pieces with a space between. Null is the empty text:
+    no ids, empty decoding. Repeated rows stay, other columns are ignored; an empty table gives no rows. A part's texts
+    are in one task; a text longer than PART_CHARS is a part's last."""
+    pieces = documents.sparkSession.sparkContext.broadcast(WordTable(path).pieces())
+
+    def finish(doc_ids: list, numbers: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
+        words = [b" ".join([pieces.value[i] for i in own.tolist()]) for own in ids]
+        encoded = [np.concatenate([ids[k] for k in own.tolist()] or [np.zeros(0, "<u4")]).astype(np.int32) for own in numbers]
+        return pd.DataFrame({"doc_id": doc_ids, "ids": encoded, "decoded": [_joined(own, words).decode() for own in numbers]})
+
+    return _encoded(documents, path, finish, "doc_id long, ids array<int>, decoded string")
+
+
+def bpe_digests(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: as bpe_encode_decode, with digests in place of the long columns."""
+    pieces = documents.sparkSession.sparkContext.broadcast(WordTable(path).pieces())
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def finish(doc_ids: list, numbers: list[np.ndarray], ids: list[np.ndarray]) -> pd.DataFrame:
+        size = np.array([len(own) for own in ids], np.int64)
+        words = [b" ".join([pieces.value[i] for i in own.tolist()]) for own in ids]
+        decimal = [b" ".join([b"%d" % i for i in own.tolist()]) for own in ids]
+        out = {"n_tokens": [int(size[own].sum()) if len(own) else 0 for own in numbers]}
+        out |= {"ids_sha256": [sha(_joined(own, decimal)) for own in numbers], "decoded_sha256": [sha(_joined(own, words)) for own in numbers]}
+        return pd.DataFrame({"doc_id": doc_ids} | out)
+
+    return _encoded(documents, path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 class Neighbours(dict):

@@ -65,10 +65,9 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
-    def small(self, df: DataFrame, name: str, most: int) -> DataFrame:
-        """df, cut off from its lineage: as rows of the driver if it has at most ``most``, else as keep does."""
-        rows = df.limit(most + 1).collect()
-        return self.spark.createDataFrame(rows, df.schema) if len(rows) <= most else self.keep(df, name)
+    def small(self, df: DataFrame, name: str, few: bool) -> DataFrame:
+        """df, cut off from its lineage: as rows of the driver if its caller knows them to be ``few``, else as keep does."""
+        return self.spark.createDataFrame(df.collect(), df.schema) if few else self.keep(df, name)
 
     def drop(self, *names: str) -> None:
         path, fs = self._fs()
@@ -126,7 +125,7 @@ def map_documents(docs: DataFrame, run: Callable[[Iterable[pd.DataFrame]], Itera
             yield from pa.Table.from_pandas(out[carried.names], schema=carried, preserve_index=False).to_batches()
 
     out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInArrow(arrow, schema.replace("doc_id long", "doc_id string"))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")) if "doc_id" in out.columns else out
 
 
 _M1, _M2, _P = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
