@@ -137,7 +137,7 @@ q("src23_gitleaks", "SELECT 'gitleaks' AS scanner, path AS file, match, 'V:' ||
 q("src24_git_secrets", "SELECT 'gitsecrets' AS scanner, 'f' || file AS file, trim(match) AS match, CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) END AS position, NULL AS rule FROM findings WHERE length(trim(match)) >= 3 AND (seq % 2 = 0 OR NOT contains(match, ':'))", V.findings)(
     lambda d: C.git_secrets_rows(d.where("seq % 2 = 0 or not contains(match, ':')").select(F.concat_ws(":", F.concat(F.lit("f"), "file"), F.when(c("seq") % 2 == 0, c("seq")).cast("string"), "match").alias("value")).unionByName(d.select(F.lit("Usage: git-secrets").alias("value"))))
 )
-q("src25_detect_secrets", "SELECT 'detect_secrets' AS scanner, r.file, r.text AS match, CAST(f.seq AS VARCHAR) AS position, f.rule, f.seq % 2 = 0 AS verified FROM findings f LEFT JOIN (SELECT CAST(file AS VARCHAR) AS file, line_no, text FROM repo_lines) r ON r.file = CAST(f.file AS VARCHAR) AND r.line_no = f.seq", tables("findings", "repo_lines"))(
+q("src25_detect_secrets", "SELECT 'detect_secrets' AS scanner, CAST(f.file AS VARCHAR) AS file, r.text AS match, CAST(f.seq AS VARCHAR) AS position, f.rule, f.seq % 2 = 0 AS verified FROM findings f LEFT JOIN (SELECT CAST(file AS VARCHAR) AS file, line_no, text FROM repo_lines) r ON r.file = CAST(f.file AS VARCHAR) AND r.line_no = f.seq", tables("findings", "repo_lines"))(
     lambda t: C.detect_secrets_rows(t[0].groupBy("file").agg(F.collect_list(_s(c("rule").alias("type"), c("seq").alias("line_number"), (c("seq") % 2 == 0).alias("is_verified"))).alias("x")).select(F.to_json(_s(F.create_map(c("file").cast("string"), "x").alias("results"))).alias("value")), t[1].select(c("file").cast("string").alias("file"), "line_no", "text"))
 )
 q("src26_kingfisher", "SELECT 'kingfisher' AS scanner, path AS file, match, CAST(CAST(seq % 9 AS INT) AS VARCHAR) AS position, rule FROM repo_findings", V.repo_findings)(
