@@ -188,3 +188,10 @@ q("srt06_corporate_committers", f", {_COMMITTERS} SELECT m.repo, m.id, m.name, m
 q("agg24_stats_summary_all", "SELECT count(*) AS n, round(avg(size), 6) AS avg_size, round(avg(forks_count), 6) AS avg_forks, round(avg(stargazers_count), 6) AS avg_stars FROM candidates WHERE repo IN (SELECT id % 37 FROM incidents WHERE level >= 2)", tables("candidates", "incidents"))(
     lambda t: t[0].join(t[1].where("level >= 2").select((c("id") % 37).alias("repo")).distinct(), "repo", "left_semi").agg(F.count("*").alias("n"), *(F.round(F.coalesce(F.avg(x), F.lit(0.0)), 6).alias(y) for x, y in (("size", "avg_size"), ("forks_count", "avg_forks"), ("stargazers_count", "avg_stars"))))
 )
+q("set04_context_tokens", f", {_TOKENS} SELECT repo, list_sort(list_distinct(list_concat(tokens, dts))) AS t FROM tk", V.candidates)(lambda d: d.select("repo", F.array_sort(A.context_tokens()).alias("t")))
+q("cls14_email_score", f", e AS (SELECT id, lower(trim(string_split(email, '@')[-1])) AS domain, ['acme', 'mail', 'co', 'hub'] AS tokens, email FROM committers), s AS (SELECT *, regexp_extract(domain, '^(.*)\\.(?:com|ru|org|net|io|gov)$', 1) AS stem FROM e) SELECT id, {_MAIL}::DOUBLE AS score FROM s", V.committers)(
+    lambda d: d.select("id", A.email_score(c("email"), F.array(*map(F.lit, ("acme", "mail", "co", "hub")))).alias("score"))
+)
+q("cls13_domains", "SELECT k, shape, " + " OR ".join([f"suffix(d, 'zeta{x}.{t}')" for x in ["", *R.COMPANY_SUFFIXES] for t in ("com", "ru", "io")]) + " AS hit FROM (SELECT k, shape, ['zeta', 'x.zeta', 'zetabank', 'zetas', 'my-zeta', 'zeta-x', 'az'][CAST(k % 7 AS INT) + 1] || ['.com', '.ru', '.io', '.de', '.com.q'][CAST(shape % 5 AS INT) + 1] AS d FROM shapes)", V.shapes)(
+    lambda d: d.select("k", "shape", A.company_domain(F.concat(V._pick(("zeta", "x.zeta", "zetabank", "zetas", "my-zeta", "zeta-x", "az"), "k % 7"), V._pick((".com", ".ru", ".io", ".de", ".com.q"), "shape % 5")), F.lit("zeta")).alias("hit"))
+)

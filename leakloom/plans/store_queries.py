@@ -219,3 +219,12 @@ q("j05_fallback_names", "SELECT id, CASE WHEN id % 9 = 0 THEN 'own' ELSE coalesc
 q("src03_url_ids", "SELECT url, max_by(result, id) AS result, max(id) AS id FROM incidents WHERE level > 0 GROUP BY url")(lambda d: D.latest(d.where("level > 0").select("url", "result", "id"), "url", "id"))
 q("j08_account_names", "SELECT o_custkey AS leak_id, list_sort(list_distinct(list(o_orderpriority))) AS names FROM orders GROUP BY 1", _by_table("orders"))(lambda d: O.account_names(d.select(c("o_custkey").alias("leak_id"), c("o_orderkey").alias("account_id")), d.select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("account"))))
 q("j15_lines_of", "SELECT f.file, f.seq AS line_no, length(r.text) AS n FROM findings f LEFT JOIN repo_lines r ON r.file = f.file AND r.line_no = f.seq WHERE f.rule = 'email'", tables("findings", "repo_lines"))(lambda t: O.lines_of(t[0].where("rule = 'email'").select("file", c("seq").alias("line_no")), t[1]).select("file", "line_no", F.length("text").alias("n")))
+q("src12_rest_pages", "SELECT 'https://github.com/' || c_name AS url, 'o/' || c_name AS full_name, 'o' AS author_name, CAST(c_custkey % 90 AS INT) AS size FROM customer WHERE c_custkey // 10 % 4 <> 3", _cust)(
+    lambda t: G.rest_repos(_pages(t, _st(F.concat(F.lit("https://github.com/"), c("c_name")).alias("html_url"), F.concat(F.lit("o/"), c("c_name")).alias("full_name"), _st(F.lit("o").alias("login")).alias("owner"), (c("c_custkey") % 90).alias("size")), lambda n: _st(n.alias("items"), F.when(c("at") % 4 == 3, "rate limit").alias("message"))))
+)
+q("src20_commits", "SELECT repo, seq, name, email FROM (SELECT c_nationkey AS repo, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS seq, c_name AS name, lower(c_name) AS email FROM customer)", _by_table("customer"))(
+    lambda d: D.committers_first_seen(G.commits(d.groupBy(c("c_nationkey").alias("at")).agg(F.array_sort(F.collect_list(_st("c_custkey", _st(_st(c("c_name").alias("name"), F.lower("c_name").alias("email")).alias("author")).alias("commit")))).alias("x")).select("at", F.parse_json(F.to_json("x")).alias("page"))).withColumn("seq", c("seq").cast("long")))
+)
+q("str22_addresses", "SELECT id, regexp_matches(u, '^https?://(gist\\.)?github\\.com/[^/]+/.+') AS listed, regexp_matches(u, '^https?://([^/?#]+\\.)?github\\.com([/?#]|$)') AS hosted FROM (SELECT id, ['https://github.com/', 'http://gist.github.com/', 'https://z.github.com/', 'ftp://github.com/', 'https://gitlab.com/'][CAST(id % 5 AS INT) + 1] || ['a', 'a/b', 'a/b/c', ''][CAST(id // 5 % 4 AS INT) + 1] AS u FROM incidents)")(
+    lambda d: d.withColumn("u", F.concat(V._pick(("https://github.com/", "http://gist.github.com/", "https://z.github.com/", "ftp://github.com/", "https://gitlab.com/"), "id % 5"), V._pick(("a", "a/b", "a/b/c", ""), "floor(id / 5) % 4"))).select("id", P.valid_listed_url(c("u")).alias("listed"), P.valid_repo_host(c("u")).alias("hosted"))
+)
