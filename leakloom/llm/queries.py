@@ -38,7 +38,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
+    return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24, groups=True)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,18 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
 """
 
+#: CRC-32 of UTF-8 texts: the table by its rule, then a byte after the other.
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_SHARD_SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: {_CRC_STEP})) AS tab),
+b AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 8 AS size FROM documents),
+d AS (SELECT doc_id, size, md5(text) AS h, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM d),
+g AS (SELECT *, min(upto - size) OVER (PARTITION BY h) AS first, sum(size) OVER (PARTITION BY h) AS bytes, count(*) OVER (PARTITION BY h) AS n FROM p),
+s AS (SELECT *, CAST(least((CASE WHEN n > 1 AND bytes * 100 * 24 <= total THEN 2 * first + bytes ELSE 2 * upto - size END) * 24 // (2 * total), 23) AS INTEGER) AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
 ORACLE_SQL = {
     "op1_ngram_jaccard": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -113,4 +125,5 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 QUALIFY rank <= 20
 """,
     "op3_secrets": _SPAN_SQL,
+    "op5_shards": _SHARD_SQL,
 }
