@@ -120,7 +120,7 @@ q("agg22_labelled", f"SELECT category, cnt, severity, CASE category WHEN 'API Ke
 q("agg25_errors", "SELECT count(*) FILTER (bad) AS error_reports, count(*) FILTER (NOT bad) AS successful_reports, count(*) FILTER (level = 2) AS too_large_repo_errors FROM (SELECT level, level = 3 OR level = 2 OR contains(leak_type, 'debug') AS bad FROM incidents)")(
     lambda d: R.error_analysis(d.select(F.when(c("leak_type").contains("debug"), "an Error").otherwise("fine").alias("raw"), F.try_parse_json(F.when(c("level") == 3, '{"Thinks": "Not state"}').when(c("level") == 2, '{"filters": {"a": "Repo is Too Large"}}').otherwise("{}")).alias("ai")))
 )
-q("agg31_nested_keys", "SELECT repo, count(DISTINCT rule) + count(*) + sum(len(string_split(match, '.'))) AS keys FROM findings GROUP BY repo", V.findings)(lambda d: R.nested_keys(d.select("repo", c("rule").alias("scanner"), F.split("match", r"\.").alias("fields"))))
+q("agg31_nested_keys", "SELECT repo, CAST(count(DISTINCT rule) + count(*) + sum(len(string_split(match, '.'))) AS BIGINT) AS keys FROM findings GROUP BY repo", V.findings)(lambda d: R.nested_keys(d.select("repo", c("rule").alias("scanner"), F.split("match", r"\.").alias("fields"))))
 q("rpt04_risk_bars", "SELECT unnest(['high', 'medium', 'low']) AS level, unnest([h, m, l]) AS repos, unnest([round(h * 100.0::DOUBLE / (h + m + l), 1), round(m * 100.0::DOUBLE / (h + m + l), 1), round(l * 100.0::DOUBLE / (h + m + l), 1)]) AS share FROM (SELECT greatest(1, count(*) // 6) AS h, greatest(1, count(*) // 4) AS m, greatest(1, count(*) // 3) AS l FROM incidents)")(lambda d: R.risk_bars(d).select("level", "repos", "share"))
 q("rpt05_severity_label", "SELECT url, CASE WHEN avg(level) >= 2.5 THEN 'high' WHEN avg(level) >= 1.5 THEN 'medium' ELSE 'low' END AS label FROM incidents GROUP BY 1")(lambda d: d.groupBy("url").agg(R.severity_label(F.avg("level")).alias("label")))
 q("rpt06_month_bars", "SELECT month, round(incidents * 200.0::DOUBLE / max(incidents) OVER (), 1) AS incidents_height, round(resolved * 150.0::DOUBLE / greatest(1, max(resolved) OVER ()), 1) AS resolved_height FROM (SELECT strftime(found_at, '%Y-%m') AS month, count(*) AS incidents, count(*) FILTER (result = 1) AS resolved FROM incidents GROUP BY 1 ORDER BY 1 DESC LIMIT 12)")(lambda d: R.month_bars(d).select("month", "incidents_height", "resolved_height"))
@@ -157,7 +157,7 @@ q("stm04_queue", "SELECT id, state, CASE WHEN state = 'queued' THEN row_number()
 )
 _cache = lambda d: d.groupBy("url").agg(F.max("found_at").alias("last_access"), F.sum("level").alias("size_bytes"))
 q("stm09_evicted", "SELECT url FROM (SELECT url, max(found_at) AS t FROM incidents GROUP BY url) QUALIFY row_number() OVER (ORDER BY t DESC, url DESC) > 50")(lambda d: Q.evicted(_cache(d), 50).select("url"))
-q("agg37_cache", "SELECT count(*) AS repo_count, sum(s) AS total_size_bytes, sum(s) * 100.0::DOUBLE / 1000 AS usage_percent FROM (SELECT url, sum(level) AS s FROM incidents GROUP BY url)")(lambda d: Q.cache_stats(_cache(d), d.select((c("level") > 0).alias("hit")), 1000).select("repo_count", "total_size_bytes", "usage_percent"))
+q("agg37_cache", "SELECT count(*) AS repo_count, CAST(sum(s) AS BIGINT) AS total_size_bytes, sum(s) * 100.0::DOUBLE / 1000 AS usage_percent FROM (SELECT url, sum(level) AS s FROM incidents GROUP BY url)")(lambda d: Q.cache_stats(_cache(d), d.select((c("level") > 0).alias("hit")), 1000).select("repo_count", "total_size_bytes", "usage_percent"))
 q("agg38_status", f", a AS ({_QUOTA}) SELECT left(CAST(token AS VARCHAR), 12) || '...' AS token, token % 7 = 0 AS is_blocked, count(DISTINCT resource) AS n FROM a GROUP BY 1, 2", _by_table("events"))(
     lambda d: Q.status_report(Q.quotas(_answers(d)).withColumn("blocked_until", F.when(c("token") % 7 == 0, F.lit(10**9))).withColumn("consecutive_errors", F.lit(0)).withColumn("token", c("token").cast("string")), F.lit(2000)).select("token", "is_blocked", F.size("resources").cast("long").alias("n"))
 )

@@ -134,7 +134,7 @@ _whole = lambda d, x: d.groupBy("repo").agg(F.collect_list(x).alias("x")).select
 q("src23_gitleaks", "SELECT 'gitleaks' AS scanner, path AS file, match, 'V:' || (seq % 7) || '-' || (seq % 7 + 1) || ';H:1-2;' AS position, rule FROM repo_findings WHERE match <> ''", V.repo_findings)(
     lambda d: C.gitleaks_rows(_whole(d, _s((c("seq") % 7).alias("StartLine"), (c("seq") % 7 + 1).alias("EndLine"), F.lit(1).alias("StartColumn"), F.lit(2).alias("EndColumn"), F.when(c("seq") % 2 == 0, c("match")).otherwise("").alias("Match"), c("match").alias("Secret"), c("path").alias("File"), c("rule").alias("RuleID"))))
 )
-q("src24_git_secrets", "SELECT 'gitsecrets' AS scanner, 'f' || file AS file, trim(match) AS match, CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) END AS position, NULL AS rule FROM findings WHERE length(trim(match)) >= 3 AND (seq % 2 = 0 OR NOT contains(match, ':'))", V.findings)(
+q("src24_git_secrets", "SELECT 'gitsecrets' AS scanner, 'f' || file AS file, trim(match) AS match, CASE WHEN seq % 2 = 0 THEN CAST(seq AS VARCHAR) END AS position, CAST(NULL AS VARCHAR) AS rule FROM findings WHERE length(trim(match)) >= 3 AND (seq % 2 = 0 OR NOT contains(match, ':'))", V.findings)(
     lambda d: C.git_secrets_rows(d.where("seq % 2 = 0 or not contains(match, ':')").select(F.concat_ws(":", F.concat(F.lit("f"), "file"), F.when(c("seq") % 2 == 0, c("seq")).cast("string"), "match").alias("value")).unionByName(d.select(F.lit("Usage: git-secrets").alias("value"))))
 )
 q("src25_detect_secrets", "SELECT 'detect_secrets' AS scanner, CAST(f.file AS VARCHAR) AS file, r.text AS match, CAST(f.seq AS VARCHAR) AS position, f.rule, f.seq % 2 = 0 AS verified FROM findings f LEFT JOIN (SELECT CAST(file AS VARCHAR) AS file, line_no, text FROM repo_lines) r ON r.file = CAST(f.file AS VARCHAR) AND r.line_no = f.seq", tables("findings", "repo_lines"))(
