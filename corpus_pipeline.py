@@ -30,18 +30,15 @@ def as_ids(rows: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go (all, if no row has a language to learn from); the predicted language replaces a
     missing one. A text of several known languages stays, whatever the top one's share. Each row has its own verdict,
-    also with a null or repeated doc_id; equal rows all stay."""
-    rows, model = by_row(docs), langid.fit(docs, ~langid.held_out())
-    found = langid.predict(as_ids(rows), model).where("lang_pred <> 'und'").select(F.col("doc_id").alias("_row"), "lang_pred").dropDuplicates(["_row"])
-    return rows.join(found, "_row").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    also with a null or repeated doc_id; equal rows all stay. No text is shuffled."""
+    found = langid.identified(docs, langid.fit(docs, ~langid.held_out())).where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are outliers of their language and source go. Each row has its own verdict,
-    also with a null or repeated doc_id; equal rows all stay."""
-    rows = by_row(docs)
-    kept = quality.quality_verdicts(as_ids(rows)).where("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    also with a null or repeated doc_id; equal rows all stay. No text is shuffled."""
+    return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's table goes when the next has been written."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    before = None
     for name, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -96,8 +96,8 @@ def give_back() -> None:
         pass
 
 
-def frames(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
-    """An Arrow batch as pandas frames of about FRAME_BYTES of text each."""
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch in parts of about FRAME_BYTES of text each."""
     size = np.zeros(batch.num_rows, np.int64)
     for c in batch.columns:
         if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
@@ -106,7 +106,25 @@ def frames(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a < b:
-            yield batch.slice(a, b - a).to_pandas()
+            yield batch.slice(a, b - a)
+
+
+def with_struct(docs: DataFrame, compute: Callable[[list], list[tuple]], name: str, fields: str) -> DataFrame:
+    """docs, all columns as they are, and column ``name``: a struct of ``fields`` that compute gives for each text (a string
+    column). Rows go through Python whole, so nothing has to be joined back and each text is computed once."""
+    small_batches(docs.sparkSession)
+    at, added = docs.columns.index("text"), StructType.fromDDL(f"`{name}` struct<{fields}>")
+    carried = to_arrow_schema(added)
+    keys = [f.name for f in added[0].dataType.fields]
+
+    def arrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                new = [dict(zip(keys, x, strict=True)) for x in compute(part.column(at).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(new, carried.field(0).type)], schema=pa.schema([*part.schema, carried.field(0)]))
+            give_back()
+
+    return docs.mapInArrow(arrow, StructType([*docs.schema.fields, *added.fields]))
 
 
 def map_documents(docs: DataFrame, run: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
@@ -118,7 +136,8 @@ def map_documents(docs: DataFrame, run: Callable[[Iterable[pd.DataFrame]], Itera
     def arrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield from frames(batch)
+                for part in slices(batch):
+                    yield part.to_pandas()
                 give_back()
 
         for out in run(parts()):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, map_documents, pieces, with_columns, word_hashes
+from .common import Hashed, map_documents, pieces, with_columns, with_struct, word_hashes
 
 #: Bounds of the fitting sample: documents and bytes of each a language.
 SAMPLE_DOCS, SAMPLE_BYTES = 250, 2500
@@ -251,6 +251,15 @@ def _lattices(texts: list[str], model: Crf) -> Iterator[tuple[np.ndarray, np.nda
         yield posteriors(np.concatenate(em), at, model), at
 
 
+def _predictions(texts: Iterable[str | None], model: Crf) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    texts, rows = lowered(texts), []
+    for mean in (means(*x) for x in _lattices(texts, model)) if model.labels else ():
+        rows += [(model.labels[k], float(s)) if s > 0 else ("und", 0.0) for k, s in zip(mean.argmax(axis=1).tolist(), mean.max(axis=1).clip(0, 1).tolist(), strict=True)]
+    rows = rows or [("und", 0.0)] * len(texts)
+    return [r if t.isascii() or any(map(str.isalpha, t)) else ("und", 0.0) for r, t in zip(rows, texts, strict=True)]
+
+
 def predict(documents: DataFrame, model: Crf) -> DataFrame:
     """doc_id, lang_pred, score: whole texts only are read. Null or letterless texts are ``und`` with score 0, as is all
     if the model knows no language. Ties go to the first label in order. Repeated rows stay. A very long text takes some
@@ -258,19 +267,22 @@ def predict(documents: DataFrame, model: Crf) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels = held.value.labels
         for pdf in batches:
-            texts = lowered(pdf["text"])
-            rows = []
-            for mean in (means(*x) for x in _lattices(texts, held.value)) if labels else ():
-                rows += [(labels[k], float(s)) if s > 0 else ("und", 0.0) for k, s in zip(mean.argmax(axis=1).tolist(), mean.max(axis=1).clip(0, 1).tolist(), strict=True)]
-            rows = rows or [("und", 0.0)] * len(texts)
-            rows = [r if t.isascii() or any(map(str.isalpha, t)) else ("und", 0.0) for r, t in zip(rows, texts, strict=True)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]})
+            langs, scores = zip(*_predictions(pdf["text"], held.value), strict=True)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": langs, "score": scores})
 
     return map_documents(with_columns(documents, doc_id="long", text="string"), run, "doc_id long, lang_pred string, score double")
 
 
+def identified(documents: DataFrame, model: Crf) -> DataFrame:
+    """All columns of documents, lang_pred and score as predict gives them: each row its own, and no text is shuffled.
+    Columns of these names are replaced."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    own = documents.drop("lang_pred", "score")
+    found = with_struct(own, lambda texts: _predictions(texts, held.value), "__p", "lang_pred: string, score: double")
+    return found.select(*(F.col(f"`{c}`") for c in own.columns), "__p.*")
+
+
 def label_words(documents: DataFrame, model: Crf) -> DataFrame:
     """doc_id, runs array<struct<lang, first, n_words>>: whole texts in runs of words with the same likeliest label, in order.
 

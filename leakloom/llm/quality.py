@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_documents, pieces, windows, word_hashes
+from .common import Scratch, map_documents, pieces, windows, with_struct, word_hashes
 
 #: Share of the documents that an estimate rests on; steps that all starts take, and most steps of the best one.
 SHARE, STEPS, MOST_STEPS = 0.75, 2, 12
@@ -154,19 +154,20 @@ def least_determinant(points: DataFrame, by: list[str], xs: list[str], floors: l
     p, pairs = len(xs), _pairs(len(xs))
     start = points.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(xs)), *(f.cast("double").alias(f"f{i}") for i, f in enumerate(floors))).where(F.col("n") >= least)
     scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.col(f"f{i}"), F.lit(1e-9)).alias(f"s{i}") for i in range(p)]
-    start = scratch.small(start.select(*by, "n", *(F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(p)), *scale, *(f"f{i}" for i in range(p))), "quartiles", FEW)
-    small = F.broadcast if start.count() <= FEW else lambda df: df
+    start = scratch.keep(start.select(*by, "n", *(F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(p)), *scale, *(f"f{i}" for i in range(p))), "quartiles")
+    few = start.count() <= FEW
+    small = F.broadcast if few else lambda df: df
     z = points.join(small(start), by).select(*by, *(((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, x in enumerate(xs)))
     z = z.withColumn("zz", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(1, p)), F.col("z0") ** 2), F.lit(1e-12)))
     shapes = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in pairs] + [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}_{j}") for i, j in pairs]
     schema = _state_schema(by, p)
-    state = scratch.small(z.groupBy(*by).agg(*shapes).join(small(start), by).mapInPandas(_starts(by, p), schema), "state-0", 3 * FEW)
+    state = scratch.small(z.groupBy(*by).agg(*shapes).join(small(start), by).mapInPandas(_starts(by, p), schema), "state-0", few)
     sums = [F.sum(xs[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in pairs]
     kept = [F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(p)))]
 
     def step(state: DataFrame) -> DataFrame:
         near = points.join(small(state), by).select(*by, "start", "n", *(f"f{i}" for i in range(p)), *xs, _distance(xs).alias("d"))
-        cut = scratch.small(near.groupBy(*by, "start").agg(F.percentile_approx("d", SHARE, 1000).alias("cut")), "cut", 3 * FEW)
+        cut = scratch.small(near.groupBy(*by, "start").agg(F.percentile_approx("d", SHARE, 1000).alias("cut")), "cut", few)
         moments = near.join(small(cut), [*by, "start"]).where("d <= cut").groupBy(*by, "start").agg(*kept, F.count("*").alias("kept_n"), *sums)
         return moments.mapInPandas(_from_moments(by, p), schema)
 
@@ -176,10 +177,10 @@ def least_determinant(points: DataFrame, by: list[str], xs: list[str], floors: l
         return each.groupBy(*by).agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("r")).select(*by, "r.*")
 
     for k in range(1, STEPS + 1):
-        state = scratch.small(step(state), f"state-{k}", 3 * FEW)
-    state = scratch.small(best(state), "best", FEW)
+        state = scratch.small(step(state), f"state-{k}", few)
+    state = scratch.small(best(state), "best", few)
     for k in range(MOST_STEPS):
-        new = scratch.small(best(state, step(state)), f"best-{k}", FEW)
+        new = scratch.small(best(state, step(state)), f"best-{k}", few)
         old = state.select(*by, F.col("det").alias("was"))
         fell = new.join(old, by).agg(F.max(F.col("was") - F.col("det"))).first()[0]
         state = new
@@ -200,31 +201,62 @@ def _floors() -> list[Column]:
     return [x / 2 for x in steps]
 
 
-def quality_verdicts(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (null without an estimate).
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+_KINDS = ", ".join(f"{c} long" for c in _COUNTS)
 
-    documents(doc_id, text, lang, source). Null text has no words and fails the base. Null lang or source is a group of
-    its own. Without LEAST documents that pass the base in its source a document is held against its language's
-    estimate; without them there, only the base rules hold. Repeated rows stay. An empty table gives no rows."""
-    scratch = Scratch(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"))
-    rows = map_documents(docs, _counts, f"doc_id long, lang string, source string, {kinds}")
+
+def _statistics(rows: DataFrame, *others: str) -> DataFrame:
+    """rows(lang, source, counts) with the names of their groups, the base rules' verdict and the transformed statistics."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     w, ch, ln = F.col("n_words") + PRIOR, F.col("word_chars") + PRIOR * 5, F.greatest(F.col("n_lines"), F.lit(1))
     own = F.greatest(F.col("n_words"), F.lit(1))
     x = [F.log(own), F.log(ch / w), F.log1p(100 * F.col("n_symbols") / ch), _angle(F.col("n_dup_lines") / ln), _angle(F.col("n_repeat_words") / own), _angle((F.col("n_upper") + PRIOR * 0.15) / ch)]
-    rows = rows.select("*", named("lang").alias("lang_k"), named("source").alias("own_source"), base.alias("base_failed"), *(e.cast("double").alias(n) for n, e in zip(_X, x, strict=True)))
-    rows = scratch.keep(rows.drop("lang", "source", "n_upper"), "counts")
+    return rows.select(*others, *_COUNTS[:6], named("lang").alias("lang_k"), named("source").alias("own_source"), base.alias("base_failed"), *(e.cast("double").alias(n) for n, e in zip(_X, x, strict=True)))
+
 
-    by = ["lang_k", "source_k"]
+def _estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Means and precisions of each language and source, and of each language (source '*')."""
     level = F.explode(F.array(F.col("own_source"), F.lit("*"))).alias("source_k")
-    state = least_determinant(rows.where("not base_failed").select("lang_k", level, "n_words", "word_chars", "n_lines", *_X), by, _X, _floors(), scratch)
-    state = state.drop("start", "n", "det", *(f"f{i}" for i in range(len(_X))))
+    points = rows.where("not base_failed").select("lang_k", level, "n_words", "word_chars", "n_lines", *_X)
+    state = least_determinant(points, ["lang_k", "source_k"], _X, _floors(), scratch)
+    return state.drop("start", "n", "det", *(f"f{i}" for i in range(len(_X))))
+
+
+def _judged(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """rows with distance (null without an estimate) and kept."""
     small = F.broadcast if state.count() <= FEW else lambda df: df
-    limit, inner = _quantile(1 - TAIL, len(_X)), state.drop(*by).columns
+    limit, inner = _quantile(1 - TAIL, len(_X)), state.drop("lang_k", "source_k").columns
     own = rows.join(small(state.withColumnRenamed("source_k", "own_source")), ["lang_k", "own_source"], "left").withColumn("near", _distance(_X)).drop(*inner)
     wide = own.join(small(state.where("source_k = '*'").drop("source_k")), "lang_k", "left").withColumn("wider", _distance(_X))
     out = wide.withColumn("distance", F.coalesce("near", "wider"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"), "distance")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit))
+
+
+def quality_verdicts(documents: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (null without an estimate).
+
+    documents(doc_id, text, lang, source). Null text has no words and fails the base. Null lang or source is a group of
+    its own. Without LEAST documents that pass the base in its source a document is held against its language's
+    estimate; without them there, only the base rules hold. Repeated rows stay. An empty table gives no rows."""
+    scratch = Scratch(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    counted = map_documents(docs, _counts, f"doc_id long, lang string, source string, {_KINDS}")
+    rows = scratch.keep(_statistics(counted, "doc_id"), "counts")
+    out = _judged(rows, _estimates(rows, scratch))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def kept_documents(documents: DataFrame) -> DataFrame:
+    """The documents that quality_verdicts keeps, all columns of theirs.
+
+    Texts are counted once for the estimates and once more as they are judged, so that no text is shuffled; each row has its
+    own verdict, whatever its doc_id."""
+    scratch = Scratch(documents.sparkSession)
+    lang, source = (F.col(f"`{c}`").cast("string").alias(c) for c in ("lang", "source"))
+    docs = documents.select(F.lit(None).cast("long").alias("doc_id"), lang, source, "text")
+    rows = _statistics(map_documents(docs, _counts, f"doc_id long, lang string, source string, {_KINDS}"))
+    state = _estimates(scratch.keep(rows, "counts"), scratch)
+    counted = with_struct(documents, text_counts, "__c", _KINDS.replace(" long", ": bigint"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__d")
+    return _judged(_statistics(counted.select(whole, lang, source, "__c.*"), "__d"), state).where("kept").select("__d.*")
