@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leakloom.functions import paths as P
 from leakloom.functions import rules as R
 from leakloom.functions import text as T
+from leakloom.operators import ranking
 from leakloom.operators.tables import capped, numbered
 
 #: Columns of scanners that a stored finding drops; results a scanner keeps in a repository; characters shown.
@@ -40,9 +41,10 @@ def normalised(raw: DataFrame, cap: int = KEPT) -> DataFrame:
     A scanner's first ``cap`` results count; of those, the first of each (match, file); long matches are cut after all
     comparisons. A missing file is an empty one."""
     by = ["repo", "scanner"]
-    first = capped(raw.withColumn("file", F.coalesce("file", F.lit(""))), by, ["seq"], cap)
+    first = ranking.capped(raw.withColumn("file", F.coalesce("file", F.lit(""))), by, ["seq"], cap)
     others = [c for c in first.columns if c not in (*by, "match", "file")]
     once = first.groupBy(*by, "match", "file").agg(F.min_by(F.struct(*others), "seq").alias("r")).select(*by, "match", "file", "r.*")
+    # no key has more than ``cap`` rows by now
     return numbered(once, by, ["seq"]).withColumn("match", T.truncated(F.col("match"), SHOWN)).select(*raw.columns, "leak_no")
 
 
@@ -97,8 +99,8 @@ def searched(lines: DataFrame, terms: list[str]) -> DataFrame:
     hits = lines.where(F.length(text).between(1, 1000) & text.rlike(p)).withColumn("term", F.regexp_extract(text, p, 0))
     hits = hits.withColumn("context", T.context_around(text, F.col("term")))
     hits = capped(hits, ["repo", "file"], ["line_no"], LINES_A_FILE)
-    many = hits.groupBy("repo").agg(F.count("*").alias("__all"))
-    return numbered(hits, ["repo"], ["file", "line_no"], "__n").join(many, "repo").where((F.col("__all") < LINES_ENOUGH) | (F.col("__n") < KEPT)).drop("__n", "__all")
+    many = hits.groupBy("repo").agg(F.count("*").alias("n")).where(F.col("n") >= LINES_ENOUGH).select("repo")
+    return hits.join(many, "repo", "left_anti").unionByName(ranking.capped(hits.join(many, "repo", "left_semi"), ["repo"], ["file", "line_no"], KEPT))
 
 
 def search_plan(targets: DataFrame, parsers: list[str]) -> DataFrame:

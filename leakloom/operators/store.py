@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from leakloom.functions import documents as J
 from leakloom.functions import rules as R
 from leakloom.operators import tables as D
+from leakloom.operators.ranking import numbered
 
 #: Other names of tables and of their columns in requests; statuses that a load doesn't touch any more.
 ALIASES = {"company": "companies", "dork": "dorks", "account": "account"}
@@ -159,19 +160,34 @@ def contributor_counts(stats: DataFrame, stored: DataFrame, new: DataFrame) -> D
     return stats.join(people, "leak_id", "left").select("leak_id", F.greatest(F.coalesce("contributors_count", F.lit(0)).cast("long"), F.coalesce("n", F.lit(0))).alias("contributors_count"))
 
 
-def lifecycle(leaks: DataFrame, events: DataFrame) -> DataFrame:
-    """leaks(url, result) after events(url, seq, kind): 'judged:0', 'judged:4' or 'judged:5' move an open one (4, 5) to its verdict, 'gone'
-    moves 1 to 3 and 5 to 2; other moves aren't allowed and change nothing. Events count in order of seq, whole lists at once:
-    a url has few."""
-    ordered = events.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("es"))
+#: States of a leak, and events of one address that are composed in one group.
+STATES, SPAN = 6, 1024
+
 
-    def move(state: Column, e: Column) -> Column:
-        to = F.regexp_extract(e["kind"], "^judged:([045])$", 1)
-        return F.when((to != "") & state.isin(4, 5), to.try_cast("int")).when((e["kind"] == "gone") & (state == 1), 3).when((e["kind"] == "gone") & (state == 5), 2).otherwise(state)
+def _moved(state: Column, kind: Column) -> Column:
+    """The state after an event of that kind."""
+    to = F.regexp_extract(kind, "^judged:([045])$", 1)
+    return F.when((to != "") & state.isin(4, 5), to.try_cast("int")).when((kind == "gone") & (state == 1), 3).when((kind == "gone") & (state == 5), 2).otherwise(state)
 
-    both = leaks.join(ordered, "url", "left")
-    end = F.aggregate(F.coalesce("es", F.array().cast(ordered.schema["es"].dataType)), F.col("result").cast("int"), move)
-    return both.withColumn("result", end).select(*leaks.columns)
+
+def lifecycle(leaks: DataFrame, events: DataFrame, span: int = SPAN) -> DataFrame:
+    """leaks(url, result) after events(url, seq, kind): 'judged:0', 'judged:4' or 'judged:5' move an open one (4, 5) to its verdict, 'gone'
+    moves 1 to 3 and 5 to 2; other moves aren't allowed and change nothing. Events count in order of seq, then kind; a null
+    state, and one that no leak can have, stays as it is.
+
+    An event takes each of the six states to a state, and such maps compose: events are numbered, ``span`` neighbours make one
+    map, and so do ``span`` of these, until an address has one. A group never holds more than ``span`` of them."""
+    told = events.where(F.col("kind").rlike("^judged:[045]$") | (F.col("kind") == "gone")).select("url", "seq", "kind")
+    at = numbered(told, ["url"], ["seq", "kind"], "at")
+    same = F.array(*(F.lit(s) for s in range(STATES)))
+    maps = at.groupBy("url", (F.floor(F.col("at") / span)).cast("int").alias("at_")).agg(F.array_sort(F.collect_list(F.struct("at", "kind"))).alias("es"))
+    maps = maps.select("url", F.col("at_").alias("at"), F.aggregate("es", same, lambda m, e: F.transform(m, lambda s: _moved(s, e["kind"]))).alias("m"))
+    groups = told.groupBy("url").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    while (groups := -(-groups // span)) > 1:
+        level = maps.groupBy("url", (F.floor(F.col("at") / span)).cast("int").alias("at_")).agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("ms"))
+        maps = level.select("url", F.col("at_").alias("at"), F.aggregate("ms", same, lambda m, e: F.transform(m, lambda s: F.get(e["m"], s))).alias("m"))
+    end = F.when(F.col("result").between(0, STATES - 1), F.get("m", F.col("result").cast("int")))
+    return leaks.join(maps.select("url", "m"), "url", "left").withColumn("result", F.coalesce(end, F.col("result").cast("int"))).select(*leaks.columns)
 
 
 def with_reports(leaks: DataFrame, reports: DataFrame) -> DataFrame:

@@ -60,26 +60,6 @@ def reconciled(leaks: DataFrame, reachable: DataFrame, key: str = "url") -> Data
     return gone.withColumn("result", new).drop("__there").select(*leaks.columns)
 
 
-def committers_first_seen(df: DataFrame) -> DataFrame:
-    """Per repo, in order of seq, committers whose name and e-mail are both new.
-
-    Whether a row counts depends on all that counted before it, so a repo's people are one group in Python: equal pairs of
-    name and e-mail are cut to their first row before, so it holds a repo's distinct people, not its commits."""
-
-    def run(pdf):
-        names, mails, keep = set(), set(), []
-        pdf = pdf.sort_values("seq")
-        for name, mail in zip(pdf["name"], pdf["email"], strict=True):
-            ok = name not in names and mail not in mails
-            keep.append(ok)
-            if ok:
-                names.add(name)
-                mails.add(mail)
-        return pdf[keep]
-
-    return first_seen(df, ["repo", "name", "email"], ["seq"]).groupBy("repo").applyInPandas(run, df.schema)
-
-
 def stats_coerced(df: DataFrame, ints: list[str], bools: list[str]) -> DataFrame:
     out = {c: F.coalesce(F.col(c).cast("string").try_cast("int"), F.lit(0)) for c in ints}
     out |= {c: F.coalesce(F.lower(F.col(c).cast("string")).isin("true", "1", "yes"), F.lit(False)) for c in bools}

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from leakloom.functions import paths as P
 from leakloom.functions import text as T
+from leakloom.operators import ranking as N
 from leakloom.operators import reports as R
 from leakloom.operators import scoring as S
 from leakloom.operators import store as O
 from leakloom.operators import tables as D
+from leakloom.operators.people import committers_first_seen
 from leakloom.sources import lists as L
 from leakloom.streaming import ingest as I
 
@@ -26,7 +28,7 @@ q("src06_terms_decoded", "SELECT id % 50 AS company_id, unnest(string_split(url
 q("src21_file_lines", "SELECT repo, file, line_no, length(text) AS n FROM repo_lines WHERE length(trim(text)) BETWEEN 1 AND 1000", V.repo_lines)(lambda d: d.where(F.length(F.trim("text")).between(1, 1000)).select("repo", "file", "line_no", F.length("text").alias("n")))
 
 # projections and filters
-q("prj03_leak_row", "SELECT id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS leak_type, length(text) AS n FROM (SELECT doc_id AS id, text FROM documents)", lambda s, d: V.table(s, d, "documents"))(lambda d: d.select(c("doc_id").alias("id"), T.truncated(c("text")).alias("leak_type"), F.length("text").alias("n")))
+q("prj03_leak_row", "SELECT id, CASE WHEN length(text) > 10000 THEN left(text, 10000) || '...' ELSE text END AS leak_type, length(text) AS n FROM (SELECT doc_id AS id, text FROM documents)", lambda s, d: V.table(s, d, "documents"))(lambda d: d.select(c("doc_id").alias("id"), T.truncated(c("text"), 10000).alias("leak_type"), F.length("text").alias("n")))
 q("flt02_deepscan_candidates", "SELECT id, url FROM incidents WHERE result = 5 AND url LIKE 'https://github.com/%'")(lambda d: d.where((c("result") == 5) & P.valid_repo_host(c("url"))).select("id", "url"))
 q("flt03_rescan_candidates", "SELECT id, url FROM incidents WHERE result = 4 AND url LIKE 'https://github.com/%'")(lambda d: d.where((c("result") == 4) & P.valid_repo_host(c("url"))).select("id", "url"))
 q("flt05_size_gate", "SELECT p_partkey, p_size FROM part WHERE p_size <= 30", lambda s, d: V.table(s, d, "part"))(lambda d: O.small_enough(d.select("p_partkey", c("p_size").alias("size")), 30).select("p_partkey", c("size").alias("p_size")))
@@ -78,8 +80,8 @@ q("rpt_template_metrics", "SELECT round(count(*) FILTER (result = 1) * 100.0::DO
 
 # windows, order, dedup
 _by = ["repo", "rule"]
-q("win01_numbering", "SELECT repo, file, rule, seq, row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) - 1 AS leak_no FROM findings", V.findings)(lambda d: D.numbered(d, _by, ["file", "seq"]).drop("match"))
-q("win03_cap_per_scanner", "SELECT repo, file, rule, seq FROM findings QUALIFY row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) <= 3", V.findings)(lambda d: D.capped(d, _by, ["file", "seq"], 3).drop("match"))
+q("win01_numbering", "SELECT repo, file, rule, seq, row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) - 1 AS leak_no FROM findings", V.findings)(lambda d: N.numbered(d, _by, ["file", "seq"]).drop("match"))
+q("win03_cap_per_scanner", "SELECT repo, file, rule, seq FROM findings QUALIFY row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) <= 200", V.findings)(lambda d: N.capped(d, _by, ["file", "seq"], 200).drop("match"))
 q("win08_first_line", "SELECT repo, min_by(match, lpad(CAST(file AS VARCHAR), 20, '0') || lpad(CAST(seq AS VARCHAR), 9, '0') || rule) AS match FROM findings GROUP BY repo", V.findings)(lambda d: R.first_matches(d, ["file", "seq", "rule"]))
 q("win09_share", "SELECT level, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM incidents GROUP BY level")(R.level_shares)
 q("srt04_top_leaks", "SELECT id, level, found_at FROM incidents ORDER BY level DESC, found_at DESC, id LIMIT 10")(lambda d: R.top_leaks(d).select("id", "level", "found_at"))
@@ -116,9 +118,9 @@ q("snk09_reconciled", "SELECT id, CASE WHEN NOT contains(url, 'github.com') AND
 q("snk08_coerced", "SELECT id, coalesce(TRY_CAST(leak_type AS INTEGER), 0) AS a, level AS b, lower(CAST(level AS VARCHAR)) IN ('true', '1', 'yes') AS flag FROM incidents")(lambda d: D.stats_coerced(d.select("id", c("leak_type").alias("a"), c("level").alias("b"), c("level").cast("string").alias("flag")), ["a", "b"], ["flag"]))
 q("stm05_minute_counters", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL", lambda s, d: V.table(s, d, "events"))(lambda d: I.counters(d, "event_type"))
 q("stm07_lifecycle", "SELECT url, max_by(result, id) AS status FROM incidents GROUP BY url")(lambda d: d.groupBy("url").agg(F.max_by("result", "id").alias("status")))
-q("ded05_committers", None, V.committers)(lambda d: D.committers_first_seen(d.select(c("repo"), c("name"), c("email"), c("id").alias("seq"))))
+q("ded05_committers", None, V.committers)(lambda d: committers_first_seen(d.select(c("repo"), c("name"), c("email"), c("id").alias("seq"))))
 
 # the rest registers itself
-from . import analysis_queries, store_queries, text_queries  # noqa: E402, F401
+from . import analysis_queries, scale_queries, store_queries, text_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -10,6 +10,7 @@ from leakloom.functions import text as T
 from leakloom.operators import reports as R
 from leakloom.operators import store as O
 from leakloom.operators import tables as D
+from leakloom.operators.people import committers_first_seen
 from leakloom.sources import lists as L
 from leakloom.sources import pages as G
 from leakloom.streaming import quota as Q
@@ -184,13 +185,13 @@ def _repo_node():
 
 _cust = tables("customer", "nation")
 q("prj01_repo_nodes", "SELECT lower(n_name) || '/' || c_name AS full_name, c_nationkey AS stargazers_count, CAST(c_custkey % 90 AS INT) AS size, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS INT) ELSE 0 END AS commit_count, lower(c_mktsegment) AS topics, true AS has_issues, false AS private, c_custkey AS sql_bytes FROM customer JOIN nation ON c_nationkey = n_nationkey", _cust)(
-    lambda t: G.graphql_repos(_pages(t, _repo_node(), _wrap), 10**9).select("full_name", "stargazers_count", "size", "commit_count", F.array_join("topics", ",").alias("topics"), "has_issues", "private", c("languages")["SQL"].alias("sql_bytes"))
+    lambda t: G.graphql_repos(_pages(t, _repo_node(), _wrap), None).select("full_name", "stargazers_count", "size", "commit_count", F.array_join("topics", ",").alias("topics"), "has_issues", "private", c("languages")["SQL"].alias("sql_bytes"))
 )
 q("prj04_stats_row", "SELECT lower(n_name) || '/' || c_name AS full_name, CAST(c_custkey % 90 AS INT) AS size, lower(c_mktsegment) AS topics, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE '_' END AS description, 1 AS has_issues, TIMESTAMP '2024-03-01 10:20:30' AS created_at FROM customer JOIN nation ON c_nationkey = n_nationkey", _cust)(
-    lambda t: G.stats_row(G.graphql_repos(_pages(t, _repo_node(), _wrap), 10**9)).select("full_name", "size", "topics", "description", "has_issues", "created_at")
+    lambda t: G.stats_row(G.graphql_repos(_pages(t, _repo_node(), _wrap), None)).select("full_name", "size", "topics", "description", "has_issues", "created_at")
 )
 q("prj02_code_nodes", "SELECT 'src/' || c_name || '.py' AS path, c_name || '.py' AS name, 'https://github.com/x/blob/master/src/' || c_name || '.py' AS html_url, lower(n_name) || '/r' AS full_name, CAST(c_custkey % 2 AS BIGINT) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey", _cust)(
-    lambda t: G.graphql_code(_pages(t, _st(F.concat(F.lit("src/"), c("c_name"), F.lit(".py")).alias("path"), F.when(c("c_custkey") % 2 == 1, "some text").alias("text"), _st(F.lit("r").alias("name"), F.lit("https://github.com/x").alias("url"), _owner().alias("owner")).alias("repository")), _wrap), 10**9).select("path", "name", "html_url", "repository.full_name", F.size("fragments").cast("long").alias("n"))
+    lambda t: G.graphql_code(_pages(t, _st(F.concat(F.lit("src/"), c("c_name"), F.lit(".py")).alias("path"), F.when(c("c_custkey") % 2 == 1, "some text").alias("text"), _st(F.lit("r").alias("name"), F.lit("https://github.com/x").alias("url"), _owner().alias("owner")).alias("repository")), _wrap), None).select("path", "name", "html_url", "repository.full_name", F.size("fragments").cast("long").alias("n"))
 )
 q("src18_rest_stats", "SELECT c_custkey AS at, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE CAST(c_custkey % 4 AS INT) END AS size, CASE WHEN c_custkey % 7 = 0 THEN 'not found' WHEN c_custkey % 4 = 0 THEN 'size 0' END AS reason, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_nationkey END AS stargazers_count FROM customer", _by_table("customer"))(
     lambda d: G.rest_stats(d.select(c("c_custkey").alias("at"), F.parse_json(F.when(c("c_custkey") % 7 == 0, '{"message": "Not Found", "status": "404"}').otherwise(F.to_json(_st(c("c_name").alias("full_name"), (c("c_custkey") % 4).alias("size"), c("c_nationkey").alias("stargazers_count"))))).alias("page"))).select("at", "size", "reason", "stargazers_count")
@@ -223,7 +224,7 @@ q("src12_rest_pages", "SELECT 'https://github.com/' || c_name AS url, 'o/' || c_
     lambda t: G.rest_repos(_pages(t, _st(F.concat(F.lit("https://github.com/"), c("c_name")).alias("html_url"), F.concat(F.lit("o/"), c("c_name")).alias("full_name"), _st(F.lit("o").alias("login")).alias("owner"), (c("c_custkey") % 90).alias("size")), lambda n: _st(n.alias("items"), F.when(c("at") % 4 == 3, "rate limit").alias("message"))))
 )
 q("src20_commits", "SELECT repo, seq, name, email FROM (SELECT c_nationkey AS repo, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS seq, c_name AS name, lower(c_name) AS email FROM customer)", _by_table("customer"))(
-    lambda d: D.committers_first_seen(G.commits(d.groupBy(c("c_nationkey").alias("at")).agg(F.array_sort(F.collect_list(_st("c_custkey", _st(_st(c("c_name").alias("name"), F.lower("c_name").alias("email")).alias("author")).alias("commit")))).alias("x")).select("at", F.parse_json(F.to_json("x")).alias("page"))).withColumn("seq", c("seq").cast("long")))
+    lambda d: committers_first_seen(G.commits(d.groupBy(c("c_nationkey").alias("at")).agg(F.array_sort(F.collect_list(_st("c_custkey", _st(_st(c("c_name").alias("name"), F.lower("c_name").alias("email")).alias("author")).alias("commit")))).alias("x")).select("at", F.parse_json(F.to_json("x")).alias("page"))).withColumn("seq", c("seq").cast("long")))
 )
 q("str22_addresses", "SELECT id, regexp_matches(u, '^https?://(gist\\.)?github\\.com/[^/]+/.+') AS listed, regexp_matches(u, '^https?://([^/?#]+\\.)?github\\.com([/?#]|$)') AS hosted FROM (SELECT id, ['https://github.com/', 'http://gist.github.com/', 'https://z.github.com/', 'ftp://github.com/', 'https://gitlab.com/'][CAST(id % 5 AS INT) + 1] || ['a', 'a/b', 'a/b/c', ''][CAST(id // 5 % 4 AS INT) + 1] AS u FROM incidents)")(
     lambda d: d.withColumn("u", F.concat(V._pick(("https://github.com/", "http://gist.github.com/", "https://z.github.com/", "ftp://github.com/", "https://gitlab.com/"), "id % 5"), V._pick(("a", "a/b", "a/b/c", ""), "floor(id / 5) % 4"))).select("id", P.valid_listed_url(c("u")).alias("listed"), P.valid_repo_host(c("u")).alias("hosted"))

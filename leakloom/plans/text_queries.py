@@ -9,7 +9,9 @@ from leakloom.functions import rules as R
 from leakloom.functions import text as T
 from leakloom.operators import analysis as A
 from leakloom.operators import findings as N
+from leakloom.operators import ranking
 from leakloom.operators import tables as D
+from leakloom.operators.people import committers_first_seen
 from leakloom.sources import captures as C
 
 from . import sql
@@ -25,7 +27,7 @@ _raw = lambda d: d.select("repo", "scanner", "seq", "match", c("path").alias("fi
 _CUT = "CASE WHEN length(match) > 100 THEN left(match, 100) || '...' ELSE match END"
 _FIRST = "f200 AS (SELECT * FROM repo_findings QUALIFY row_number() OVER (PARTITION BY repo, scanner ORDER BY seq) <= 200), once AS (SELECT * FROM f200 QUALIFY row_number() OVER (PARTITION BY repo, scanner, match, path ORDER BY seq) = 1)"
 q("orc04_normalised", f", {_FIRST} SELECT repo, scanner, seq, {_CUT} AS match, path AS file, rule, row_number() OVER (PARTITION BY repo, scanner ORDER BY seq) - 1 AS leak_no FROM once", V.repo_findings)(lambda d: N.normalised(_raw(d)).withColumn("leak_no", c("leak_no").cast("long")))
-q("win03_cap_200", "SELECT repo, file, rule, seq FROM findings QUALIFY row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) <= 200", V.findings)(lambda d: D.capped(d, ["repo", "rule"], ["file", "seq"], N.KEPT).drop("match"))
+q("win03_cap_200", "SELECT repo, file, rule, seq FROM findings QUALIFY row_number() OVER (PARTITION BY repo, rule ORDER BY file, seq) <= 200", V.findings)(lambda d: ranking.capped(d, ["repo", "rule"], ["file", "seq"], N.KEPT).drop("match"))
 _ORDER = "(CASE scanner " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(R.SCANNERS)) + " END)"
 q("cls10_unified", f"SELECT repo, scanner, seq, trim(match) AS match FROM repo_findings WHERE trim(match) NOT IN ('', '...') QUALIFY row_number() OVER (PARTITION BY repo, left(lower(trim(match)), 50) ORDER BY {_ORDER}, seq) = 1", V.repo_findings)(lambda d: N.unified(_raw(d)).select("repo", "scanner", "seq", "match"))
 q("orc03_fan_in", "SELECT scanner, count(*) AS n, count(rule) AS rules FROM (SELECT scanner, rule FROM repo_findings WHERE scanner = 'gitleaks' UNION ALL SELECT scanner, NULL FROM repo_findings WHERE scanner = 'grepscan') GROUP BY scanner", V.repo_findings)(
@@ -125,7 +127,7 @@ q("src30_decoded", "SELECT id, CASE id % 4 WHEN 3 THEN NULL ELSE level END AS le
 _STEP = "o AS (SELECT repo, {n} AS name, {e} AS email, id AS seq, row_number() OVER (PARTITION BY repo ORDER BY id) AS i FROM committers), r AS (SELECT repo, i, seq, [name] AS ns, [email] AS ms, true AS keep FROM o WHERE i = 1 UNION ALL SELECT o.repo, o.i, o.seq, CASE WHEN list_contains(ns, name) OR list_contains(ms, email) THEN ns ELSE list_append(ns, name) END, CASE WHEN list_contains(ns, name) OR list_contains(ms, email) THEN ms ELSE list_append(ms, email) END, NOT (list_contains(ns, name) OR list_contains(ms, email)) FROM r JOIN o ON o.repo = r.repo AND o.i = r.i + 1)"
 _RECURSIVE = ORACLE_VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + ", "
 ORACLE_SQL["ded05_committers"] = _RECURSIVE + _STEP.format(n="name", e="email") + " SELECT o.repo, o.name, o.email, o.seq FROM o JOIN r USING (repo, i) WHERE keep"
-q("ded05_ordered", None, V.committers)(lambda d: D.committers_first_seen(d.select("repo", F.concat(F.lit("n"), c("id") * 3 % 7).alias("name"), F.concat(F.lit("e"), c("id") % 11).alias("email"), c("id").alias("seq"))))
+q("ded05_ordered", None, V.committers)(lambda d: committers_first_seen(d.select("repo", F.concat(F.lit("n"), c("id") * 3 % 7).alias("name"), F.concat(F.lit("e"), c("id") % 11).alias("email"), c("id").alias("seq"))))
 ORACLE_SQL["ded05_ordered"] = _RECURSIVE + _STEP.format(n="'n' || (id * 3 % 7)", e="'e' || (id % 11)") + " SELECT o.repo, o.name, o.email, o.seq FROM o JOIN r USING (repo, i) WHERE keep"
 
 # captures of scanners, as they write them, one for each repository

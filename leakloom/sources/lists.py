@@ -10,8 +10,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Patterns with wildcards that one run takes at most: they become one pattern in the plan.
-MOST_PATTERNS = 1000
+from leakloom.operators.matching import matched_patterns
+
+#: Terms that others are combined with at most: they become an array in the plan.
+MOST_TERMS = 1000
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,13 +29,12 @@ def literal(pattern):
 
 
 def unexcluded(candidates: DataFrame, patterns: DataFrame, key: str = "url") -> DataFrame:
-    """Candidates whose whole key no pattern(term) matches: quoted texts by an anti-join, the few others as one pattern."""
+    """Candidates whose whole key no pattern(term) matches, for any number of patterns: quoted texts by an anti-join, those with
+    wildcards through an index of the pieces that their matches hold."""
     texts = patterns.select(literal(F.col("term")).alias(key)).where(F.col(key).isNotNull()).distinct()
-    wild = [r.term for r in patterns.where(literal(F.col("term")).isNull()).select("term").distinct().limit(MOST_PATTERNS + 1).collect()]
-    if len(wild) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} patterns with wildcards")
     out = candidates.join(texts, key, "left_anti").select(*candidates.columns)
-    return out.where(~F.coalesce(F.col(key).rlike("^(?:" + "|".join(sorted(wild)) + ")$"), F.lit(False))) if wild else out
+    wild = patterns.where(F.col("term").isNotNull() & literal(F.col("term")).isNull())
+    return out.join(matched_patterns(out, wild, key).select(key).distinct(), key, "left_anti").select(*candidates.columns)
 
 
 def with_exclusions(patterns: DataFrame, urls: DataFrame, key: str = "url") -> DataFrame:
@@ -57,7 +58,7 @@ def product_terms(terms: DataFrame, base: list[str], skip: int = 3) -> DataFrame
     return rows.distinct().join(terms.select("company_id", "term").distinct(), ["company_id", "term"], "left_anti")
 
 
-def products(terms: DataFrame, others: DataFrame, column: str = "term", most: int = MOST_PATTERNS) -> DataFrame:
+def products(terms: DataFrame, others: DataFrame, column: str = "term", most: int = MOST_TERMS) -> DataFrame:
     """term: each term followed by each of the others, once. The others are a short list; more than ``most`` are an error."""
     second = [r[0] for r in others.select(column).distinct().limit(most + 1).collect()]
     if len(second) > most:

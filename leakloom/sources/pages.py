@@ -84,16 +84,21 @@ def code_node(node: Column) -> Column:
     )
 
 
-def graphql_repos(pages: DataFrame, most: int = MOST) -> DataFrame:
-    """Repositories of a search's pages in order, ``most`` at most; nodes without an owner are none."""
+def _of_search(rows: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` nodes of a search, its pages in order; None: all of many searches, in no order."""
+    return rows if most is None else rows.orderBy("at", "nth").limit(most)
+
+
+def graphql_repos(pages: DataFrame, most: int | None = MOST) -> DataFrame:
+    """Repositories of a search's pages in order, ``most`` at most (None: all of any number of pages); nodes without an owner are none."""
     rows = items(pages, "$.data.search.nodes").where(get(F.col("node"), "owner.login").isNotNull() & get(F.col("node"), "name").isNotNull())
-    return rows.orderBy("at", "nth").limit(most).select(repo_node(F.col("node")).alias("r")).select("r.*")
+    return _of_search(rows, most).select(repo_node(F.col("node")).alias("r")).select("r.*")
 
 
-def graphql_code(pages: DataFrame, most: int = MOST) -> DataFrame:
-    """Files of a search's pages in order, ``most`` at most; nodes without a repository are none."""
+def graphql_code(pages: DataFrame, most: int | None = MOST) -> DataFrame:
+    """Files of a search's pages in order, ``most`` at most (None: all of any number of pages); nodes without a repository are none."""
     rows = items(pages, "$.data.search.nodes").where(get(F.col("node"), "repository.owner.login").isNotNull())
-    return rows.orderBy("at", "nth").limit(most).select(code_node(F.col("node")).alias("r")).select("r.*")
+    return _of_search(rows, most).select(code_node(F.col("node")).alias("r")).select("r.*")
 
 
 def rest_items(pages: DataFrame) -> DataFrame:

@@ -63,10 +63,11 @@ def ready_providers(providers: DataFrame, now: Column) -> DataFrame:
 def queued(tasks: DataFrame, capacity: int) -> DataFrame:
     """tasks(id, priority, submitted_at) with state: 'queued' in the order they are served (high, normal, low), or 'dropped' where the
     queue was full when they came."""
-    came = F.row_number().over(W.orderBy("submitted_at", "id"))
     rank = F.create_map(*(F.lit(x) for i, v in enumerate(("high", "normal", "low")) for x in (v, i)))[F.col("priority")]
-    out = tasks.withColumn("state", F.when(came <= capacity, "queued").otherwise("dropped"))
-    return out.withColumn("place", F.when(F.col("state") == "queued", F.row_number().over(W.partitionBy("state").orderBy(rank, "submitted_at", "id"))))
+    first = tasks.orderBy("submitted_at", "id").limit(capacity)  # no more rows than the queue holds are ranked
+    held = first.select("id", "submitted_at", F.row_number().over(W.orderBy(rank, "submitted_at", "id")).alias("place"))
+    out = tasks.join(held, ["id", "submitted_at"], "left")
+    return out.select(*tasks.columns, F.when(F.col("place").isNull(), "dropped").otherwise("queued").alias("state"), "place")
 
 
 def evicted(cache: DataFrame, keep: int) -> DataFrame:

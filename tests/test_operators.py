@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leakloom.operators import tables as T
+from leakloom.operators.people import committers_first_seen
 from leakloom.plans.registry import ORACLE_SQL, QUERIES
 from leakloom.sources import captures as C
 from leakloom.streaming import ingest as I
@@ -44,7 +45,7 @@ def test_query(spark, duck, name):
 def test_committers_first_seen(spark):
     rows = [("r", "a", "x", 1), ("r", "a", "y", 2), ("r", "b", "x", 3), ("r", "b", "y", 4), ("s", "a", "x", 5)]
     df = spark.createDataFrame(rows, "repo string, name string, email string, seq long")
-    assert sorted(r.seq for r in T.committers_first_seen(df).collect()) == [1, 4, 5]
+    assert sorted(r.seq for r in committers_first_seen(df).collect()) == [1, 4, 5]
 
 
 def test_upsert_is_idempotent(spark):
