@@ -28,7 +28,7 @@ from .common import map_documents, mix, with_columns
 #: Rows of the embedding table, its width, n-grams, words of a window.
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 18, 12, (3, 4, 5), 4
 #: Labelled documents of each class that training sees, and their longest text in characters: the bound of what the driver holds.
-SAMPLE_DOCS, SAMPLE_CHARS = 5000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 10_000
 #: Characters hashed at once; a longer text is cut behind a word, a longer word within.
 PIECE = 1 << 18
 #: Gradient steps, their rate, and the pull of embeddings to 0: what few texts say stays small.
@@ -138,23 +138,34 @@ def top_window(values: np.ndarray) -> tuple[float, int, int]:
     return float(mean[i]), i, i + w
 
 
+def _of_words(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words, word by word, how many each has)."""
+    buckets, sizes = [], []
+    for i in range(0, len(names), 20_000):
+        own, owner, start = subwords("\n".join(names[i : i + 20_000]))
+        buckets.append(own[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(start)))
+    return np.concatenate(buckets), np.concatenate(sizes)
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 42) -> Model:
     """Embeddings and softmax, by Adam over the deciding windows of all texts; both classes weigh the same."""
     # distinct words, and the buckets of each
     names: dict[str, int] = {}
     docs = []
-    of_word = _parts()[0]
+    gaps = dict.fromkeys(np.flatnonzero(~_parts()[0]).tolist(), " ")
     for t in texts:
-        clean = "".join(c if (ord(c) > 0xFFFF or of_word[ord(c)]) else " " for c in lowered(t))
-        docs.append(np.array([names.setdefault(w, len(names)) for w in clean.split()], np.int64))
+        docs.append(np.array([names.setdefault(w, len(names)) for w in lowered(t).translate(gaps).split(" ") if w], np.int32))
     keep = [k for k, d in enumerate(docs) if len(d)]
     docs, y = [docs[k] for k in keep], np.asarray(toxic, np.int64)[keep]
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS, np.float64), 40.0 if len(y) and y[0] == 1 else -40.0)
-    buckets, owner, _ = subwords("\n".join(names))
-    own, local = np.unique(buckets, return_inverse=True)
-    by = np.argsort(owner, kind="stable")
-    local, size = local[by], np.bincount(owner, minlength=len(names))
+    local, size = _of_words(list(names))
+    del names
+    held = np.zeros(BUCKETS, bool)
+    held[local] = True
+    own = np.flatnonzero(held)
+    local = (np.cumsum(held, dtype=np.int32) - 1)[local]
     head = np.cumsum(size) - size
     tokens, at = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
     width = np.minimum(WINDOW, np.diff(at))
@@ -163,16 +174,16 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 42) -> Model:
     weight, bias = rng.normal(0, 0.1, (WIDTH, 2)), np.zeros(2)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (table, weight, bias)]
     share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-    ids = np.concatenate([np.repeat(np.arange(len(docs)), np.diff(at))])
-    offset = np.arange(WINDOW)
+    ids = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(at))
+    offset, wide = np.arange(WINDOW), width[ids].astype(np.int32)
+    behind = np.arange(len(tokens), dtype=np.int32) + wide
+    outside = behind > at[ids + 1]
     for step in range(1, STEPS + 1):
         # the deciding window of each text, by the log-odds of its words
-        odds = np.add.reduceat((table @ (weight[:, 1] - weight[:, 0]))[local], head) / size
+        odds = np.add.reduceat((table @ (weight[:, 1] - weight[:, 0])).astype(np.float32)[local], head, dtype=np.float64) / size
         total = np.concatenate(([0.0], np.cumsum(odds[tokens])))
-        i = np.arange(len(tokens))
-        w = width[ids]
-        inside = i + w <= at[ids + 1]
-        mean = np.where(inside, (total[np.minimum(i + w, len(tokens))] - total[:-1]) / w, -np.inf)
+        mean = (total[np.minimum(behind, len(tokens))] - total[:-1]) / wide
+        mean[outside] = -np.inf
         best = np.maximum.reduceat(mean, at[:-1])
         hit = np.flatnonzero(mean == best[ids])
         first = hit[np.searchsorted(ids[hit], np.arange(len(docs)))]
@@ -218,10 +229,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     # of both classes twice as many ids as are needed: bounded, so they can be sent to all tasks that read texts
     picked = classes.where("toxic = 1").orderBy(lot).limit(2 * SAMPLE_DOCS).unionByName(classes.where("toxic = 0").orderBy(lot).limit(2 * SAMPLE_DOCS))
     texts = with_columns(docs, doc_id="long", text="string").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id")
-    got = []
+    sample: list[str] = []
+    toxic: list[int] = []
     for k in (0, 1):
-        got += texts.where(F.col("toxic") == k).orderBy(lot, F.xxhash64("text")).limit(SAMPLE_DOCS).select("text", "toxic").collect()
-    return train([r.text for r in got], np.array([r.toxic for r in got], np.int64))
+        sample += [r.text for r in texts.where(F.col("toxic") == k).orderBy(lot, F.xxhash64("text")).limit(SAMPLE_DOCS).select("text").collect()]
+        toxic += [k] * (len(sample) - len(toxic))
+    return train(sample, np.array(toxic, np.int64))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
