@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches
+from .common import free_name, give_back, small_batches
 
 ROUNDS = 8
 #: Short values that a worker remembers.
@@ -114,6 +114,14 @@ def permute_string(s: str, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
+def walk_string(s: str, key: bytes, tweak: str, valid: Callable[[str], bool]) -> str:
+    """The permutation of the valid strings of a shape only: walked until valid."""
+    while True:
+        s = permute_string(s, key, tweak)
+        if valid(s):
+            return s
+
+
 def card(s: str, key: bytes) -> str:
     digits = re.sub(r"\D", "", s)
     n, valid = len(digits), luhn(digits)
@@ -150,10 +158,17 @@ def number(s: str, key: bytes) -> str:
     return f"{feistel(int(s), 10 ** len(s), key, f'digits{len(s)}'):0{len(s)}d}"
 
 
-def address(s: str, key: bytes) -> str:
+def _quad(s: str) -> list[int] | None:
+    """The four numbers of an address as it is written; None for numbers over 255 or with zeros before them."""
     parts = [int(p) for p in s.split(".")]
-    if max(parts) > 255:
-        return permute_string(s, key, "quad")
+    return parts if max(parts) < 256 and ".".join(map(str, parts)) == s else None
+
+
+def address(s: str, key: bytes) -> str:
+    """An address among public or other ones; what is none among such strings of the same lengths."""
+    parts = _quad(s)
+    if parts is None:
+        return walk_string(s, key, "quad", lambda t: _quad(t) is None)
     v = int.from_bytes(bytes(parts), "big")
     public = lambda x: 0 < x >> 24 < 224 and x >> 24 not in (10, 127)
     ok = public(v)
@@ -166,13 +181,19 @@ def email(s: str, key: bytes) -> str:
     return permute_string(f"{name}@{labels}", key, "email") + "." + top
 
 
+def _account(flat: str) -> bool:
+    """Whether check digits are those of the account; 00, 01 and 99 never are, though they leave the same rest as 97, 98 and 02."""
+    return flat[2:4] not in ("00", "01", "99") and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
 def iban(s: str, key: bytes) -> str:
+    """The account within its country and shape, with check digits that fit; those that don't fit among such strings."""
     flat = s.replace(" ", "")
-    value = lambda t: int("".join(str(int(c, 36)) for c in t))
-    if value(flat[4:] + flat[:4]) % 97 != 1:
-        return s[:2] + permute_string(s[2:], key, "account" + s[:2])
-    body = permute_string(flat[4:], key, "iban" + flat[:2])
-    new = flat[:2] + f"{98 - value(body + flat[:2] + '00') % 97:02d}" + body
+    if _account(flat):
+        body = permute_string(flat[4:], key, "iban" + flat[:2])
+        new = next(t for d in range(2, 99) if _account(t := f"{flat[:2]}{d:02d}{body}"))
+    else:
+        new = flat[:2] + walk_string(flat[2:], key, "account" + flat[:2], lambda t: not _account(flat[:2] + t))
     it = iter(new)
     return "".join(c if c == " " else next(it) for c in s)
 
@@ -190,18 +211,28 @@ def _day(order: str, parts: list[int]) -> int | None:
 
 
 def date(s: str, key: bytes) -> str:
-    """Calendar dates of 1800 to 2099 in Y-M-D, D.M.Y, M/D/Y or D/M/Y; the parts keep order, separator and padding.
+    """Calendar dates of 1800 to 2099 in Y-M-D, D.M.Y, M/D/Y or D/M/Y; the parts keep order, separator and width.
 
-    What no order reads as a date (30 February) is permuted among what is none, with as many digits in each part."""
+    A date is permuted among the days that are written in its shape and are read in its order there (23/04/1967 only among those with a
+    day over 12, as others would be read the other way round), so no two dates get one pseudonym. What no order reads
+    as a date (30 February) is permuted among what is none, with as many digits in each part."""
     sep = re.search(r"\D", s)[0]
     parts = s.split(sep)
     orders = ("YMD",) if len(parts[0]) == 4 else ("MDY", "DMY") if sep == "/" else ("DMY", "MDY")
-    for order in orders:
+    for nth, order in enumerate(orders):
         day = _day(order, list(map(int, parts)))
         if day is not None:
-            new = dt.date.fromordinal(feistel(day, _LAST - _FIRST + 1, key, "date") + _FIRST)
-            out = {"Y": new.year, "M": new.month, "D": new.day}
-            return sep.join(f"{out[k]:0{4 if k == 'Y' else 2 if len(p) == 2 else 1}d}" for k, p in zip(order, parts, strict=True))
+
+            def written(day: int, order: str = order) -> list[int]:
+                d = dt.date.fromordinal(day + _FIRST)
+                return [{"Y": d.year, "M": d.month, "D": d.day}[k] for k in order]
+
+            def fits(day: int, earlier: tuple[str, ...] = orders[:nth]) -> bool:
+                values = written(day)
+                return all(v < 10 ** len(p) for v, p in zip(values, parts, strict=True)) and all(_day(o, values) is None for o in earlier)
+
+            new = written(walk(day, _LAST - _FIRST + 1, key, "date", fits))
+            return sep.join(f"{v:0{len(p)}d}" for v, p in zip(new, parts, strict=True))
     sizes = [300 if len(p) == 4 else 10 ** len(p) for p in parts]
 
     def split(x: int) -> list[int]:
@@ -266,6 +297,7 @@ def pseudonymise(documents: DataFrame, key: bytes, column: str = "text") -> Data
             give_back()
 
     others = [c for c in documents.columns if c not in (column, "n_pii")]
-    out = documents.select(*(F.col(f"`{c}`") for c in others), run(F.col(f"`{column}`").cast("string")).alias("__p"))
-    kept = [F.col("__p.text").alias(column) if c == column else F.col(f"`{c}`") for c in documents.columns if c != "n_pii"]
-    return out.select(*kept, F.col("__p.n_pii").alias("n_pii"))
+    p = free_name(documents, "__p")
+    out = documents.select(*(F.col(f"`{c}`") for c in others), run(F.col(f"`{column}`").cast("string")).alias(p))
+    kept = [F.col(f"{p}.text").alias(column) if c == column else F.col(f"`{c}`") for c in documents.columns if c != "n_pii"]
+    return out.select(*kept, F.col(f"{p}.n_pii").alias("n_pii"))

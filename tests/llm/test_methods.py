@@ -124,6 +124,46 @@ def test_each_kind_permutes_a_small_domain():
     assert len({pii.permute_string(x, KEY, "t") for x in two}) == len(two)
 
 
+def test_dates_of_mixed_orders_stay_apart():
+    """All days in forms that share a shape: no two become one, each keeps its reading, and what is no date stays none."""
+    import datetime as dt
+
+    days = [dt.date(1800, 1, 1) + dt.timedelta(k) for k in range(0, 109_572, 53)]
+    for sep, wide in (("/", "02d"), (".", "02d"), ("-", "02d"), ("/", "d"), (".", "d")):
+        forms = {f"{d.day:{wide}}{sep}{d.month:{wide}}{sep}{d.year}" for d in days} | {f"{d.month:{wide}}{sep}{d.day:{wide}}{sep}{d.year}" for d in days}
+        forms |= {f"{x:02d}{sep}{y:02d}{sep}2001" for x in range(0, 100, 7) for y in range(0, 100, 3)}
+        new = {f: pii.date(f, KEY) for f in forms}
+        assert len(set(new.values())) == len(forms)
+        orders = ("MDY", "DMY") if sep == "/" else ("DMY", "MDY")
+        read = lambda f: next((o for o in orders if pii._day(o, list(map(int, f.split(sep)))) is not None), None)  # noqa: B023, E731
+        assert all(read(f) == read(g) and [len(p) for p in f.split(sep)] == [len(p) for p in g.split(sep)] for f, g in new.items())
+    iso = {d.isoformat() for d in days}
+    assert len({pii.date(f, KEY) for f in iso}) == len(iso)
+    # a date is the same day in all forms that any day can have
+    assert dt.date.fromisoformat(pii.date("1967-04-23", KEY)).strftime("%m/%d/%Y") == pii.date("04/23/1967", KEY)
+    # a whole small class is permuted onto itself: days over 12 of shape D/M/YYYY
+    whole = {f"{d.day}/{d.month}/{d.year}" for d in (dt.date(1800, 1, 1) + dt.timedelta(k) for k in range(109_572)) if d.day > 12 and d.month < 10}
+    assert {pii.date(f, KEY) for f in whole} == whole
+
+
+def test_accounts_and_addresses_stay_apart():
+    body = "0370400440532013"
+    for n in (16, 8):
+        tails = [f"{k:02d}" for k in range(100)]
+        forms = [f"DE{c:02d}{body[:n]}{t}" for c in range(100) for t in tails[::9]]
+        new = [pii.iban(f, KEY) for f in forms]
+        assert len(set(new)) == len(forms) and [pii._account(f) for f in forms] == [pii._account(f) for f in new]
+        assert sum(map(pii._account, forms)) == len(tails[::9]) and all(f[:2] == "DE" and len(f) == len(forms[0]) for f in new)
+    assert pii.iban("DE89 3704 0044 0532 0130 00", KEY).replace(" ", "") == pii.iban("DE89370400440532013000", KEY)
+    # all four-part strings of one shape, valid or not
+    forms = [f"{a}.2{b}.{c:02d}.9" for a in (1, 9) for b in range(100) for c in range(100)]
+    forms = [f for f in forms if len(f) == len(forms[-1])]
+    new = [pii.address(f, KEY) for f in forms]
+    assert len(set(new)) == len(forms) and all((pii._quad(f) is None) == (pii._quad(g) is None) for f, g in zip(forms, new, strict=True))
+    small = [f"{a}.{b}.{c}.{d}" for a in (300, 256, 999) for b in range(10) for c in range(10) for d in range(10)]
+    assert all(pii._quad(pii.address(f, KEY)) is None for f in small) and len({pii.address(f, KEY) for f in small}) == len(small)
+
+
 def test_strings_of_all_scripts_and_lengths():
     for s in ("иван@пример.com", "Ёлка.petrov@mail.com", "Σίσυφος@όρος.gr", "иван@почта.рф", "日本語@例え.jp", "a1@xn--e1afmkfd.xn--p1ai", "ÀÉß@ü.de"):
         out, n = pii.pseudonymise_text(f"to {s} now", KEY)
