@@ -16,9 +16,9 @@ EDGES_A_TASK = 200_000
 
 def _forest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of a task's edges those that a spanning forest of them needs, as (root, node)."""
-    up: dict[int, int] = {}
+    up: dict = {}
 
-    def root(x: int) -> int:
+    def root(x):
         while (p := up.setdefault(x, x)) != x:
             up[x] = x = up[p]
         return x
@@ -27,7 +27,7 @@ def _forest(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
             ra, rb = root(a), root(b)
             up[max(ra, rb)] = min(ra, rb)
-    yield pd.DataFrame([(r, x) for x in list(up) if (r := root(x)) != x], columns=["a", "b"], dtype="int64")
+    yield pd.DataFrame([(r, x) for x in list(up) if (r := root(x)) != x], columns=["a", "b"])
 
 
 def _stars(e: DataFrame) -> bool:
@@ -38,14 +38,14 @@ def _stars(e: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """edges(a, b) -> (node, comp): every node that has an edge with its component's least node, itself included.
+    """edges(a, b), long or string -> (node, comp): every node that has an edge with its component's least node, itself included.
 
     Each round is written to the shared folder, a file for EDGES_A_TASK edges; only a count of edges reaches the driver. Rounds end when all that is
     left are stars, so edges that one task's forest has settled need none.
     Self loops and repeated or reversed edges don't matter; no edges give no rows."""
     edges = edges.where("a <> b").select("a", "b")
     tasks = 1 + edges.count() // EDGES_A_TASK
-    edges = edges.repartition(tasks).mapInPandas(_forest, "a long, b long")
+    edges = edges.repartition(tasks).mapInPandas(_forest, edges.schema)
     e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().coalesce(tasks), f"{name}-forest")
     for i in range(60):
         if _stars(e):

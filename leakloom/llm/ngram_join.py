@@ -110,16 +110,16 @@ def _signatures(width: int, bits: int):
         shift = np.uint64(64 - bits)
         for pdf in batches:
             rows = []
-            for doc_id, t in zip(pdf["doc_id"], shingle_sets(pdf["text"], width), strict=True):
-                rows.append((doc_id, len(t), *(set_key(t) if len(t) else (None, None)), count_vector(t) if len(t) else None, 0))
+            for doc_id, row, t in zip(pdf["doc_id"], pdf["row_key"], shingle_sets(pdf["text"], width), strict=True):
+                rows.append((doc_id, row, len(t), *(set_key(t) if len(t) else (None, None)), count_vector(t) if len(t) else None, 0))
                 np.add.at(sketch, (t >> shift).astype(np.int64), np.uint32(1))
-            doc_ids, n, key, more, vec, kind = zip(*rows, strict=True)
+            doc_ids, row_keys, n, key, more, vec, kind = zip(*rows, strict=True)
             # a null beside them would round plain integers
-            yield pd.DataFrame({"doc_id": doc_ids, "n": n, "key": pd.array(key, "Int64"), "more": pd.array(more, "Int64"), "vec": vec, "kind": kind})
+            yield pd.DataFrame({"doc_id": doc_ids, "row_key": row_keys, "n": n, "key": pd.array(key, "Int64"), "more": pd.array(more, "Int64"), "vec": vec, "kind": kind})
         if sketch.any():
             # counts within one task are small; saturation can only change the order of cells, never the result
             blocks = np.minimum(sketch, 65535).astype("<u2").reshape(-1, SKETCH_BLOCK)
-            yield pd.DataFrame({"doc_id": [str(i) for i in range(len(blocks))], "n": 0, "key": 0, "more": 0, "vec": [b.tobytes() for b in blocks], "kind": 1})
+            yield pd.DataFrame({"doc_id": [str(i) for i in range(len(blocks))], "row_key": 0, "n": 0, "key": 0, "more": 0, "vec": [b.tobytes() for b in blocks], "kind": 1})
 
     return run
 
@@ -244,7 +244,7 @@ def _block_members(num: int, den: int):
             for b in np.flatnonzero(length > 2).tolist():
                 g = pdf.iloc[cuts[b] : cuts[b + 1]]
                 keep += (cuts[b] + wanted(g["n"].to_numpy(), g["own"].to_numpy(), read_vectors(g["vec"].tolist()), g["before"].tolist(), g["i"].iat[0], g["j"].iat[0])).tolist()
-            yield pdf.iloc[keep][["first", "i", "j", "own", "key", "more", "node", "before"]]
+            yield pdf.iloc[keep][["first", "i", "j", "own", "key", "more", "row_key", "before"]]
 
     return run
 
@@ -277,22 +277,21 @@ def class_name(key: int, more: int) -> str:
 
 
 def _block_links(width: int, num: int, den: int, pairs: bool):
-    """All links of blocks, of whole texts, as classes a and b, their nodes u and v, and n: with ``pairs`` each link and its
-    overlap; else the number of each member's links (a = b) and the links of a spanning forest (n = 0), in proportion to
+    """All links of blocks, of whole texts, as classes a and b, and n: with ``pairs`` each link and its overlap; else the number of each member's links (a = b) and the links of a spanning forest (n = 0), in proportion to
     the members."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, cuts in _block_groups(batches):
-            keys, more, nodes, owns, firsts, seconds, before, texts = (pdf[c].to_numpy() for c in ("key", "more", "node", "own", "i", "j", "before", "text"))
+            keys, more, owns, firsts, seconds, before, texts = (pdf[c].to_numpy() for c in ("key", "more", "own", "i", "j", "before", "text"))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 sets = list(shingle_sets(texts[a:b], width))
-                # rows that repeat a doc_id may bring other texts than the class has, or its text again
+                # rows whose keys meet may bring other texts than the class has, and repeated rows bring its text again
                 good, seen = [], set()
                 for k, t in enumerate(sets):
                     if len(t) and (key := (int(keys[a + k]), int(more[a + k]))) not in seen and set_key(t) == key:
                         seen.add(key)
                         good.append(k)
-                own, node, sets = owns[a:b][good], nodes[a:b][good], [sets[k] for k in good]
+                own, sets = owns[a:b][good], [sets[k] for k in good]
                 left, right = _sides(firsts[a], seconds[a], own)
                 if not len(left) or not len(right):
                     continue
@@ -305,33 +304,34 @@ def _block_links(width: int, num: int, den: int, pairs: bool):
                     continue
                 name = np.array([class_name(int(keys[a + k]), int(more[a + k])) for k in good], object)
                 x, y = np.nonzero(links if pairs else _forest_of(links, left, right))
-                yield pd.DataFrame({"a": name[left[x]], "b": name[right[y]], "u": node[left[x]], "v": node[right[y]], "n": both[x, y] if pairs else 0})
+                yield pd.DataFrame({"a": name[left[x]], "b": name[right[y]], "n": both[x, y] if pairs else 0})
                 if not pairs:
                     who, many = np.concatenate([left, right]), np.concatenate([links.sum(axis=1), links.sum(axis=0)])
                     who, many = who[many > 0], many[many > 0]
-                    yield pd.DataFrame({"a": name[who], "b": name[who], "u": node[who], "v": node[who], "n": many})
+                    yield pd.DataFrame({"a": name[who], "b": name[who], "n": many})
 
     return run
 
 
 def _classes_and_links(documents: DataFrame, width: int, num: int, den: int, scratch: Scratch, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, key, more) of every row, classes (key, more, node, n), and what _block_links says of them. A class's node
-    is its least doc_id."""
+    """(doc_id, row_key, n, key, more) of every row, classes (key, more, node, n), and what _block_links says of them. A class's node
+    is its least doc_id, null if all its rows have none; its text is that of the row with its least row_key."""
     spark = documents.sparkSession
     docs = with_columns(documents, doc_id="long", text="string")
+    docs = docs.withColumn("row_key", row_key())
     bits = SKETCH_BITS[int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SKETCH_STEP]
-    made = scratch.keep(map_documents(docs, _signatures(width, bits), "doc_id long, n long, key long, more long, vec binary, kind int"), "made")
+    made = scratch.keep(map_documents(docs, _signatures(width, bits), "doc_id long, row_key long, n long, key long, more long, vec binary, kind int"), "made")
     signed = made.where("kind = 0").drop("kind")
     merged = made.where("kind = 1").select("doc_id", "vec").repartition(16, "doc_id").mapInPandas(_merge_sketch, "block long, counts binary").collect()
     counts = np.zeros(1 << bits, np.uint32)
     for r in merged:
         counts[r.block * SKETCH_BLOCK :][:SKETCH_BLOCK] = np.frombuffer(r.counts, np.uint32)
     sketch = spark.sparkContext.broadcast(counts)
-    classes = scratch.keep(signed.where("key is not null and doc_id is not null").groupBy("key", "more").agg(F.min("doc_id").alias("node"), F.max("n").alias("n"), F.max("vec").alias("vec")), "classes")
+    classes = scratch.keep(signed.where("key is not null").groupBy("key", "more").agg(F.min("doc_id").alias("node"), F.min("row_key").alias("row_key"), F.max("n").alias("n"), F.max("vec").alias("vec")), "classes")
 
     # cells, rare shingles that two classes share, gathered under their first member; 64 bits of a class's name do here, as
     # two classes that share them only bring candidates
-    rows = map_documents(docs.where("doc_id is not null"), _prefixes(width, num, den, sketch, bits), "doc_id string, token long, key long").select("token", "key")
+    rows = map_documents(docs.select("doc_id", "text"), _prefixes(width, num, den, sketch, bits), "doc_id string, token long, key long").select("token", "key")
     near = scratch.keep(rows.repartition("token").sortWithinPartitions("token", "key").mapInPandas(_gathered, "first long, key long").distinct(), "near")
 
     # blocks of gatherings; a row is in one block with each block of its gathering
@@ -344,19 +344,24 @@ def _classes_and_links(documents: DataFrame, width: int, num: int, den: int, scr
     dealt = dealt.join(known, "key").withColumn("before", F.filter("firsts", lambda f: f < F.col("first"))).join(classes, "key")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key", "more", "first"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "more", "node", "n", "vec", "before")
+    dealt = dealt.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "more", "row_key", "n", "vec", "before")
     dealt = dealt.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
-    found = scratch.keep(dealt.mapInPandas(_block_members(num, den), "first long, i int, j int, own int, key long, more long, node long, before array<long>"), "found")
+    found = scratch.keep(dealt.mapInPandas(_block_members(num, den), "first long, i int, j int, own int, key long, more long, row_key long, before array<long>"), "found")
     scratch.drop("near")
 
     # exact comparison; whole texts travel: they are shorter than their hashes. Few members go to the texts where these lie,
     # so that each text moves once only, to its block
     size = found.agg(F.sum(F.size("before") * 8 + 100)).first()[0] or 0
-    whole = docs.withColumnRenamed("doc_id", "node").join(F.broadcast(found) if size <= FEW_BYTES else found, "node")
+    whole = docs.select("row_key", "text").join(F.broadcast(found) if size <= FEW_BYTES else found, "row_key")
     whole = whole.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j")
-    links = scratch.keep(whole.mapInPandas(_block_links(width, num, den, pairs), "a string, b string, u long, v long, n long"), "links")
+    links = scratch.keep(whole.mapInPandas(_block_links(width, num, den, pairs), "a string, b string, n long"), "links")
     scratch.drop("found", "large")
-    return signed.select("doc_id", "n", "key", "more"), classes.select("key", "more", "node", "n"), links
+    return signed.select("doc_id", "row_key", "n", "key", "more"), classes.select("key", "more", "node", "n"), links
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text: with doc_id it tells rows apart whose ids are null or shared; equal rows have one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))  # corpus_pipeline names its rows by the same
 
 
 def _name() -> Column:
@@ -370,32 +375,38 @@ def ngram_jaccard_join(documents: DataFrame, width: int = 5, num: int = 75, den:
 
     members: doc_id, n_shingles, class_key of every row; rows with equal shingle sets have one class, a row without
     shingles has none. links: class_a, class_b, doc_a, doc_b, n_a, n_b, overlap, each pair of different classes with
-    den * overlap >= num * |union| once, inside components too; doc_a and doc_b are the classes' least doc_ids.
-    A class whose rows all have a null doc_id links with nothing."""
+    den * overlap >= num * |union| once, inside components too; doc_a and doc_b are the classes' least doc_ids, null
+    where all rows of a class have none."""
     rows, classes, links = _classes_and_links(documents, width, num, den, Scratch(documents.sparkSession), pairs=True)
-    named = classes.select(_name().alias("name"), "n")
-    a, b = named.select(F.col("name").alias("class_a"), F.col("n").alias("n_a")), named.select(F.col("name").alias("class_b"), F.col("n").alias("n_b"))
-    pairs = links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.col("u").alias("doc_a"), F.col("v").alias("doc_b"), F.col("n").alias("overlap")).join(a, "class_a").join(b, "class_b")
+    a, b = (classes.select(_name().alias(f"class_{x}"), F.col("node").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.col("n").alias("overlap")).join(a, "class_a").join(b, "class_b")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), _name().alias("class_key")), pairs.select("class_a", "class_b", "doc_a", "doc_b", "n_a", "n_b", "overlap")
 
 
 def ngram_jaccard_members(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_links, component_id (least doc_id reachable over links).
+    """One row per document: doc_id, row_key, n_shingles, n_links, component_id (least doc_id reachable over links) and component
+    (the component's name, that of its least class; null without shingles).
 
     Documents link when den * |overlap| >= num * |union| of their shingle sets; n_links counts the links of a document's
     class with other classes (ngram_jaccard_join lists them; equal sets are one class and don't count).
-    A null or wordless text has no shingles and links with nothing. A row with a null doc_id keeps its size
-    and takes part through equal sets only. Repeated rows stay; rows that share a doc_id but not a text are documents of
-    their own. An empty table gives an empty result. Other columns are ignored."""
+    A null or wordless text has no shingles and links with nothing. Rows with a null doc_id take part as all others do, and a
+    component of such rows only has a null component_id. Repeated rows stay; rows that share a doc_id but not a text are documents
+    of their own, told apart by row_key. An empty table gives an empty result. Other columns are ignored."""
     scratch = Scratch(documents.sparkSession)
     signed, classes, links = _classes_and_links(documents, width, num, den, scratch, pairs=False)
-    comps = components(links.where("a <> b").select(F.col("u").alias("a"), F.col("v").alias("b")), scratch, "c").withColumnRenamed("comp", "component_id")
+    comps = components(links.where("a <> b").select("a", "b"), scratch, "c").select(F.col("node").alias("a"), F.col("comp").alias("component"))
     many = links.where("a = b").groupBy("a").agg(F.sum("n").alias("n_links"))
-    named = classes.withColumn("a", _name()).join(many, "a", "left").join(comps, "node", "left")
-    named = named.select("key", "more", "n_links", F.coalesce("component_id", "node").alias("component_id"))
-    return signed.join(named, ["key", "more"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.select("key", "more", "node", _name().alias("a")).join(many, "a", "left").join(comps, "a", "left")
+    # only classes with links have a component to look up; the others are one of their own
+    least = named.where("component is not null").groupBy("component").agg(F.min("node").alias("component_id"))
+    named = named.join(least, "component", "left")
+    own = F.when(F.col("component").isNull(), F.col("node")).otherwise(F.col("component_id"))
+    named = named.select("key", "more", "n_links", own.alias("component_id"), F.coalesce("component", "a").alias("component"))
+    out = signed.join(named, ["key", "more"], "left")
+    id_ = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), id_.alias("component_id"), "component")
 
 
 def ngram_jaccard_components(documents: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of ngram_jaccard_members."""
-    return ngram_jaccard_members(documents, width, num, den).drop("n_links")
+    return ngram_jaccard_members(documents, width, num, den).select("doc_id", "n_shingles", "component_id")

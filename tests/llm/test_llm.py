@@ -35,22 +35,45 @@ def shingles(t):
 
 
 def test_ngram_join(docs, empty):
-    rows = [(r.doc_id, shingles(r.text)) for r in docs.collect() if r.doc_id is not None]
-    up = {i: i for i, _ in rows}
+    got = [tuple(r) for r in ngram_join.ngram_jaccard_components(docs).collect()]
+    assert sorted(got, key=str) == brute_components([(r.doc_id, r.text) for r in docs.collect()])
+    assert ngram_join.ngram_jaccard_components(empty).collect() == []
+
+
+def brute_components(rows):
+    """(doc_id, n_shingles, component_id) by comparing all rows; ids may be null or shared."""
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for i, a in rows:
-        for j, b in rows:
-            if a and b and i < j and 100 * len(a & b) >= 75 * len(a | b):
-                x, y = root(i), root(j)
-                up[max(x, y)] = min(x, y)
-    got = [tuple(r) for r in ngram_join.ngram_jaccard_components(docs).where("doc_id is not null").collect()]
-    assert sorted(got) == sorted((i, len(s), root(i)) for i, s in rows)
-    assert ngram_join.ngram_jaccard_components(empty).collect() == []
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    return sorted(((doc_id, len(sets[i]), least.get(root(i))) for i, (doc_id, _) in enumerate(rows)), key=str)
+
+
+def test_ngram_join_of_null_and_shared_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b, c, other = " ".join(words), " ".join([*words[:-4], "x", "y", "z", "u"]), " ".join([*words[:-8], "q", "r", "s", "t", "x", "y", "z", "u"]), [f"v{i}" for i in range(60)]
+    v, near_v = " ".join(other), " ".join([*other[:-3], "x", "y", "z"])
+    for rows in (
+        [(3, a), (None, b), (7, c)],  # linked through a row without an id only
+        [(9, a), (9, v), (7, b), (8, near_v)],  # one id, two groups
+        [(None, a), (None, b), (None, None), (None, "")],
+        [(None, a), (None, a), (5, b), (5, b), (5, v), (None, near_v)],
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted((tuple(r) for r in ngram_join.ngram_jaccard_components(df).collect()), key=str) == brute_components(rows)
+        members, links = ngram_join.ngram_jaccard_join(df)
+        assert members.count() == len(rows) and all(r.class_a != r.class_b for r in links.collect())
 
 
 def test_ngram_join_finds_links_inside_components(spark, monkeypatch):
