@@ -87,6 +87,14 @@ def with_columns(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df hasn't got, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def give_back() -> None:
     """Memory that a worker has freed goes back to the system, so that idle workers don't keep what they once needed."""
     pa.default_memory_pool().release_unused()
@@ -113,7 +121,7 @@ def with_struct(docs: DataFrame, compute: Callable[[list], list[tuple]], name: s
     """docs, all columns as they are, and column ``name``: a struct of ``fields`` that compute gives for each text (a string
     column). Rows go through Python whole, so nothing has to be joined back and each text is computed once."""
     small_batches(docs.sparkSession)
-    at, added = docs.columns.index("text"), StructType.fromDDL(f"`{name}` struct<{fields}>")
+    at, added = next(i for i, c in enumerate(docs.columns) if c.lower() == "text"), StructType.fromDDL(f"`{name}` struct<{fields}>")
     carried = to_arrow_schema(added)
     keys = [f.name for f in added[0].dataType.fields]
 

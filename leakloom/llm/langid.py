@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashed, map_documents, pieces, with_columns, with_struct, word_hashes
+from .common import Hashed, free_name, map_documents, pieces, with_columns, with_struct, word_hashes
 
 #: Bounds of the fitting sample: documents and bytes of each a language.
 SAMPLE_DOCS, SAMPLE_BYTES = 250, 2500
@@ -279,8 +279,9 @@ def identified(documents: DataFrame, model: Crf) -> DataFrame:
     Columns of these names are replaced."""
     held = documents.sparkSession.sparkContext.broadcast(model)
     own = documents.drop("lang_pred", "score")
-    found = with_struct(own, lambda texts: _predictions(texts, held.value), "__p", "lang_pred: string, score: double")
-    return found.select(*(F.col(f"`{c}`") for c in own.columns), "__p.*")
+    name = free_name(own, "__p")
+    found = with_struct(own, lambda texts: _predictions(texts, held.value), name, "lang_pred: string, score: double")
+    return found.select(*(F.col(f"`{c}`") for c in own.columns), f"{name}.*")
 
 
 def label_words(documents: DataFrame, model: Crf) -> DataFrame:

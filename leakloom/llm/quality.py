@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_documents, pieces, windows, with_struct, word_hashes
+from .common import Scratch, free_name, map_documents, pieces, windows, with_struct, word_hashes
 
 #: Share of the documents that an estimate rests on; steps that all starts take, and most steps of the best one.
 SHARE, STEPS, MOST_STEPS = 0.75, 2, 12
@@ -257,6 +257,7 @@ def kept_documents(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.lit(None).cast("long").alias("doc_id"), lang, source, "text")
     rows = _statistics(map_documents(docs, _counts, f"doc_id long, lang string, source string, {_KINDS}"))
     state = _estimates(scratch.keep(rows, "counts"), scratch)
-    counted = with_struct(documents, text_counts, "__c", _KINDS.replace(" long", ": bigint"))
+    name = free_name(documents, "__c")
+    counted = with_struct(documents, text_counts, name, _KINDS.replace(" long", ": bigint"))
     whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("__d")
-    return _judged(_statistics(counted.select(whole, lang, source, "__c.*"), "__d"), state).where("kept").select("__d.*")
+    return _judged(_statistics(counted.select(whole, lang, source, f"{name}.*"), "__d"), state).where("kept").select("__d.*")
