@@ -11,22 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakloom.llm import langid, ngram_join, packing, pii, quality
-from leakloom.llm.common import Scratch
+from leakloom.llm.common import Scratch, free_name
 from leakloom.llm.queries import DEMO_KEY, WORD_BPE
 
 #: A row's identity within a stage, in the place of doc_id: rows equal in all of these have one verdict.
 ROW = ("doc_id", "text", "lang", "source")
 
 
-def by_row(docs: DataFrame) -> DataFrame:
-    """docs with a 64-bit hash of ROW as ``_row``: null and repeated doc_ids tell rows with different contents apart."""
-    return docs.withColumn("_row", F.xxhash64(*(x for c in ROW for x in (F.col(c).isNull(), F.col(c)))))
-
-
-def as_ids(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("doc_id", F.col("_row")).drop("_row")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters go (all, if no row has a language to learn from); the predicted language replaces a
     missing one. A text of several known languages stays, whatever the top one's share. Each row has its own verdict,
@@ -44,11 +35,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the least doc_id, null last. Rows with a null doc_id take part as all
     others do; rows that share a doc_id stay apart if their texts do; equal rows count once."""
-    rows = by_row(docs)
-    groups = ngram_join.ngram_jaccard_components(as_ids(rows)).select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))
-    first = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_row")).select("_row")
-    return rows.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    a, b = free_name(docs, "_row"), free_name(docs, "_key")  # 128 bits in all
+    named = docs.withColumn(a, F.xxhash64(*(x for c in ROW for x in (F.col(c).isNull(), F.col(c)))))
+    ids = named.select(F.col(a).alias("doc_id"), "text")
+    rows = named.withColumn(b, F.xxhash64(a, "text"))
+    found = ngram_join.ngram_jaccard_members(ids)
+    # texts without shingles are groups of their own
+    group = F.coalesce("component", F.concat_ws(":", "doc_id", "row_key"))
+    groups = found.select(F.col("doc_id").alias(a), F.col("row_key").alias(b), group.alias("__group")).distinct()
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), a, b)
+    first = rows.select(a, b, "doc_id").join(groups, [a, b]).groupBy("__group").agg(F.min(order).alias("__o")).select(F.col(f"__o.{a}").alias(a), F.col(f"__o.{b}").alias(b))
+    return rows.join(first, [a, b], "left_semi").dropDuplicates([a, b]).select(*docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
