@@ -7,7 +7,7 @@ all trees. A search goes through a tree nearest first: a heap holds nodes by the
 leaves them and rows by their score; nodes outside the annulus or without a label wanted are never opened, and it ends after
 k rows. The k best of all trees are the anchor's. Scores are integers, exact; distances only steer.
 
-Every anchor meets every tree: with every 100th row an anchor, n rows of d components send n / 100 vectors to n * d / 2^17 trees.
+Every anchor meets every tree: with every 100th row an anchor, n rows of d components send n / 100 vectors to n * d / 2^19 trees.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 #: Components of a tree's vectors, and of a pack of anchors, about; rows of a leaf.
-TREE, PACK, LEAF = 1 << 17, 1 << 14, 32
+TREE, PACK, LEAF = 1 << 19, 1 << 14, 512
 #: Relative slack of distances, far above their rounding.
 SLACK = 1e-9
 _NODE = ["start", "end", "left", "right", "near", "far", "least", "most"]
@@ -46,7 +46,10 @@ def build(ids: np.ndarray, labels: np.ndarray, x: np.ndarray, bound: float) -> d
             nodes[parent][2 + side] = len(nodes)
         me = len(nodes)
         nodes.append([a, b, -1, -1, near, far, labels[a:b].min(initial=np.iinfo(np.int64).max), labels[a:b].max(initial=np.iinfo(np.int64).min)])
-        if b - a <= LEAF:
+        if b - a <= LEAF:  # in order of ids, so that ties are
+            by = a + np.argsort(ids[a:b], kind="stable")
+            for z in (ids, labels, x):
+                z[a:b] = z[by]
             continue
         # the row farthest from the first is on the rim, where distances spread most
         v = a + int(((y[a:b] - y[a]) ** 2).sum(axis=1).argmax())
@@ -62,63 +65,82 @@ def build(ids: np.ndarray, labels: np.ndarray, x: np.ndarray, bound: float) -> d
 
 
 class Anchor:
-    """One anchor in one tree; scores of opened leaves are kept for its other searches."""
-
-    def __init__(self, tree: dict[str, np.ndarray], a: np.ndarray, bound: float):
-        self.t, self.a, self.base, self.seen = tree, a, float((a.astype(np.float64) ** 2).sum() + bound), {}
-        self.start, self.end, self.left, self.right, self.least, self.most = (tree[k].tolist() for k in ("start", "end", "left", "right", "least", "most"))
-        self.near, self.far = tree["near"].tolist(), tree["far"].tolist()
-
-    def scores(self, i: int, j: int) -> np.ndarray:
-        if i not in self.seen:
-            self.seen[i] = (self.t["x"][i:j] @ self.a).astype(np.int64)
-        return self.seen[i]
+    """One anchor in one tree; what it has seen of opened leaves is kept for its other searches."""
+
+    def __init__(self, tree: dict, a: np.ndarray, label: int, own: int, bound: float):
+        self.t, self.a, self.label, self.own = tree, a, label, own
+        self.base, self.seen = float((a.astype(np.float64) ** 2).sum() + bound), {}
+        # exact scores of all vantage points at once
+        self.spans = (tree["x"][tree["points"]] @ a).astype(np.int64).tolist()
+
+    def leaf(self, k: int, i: int, j: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(- score, id) of the rows i .. j - 1 whose label is (same) or isn't the anchor's, best first, ties to smaller ids."""
+        if (k, same) not in self.seen:
+            ids, labels, x = self.t["ids"][i:j], self.t["labels"][i:j], self.t["x"][i:j]
+            at = (labels == self.label if same else labels != self.label).nonzero()[0]
+            if same:
+                mine = at[ids[at] == self.own]
+                at = at[~np.isin(at, mine[(x[mine] == self.a).all(axis=1)])] if len(mine) else at
+            minus = (x[at] if same else x) @ -self.a
+            minus = minus if same else minus[at]
+            by = minus.argsort(kind="stable")  # a leaf's rows are in order of their ids
+            self.seen[k, same] = minus[by], ids[at[by]]
+        return self.seen[k, same]
 
     def distance(self, score: float) -> float:
         return math.sqrt(max(self.base - 2 * score, 0.0))
 
-    def nearest_first(self, label: int, same: bool, low: int | None, high: int | None, own: int | None = None) -> Iterator[tuple[int, int]]:
-        """(score, id) of the rows whose label is (same) or isn't ``label`` and whose score is in low .. high (None: open), best
-        first, ties to smaller ids. ``own`` is the anchor's id: its row (id, label and vector) is left out."""
+    def nearest_first(self, same: bool, low: int | None = None, high: int | None = None) -> Iterator[tuple[int, int]]:
+        """(score, id) of the rows whose label is (same) or isn't the anchor's and whose score is in low .. high (None: open), best
+        first, ties to smaller ids. The anchor's own row (id, label and vector) is left out."""
+        t = self.t
         inner = 0.0 if high is None else self.distance(high) * (1 - SLACK)
         outer = math.inf if low is None else self.distance(low) * (1 + SLACK)
-        heap: list[tuple[float, int, int, int]] = []  # (- best score, 0 for nodes, node) or (- score, 1, id)
-
-        def rows(i: int, j: int) -> None:
-            s, labels = self.scores(i, j), self.t["labels"][i:j]
-            ok = (labels == label) if same else (labels != label)
-            if low is not None:
-                ok &= s >= low
-            if high is not None:
-                ok &= s <= high
-            if own is not None:
-                ok &= ~((self.t["ids"][i:j] == own) & (labels == label) & (self.t["x"][i:j] == self.a).all(axis=1))
-            at = np.flatnonzero(ok)
-            for score, name in zip(s[at].tolist(), self.t["ids"][i + at].tolist(), strict=True):
-                heapq.heappush(heap, (-score, 1, name, 0))
+        # (- best score, 0, node, 0) or (- score, 1, id, (leaf, place in it)): a leaf shows its next row only
+        heap: list[tuple] = []
+
+        def rows(k: int, i: int, j: int) -> None:
+            minus, _ = self.leaf(k, i, j, same)
+            show(k, 0 if high is None else int(minus.searchsorted(-high)))
+
+        def show(k: int, at: int) -> None:
+            minus, ids = self.seen[k, same]
+            if at < len(minus) and (low is None or -minus[at] >= low):
+                heapq.heappush(heap, (int(minus[at]), 1, int(ids[at]), (k, at)))
 
         def node(k: int, nearest: float) -> None:
-            none = (label < self.least[k] or label > self.most[k]) if same else self.least[k] == self.most[k] == label
+            least, most = t["least"][k], t["most"][k]
+            none = not least <= self.label <= most if same else least == most == self.label
             if not none and nearest <= outer:
                 best = (self.base - max(nearest, inner) ** 2) / 2
-                heapq.heappush(heap, (-(best + SLACK * (abs(best) + self.base)), 0, k, 0))
+                heapq.heappush(heap, (-(best + SLACK * (abs(best) + self.base)), 0, k, ()))
 
-        if self.end[0]:
+        if t["end"][0]:
             node(0, 0.0)
         while heap:
-            score, kind, k, _ = heapq.heappop(heap)
+            score, kind, k, at = heapq.heappop(heap)
             if kind:
                 yield -score, k
-            elif self.left[k] < 0:
-                rows(self.start[k], self.end[k])
+                show(at[0], at[1] + 1)
+            elif t["left"][k] < 0:
+                rows(k, t["start"][k], t["end"][k])
             else:
-                i = self.start[k]
-                rows(i, i + 1)
-                d = self.distance(int(self.scores(i, i + 1)[0]))
-                for child in (self.left[k], self.right[k]):
-                    slack = SLACK * (d + self.far[child] + 1)
-                    if d + self.far[child] + slack >= inner:
-                        node(child, max(0.0, self.near[child] - d, d - self.far[child]) - slack)
+                rows(k, t["start"][k], t["start"][k] + 1)
+                d = self.distance(self.spans[t["point"][k]])
+                for child in (t["left"][k], t["right"][k]):
+                    far = t["far"][child]
+                    slack = SLACK * (d + far + 1)
+                    if d + far + slack >= inner:
+                        node(child, max(0.0, t["near"][child] - d, d - far) - slack)
+
+
+def opened(blob: bytes) -> dict:
+    """A stored tree, its nodes as lists, with the rows of its vantage points and each inner node's place among these."""
+    with np.load(io.BytesIO(blob)) as z:
+        tree = {k: z[k].tolist() if k in _NODE else z[k] for k in z.files}
+    inner = [k for k, left in enumerate(tree["left"]) if left >= 0]
+    places = {k: n for n, k in enumerate(inner)}
+    return tree | {"points": np.array([tree["start"][k] for k in inner], np.int64), "point": [places.get(k, -1) for k in range(len(tree["left"]))]}
 
 
 def first(n: int, rows: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -165,9 +187,8 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for blob, qs in zip(batch.column("tree"), batch.column("qs"), strict=True):
-                    with np.load(io.BytesIO(blob.as_py())) as z:
-                        tree = dict(z)
-                    out = [r for q in qs.as_py() for r in search(Anchor(tree, np.array(q["v"], tree["x"].dtype), bound), q)]
+                    tree = opened(blob.as_py())
+                    out = [r for q in qs.as_py() for r in search(Anchor(tree, np.array(q["v"], tree["x"].dtype), q["label"], q["vec_id"], bound), q)]
                     yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(names)})
 
         return trees.join(packed, ["dim", "block"]).select("tree", "qs").mapInArrow(run, schema)
@@ -178,7 +199,7 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
 
     near = searched(
         anchors.select("dim", "pack", F.struct("vec_id", "label", "key", "v").alias("q")),
-        lambda a, q: [(q["vec_id"], q["key"], s, i) for s, i in first(positives, a.nearest_first(q["label"], True, None, None, q["vec_id"]))],
+        lambda a, q: [(q["vec_id"], q["key"], s, i) for s, i in first(positives, a.nearest_first(True))],
         "vec_id long, key long, positive_score long, positive_id long",
     )
     near = scratch.keep(best(near, ["vec_id", "key"], "positive_score", "positive_id", positives), "positives")
@@ -190,7 +211,7 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
             s = p["positive_score"]
             lo, hi = -(-low * s // 100), high * s // 100
             if lo <= hi:
-                out += [(q["vec_id"], q["key"], p["rank"], p["positive_id"], s, t, i) for t, i in first(k, a.nearest_first(q["label"], False, lo, hi))]
+                out += [(q["vec_id"], q["key"], p["rank"], p["positive_id"], s, t, i) for t, i in first(k, a.nearest_first(False, lo, hi))]
         return out
 
     found = searched(

@@ -1,6 +1,7 @@
 """Toxicity, periodic runs and hard negatives against brute force, planted words and held-out labels, on odd tables."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -123,7 +124,7 @@ def brute_negatives(rows, every, positives, k, low, high, shift):
     return sorted(out)
 
 
-@pytest.mark.parametrize("leaf,tree,pack", [(32, 1 << 17, 1 << 14), (2, 300, 40)])
+@pytest.mark.parametrize("leaf,tree,pack", [(512, 1 << 19, 1 << 14), (2, 300, 40)])
 def test_hard_negatives(spark, monkeypatch, leaf, tree, pack):
     monkeypatch.setattr(hard_negatives, "LEAF", leaf)
     monkeypatch.setattr(hard_negatives, "TREE", tree)
@@ -145,18 +146,21 @@ def test_op13_whole_query(spark):
     assert sorted(map(tuple, queries.op13_hard_negatives(spark, SF).collect())) == brute_negatives(rows, 100, 5, 10, 30, 90, True)
 
 
-def test_search_opens_few_leaves():
+def test_search_opens_few_leaves(monkeypatch):
     """Near-first search of clustered rows ends long before all rows are scored."""
+    monkeypatch.setattr(hard_negatives, "LEAF", 32)
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.integers(-3, 4, (200, 8)) + c for c in rng.integers(-4000, 4000, (40, 8))]).astype(np.float64)
     bound = float((x**2).sum(axis=1).max()) * (1 + hard_negatives.SLACK)
     labels = np.repeat(np.arange(40), 200) % 5
-    tree = hard_negatives.build(np.arange(len(x)), labels, x, bound)
-    a = hard_negatives.Anchor(tree, x[17], bound)
-    got = hard_negatives.first(5, a.nearest_first(0, True, None, None, 17))
+    blob = io.BytesIO()
+    np.savez(blob, **hard_negatives.build(np.arange(len(x)), labels, x, bound))
+    a = hard_negatives.Anchor(hard_negatives.opened(blob.getvalue()), x[17], 0, 17, bound)
+    got = hard_negatives.first(5, a.nearest_first(True))
     scores = (x @ x[17]).astype(int)
     assert got == [(int(scores[i]), i) for i in sorted((i for i in range(len(x)) if labels[i] == 0 and i != 17), key=lambda i: (-scores[i], i))[:5]]
-    assert sum(len(s) for s in a.seen.values()) < len(x) / 3
+    leaves = sum(left < 0 for left in a.t["left"])
+    assert len([k for k, _ in a.seen if a.t["left"][k] < 0]) < leaves / 3
 
 
 def test_vectors_too_large_are_an_error(spark):
