@@ -1,8 +1,10 @@
-"""Pages of a large table by key: a stored index of every n-th key says where a page begins."""
+"""Pages of a large table by key, and lookups in it: a stored index of every n-th key says where a page begins, a layout by the key's hash where a key lies."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import numbered
@@ -31,3 +33,39 @@ def page_of(table: DataFrame, index: DataFrame, page: int, key: str = "id", ever
     near = table.where(low & high)
     # at most the rows of the page and those of its first key on earlier pages
     return near.orderBy(key, F.xxhash64(*table.columns)).offset(first["n"]).limit(every)
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int"), F.lit(0))
+
+
+def write_bucketed(table: DataFrame, path: str, key: str = "url", parts: int = 256) -> None:
+    """The table in folders by the hash of its key, a file or more each, rows of a key next to each other."""
+    table.withColumn("part", _part(key, parts)).repartition(parts, "part").sortWithinPartitions("part", key).write.mode("append").partitionBy("part").parquet(path)
+
+
+class Bucketed:
+    """A table that write_bucketed has written. A lookup reads the folders that its keys can be in only, and of a few keys the row
+    groups; the numbers of folders, no more than there are, go through the driver."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "url", parts: int = 256):
+        self.spark, self.key, self.parts = spark, key, parts
+        self.table = spark.read.parquet(path)
+
+    def lookup(self, keys: Iterable[str | None]) -> DataFrame:
+        """Rows of some keys; null ones have none."""
+        wanted = [k for k in keys if k is not None]
+        return self._near(self.spark.createDataFrame([(k,) for k in wanted], f"{self.key} string")).where(F.col(self.key).isin(wanted)).drop("part")
+
+    def _near(self, keys: DataFrame) -> DataFrame:
+        folders = keys.select(_part(self.key, self.parts).alias("part")).distinct().collect()
+        return self.table.where(F.col("part").isin([r.part for r in folders]))
+
+    def known(self, candidates: DataFrame) -> DataFrame:
+        """The distinct keys of candidates that the table has."""
+        new = candidates.select(self.key).where(F.col(self.key).isNotNull()).distinct()
+        return new.join(self._near(new).select(self.key), self.key, "left_semi")
+
+    def unseen(self, candidates: DataFrame) -> DataFrame:
+        """Candidates whose key the table hasn't got; those without a key too."""
+        return candidates.join(self.known(candidates), self.key, "left_anti").select(*candidates.columns)

@@ -121,6 +121,6 @@ q("stm07_lifecycle", "SELECT url, max_by(result, id) AS status FROM incidents GR
 q("ded05_committers", None, V.committers)(lambda d: committers_first_seen(d.select(c("repo"), c("name"), c("email"), c("id").alias("seq"))))
 
 # the rest registers itself
-from . import analysis_queries, scale_queries, store_queries, text_queries  # noqa: E402, F401
+from . import analysis_queries, report_queries, scale_queries, store_queries, text_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -81,6 +81,16 @@ q("src01_keyset_page", "SELECT id, url, level FROM incidents ORDER BY id LIMIT 2
     lambda d: K.page_of(d.select("id", "url", "level"), Cuts(d.sparkSession)(K.page_index(d, "id", 25)), 9, "id", 25)
 )
 
+
+# many addresses at once, in a table laid out by their hash
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, place = V.incidents(spark, sf_dir), f"{shared_dir(spark)}/bucketed-{uuid.uuid4().hex}"
+    K.write_bucketed(d.where("level = 3").select("url"), place, "url", 32)
+    return K.Bucketed(spark, place, "url", 32).unseen(d.select("id", "url"))
+
+
+q("j01_unseen_bucketed", "SELECT id, url FROM incidents a WHERE NOT EXISTS (SELECT 1 FROM incidents b WHERE b.level = 3 AND b.url = a.url)", lambda s, d: (s, d))(lambda a: looked_up(*a))
+
 # quotas at a moment: resets and blocks that have passed by then
 _ANSWERS = """SELECT concat('t', CAST(user_id % 7 AS VARCHAR(9))) AS token, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'core' WHEN 1 THEN 'search' ELSE 'graphql' END AS resource, CAST({epoch} AS BIGINT) AS "at",
 CASE WHEN event_id % 5 > 0 THEN 5000 + event_id % 10 END AS "limit", CASE WHEN event_id % 4 <> 1 THEN event_id % 4000 END AS remaining,

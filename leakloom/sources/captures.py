@@ -14,10 +14,20 @@ def gitleaks(spark: SparkSession, path: str) -> DataFrame:
     return gitleaks_rows(spark.read.text(path, wholetext=True))
 
 
+_GITLEAKS = "struct<StartLine: int, EndLine: int, StartColumn: int, EndColumn: int, Match: string, Secret: string, File: string, RuleID: string>"
+
+
+def gitleaks_records(records: DataFrame) -> DataFrame:
+    """Findings of records(json, broken) of sources.split_json, for captures of any size; broken records have none."""
+    return _gitleaks(records.where("not broken").select(F.from_json("json", _GITLEAKS).alias("f")).select("f.*"))
+
+
 def gitleaks_rows(captures: DataFrame) -> DataFrame:
     """Findings of captures(value), each one JSON array; a broken one has none."""
-    schema = "array<struct<StartLine: int, EndLine: int, StartColumn: int, EndColumn: int, Match: string, Secret: string, File: string, RuleID: string>>"
-    df = captures.select(F.explode(F.from_json("value", schema)).alias("f")).select("f.*")
+    return _gitleaks(captures.select(F.explode(F.from_json("value", f"array<{_GITLEAKS}>")).alias("f")).select("f.*"))
+
+
+def _gitleaks(df: DataFrame) -> DataFrame:
     at = F.concat(F.lit("V:"), "StartLine", F.lit("-"), "EndLine", F.lit(";H:"), "StartColumn", F.lit("-"), "EndColumn", F.lit(";"))
     return df.select(F.lit("gitleaks").alias("scanner"), F.col("File").alias("file"), first_filled(F.col("Match"), F.col("Secret")).alias("match"), at.alias("position"), F.col("RuleID").alias("rule"))
 

@@ -26,20 +26,20 @@ _TOKEN = re.compile(r'\\.|["{}\[\]]', re.S)
 
 
 def fragments(spark: SparkSession, path: str) -> DataFrame:
-    """file, block (where its split begins), at (their order in a task), value: texts between opening braces."""
+    """file, block (where its split begins), value: texts between opening braces, in their order in a split."""
     return placed(spark.read.option("lineSep", "{").text(path))
 
 
 def placed(lines: DataFrame) -> DataFrame:
-    """fragments of a text reader's rows (batch or micro-batch), read with lineSep '{'."""
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    """fragments of a text reader's rows (batch or stream), read with lineSep '{'."""
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
 def _of_splits(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, bool, pd.Series, str]]:
     """(row of its split, whether it is the split's first, text) of each fragment; all but a file's first follow a brace."""
     last = None
     for pdf in frames:
-        names = [c for c in pdf.columns if c not in ("at", "value")]
+        names = [c for c in pdf.columns if c != "value"]
         for row, value in zip(pdf[names].itertuples(index=False, name=None), pdf["value"], strict=True):
             new = row[:2] != last
             last = row[:2]
@@ -131,7 +131,7 @@ def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def records_of(parts: DataFrame) -> DataFrame:
-    """file, block, nth, json, broken of fragments: the records in the order of (block, nth) of where they begin.
+    """file, block, nth, json, broken of fragments (a table's or a micro-batch's): the records in the order of (block, nth) of where they begin.
 
     Records are the objects (or arrays) of a file's outermost array, or the outermost ones of a file that doesn't begin with an array. One that
     isn't valid JSON is broken, as is one that its file doesn't close; of the latter SHOWN characters are kept if it is longer than LONGEST. Files
@@ -141,7 +141,7 @@ def records_of(parts: DataFrame) -> DataFrame:
     if starts.count() <= FEW:
         begun = parts.join(F.broadcast(starts), ["file", "block"])  # keeps the order of fragments
     else:
-        begun = parts.join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "at")
+        begun = parts.withColumn("at", F.monotonically_increasing_id()).join(starts, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "at")
     pieces = begun.select("file", "block", "quoted", "depth", "base", "value").mapInPandas(_pieces, "file string, block long, nth int, kind string, json string, long boolean")
     whole = pieces.where("kind = 'whole'").select("file", "block", "nth", "json", F.lit(True).alias("closed"), "long")
     order = W.partitionBy("file").orderBy("block", "nth")

@@ -14,6 +14,7 @@ from leakloom.operators import ranking as N
 from leakloom.operators import sketches as S
 from leakloom.operators import snapshots
 from leakloom.operators import store as O
+from leakloom.sources import split_json as J
 from leakloom.streaming import ingest as I
 from leakloom.streaming import timers as Q
 
@@ -346,3 +347,116 @@ def test_quota_state_goes_when_idle(spark, tmp_path):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["at"], r.kind, r.limit, r.remaining) for r in spark.read.parquet(str(tmp_path / "out")).where("token = 'a'").collect()}
     assert got == {(1000, "answer", 9, None), (1000 + Q.IDLE, "dropped", 9, None), (30 * day, "answer", None, 4)}
+
+
+# captures read in parts
+
+
+def some_json(rnd, deep=0):
+    kind = rnd.random()
+    if deep > 3 or kind < 0.4:
+        return rnd.choice(["}{", '"', "\\", "a{b", "[x", "é\n", "", 'q"}"{']) + "z" * rnd.randrange(60)
+    if kind < 0.6:
+        return rnd.randrange(100)
+    if kind < 0.8:
+        return [some_json(rnd, deep + 1) for _ in range(rnd.randrange(4))]
+    return {some_json(rnd, 9): some_json(rnd, deep + 1) for _ in range(rnd.randrange(4))}
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[1], "0")
+    yield lambda size: spark.conf.set(names[0], size)
+    for n, v in zip(names, before, strict=True):
+        spark.conf.set(n, v)
+
+
+def test_records_of_split_captures(spark, tmp_path, small_splits):
+    rnd = random.Random(9)
+    forms = {"pretty": lambda r: json.dumps(r, indent=2), "flat": json.dumps, "lines": lambda r: "\n".join(map(json.dumps, r)), "run": lambda r: "".join(json.dumps(x, ensure_ascii=False) for x in r), "twice": lambda r: json.dumps(r[:9]) + "\n" + json.dumps(r[9:])}
+    made = {n: [{"a": some_json(rnd), "n": k, "b": some_json(rnd)} for k in range(60)] for n in forms}
+    for n, r in made.items():
+        (tmp_path / f"{n}.json").write_text(forms[n](r))
+    for n, t in {"empty": "", "blank": " \n", "none": "[]", "numbers": "[1, 2, \"{\"]"}.items():
+        (tmp_path / f"{n}.json").write_text(t)
+    for size in (10**8, 900):
+        small_splits(size)
+        parts = J.fragments(spark, str(tmp_path))
+        assert size > 900 or parts.rdd.getNumPartitions() > 20  # several tasks a file
+        rows = J.records_of(parts).collect()
+        for n, r in made.items():
+            assert [json.loads(x.json) for x in sorted((x for x in rows if x.file.endswith(f"/{n}.json")), key=lambda x: (x.block, x.nth))] == r
+        assert not any(x.broken for x in rows) and {x.file.rpartition("/")[2][:-5] for x in rows} == set(made)
+
+
+def test_broken_records_are_told_of(spark, tmp_path, small_splits, monkeypatch):
+    (tmp_path / "a.json").write_text('[{"x": 1}, {"x": tru}, {"x": 3}, {"y": "' + "never closed " * 200)
+    (tmp_path / "b.json").write_text('{"x": 4}\n{"x" 5}\n]}{"x": 6}')
+    for size in (10**8, 300):
+        small_splits(size)
+        rows = sorted(J.records(spark, str(tmp_path)).collect(), key=lambda r: (r.file, r.block, r.nth))
+        assert [(r.json, r.broken) for r in rows if r.file.endswith("a.json")][:3] == [('{"x": 1}', False), ('{"x": tru}', True), ('{"x": 3}', False)]
+        assert [r.broken for r in rows if r.file.endswith("a.json")] == [False, True, False, True] and len(rows[3].json) == J.SHOWN
+        assert [(r.json, r.broken) for r in rows if r.file.endswith("b.json")][:2] == [('{"x": 4}', False), ('{"x" 5}', True)]
+
+
+def test_captures_stream_as_they_batch(spark, tmp_path, small_splits):
+    from leakloom.sources import captures as C
+
+    small_splits(400)
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / f"in/{k}.json").write_text(json.dumps([{"Match": f"m{k}.{i} }}{{", "File": "f", "RuleID": "r", "StartLine": i, "EndLine": i, "StartColumn": 1, "EndColumn": 2} for i in range(30)], indent=1))
+    got = []
+    stream = spark.readStream.option("lineSep", "{").option("maxFilesPerTrigger", 1).text(str(tmp_path / "in"))
+    placed = J.placed(stream)
+    I.flushed(placed, lambda df, _: got.extend(map(tuple, C.gitleaks_records(J.records_of(df)).collect())), str(tmp_path / "cp")).awaitTermination()
+    assert len(got) == 90 and sorted(got) == sorted(map(tuple, C.gitleaks_records(J.records(spark, str(tmp_path / "in"))).collect()))
+
+
+# lookups in a table that is laid out by its key
+
+
+def test_lookups_read_few_files(spark, tmp_path):
+    rows = spark.range(5000).select(F.concat(F.lit("https://h/"), F.col("id") % 4000).alias("url"), "id")
+    K.write_bucketed(rows, str(tmp_path / "t"), "url", 16)
+    table = K.Bucketed(spark, str(tmp_path / "t"), "url", 16)
+    got = table.lookup(["https://h/17", "https://h/3999", "https://h/none", None])
+    assert sorted(map(tuple, got.select("url", "id").collect())) == [("https://h/17", 17), ("https://h/17", 4017), ("https://h/3999", 3999)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "part" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    new = spark.createDataFrame([("https://h/1",), ("https://h/x",), (None,), ("https://h/x",)], "url string")
+    assert sorted((r.url for r in table.unseen(new).collect()), key=str) == sorted([None, "https://h/x", "https://h/x"], key=str)
+    plan = table.known(new)._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+
+
+# benchmark reports and status numbers
+
+
+def test_benchmark_files(spark, tmp_path):
+    from leakloom.operators import benchmark as B
+
+    scans = spark.createDataFrame([("a", "d", 1, "ok", 60.0), ("a", "e", 2, "failed", None), ("b", "d", 3, "too_large", 0.0)], "company string, dork string, repo int, state string, seconds double")
+    found = spark.createDataFrame([("a", "s1", "key", "real"), ("a", "s1", "key", "false"), ("a", "s2", None, "review")], "company string, scanner string, type string, outcome string")
+    B.write(B.report(scans, found), str(tmp_path / "r"))
+    md = "\n".join(r.value for r in spark.read.text(str(tmp_path / "r/md")).collect())
+    assert md.index("## totals") < md.index("## scanners") < md.index("## types") < md.index("## companies")
+    assert "| precision | 33.3 |" in md and "| a | 2 | 2 | 1 | 1 | 1 | 1.0 |" in md and "| b | 1 | 1 | 0 | 0 | 0 | - |" in md
+    assert spark.read.json(str(tmp_path / "r/json")).where("section = 'totals'").count() == 13 and "  s1: 2" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "r/txt")).collect())
+    empty = B.report(scans.where("false"), found.where("false"))
+    assert {r.value for r in empty.where("section = 'totals'").collect()} == {"0", "0.0", "-"}
+
+
+def test_two_decimals_as_printed(spark):
+    import math
+
+    from leakloom.operators.narrative import two_decimals
+
+    rnd = random.Random(1)
+    xs = [k / 1000 for k in range(-300, 2500)] + [k / 8 for k in range(40)] + [rnd.random() * 10 ** rnd.randrange(9) for _ in range(1000)]
+    xs += [math.nextafter(k / 1000, e) for k in range(1, 300) for e in (-9, 9)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", two_decimals(F.col("x")).alias("t")).collect()
+    assert all(r.t == f"{r.x:.2f}" for r in got)
