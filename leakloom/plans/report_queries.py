@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakloom import jobs
+from leakloom.functions import documents as D
 from leakloom.functions.messages import MESSAGES
 from leakloom.functions.rules import SCANNERS
 from leakloom.operators import benchmark as B
+from leakloom.operators import html as H
 from leakloom.operators import narrative as S
+from leakloom.operators import reports as R
 from leakloom.operators.cuts import shared_dir
 from leakloom.sources import captures as C
 from leakloom.sources import pages as G
 from leakloom.sources import split_json as J
+from leakloom.streaming import stages as T
 
 from . import views as V
 from .catalog import ORACLE_SQL, c, q, tables
@@ -137,3 +142,59 @@ def split_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 q("src23_split_capture", "SELECT 'gitleaks' AS scanner, path AS file, match, 'V:' || (seq % 7) || '-' || (seq % 7 + 1) || ';H:1-2;' AS position, rule FROM repo_findings WHERE match <> ''", lambda s, d: (s, d))(lambda a: split_findings(*a))
+
+# pages of a report, rows of HTML with bars
+
+_QUOTE = "''''"
+_ESC = "replace(replace(replace(replace(replace(coalesce(CAST({x} AS VARCHAR), ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), " + _QUOTE + ", '&#x27;')"
+_TD = lambda x: "'<td>' || " + _ESC.format(x=x) + " || '</td>'"
+_BARS = "'<td><div class=\"bar\" style=\"width:' || CAST(round(cnt * 200 / max(cnt) OVER ()) AS INT) || 'px\"></div></td>'"
+_KIND = "' <b> & ''x'''"
+q(
+    "snk12_report_lines",
+    f", t AS (SELECT leak_type || {_KIND} AS kind, count(*) AS cnt FROM incidents GROUP BY 1), u AS (SELECT url, count(*) AS cnt FROM incidents GROUP BY 1) "
+    f"SELECT 'Types' AS part, row_number() OVER (ORDER BY cnt DESC, kind) AS place, '<tr>' || {_TD('kind')} || {_TD('cnt')} || {_BARS} || '</tr>' AS html FROM t UNION ALL SELECT 'Addresses', row_number() OVER (ORDER BY url), '<tr>' || {_TD('url')} || {_TD('cnt')} || '</tr>' FROM u",
+)(
+    lambda d: H.page("Incidents", [
+        H.section("Types", R.counts_by(d, F.concat("leak_type", F.lit(" <b> & 'x'")).alias("kind")), [F.desc("cnt"), "kind"], "cnt"),
+        H.section("Addresses", R.counts_by(d, "url"), ["url"]),
+    ]).where("place > 0 and place < 1000000000").select("part", "place", "html")
+)
+
+# what a run does, and a model's captured answers
+_WAITING = "l AS (SELECT url, max(id) AS id, max_by((id // 7) % 6, id) AS result FROM incidents GROUP BY url), w AS (SELECT id, url, result, id // 100000 AS block FROM l WHERE result IN (4, 5) AND url LIKE 'https://github.com/%')"
+
+
+def _jobs(leaks: DataFrame) -> DataFrame:
+    every = [df.select(F.lit(name).alias("job"), "id", "url", "batch") for name, df in jobs.schedule(leaks)]
+    return every[0].unionByName(every[1])
+
+
+q("orc01_schedule", f", {_WAITING} SELECT CASE result WHEN 5 THEN 'deep' ELSE 'again' END AS job, id, url, block || '-' || ((row_number() OVER (PARTITION BY result, block ORDER BY id) - 1) // 5) AS batch FROM w")(
+    lambda d: _jobs(d.withColumn("result", F.expr("cast((id div 7) % 6 as int)")))
+)
+
+
+def _answers(d: DataFrame) -> DataFrame:
+    """Captured answers of two thirds of the repositories, in the forms that models give."""
+    said = F.to_json(F.struct(F.struct((c("repo") % 2 == 0).alias("is_related"), (c("repo") % 10 / 10.0).alias("confidence")).alias("company_relevance"), F.struct(F.lit("high").alias("level"), (c("repo") % 4 / 4.0).alias("score")).alias("severity_assessment")))
+    fence = F.lit("`" * 3)
+    answer = F.when(c("repo") % 6 == 1, F.concat(fence, F.lit("json\n"), said, F.lit("\n"), fence)).when(c("repo") % 6 == 2, F.concat(F.lit("The verdict: "), said, F.lit(" as asked."))).when(c("repo") % 6 == 4, "no JSON here").otherwise(said)
+    read = D.llm_json(answer)
+    rows = d.where("repo % 3 > 0").select("repo", read.alias("read"), D.verdict_document(read).alias("v")).where("read is not null")
+    answers = rows.select("repo", c("v.company_relevance.is_related").alias("ai_related"), c("v.company_relevance.confidence").alias("ai_confidence"), c("v.classification.true_positive_probability").alias("ai_tp"), c("v.severity_assessment.score").alias("ai_severity"))
+    return jobs.with_answers(d.select("repo"), answers).select("repo", "ai_related", "ai_confidence", "ai_severity", "ai_result")
+
+
+q("src29_answers", "SELECT repo, CASE WHEN k THEN repo % 2 = 0 END AS ai_related, CASE WHEN k THEN repo % 10 / 10.0::DOUBLE END AS ai_confidence, CASE WHEN k THEN repo % 4 / 4.0::DOUBLE END AS ai_severity, CASE WHEN k THEN CAST(repo % 2 = 0 AS INT) ELSE -1 END AS ai_result FROM (SELECT repo, repo % 3 > 0 AND repo % 6 <> 4 AS k FROM candidates)", V.candidates)(_answers)
+
+# the chain of search, fetch and scan, as a table; the stream of it is tested against the same functions
+_HIT = r"'(?i)(?:^|[^\p{L}\p{N}_])(license|the|das|une)(?:$|[^\p{L}\p{N}_])'"
+q("stm02_stages", f""", cand AS (SELECT 'src' || (id % 20) AS repo, min(found_at) AS found_at FROM incidents WHERE (id % 7) * 60000 <= 300000 GROUP BY 1 HAVING repo <> 'src3'),
+f AS (SELECT source AS repo, 'src/f' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '.png' ELSE '.py' END AS path, text, TIMESTAMP '2024-01-01' + to_seconds(CAST(doc_id % 1500 * 60 AS DOUBLE)) AS read_at FROM documents),
+m AS (SELECT f.repo, path, text FROM cand JOIN f ON f.repo = cand.repo AND read_at >= found_at AND read_at <= found_at + INTERVAL 6 HOUR WHERE path LIKE '%.py'),
+n AS (SELECT repo, path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM m)
+SELECT repo, path, line_no, regexp_extract(trim(t), {_HIT}, 1) AS term FROM n WHERE length(trim(t)) BETWEEN 1 AND 1000 AND regexp_matches(trim(t), {_HIT})""", tables("incidents", "documents"))(
+    lambda t: T.scanned(T.fetched(T.searched(t[0].select(F.concat(F.lit("src"), c("id") % 20).alias("repo"), "found_at", ((c("id") % 7) * 60000).alias("size")), t[0].sparkSession.createDataFrame([("src3",)], "repo string")),
+        t[1].select(c("source").alias("repo"), F.concat(F.lit("src/f"), "doc_id", F.when(c("doc_id") % 4 == 0, ".png").otherwise(".py")).alias("path"), "text", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 1500 as int), 0)").alias("read_at"))), ["license", "the", "das", "une"]).select("repo", "path", "line_no", "term")
+)

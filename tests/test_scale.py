@@ -460,3 +460,40 @@ def test_two_decimals_as_printed(spark):
     xs += [math.nextafter(k / 1000, e) for k in range(1, 300) for e in (-9, 9)]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", two_decimals(F.col("x")).alias("t")).collect()
     assert all(r.t == f"{r.x:.2f}" for r in got)
+
+
+# search, fetch and scan as a stream
+
+
+def test_stages_stream_as_they_batch(spark, tmp_path):
+    from leakloom.streaming import stages as T
+
+    rnd = random.Random(3)
+    stamp = lambda m: f"2024-01-{1 + m // 1440:02d} {m // 60 % 24:02d}:{m % 60:02d}:00"
+    seen = [{"repo": f"r{k % 12}", "found_at": stamp(10 * k), "size": [5, 400_000, None, 7][k % 4]} for k in range(90)]
+    files = [{"repo": f"r{rnd.randrange(14)}", "path": rnd.choice(["src/a.py", "b.png", "node_modules/c.js", "README"]), "text": rnd.choice(["no\n the token here\nend", "plain", "TOKEN\n" * 3]), "read_at": stamp(rnd.randrange(0, 1200))} for _ in range(200)]
+    known = spark.createDataFrame([("r1",)], "repo string")
+    shapes = {"c": "repo string, found_at timestamp, size long", "f": "repo string, path string, text string, read_at timestamp"}
+    for name, rows in {"c": sorted(seen, key=lambda r: r["found_at"]), "f": sorted(files, key=lambda r: r["read_at"])}.items():
+        (tmp_path / name).mkdir()
+        for k in range(0, len(rows), 40):
+            (tmp_path / f"{name}/{k:03d}.json").write_text("\n".join(map(json.dumps, rows[k : k + 40])))
+    whole = {n: spark.read.schema(s).json(str(tmp_path / n)) for n, s in shapes.items()}
+    want = T.scanned(T.fetched(T.searched(whole["c"], known), whole["f"]), ["token"])
+    store = snapshots.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):  # a second run from the same checkpoint finds nothing new
+        streams = {n: spark.readStream.schema(s).json(str(tmp_path / n)) for n, s in shapes.items()}
+        T.run(streams["c"], streams["f"], known, ["token"], store, str(tmp_path / "cp")).awaitTermination()
+    got = store.tables()
+    assert want.count() > 10 and sorted(map(tuple, got["findings"].collect())) == sorted(map(tuple, want.collect()))
+    assert got["scanned"].count() == T.fetched(T.searched(whole["c"], known), whole["f"]).count()
+
+
+def test_page_of_html(spark, tmp_path):
+    from leakloom.operators import html as H
+
+    df = spark.createDataFrame([("<b>&\"'", 4), (None, 1), ("z", 2)], "kind string, n long")
+    H.write(H.page("P", [H.section("Kinds", df, [F.desc("n")], "n"), H.section("None", df.where("false"), ["n"])]), str(tmp_path / "p"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "p")).collect())
+    assert "<td>&lt;b&gt;&amp;&quot;&#x27;</td><td>4</td>" in text and "width:200px" in text and "width:50px" in text and "<td></td><td>1</td>" in text
+    assert text.index("<h1>P") < text.index("Kinds") < text.index("&lt;b") < text.index(">z<") < text.index("<h2>None") and text.count("</table>") == 2
