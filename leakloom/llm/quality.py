@@ -142,6 +142,17 @@ def _from_moments(by: list[str], p: int):
     return run
 
 
+#: Steps of a statistic, of a count's octave and of a distance's octave that order statistics are taken in: so few different values that
+#: they are exact, and the same however rows lie in partitions.
+X_STEPS, COUNT_STEPS, D_STEPS = 4096, 256, 1024
+#: Sums are of whole multiples of 1 / PARTS in decimals: exact, so in any order the same.
+PARTS = 1 << 30
+
+
+def _sum(v: Column) -> Column:
+    return F.sum((v * PARTS).cast("decimal(20,0)")).cast("double") / PARTS
+
+
 def _distance(xs: list[str]) -> Column:
     terms = [F.col(f"p{i}_{j}") * (F.col(xs[i]) - F.col(f"m{i}")) * (F.col(xs[j]) - F.col(f"m{j}")) for i, j in _pairs(len(xs))]
     return sum(terms[1:], terms[0])
@@ -150,24 +161,27 @@ def _distance(xs: list[str]) -> Column:
 def least_determinant(points: DataFrame, by: list[str], xs: list[str], floors: list[Column], scratch: Scratch, least: int = LEAST) -> DataFrame:
     """Rows of _state_schema: the minimum-covariance-determinant estimate of each group of points(by, xs) with ``least`` rows.
 
-    ``floors`` are aggregates: the least spread of each statistic in a group. Groups and statistics have no nulls."""
+    ``floors`` are aggregates: the least spread of each statistic in a group. Groups and statistics have no nulls. Quantiles are those
+    of values in small steps and sums are exact, so the estimate depends on the rows only, not on how they lie in
+    partitions or in which order tasks end."""
     p, pairs = len(xs), _pairs(len(xs))
-    start = points.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(xs)), *(f.cast("double").alias(f"f{i}") for i, f in enumerate(floors))).where(F.col("n") >= least)
-    scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.col(f"f{i}"), F.lit(1e-9)).alias(f"s{i}") for i in range(p)]
-    start = scratch.keep(start.select(*by, "n", *(F.col(f"q{i}")[1].cast("double").alias(f"m{i}") for i in range(p)), *scale, *(f"f{i}" for i in range(p))), "quartiles")
+    start = points.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(F.floor(F.col(x) * X_STEPS), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, x in enumerate(xs)), *(f.cast("double").alias(f"f{i}") for i, f in enumerate(floors))).where(F.col("n") >= least)
+    scale = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / (1.349 * X_STEPS), F.col(f"f{i}"), F.lit(1e-9)).alias(f"s{i}") for i in range(p)]
+    start = scratch.keep(start.select(*by, "n", *(((F.col(f"q{i}")[1] + 0.5) / X_STEPS).alias(f"m{i}") for i in range(p)), *scale, *(f"f{i}" for i in range(p))), "quartiles")
     few = start.count() <= FEW
     small = F.broadcast if few else lambda df: df
     z = points.join(small(start), by).select(*by, *(((F.col(x) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i, x in enumerate(xs)))
     z = z.withColumn("zz", F.greatest(sum((F.col(f"z{i}") ** 2 for i in range(1, p)), F.col("z0") ** 2), F.lit(1e-12)))
-    shapes = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in pairs] + [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}_{j}") for i, j in pairs]
+    mean = lambda v: _sum(v) / F.count("*")
+    shapes = [mean(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in pairs] + [mean(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}_{j}") for i, j in pairs]
     schema = _state_schema(by, p)
     state = scratch.small(z.groupBy(*by).agg(*shapes).join(small(start), by).mapInPandas(_starts(by, p), schema), "state-0", few)
-    sums = [F.sum(xs[i]).alias(f"s{i}") for i in range(p)] + [F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in pairs]
+    sums = [_sum(F.col(xs[i])).alias(f"s{i}") for i in range(p)] + [_sum(F.col(xs[i]) * F.col(xs[j])).alias(f"s{i}_{j}") for i, j in pairs]
     kept = [F.first(c).alias(c) for c in ("n", *(f"f{i}" for i in range(p)))]
 
     def step(state: DataFrame) -> DataFrame:
-        near = points.join(small(state), by).select(*by, "start", "n", *(f"f{i}" for i in range(p)), *xs, _distance(xs).alias("d"))
-        cut = scratch.small(near.groupBy(*by, "start").agg(F.percentile_approx("d", SHARE, 1000).alias("cut")), "cut", few)
+        near = points.join(small(state), by).select(*by, "start", "n", *(f"f{i}" for i in range(p)), *xs, F.floor(F.log2(F.greatest(_distance(xs), F.lit(1e-12))) * D_STEPS).alias("d"))
+        cut = scratch.small(near.groupBy(*by, "start").agg(F.percentile("d", SHARE).alias("cut")), "cut", few)
         moments = near.join(small(cut), [*by, "start"]).where("d <= cut").groupBy(*by, "start").agg(*kept, F.count("*").alias("kept_n"), *sums)
         return moments.mapInPandas(_from_moments(by, p), schema)
 
@@ -181,8 +195,12 @@ def least_determinant(points: DataFrame, by: list[str], xs: list[str], floors: l
     state = scratch.small(best(state), "best", few)
     for k in range(MOST_STEPS):
         new = scratch.small(best(state, step(state)), f"best-{k}", few)
-        old = state.select(*by, F.col("det").alias("was"))
-        fell = new.join(old, by).agg(F.max(F.col("was") - F.col("det"))).first()[0]
+        if few:  # both are in the driver
+            old = {tuple(r[:-1]): r.det for r in state.select(*by, "det").collect()}
+            fell = max((old[tuple(r[:-1])] - r.det for r in new.select(*by, "det").collect()), default=None)
+        else:
+            old = state.select(*by, F.col("det").alias("was"))
+            fell = new.join(old, by).agg(F.max(F.col("was") - F.col("det"))).first()[0]
         state = new
         if fell is None or fell < 1e-3:
             break
@@ -196,7 +214,8 @@ def _angle(share: Column) -> Column:
 
 def _floors() -> list[Column]:
     """Half the step that one more line, symbol or repeated window makes in a statistic, in a document of its group's median size."""
-    w, ch, ln = (F.greatest(F.percentile_approx(c, 0.5, 1000), F.lit(1)).cast("double") for c in ("n_words", "word_chars", "n_lines"))
+    median = lambda c: F.pow(F.lit(2.0), F.percentile(F.floor(F.log2(F.greatest(c, F.lit(1))) * COUNT_STEPS), 0.5) / COUNT_STEPS)
+    w, ch, ln = (median(c) for c in ("n_words", "word_chars", "n_lines"))
     steps = [1 / w, 1 / ch, F.log1p(100 / ch), _angle(1 / ln), _angle(16 / w), _angle(1 / ch)]
     return [x / 2 for x in steps]
 

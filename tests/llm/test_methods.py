@@ -414,3 +414,25 @@ def test_pipeline_runs_and_its_verdicts_are_the_operators(spark):
     out = P.run(spark, "/root/testdata/sf0.001").collect()
     left = {r.doc_id for r in out}
     assert 50 < len(left) < 200 and all(r.length <= 2048 for r in out)
+
+
+def test_verdicts_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = lambda df: {r.doc_id: (r.kept, r.distance) for r in quality.quality_verdicts(df).collect()}
+    one = by(docs.coalesce(1))
+    assert one == by(docs.repartition(7, "doc_id")) and len(one) == docs.count()
+
+
+def test_extra_columns_of_any_name(spark):
+    import corpus_pipeline as P
+
+    names = ("__p", "__c", "__d", "_row", "_key", "__o", "__group", "lang_k", "component", "n_words", "kept", "row_key")
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = rows.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    plain = {n: sorted(r.doc_id for r in f(spark, rows, "").collect()) for n, f in P.STAGES}
+    for n, f in P.STAGES:
+        out = f(spark, docs, "")
+        got = out.collect()
+        assert sorted(r.doc_id for r in got) == plain[n]
+        if n != "best_fit_packing":
+            assert out.columns == docs.columns and all(r[x] == i for r in got for i, x in enumerate(names))
