@@ -90,11 +90,12 @@ def nearest(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     vec = F.col("embedding").cast("array<double>")
     good = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("embedding")).where(F.col("vec_id").isNotNull() & good).distinct().withColumn("dim", F.size("embedding"))
-    n = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("nq"))
-    blocks = n.select("dim", F.ceil(F.col("n") / CANDIDATE_BLOCK).cast("int").alias("nc"), F.ceil(F.greatest("nq", F.lit(1)) / QUERY_BLOCK).cast("int").alias("nb"))
-    rows = rows.join(blocks, "dim").withColumn("h", F.xxhash64("vec_id", F.lit(7)))
-    cand = rows.select("dim", "vec_id", "embedding", F.pmod("h", "nc").cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("qb"))
-    query = rows.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "embedding", F.pmod("h", "nb").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"))
+    # as many blocks for each length of vectors as all rows would need: two numbers, and no join on a key that has one value as a rule
+    n, nq = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
+    nc, nb = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
+    rows = rows.withColumn("h", F.xxhash64("vec_id", F.lit(7)))
+    cand = rows.select("dim", "vec_id", "embedding", F.pmod("h", F.lit(nc)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("qb"))
+    query = rows.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "embedding", F.pmod("h", F.lit(nb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"))
 
     def tile(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got = []
