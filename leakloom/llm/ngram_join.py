@@ -45,6 +45,8 @@ COLUMNS = 4096
 #: Gatherings of several blocks, and bytes of candidate members, that are broadcast at most.
 FEW, FEW_BYTES = 100_000, 16 << 20
 LEAF = 16
+#: Parts that a component's classes are dealt into when they look up its least id.
+SALTS = 64
 
 
 def shingle_sets(texts: Sequence[str | None], width: int = 5) -> Iterator[np.ndarray]:
@@ -396,10 +398,12 @@ def ngram_jaccard_members(documents: DataFrame, width: int = 5, num: int = 75, d
     signed, classes, links = _classes_and_links(documents, width, num, den, scratch, pairs=False)
     comps = components(links.where("a <> b").select("a", "b"), scratch, "c").select(F.col("node").alias("a"), F.col("comp").alias("component"))
     many = links.where("a = b").groupBy("a").agg(F.sum("n").alias("n_links"))
-    named = classes.select("key", "more", "node", _name().alias("a")).join(many, "a", "left").join(comps, "a", "left")
-    # only classes with links have a component to look up; the others are one of their own
-    least = named.where("component is not null").groupBy("component").agg(F.min("node").alias("component_id"))
-    named = named.join(least, "component", "left")
+    named = classes.select("key", "more", "node", _name().alias("a"))
+    # classes with links look up their component's least id, in SALTS parts, as one component may hold most of them
+    linked = comps.join(named.select("a", "node"), "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("component").agg(F.min("node").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.join(least, ["component", "salt"]).select("a", "component", "component_id")
+    named = named.join(many, "a", "left").join(linked, "a", "left")
     own = F.when(F.col("component").isNull(), F.col("node")).otherwise(F.col("component_id"))
     named = named.select("key", "more", "n_links", own.alias("component_id"), F.coalesce("component", "a").alias("component"))
     out = signed.join(named, ["key", "more"], "left")
