@@ -55,6 +55,11 @@ ORACLE_SQL["j10_terms_in_texts"] = f"WITH t AS ({_WORDS}), d AS (SELECT doc_id,
 q("j11_first_term", None, tables("documents", "benchmark"))(lambda t: M.first_term(M.terms_in(t[0], _words(t[1])), _words(t[1]).select("term", F.length("term").alias("at"))))
 ORACLE_SQL["j11_first_term"] = f"WITH t AS ({_WORDS}), d AS (SELECT doc_id, lower(text) AS text FROM documents) SELECT doc_id, term FROM d, t WHERE contains(text, term) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(term), term) = 1"
 
+_LINE_KEY = "file || ':' || line_no"
+q("str13_terms_in_lines", f", t AS ({_WORDS}), l AS (SELECT {_LINE_KEY} AS line, lower(text) AS text FROM repo_lines WHERE length(trim(text)) BETWEEN 1 AND 1000) SELECT line, term, position(term IN text) AS first FROM l, t WHERE contains(text, term)", tables("repo_lines", "benchmark"))(
+    lambda t: M.terms_in(t[0].where(F.length(F.trim("text")).between(1, 1000)).select(F.concat_ws(":", "file", "line_no").alias("line"), "text"), _words(t[1]), "line").select("line", "term", "first")
+)
+
 # sketches of days against exact counts: the estimates lie within the stated bounds, also when days came in two loads
 _SKETCHED = "SELECT count(*) AS n, count(DISTINCT CASE WHEN company_id <> 0 THEN company_id END) AS companies, count(DISTINCT url) AS urls, true AS companies_near, true AS urls_near, true AS levels_near FROM incidents WHERE CAST(found_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'"
 

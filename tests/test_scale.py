@@ -284,6 +284,25 @@ def test_a_table_appended_to_often_is_written_as_one(spark, tmp_path, monkeypatc
     assert sorted(r.v for r in store.tables()["x"].collect()) == [str(k) for k in range(8)]
 
 
+def test_staged_loads_in_snapshots(spark, tmp_path):
+    """Leaks, reports, statistics, accounts and links of a load come together, and once."""
+    empty = {"leak": "id long, url string, level int", "accounts": "id long, account string, need_monitor int, related_company_id int", "related_accounts_leaks": "leak_id long, account_id long"}
+    store = snapshots.Store(spark, str(tmp_path / "s"))
+    store.publish("setup", 0, lambda t: {n: spark.createDataFrame([], s) for n, s in empty.items()})
+    stats = "struct<size: int, has_wiki: boolean, description: string>"
+
+    def load(k):
+        new = spark.createDataFrame([(f"u{k}", k, 1, "raw", "ai", (k, True, "d")), ("u0", 0, 2, "raw0", "ai0", (0, False, None))], f"url string, level int, seq long, raw_data string, ai_report string, stats {stats}")
+        people = spark.createDataFrame([(f"u{k}", "x", 1, "7"), ("u0", f"y{k}", 0, None)], "url string, account string, need_monitor int, company_id string")
+        return lambda t: {n: d for n, d in O.staged(t["leak"], t["accounts"], t["related_accounts_leaks"], new, people).items() if n not in ("raw_report", "leak_stats")}
+
+    for k in (1, 2, 2, 1):  # later calls with known numbers are replays
+        store.publish("loads", k, load(k))
+    t = store.tables()
+    assert store.version() == 3 and sorted(r.url for r in t["leak"].collect()) == ["u0", "u1", "u2"] and len({r.id for r in t["leak"].collect()}) == 3
+    assert sorted(r.account for r in t["accounts"].collect()) == ["x", "y1", "y2"] and t["related_accounts_leaks"].count() == 4
+
+
 def test_stream_into_snapshots(spark, tmp_path):
     """A stream's batches, published; a batch that is told of again, as after a crash before its commit, changes nothing."""
     for k in range(3):
