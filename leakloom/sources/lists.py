@@ -10,10 +10,13 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leakloom.operators.cuts import Cuts
 from leakloom.operators.matching import matched_patterns
 
 #: Terms that others are combined with at most: they become an array in the plan.
 MOST_TERMS = 1000
+#: Excluded addresses that are sent to all tasks at most: some ten megabytes.
+FEW_KEYS = 100_000
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -34,7 +37,9 @@ def unexcluded(candidates: DataFrame, patterns: DataFrame, key: str = "url") ->
     texts = patterns.select(literal(F.col("term")).alias(key)).where(F.col(key).isNotNull()).distinct()
     out = candidates.join(texts, key, "left_anti").select(*candidates.columns)
     wild = patterns.where(F.col("term").isNotNull() & literal(F.col("term")).isNull())
-    return out.join(matched_patterns(out, wild, key).select(key).distinct(), key, "left_anti").select(*candidates.columns)
+    gone = Cuts(out.sparkSession)(matched_patterns(out, wild, key).select(key).distinct())
+    few = gone.count() <= FEW_KEYS  # then candidates stay where they are
+    return out.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*candidates.columns)
 
 
 def with_exclusions(patterns: DataFrame, urls: DataFrame, key: str = "url") -> DataFrame:
