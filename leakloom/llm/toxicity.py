@@ -32,7 +32,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 4000, 10_000
 #: Characters hashed at once; a longer text is cut behind a word, a longer word within.
 PIECE = 1 << 18
 #: Gradient steps, their rate, and the pull of embeddings to 0: what few texts say stays small.
-STEPS, RATE, SHRINK = 60, 0.1, 1e-3
+STEPS, RATE, SHRINK = 60, 0.1, 3e-2
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
