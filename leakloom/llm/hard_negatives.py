@@ -191,7 +191,8 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
                     out = [r for q in qs.as_py() for r in search(Anchor(tree, np.array(q["v"], tree["x"].dtype), q["label"], q["vec_id"], bound), q)]
                     yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(names)})
 
-        return trees.join(packed, ["dim", "block"]).select("tree", "qs").mapInArrow(run, schema)
+        # Spark takes the packs for as many bytes as before they are repeated for each tree, and would send all through the driver
+        return trees.join(packed.hint("merge"), ["dim", "block"]).select("tree", "qs").mapInArrow(run, schema)
 
     def best(found: DataFrame, by: list[str], score: str, name: str, n: int) -> DataFrame:
         """The first n of each anchor; Spark cuts each partition's rows to n before the shuffle."""
@@ -215,7 +216,7 @@ def hard_negatives(embeddings: DataFrame, every: int = 100, positives: int = 5,
         return out
 
     found = searched(
-        anchors.join(windows, ["vec_id", "key"]).select("dim", "pack", F.struct("vec_id", "label", "key", "v", "ps").alias("q")),
+        anchors.join(windows.hint("merge"), ["vec_id", "key"]).select("dim", "pack", F.struct("vec_id", "label", "key", "v", "ps").alias("q")),
         negatives,
         "anchor_id long, key long, place long, positive_id long, positive_score long, negative_score long, negative_id long",
     )

@@ -171,6 +171,14 @@ def test_vectors_too_large_are_an_error(spark):
     assert sorted(map(tuple, hard_negatives.hard_negatives(table).collect())) == brute_negatives(rows, 100, 5, 10, 30, 90, False)
 
 
+def test_anchors_do_not_go_through_the_driver(spark):
+    """Repeated for each tree they are many times what Spark takes them for, so no join here may be a broadcast."""
+    table = spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(300)], "vec_id long, embedding array<double>, label int")
+    out = hard_negatives.hard_negatives(table)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() > 0
+
+
 # toxicity
 
 
