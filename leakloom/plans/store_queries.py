@@ -201,9 +201,11 @@ q("src17_gists", "SELECT c_name AS description FROM customer WHERE c_custkey % 5
 )
 q("src15_full_stats", "SELECT c_nationkey AS at, count(*) AS commits, count(DISTINCT c_mktsegment) AS authors, c_nationkey % 5 > 0 AS found FROM customer WHERE c_nationkey % 5 > 0 GROUP BY c_nationkey UNION ALL SELECT DISTINCT c_nationkey, 0, 0, false FROM customer WHERE c_nationkey % 5 = 0", _by_table("customer"))(
     lambda d: G.full_stats(
-        d.groupBy(c("c_nationkey").alias("at")).agg(F.collect_list(_st(_st(c("c_mktsegment").alias("email"), c("c_name").alias("name")).alias("author"))).alias("nodes"), F.count("*").alias("n"))
+        # as the interface answers: many pages of a repository, about PAGE commits each, with the number of all
+        d.join(d.groupBy("c_nationkey").agg(F.count("*").alias("n")), "c_nationkey").groupBy(c("c_nationkey").alias("at"), "n", F.pmod(F.xxhash64("c_custkey"), F.ceil(c("n") / G.PAGE)).alias("nth")).agg(F.collect_list(_st(_st(c("c_mktsegment").alias("email"), c("c_name").alias("name")).alias("author"))).alias("nodes"))
         .select("at", F.parse_json(F.to_json(_st(_st(F.when(c("at") % 5 > 0, _st(_st(_st(_st(c("n").alias("totalCount"), "nodes").alias("history")).alias("target")).alias("defaultBranchRef"))).alias("repository")).alias("data")), {"ignoreNullFields": "false"})).alias("page"))
-    ).select("at", c("commits_count").cast("long").alias("commits"), F.size("commit_authors").cast("long").alias("authors"), "found")
+    ).select("at", "commits_count", F.explode_outer("commit_authors.email").alias("email"), "found")
+    .groupBy("at").agg(F.max("commits_count").cast("long").alias("commits"), F.countDistinct("email").alias("authors"), F.bool_or("found").alias("found"))
 )
 q("src19_contributors", "SELECT c_nationkey AS at, c_mktsegment AS account, count(*) AS n FROM customer GROUP BY ALL", _by_table("customer"))(
     lambda d: G.contributors(d.groupBy(c("c_nationkey").alias("at"), c("c_mktsegment").alias("login")).agg(F.count("*").alias("contributions")).groupBy("at").agg(F.collect_list(_st("login", "contributions")).alias("x")).select("at", F.parse_json(F.to_json("x")).alias("page"))).select("at", "account", c("contributions").cast("long").alias("n"))

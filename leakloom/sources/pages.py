@@ -143,12 +143,14 @@ def full_stats(pages: DataFrame) -> DataFrame:
     repo = F.try_variant_get(p, "$.data.repository", "variant")
     there = ~F.is_variant_null(F.coalesce(repo, F.parse_json(F.lit("null"))))
     commits = F.coalesce(F.try_variant_get(p, "$.data.repository.defaultBranchRef.target.history.nodes", "array<variant>"), F.array().cast("array<variant>"))
-    people = F.filter(F.transform(commits, lambda x: F.struct(F.try_variant_get(x, "$.author.email", "string").alias("email"), F.coalesce(F.try_variant_get(x, "$.author.name", "string"), F.lit("")).alias("name"), F.try_variant_get(x, "$.author.user.login", "string").alias("login"))), lambda x: F.coalesce(x["email"], F.lit("")) != "")
-    mails = F.transform(people, lambda x: x["email"])
-    once = F.filter(people, lambda x, i: F.array_position(mails, x["email"]) == i + 1)
+    people = F.transform(commits, lambda x, i: F.struct(F.try_variant_get(x, "$.author.email", "string").alias("email"), i.alias("i"), F.coalesce(F.try_variant_get(x, "$.author.name", "string"), F.lit("")).alias("name"), F.try_variant_get(x, "$.author.user.login", "string").alias("login")))
+    # sorted by address and place, as a column of its own: in a lambda an expression is computed anew for each element
+    by_mail = F.array_sort(F.filter(people, lambda x: F.coalesce(x["email"], F.lit("")) != ""))
+    firsts = F.filter("__by_mail", lambda x, i: (i == 0) | (F.get("__by_mail", i - 1)["email"] != x["email"]))
+    once = F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), F.struct(x["email"].alias("email"), x["name"].alias("name"), x["login"].alias("login")).alias("a")))), lambda x: x["a"])
     n = lambda path: F.coalesce(get(p, "data.repository." + path, "int"), F.lit(0))
     rows = pages.where(F.try_variant_get(p, "$.data", "variant").isNotNull() & ~F.is_variant_null(F.coalesce(F.try_variant_get(p, "$.data", "variant"), F.parse_json(F.lit("null")))))
-    return rows.select(
+    return rows.withColumn("__by_mail", by_mail).select(
         "at",
         there.alias("found"),
         *(stamp(get(p, f"data.repository.{k}At")).alias(f"{k}_at") for k in ("created", "updated", "pushed")),

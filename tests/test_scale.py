@@ -516,3 +516,22 @@ def test_page_of_html(spark, tmp_path):
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "p")).collect())
     assert "<td>&lt;b&gt;&amp;&quot;&#x27;</td><td>4</td>" in text and "width:200px" in text and "width:50px" in text and "<td></td><td>1</td>" in text
     assert text.index("<h1>P") < text.index("Kinds") < text.index("&lt;b") < text.index(">z<") < text.index("<h2>None") and text.count("</table>") == 2
+
+
+def test_authors_of_one_large_answer(spark):
+    """The first name of each address, in order, in time that doesn't grow with the square of the commits."""
+    import json
+    import time
+
+    from leakloom.sources import pages
+
+    nodes = [{"author": {"email": None if i % 7 == 6 else f"e{i * 31 % 4001}", "name": f"n{i}"}} for i in range(10000)]
+    page = json.dumps({"data": {"repository": {"defaultBranchRef": {"target": {"history": {"totalCount": len(nodes), "nodes": nodes}}}}}})
+    began = time.time()
+    got = pages.full_stats(spark.createDataFrame([(page,)], "p string").selectExpr("parse_json(p) AS page", "1L AS at")).first()
+    want = {}
+    for i, x in enumerate(nodes):
+        if x["author"]["email"]:
+            want.setdefault(x["author"]["email"], f"n{i}")
+    assert [(a.email, a.name, a.login) for a in got.commit_authors] == [(k, v, None) for k, v in want.items()]
+    assert got.commits_count == 10000 and time.time() - began < 30
