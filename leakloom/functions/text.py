@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +17,19 @@ def one_of(words: list[str]) -> str:
     return "(?:" + "|".join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"
 
 
+def holds(t: Column, words: list[str]) -> Column:
+    """Whether any of the words, as they are, is in the text; null for null. A pattern of them costs several times as much."""
+    least = [w for w in dict.fromkeys(words) if not any(v in w and v != w for v in words)]
+    return reduce(or_, (F.contains(t, F.lit(w)) for w in least))
+
+
 def entropy(t: Column) -> Column:
     """Shannon entropy in bits of the first 10,000 characters; 0 for null or empty."""
     s = F.left(t, F.lit(10000))
     n = F.length(s).cast("double")
-    parts = F.transform(F.array_distinct(F.split(s, "")), lambda x: (n - F.length(F.replace(s, x, F.lit("")))) / n)
+    # equal characters are neighbours in the sorted text
+    runs = F.regexp_extract_all(F.concat_ws("", F.sort_array(F.split(s, ""))), F.lit(r"(?s)(.)\1*+"), F.lit(0))
+    parts = F.transform(runs, lambda r: F.length(r) / n)
     bits = F.aggregate(parts, F.lit(0.0), lambda a, p: a - p * F.log2(p))
     return F.when(F.length(t) > 0, bits).otherwise(0.0)
 
@@ -28,9 +38,9 @@ def has_repetitive_pattern(t: Column) -> Column:
     """A run of three before the end, a repeated prefix of 3 characters or more, or a short alphabet or digit run."""
     n = F.length(t)
     runs = [s[i : i + 3] for s in ("0123456789", "9876543210", "abcdefghijklmnopqrstuvwxyz") for i in range(len(s) - 2)]
-    top = F.least(F.floor(n / 2) + 1, F.lit(20)).cast("int")
-    tiled = F.when(top > 3, F.exists(F.sequence(F.lit(3), F.greatest(top - 1, F.lit(3))), lambda k: t == F.left(F.repeat(F.left(t, k), F.ceil(n / k).cast("int")), n))).otherwise(False)
-    short = n.between(6, 7) & F.lower(t).rlike("|".join(runs))
+    # a text of period k begins with all that follows its first k characters
+    tiled = reduce(or_, ((n >= 2 * k) & t.startswith(F.substr(t, F.lit(k + 1))) for k in range(3, 20)))
+    short = n.between(6, 7) & holds(F.lower(t), runs)
     return F.coalesce((n >= 6) & (t.rlike(r"(?s)(.)\1{2}.") | tiled | short), F.lit(False))
 
 
@@ -64,7 +74,7 @@ def is_known_example_secret(t: Column) -> Column:
 
 
 def contains_any(t: Column, words: list[str]) -> Column:
-    return F.coalesce(F.lower(t).rlike(one_of(words)), F.lit(False))
+    return F.coalesce(holds(F.lower(t), words), F.lit(False))
 
 
 def contains_local_host(t: Column) -> Column:
@@ -87,8 +97,9 @@ def has_meaningful_structure(t: Column) -> Column:
     return F.coalesce((F.length(t) >= 8) & (prefix | pair | parts("-") | parts("_") | parts(r"\.")), F.lit(False))
 
 
-def is_random_with_keyword(t: Column, words: list[str]) -> Column:
+def is_random_with_keyword(t: Column, words: list[str], structured: Column | None = None) -> Column:
     """25 characters or more, mixed case without structure, and a keyword inside with letters or digits on both sides."""
+    structured = has_meaningful_structure(t) if structured is None else structured
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(t, r"[^\p{Lu}]", "")) / F.greatest(letters, F.lit(1))
 
@@ -101,7 +112,7 @@ def is_random_with_keyword(t: Column, words: list[str]) -> Column:
     for w in words:
         if len(w) >= 3:
             hit = hit | inside(w)
-    return F.coalesce((F.length(t) >= 25) & ~has_meaningful_structure(t) & (letters >= 10) & (upper > 0.15) & (upper < 0.85) & hit, F.lit(False))
+    return F.coalesce((F.length(t) >= 25) & ~structured & (letters >= 10) & (upper > 0.15) & (upper < 0.85) & hit, F.lit(False))
 
 
 def semantic_check(t: Column, term: str) -> Column:

@@ -101,9 +101,14 @@ SHAPES = (
 )
 
 
+#: Tasks that parts are dealt out to for each core: a file of one row group is one task, and a part's strings are much work.
+TASKS_A_CORE = 4
+
+
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, t: a string of each shape for each part."""
-    p = table(spark, sf_dir, "part").selectExpr("p_partkey AS k", "md5(cast(p_partkey AS string)) AS a", "p_type AS b", "p_name AS n")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name").repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "p_partkey")
+    p = p.selectExpr("p_partkey AS k", "md5(cast(p_partkey AS string)) AS a", "p_type AS b", "p_name AS n")
     return p.select("k", F.posexplode(F.array(*(F.expr(x) for x in SHAPES))).alias("shape", "t"))
 
 

@@ -535,3 +535,12 @@ def test_authors_of_one_large_answer(spark):
             want.setdefault(x["author"]["email"], f"n{i}")
     assert [(a.email, a.name, a.login) for a in got.commit_authors] == [(k, v, None) for k, v in want.items()]
     assert got.commits_count == 10000 and time.time() - began < 30
+
+
+def test_shapes_are_dealt_out(spark, tmp_path):
+    """A file of one row group is one task, however much work its strings are."""
+    from leakloom.plans import views
+
+    spark.createDataFrame([(i, "ECONOMY TIN", "part name") for i in range(1000)], "p_partkey long, p_type string, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    shapes = views.shapes(spark, str(tmp_path))
+    assert shapes.rdd.getNumPartitions() >= 8 and shapes.count() == 1000 * len(views.SHAPES)
