@@ -17,14 +17,15 @@ def clamp(c: Column) -> Column:
 def secret_class(rule: Column, match: Column, path: Column) -> Column:
     """struct<type, weight>: the first rule that applies, in fixed order."""
     text, m = F.lower(F.concat_ws(" ", rule, match, path)), F.lower(match)
-    testing = text.rlike("test_|test-|_test|-test|example_|example-|_example|sample_|demo_|demo-|dummy_|fake_|mock_|placeholder") & text.rlike("password|pass|pwd|secret|key|token")
+    marks = "test_ test- _test -test example_ example- _example sample_ demo_ demo- dummy_ fake_ mock_ placeholder".split()
+    testing = T.holds(text, marks) & T.holds(text, ["password", "pass", "pwd", "secret", "key", "token"])
     factor = F.when(F.lower(path).rlike("/(tests?|spec|examples?|sample|demo|fixture|mock)/"), 0.3).otherwise(1.0)
     kind = lambda k, w: F.struct(F.lit(k).alias("type"), w.alias("weight"))
-    out = F.when(testing, kind("dummy_password", F.lit(0.05))).when(m.contains("akia") | text.rlike("aws_access|aws_secret"), kind("aws_key", factor * 0.95))
+    out = F.when(testing, kind("dummy_password", F.lit(0.05))).when(m.contains("akia") | T.holds(text, ["aws_access", "aws_secret"]), kind("aws_key", factor * 0.95))
     out = out.when(m.rlike("gh[pous]_"), kind("github_token", factor * 0.95)).when(m.startswith("eyj") | F.lower(rule).contains("jwt"), kind("jwt_token", factor * 0.8))
     for name, (words, weight) in R.SECRET_TYPES.items():
         w = factor * weight
-        out = out.when(text.rlike(T.one_of(words)), kind(name, F.least(w, F.lit(0.1)) if name in ("test_password", "dev_password", "dummy_password") else w))
+        out = out.when(T.holds(text, words), kind(name, F.least(w, F.lit(0.1)) if name in ("test_password", "dev_password", "dummy_password") else w))
     return out.when(T.is_pure_base64(match), kind("base64_blob", factor * 0.1)).otherwise(kind("unknown", factor * 0.3))
 
 
@@ -62,14 +63,16 @@ def format_score(match: Column, kind: Column) -> Column:
     return out.when(kind.isin("test_password", "dev_password", "dummy_password"), 0.1).when(kind == "certificate", cert).otherwise(0.5)
 
 
-def validity(match: Column, path: Column, kind: Column, credibility: Column, fake_words: Column | None = None, company_words: list[str] | None = None) -> Column:
-    """How likely the match is a working secret, 0 to 1; company_words are words of the company looked for."""
-    n, structured = F.length(match), T.has_meaningful_structure(match)
+def validity(match: Column, path: Column, kind: Column, credibility: Column, fake_words: Column | None = None, company_words: list[str] | None = None, bits: Column | None = None, structured: Column | None = None) -> Column:
+    """How likely the match is a working secret, 0 to 1; company_words are words of the company looked for.
+
+    kind, bits (its entropy) and structured stand here several times over, and Spark computes each time anew what isn't a column."""
+    n, bits, structured = F.length(match), T.entropy(match) if bits is None else bits, T.has_meaningful_structure(match) if structured is None else structured
     add = lambda cond, w: F.when(cond, w).otherwise(0.0)
     penalty = add(P.is_binary_file(path), 0.6) + add(T.is_known_example_secret(match), 0.5) + add(T.is_known_placeholder(match), 0.5) + add(P.is_template_config(path), 0.3) + add(P.is_mock_path(path), 0.15) + add(T.contains_local_host(match), 0.1)
     penalty = penalty + add(T.looks_like_encoded(match) & ~structured, 0.3) + add(T.has_repetitive_pattern(match), 0.3) + add(P.is_false_positive_path(path), 0.2)
-    penalty = penalty + add(T.is_random_with_keyword(match, company_words or []), 0.2)
-    base = 0.35 * entropy_score(T.entropy(match), kind) + 0.35 * format_score(match, kind) + 0.20 * credibility + 0.05 + add(structured, 0.2)
+    penalty = penalty + add(T.is_random_with_keyword(match, company_words or [], structured), 0.2)
+    base = 0.35 * entropy_score(bits, kind) + 0.35 * format_score(match, kind) + 0.20 * credibility + 0.05 + add(structured, 0.2)
     v = base * F.greatest(F.lit(0.3), 1 - F.least(penalty, F.lit(0.7)))
     if fake_words is not None:
         v = v * F.greatest(F.lit(0.2), 1 - 0.2 * fake_words)

@@ -32,8 +32,10 @@ q(
 )
 q("str01_all_rules", f"SELECT repo, file, rule, seq, {sql.repetitive('match')} AS rep FROM findings", V.findings)(lambda d: d.select("repo", "file", "rule", "seq", T.has_repetitive_pattern(c("match")).alias("rep")))
 _KIND = sql.secret_type("''", "t", "''")
+# type and entropy as columns, computed once a row however often scores use them
+_typed = lambda d: d.withColumns({"kind": S.secret_class(F.lit(""), c("t"), F.lit(""))["type"], "bits": T.entropy(c("t"))})
 q("mth03_cls03_scores", f"SELECT k, shape, round({sql.entropy_score(sql.entropy(_T), f'({_KIND})')}, 6) AS entropy_score, round({sql.format_score(_T, f'({_KIND})')}, 6) AS format_score FROM shapes", V.shapes)(
-    lambda d: d.withColumn("kind", S.secret_class(F.lit(""), c("t"), F.lit(""))["type"]).select("k", "shape", F.round(S.entropy_score(T.entropy(c("t")), c("kind")), 6).alias("entropy_score"), F.round(S.format_score(c("t"), c("kind")), 6).alias("format_score"))
+    lambda d: _typed(d).select("k", "shape", F.round(S.entropy_score(c("bits"), c("kind")), 6).alias("entropy_score"), F.round(S.format_score(c("t"), c("kind")), 6).alias("format_score"))
 )
 q("path_rules", f"SELECT DISTINCT path, {sql.binary('path')} AS bin, {sql.mock('path')} AS mock, {sql.false_path('path')} AS false_path, {sql.any_in('lower(path)', R.TEMPLATE_MARKS)} AS template, {sql.framework('path')} AS framework FROM repo_findings", V.repo_findings)(
     lambda d: d.select("path", P.is_binary_file(c("path")).alias("bin"), P.is_mock_path(c("path")).alias("mock"), P.is_false_positive_path(c("path")).alias("false_path"), P.is_template_config(c("path")).alias("template"), P.is_framework_path(c("path")).alias("framework")).distinct()
@@ -48,7 +50,7 @@ q("cls04_by_path", f"SELECT repo, scanner, seq, round({sql.validity('match', 'pa
     lambda d: d.select("repo", "scanner", "seq", F.round(S.validity(c("match"), c("path"), S.secret_class(c("rule"), c("match"), c("path"))["type"], F.lit(0.4), company_words=["acme"]), 6).alias("validity"))
 )
 q("cls04_shapes", f"SELECT k, shape, round({sql.validity('t', 'p', 'type', '0.5')}, 6) AS validity FROM (SELECT k, shape, t, 'src/app.py' AS p, {_KIND} AS type FROM shapes)", V.shapes)(
-    lambda d: d.select("k", "shape", F.round(S.validity(c("t"), F.lit("src/app.py"), S.secret_class(F.lit(""), c("t"), F.lit(""))["type"], F.lit(0.5)), 6).alias("validity"))
+    lambda d: _typed(d).withColumn("structured", T.has_meaningful_structure(c("t"))).select("k", "shape", F.round(S.validity(c("t"), F.lit("src/app.py"), c("kind"), F.lit(0.5), bits=c("bits"), structured=c("structured")), 6).alias("validity"))
 )
 # the two queries whose path is always the same
 ORACLE_SQL["cls01_secret_class"] = ORACLE_VIEWS + f"SELECT repo, file, rule, seq, {sql.secret_type('rule', 'match', 'p')} AS type, {sql.secret_weight('rule', 'match', 'p')} AS weight FROM (SELECT *, 'src/app.py' AS p FROM findings)"

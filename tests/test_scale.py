@@ -544,3 +544,11 @@ def test_shapes_are_dealt_out(spark, tmp_path):
     spark.createDataFrame([(i, "ECONOMY TIN", "part name") for i in range(1000)], "p_partkey long, p_type string, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     shapes = views.shapes(spark, str(tmp_path))
     assert shapes.rdd.getNumPartitions() >= 8 and shapes.count() == 1000 * len(views.SHAPES)
+
+
+def test_scores_compute_type_and_entropy_once(spark):
+    from leakloom.plans.registry import QUERIES
+
+    for name in ("mth03_cls03_scores", "cls04_shapes"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert plan.count("log2(") == 1 and plan.count("pkcs") == 1, name
