@@ -120,14 +120,18 @@ def contextual_score(detector: Column, raw: Column, verified: Column) -> Column:
     return plus - 0.3 * sum((F.contains(F.lower(raw), F.lit(w)).cast("int") for w in R.TEST_WORDS[1:]), F.contains(F.lower(raw), F.lit(R.TEST_WORDS[0])).cast("int"))
 
 
-def judged(results: DataFrame, terms: Column) -> DataFrame:
+def weighed(results: DataFrame, terms: Column) -> DataFrame:
     """trufflehog results (repo, rule, raw, file, commit, verified, ...) with relevance and contextual; those kept that are
-    verified, relevant or not against all odds, best first, in their order where equal (seq)."""
+    verified, relevant or not against all odds."""
     raw = F.coalesce("raw", F.lit(""))
     text = F.concat_ws(" ", F.nullif(raw, F.lit("")), F.nullif("file", F.lit("")), F.nullif("commit", F.lit("")))
     df = results.withColumn("relevance", T.relevance(text, terms)).withColumn("contextual", contextual_score(F.col("rule"), raw, F.col("verified")))
-    kept = df.where((F.col("relevance") > 0) | (F.col("contextual") >= 0) | F.coalesce("verified", F.lit(False)))
-    return kept.orderBy("repo", F.desc(F.coalesce("verified", F.lit(False))), F.desc("relevance"), F.desc("contextual"), "seq")
+    return df.where((F.col("relevance") > 0) | (F.col("contextual") >= 0) | F.coalesce("verified", F.lit(False)))
+
+
+def judged(results: DataFrame, terms: Column) -> DataFrame:
+    """weighed results, best first, in their order where equal (seq)."""
+    return weighed(results, terms).orderBy("repo", F.desc(F.coalesce("verified", F.lit(False))), F.desc("relevance"), F.desc("contextual"), "seq")
 
 
 def meaningful(detector: Column, raw: Column, verified: Column, relevance: Column, contextual: Column, terms: Column, metadata: Column) -> Column:

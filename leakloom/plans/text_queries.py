@@ -80,7 +80,7 @@ q(
 )(lambda d: _results(d).select("k", "shape", N.meaningful(c("rule"), c("raw"), c("verified"), T.relevance(F.concat_ws(" ", F.nullif("raw", F.lit("")), "file", "commit"), _words()), N.contextual_score(c("rule"), c("raw"), c("verified")), _words(), c("file")).alias("meaningful")))
 q("cls08_company_pattern", f", r AS ({_RES}) SELECT k, shape, {_PAT('raw')} AS hit FROM r", V.shapes)(lambda d: _results(d).select("k", "shape", N.company_pattern(c("raw"), _words()).alias("hit")))
 q("srt05_judged_order", f", r AS ({_RES}) SELECT k, shape, row_number() OVER (PARTITION BY k ORDER BY verified DESC, round({_REL}::DOUBLE, 6) DESC, round({_CTX}::DOUBLE, 6) DESC, shape) AS nth FROM r WHERE {_REL} > 0 OR {_CTX} >= 0 OR verified", V.shapes)(
-    lambda d: D.numbered(N.judged(_results(d).withColumns({"repo": c("k"), "seq": c("shape")}), _words()), ["k"], [F.desc("verified"), F.desc(F.round("relevance", 6)), F.desc(F.round("contextual", 6)), "shape"], "nth").select("k", "shape", (c("nth") + 1).cast("long").alias("nth"))
+    lambda d: D.numbered(N.weighed(_results(d).withColumns({"repo": c("k"), "seq": c("shape")}), _words()), ["k"], [F.desc("verified"), F.desc(F.round("relevance", 6)), F.desc(F.round("contextual", 6)), "shape"], "nth").select("k", "shape", (c("nth") + 1).cast("long").alias("nth"))
 )
 q("cls11_monitoring", f"SELECT id, CAST(NOT ({sql.one_of('dom', R.PUBLIC_DOMAINS)} OR {sql.any_in('dom', R.NOREPLY_MARKS)}) OR id % 4 = 0 AS INT) AS flag FROM (SELECT id, lower(trim(string_split(email, '@')[-1])) AS dom FROM committers)", V.committers)(lambda d: d.select("id", N.needs_monitoring(c("email"), F.when(c("id") % 4 == 0, "my-secret repo").otherwise("secretary"), c("name")).alias("flag")))
 q("j12_added_committers", "SELECT repo, name, 0 AS need_monitor FROM committers UNION ALL SELECT DISTINCT m.repo, m.nation, 0 FROM committers m", V.committers)(

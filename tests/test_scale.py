@@ -552,3 +552,10 @@ def test_scores_compute_type_and_entropy_once(spark):
     for name in ("mth03_cls03_scores", "cls04_shapes"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
         assert plan.count("log2(") == 1 and plan.count("pkcs") == 1, name
+
+
+def test_order_within_a_repository_needs_no_order_of_all(spark):
+    from leakloom.plans.registry import QUERIES
+
+    plan = QUERIES["srt05_judged_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("hashpartitioning") == 1
