@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 PIECES = (6, 2)
 #: Patterns without a piece that are tried together, and characters of terms that one automaton is built of.
 TOGETHER, PART_CHARS = 100, 4 << 20
+#: Rows of found terms that a worker gathers before they leave it.
+HITS = 1 << 16
 
 
 def required_texts(pattern: str) -> list[str]:
@@ -113,6 +116,38 @@ def matched_patterns(keys: DataFrame, patterns: DataFrame, key: str = "url") ->
     return met.where(F.rlike(F.col(key), F.concat(F.lit(r"\A(?:"), "term", F.lit(r")\z")))).distinct()
 
 
+def hits(batches: Iterator[pa.RecordBatch], terms: list[str], key: str, most: int = HITS) -> Iterator[pa.RecordBatch]:
+    """terms_in of batches of key and text. Texts become Python's one by one, and rows leave after every ``most`` or the text that
+    reaches it, so what a worker holds doesn't grow with what a batch's texts hold."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for t in terms:
+        automaton.add_word(t, t)
+    automaton.make_automaton()
+    for batch in batches:
+        keys, texts = batch.columns
+        at, rows = [], []
+
+        def out(keys=keys) -> pa.RecordBatch:
+            term, first, n = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int32())), pa.array(term, pa.string()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=[key, "term", "first", "n"])
+
+        for i in range(batch.num_rows):
+            found: dict[str, list[int]] = {}
+            for end, term in automaton.iter(texts[i].as_py()):
+                hit = found.setdefault(term, [end - len(term) + 2, 0])
+                hit[1] += 1
+            at += [i] * len(found)
+            rows += [(term, first, n) for term, (first, n) in found.items()]
+            if len(rows) >= most:
+                yield out()
+                at.clear()
+                rows.clear()
+        if rows:
+            yield out()
+
+
 def terms_in(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term, first (from 1), n: a row for each text and each of terms(term) that it holds, whatever the case, with the place of the
     first occurrence and the number of all, also overlapping ones. Places are those in the lower-cased text.
@@ -130,25 +165,11 @@ def terms_in(texts: DataFrame, terms: DataFrame, key: str = "doc_id", text: str
         own = [r.term for r in low.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect()]
         sent = spark.sparkContext.broadcast(own)
 
-        def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for t in sent.value:
-                automaton.add_word(t, t)
-            automaton.make_automaton()
-            for pdf in frames:
-                got = []
-                for k, t in zip(pdf[key], pdf["__t"], strict=True):
-                    hits: dict[str, list[int]] = {}
-                    for end, term in automaton.iter(t):
-                        hit = hits.setdefault(term, [end - len(term) + 2, 0])
-                        hit[1] += 1
-                    got += [(k, term, first, n) for term, (first, n) in hits.items()]
-                yield pd.DataFrame(got, columns=[key, "term", "first", "n"])
+        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            return hits(batches, sent.value, key)
 
         if own:
-            out = out.unionByName(rows.mapInPandas(search, schema))
+            out = out.unionByName(rows.mapInArrow(search, schema))
     return out
 
 

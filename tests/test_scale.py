@@ -559,3 +559,17 @@ def test_order_within_a_repository_needs_no_order_of_all(spark):
 
     plan = QUERIES["srt05_judged_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and plan.count("hashpartitioning") == 1
+
+
+def test_found_terms_leave_in_parts():
+    """A batch whose texts hold many terms gives several batches, each of about as many rows as are gathered at most."""
+    import pyarrow as pa
+
+    from leakloom.operators import matching
+
+    texts = ["ab abc b"] * 50 + ["x"] + ["bc"] * 3
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "t": texts})
+    out = list(matching.hits(iter([batch, batch.slice(50, 1)]), ["ab", "abc", "b", "zz"], "id", 20))
+    assert len(out) > 5 and max(x.num_rows for x in out) < 20 + 3
+    got = [tuple(r.values()) for x in out for r in x.to_pylist()]
+    assert sorted(got) == sorted([(i, *r) for i in range(50) for r in (("ab", 1, 2), ("abc", 4, 1), ("b", 2, 3))] + [(i, "b", 1, 1) for i in range(51, 54)])
