@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def looks_like_encoded(t: Column, least_hex: int = 32, least_b64: int = 32) -> C
     s = F.trim(t)
     n = F.length(s)
     uuid = (n == 36) & (F.length(F.regexp_replace(s, "[^-]", "")) == 4)
-    hexed = s.rlike("^[0-9a-fA-F]+$") & (n >= least_hex)
+    hexed = (n >= least_hex) & s.rlike("^[0-9a-fA-F]+$")
     dense = (n > 200) & ~s.contains(" ") & (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}]", "")) / n > 0.95)
     mixed = (s.rlike("[A-Z]") & s.rlike("[a-z]") & s.rlike("[0-9]")) | s.endswith("=")
     return F.coalesce(uuid | hexed | dense | ((n >= least_b64) & s.rlike("^[A-Za-z0-9+/]+={0,2}$") & mixed), F.lit(False))
@@ -153,10 +153,14 @@ def sanitized_company(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), r"[ ./]", "-"), r"[()]", "")
 
 
-def relevance(t: Column, terms: Column) -> Column:
-    """Sum of min(length / 10, 1) over terms that the text contains, 1 at most."""
-    hit = F.filter(terms, lambda w: F.contains(F.lower(t), F.lower(w)))
-    return F.least(F.lit(1.0), F.aggregate(hit, F.lit(0.0), lambda a, w: a + F.least(F.length(w) / 10.0, F.lit(1.0))))
+def relevance(t: Column, terms: Column | list[str]) -> Column:
+    """Sum of min(length / 10, 1) over terms that the text contains, 1 at most. Terms known beforehand, a list, cost a fraction:
+    Spark doesn't compile lambdas, and lowers the text once for each term in them."""
+    low, worth = F.lower(t), lambda w: F.least(F.length(w) / 10.0, F.lit(1.0))
+    if isinstance(terms, Column):
+        hit = F.filter(terms, lambda w: F.contains(low, F.lower(w)))
+        return F.least(F.lit(1.0), F.aggregate(hit, F.lit(0.0), lambda a, w: a + worth(w)))
+    return F.least(F.lit(1.0), reduce(add, (F.when(F.contains(low, F.lower(w)), worth(w)).otherwise(0.0) for w in map(F.lit, terms)), F.lit(0.0)))
 
 
 def dangerous(t: Column) -> Column:

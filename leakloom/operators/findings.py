@@ -108,9 +108,12 @@ def search_plan(targets: DataFrame, parsers: list[str]) -> DataFrame:
     return targets.select("company_id", "dork", F.explode(F.array(*map(F.lit, parsers))).alias("parser"))
 
 
-def company_pattern(t: Column, terms: Column) -> Column:
+def company_pattern(t: Column, terms: Column | list[str]) -> Column:
     """Whether a term of three letters or more is in the text; with digits behind it or in an address it is in it too."""
     low = F.lower(t)
+    if not isinstance(terms, Column):
+        long = [w for w in terms if len(w) >= 3]
+        return F.coalesce(T.holds(low, long), F.lit(False)) if long else F.lit(False)
     return F.coalesce(F.exists(terms, lambda w: (F.length(w) >= 3) & F.contains(low, w)), F.lit(False))
 
 
@@ -134,11 +137,13 @@ def judged(results: DataFrame, terms: Column) -> DataFrame:
     return weighed(results, terms).orderBy("repo", F.desc(F.coalesce("verified", F.lit(False))), F.desc("relevance"), F.desc("contextual"), "seq")
 
 
-def meaningful(detector: Column, raw: Column, verified: Column, relevance: Column, contextual: Column, terms: Column, metadata: Column) -> Column:
-    """1 for a result that says something, else 0: the first test that decides."""
-    yes = F.coalesce(verified, F.lit(False)) | T.contains_any(detector, R.COMPANY_DETECTORS) | (F.coalesce(relevance, F.lit(0.0)) > 0.2) | (F.coalesce(contextual, F.lit(0.0)) > 0.3) | T.contains_any(detector, R.NOTED_DETECTORS)
+def meaningful(detector: Column, raw: Column, verified: Column, relevance: Column, contextual: Column, terms: Column | list[str], metadata: Column) -> Column:
+    """1 for a result that says something, else 0: the first test that decides. Tests that agree stand by their cost, so that few rows
+    come to the entropy, the dearest; no text of fewer than 12 different characters has more than 3.5 bits."""
+    known = F.coalesce(verified, F.lit(False)) | T.contains_any(detector, R.COMPANY_DETECTORS) | T.contains_any(detector, R.NOTED_DETECTORS)
+    scored = (F.coalesce(contextual, F.lit(0.0)) > 0.3) | (F.coalesce(relevance, F.lit(0.0)) > 0.2)
     r = F.coalesce(raw, F.lit(""))
-    return F.when(yes, 1).when(r == "", 0).when(company_pattern(r, terms), 1).when(F.length(r) < 8, 0).when((T.entropy(r) > 3.5) | T.looks_like_encoded(r, 16, 20) | company_pattern(metadata, terms), 1).otherwise(0)
+    return F.when(known, 1).when(scored, 1).when(r == "", 0).when(company_pattern(r, terms), 1).when(F.length(r) < 8, 0).when(company_pattern(metadata, terms) | T.looks_like_encoded(r, 16, 20) | ((F.length(r) >= 12) & (T.entropy(r) > 3.5)), 1).otherwise(0)
 
 
 def needs_monitoring(email: Column, repo_name: Column, name: Column) -> Column:

@@ -77,7 +77,7 @@ q(
     f""", r AS ({_RES}), s AS (SELECT *, {_REL} AS rel, {_CTX} AS ctx FROM r) SELECT k, shape, CASE WHEN verified OR {sql.any_in('lower(rule)', R.COMPANY_DETECTORS)} OR rel > 0.2 OR ctx > 0.3 OR {sql.any_in('lower(rule)', R.NOTED_DETECTORS)} THEN 1 WHEN raw = '' THEN 0
     WHEN {_PAT('raw')} THEN 1 WHEN length(raw) < 8 THEN 0 WHEN {sql.entropy('raw')} > 3.5 OR {sql.encoded('raw', 16, 20)} OR {_PAT('file')} THEN 1 ELSE 0 END AS meaningful FROM s""",
     V.shapes,
-)(lambda d: _results(d).select("k", "shape", N.meaningful(c("rule"), c("raw"), c("verified"), T.relevance(F.concat_ws(" ", F.nullif("raw", F.lit("")), "file", "commit"), _words()), N.contextual_score(c("rule"), c("raw"), c("verified")), _words(), c("file")).alias("meaningful")))
+)(lambda d: _results(d).select("k", "shape", N.meaningful(c("rule"), c("raw"), c("verified"), T.relevance(F.concat_ws(" ", F.nullif("raw", F.lit("")), "file", "commit"), _TERMS), N.contextual_score(c("rule"), c("raw"), c("verified")), _TERMS, c("file")).alias("meaningful")))
 q("cls08_company_pattern", f", r AS ({_RES}) SELECT k, shape, {_PAT('raw')} AS hit FROM r", V.shapes)(lambda d: _results(d).select("k", "shape", N.company_pattern(c("raw"), _words()).alias("hit")))
 q("srt05_judged_order", f", r AS ({_RES}) SELECT k, shape, row_number() OVER (PARTITION BY k ORDER BY verified DESC, round({_REL}::DOUBLE, 6) DESC, round({_CTX}::DOUBLE, 6) DESC, shape) AS nth FROM r WHERE {_REL} > 0 OR {_CTX} >= 0 OR verified", V.shapes)(
     lambda d: D.numbered(N.weighed(_results(d).withColumns({"repo": c("k"), "seq": c("shape")}), _words()), ["k"], [F.desc("verified"), F.desc(F.round("relevance", 6)), F.desc(F.round("contextual", 6)), "shape"], "nth").select("k", "shape", (c("nth") + 1).cast("long").alias("nth"))

@@ -573,3 +573,23 @@ def test_found_terms_leave_in_parts():
     assert len(out) > 5 and max(x.num_rows for x in out) < 20 + 3
     got = [tuple(r.values()) for x in out for r in x.to_pylist()]
     assert sorted(got) == sorted([(i, *r) for i in range(50) for r in (("ab", 1, 2), ("abc", 4, 1), ("b", 2, 3))] + [(i, "b", 1, 1) for i in range(51, 54)])
+
+
+def test_meaningful_without_lambdas_but_for_entropy(spark):
+    """Known terms are looked for by compiled code; the results are those of terms in a column."""
+    from leakloom.functions import text
+    from leakloom.operators import findings
+    from leakloom.plans.registry import QUERIES
+
+    plan = QUERIES["cls05_meaningful"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("log2(") == 1 and "exists(" not in plan and "filter(array" not in plan and "filter([" not in plan
+    raws = [None, "", "acme", "x ACME-zq", "STANDARD acmé", "ab", "aBcDeFgHiJk", "aBcDeFgHiJkL", "abcdefghijk" * 3, "0123456789abcdef", "test standard", "ſtandard zq", "aaaabbbbccccdddd", "\n" * 14, "KKacme"]
+    terms = ["acme", "ZQ", "standard", "a", "acm", ""]
+    df = spark.createDataFrame([(r, d) for r in raws for d in (None, "x", "AWS")], "raw string, d string")
+    known, column = terms, F.array(*map(F.lit, terms))
+    say = lambda t: findings.meaningful(F.col("d"), F.col("raw"), F.lit(None).cast("boolean"), text.relevance(F.col("raw"), t), findings.contextual_score(F.col("d"), F.col("raw"), F.lit(False)), t, F.col("d"))
+    both = [(text.relevance(F.col("raw"), t), findings.company_pattern(F.col("raw"), t), say(t)) for t in (known, column)]
+    rows = df.select(F.struct(*both[0]).alias("a"), F.struct(*both[1]).alias("b")).collect()
+    assert len(rows) == 45 and all(tuple(r.a) == tuple(r.b) for r in rows) and len({tuple(r.a) for r in rows}) > 5
+    none = df.select(text.relevance(F.col("raw"), []).alias("r"), findings.company_pattern(F.col("raw"), ["zq"]).alias("p")).distinct().collect()
+    assert [tuple(r) for r in none] == [(0.0, False)]
