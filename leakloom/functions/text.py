@@ -74,7 +74,8 @@ def is_known_example_secret(t: Column) -> Column:
 
 
 def contains_any(t: Column, words: list[str]) -> Column:
-    return F.coalesce(holds(F.lower(t), words), F.lit(False))
+    """Whether any of the words, none empty, is in the lowered text; false for null."""
+    return holds(F.lower(F.coalesce(t, F.lit(""))), words)
 
 
 def contains_local_host(t: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,16 +124,20 @@ def contextual_score(detector: Column, raw: Column, verified: Column) -> Column:
     return plus - 0.3 * sum((F.contains(F.lower(raw), F.lit(w)).cast("int") for w in R.TEST_WORDS[1:]), F.contains(F.lower(raw), F.lit(R.TEST_WORDS[0])).cast("int"))
 
 
-def weighed(results: DataFrame, terms: Column) -> DataFrame:
+def weighed(results: DataFrame, terms: Column | list[str]) -> DataFrame:
     """trufflehog results (repo, rule, raw, file, commit, verified, ...) with relevance and contextual; those kept that are
     verified, relevant or not against all odds."""
-    raw = F.coalesce("raw", F.lit(""))
+    raw, verified = F.coalesce("raw", F.lit("")), F.coalesce("verified", F.lit(False))
     text = F.concat_ws(" ", F.nullif(raw, F.lit("")), F.nullif("file", F.lit("")), F.nullif("commit", F.lit("")))
-    df = results.withColumn("relevance", T.relevance(text, terms)).withColumn("contextual", contextual_score(F.col("rule"), raw, F.col("verified")))
-    return df.where((F.col("relevance") > 0) | (F.col("contextual") >= 0) | F.coalesce("verified", F.lit(False)))
+    contextual = contextual_score(F.col("rule"), raw, F.col("verified"))
+    if isinstance(terms, Column):
+        relevant = T.relevance(text, terms) > 0
+    else:  # any term that isn't empty adds to the relevance; Java compiles no method of 8,000 bytes, so the filter is to be short
+        relevant = reduce(or_, (F.contains(F.lower(text), F.lower(F.lit(w))) for w in terms if w), F.lit(False))
+    return results.where(verified | (contextual >= 0) | relevant).withColumns({"relevance": T.relevance(text, terms), "contextual": contextual})
 
 
-def judged(results: DataFrame, terms: Column) -> DataFrame:
+def judged(results: DataFrame, terms: Column | list[str]) -> DataFrame:
     """weighed results, best first, in their order where equal (seq)."""
     return weighed(results, terms).orderBy("repo", F.desc(F.coalesce("verified", F.lit(False))), F.desc("relevance"), F.desc("contextual"), "seq")
 

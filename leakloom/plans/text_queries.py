@@ -64,23 +64,22 @@ def _results(d):
     return d.select("k", "shape", c("t").alias("raw"), V._pick(_DET, "(k + shape) % 6").alias("rule"), (c("k") % 11 == 0).alias("verified"), F.concat(F.lit("f"), "k").alias("file"), F.lit("c").alias("commit"))
 
 
-_words = lambda: F.array(*map(F.lit, _TERMS))
 _REL = "least(1, " + " + ".join(f"(CASE WHEN contains(lower(concat_ws(' ', nullif(raw, ''), file, commit)), '{w}') THEN least({len(w)} / 10.0, 1) ELSE 0 END)" for w in _TERMS) + ")"
 _CTX = f"((CASE WHEN verified THEN 1 ELSE 0 END) + (CASE WHEN {sql.any_in('lower(rule)', R.VALUED_DETECTORS)} THEN 0.5 ELSE 0 END) - 0.3 * (" + " + ".join(f"CAST(contains(lower(raw), '{w}') AS INT)" for w in R.TEST_WORDS) + "))"
 _PAT = lambda t: "(" + " OR ".join(f"contains(lower({t}), '{w}')" for w in _TERMS if len(w) > 2) + ")"
 q("cls06_cls07_scores", f", r AS ({_RES}) SELECT k, shape, round({_REL}::DOUBLE, 6) AS relevance, round({_CTX}::DOUBLE, 6) AS contextual FROM r", V.shapes)(
-    lambda d: _results(d).select("k", "shape", F.round(T.relevance(F.concat_ws(" ", F.nullif("raw", F.lit("")), "file", "commit"), _words()), 6).alias("relevance"), F.round(N.contextual_score(c("rule"), c("raw"), c("verified")), 6).alias("contextual"))
+    lambda d: _results(d).select("k", "shape", F.round(T.relevance(F.concat_ws(" ", F.nullif("raw", F.lit("")), "file", "commit"), _TERMS), 6).alias("relevance"), F.round(N.contextual_score(c("rule"), c("raw"), c("verified")), 6).alias("contextual"))
 )
-q("cls09_judged", f", r AS ({_RES}) SELECT k, shape FROM r WHERE {_REL} > 0 OR {_CTX} >= 0 OR verified", V.shapes)(lambda d: N.judged(_results(d).withColumns({"repo": c("k"), "seq": c("shape")}), _words()).select("k", "shape"))
+q("cls09_judged", f", r AS ({_RES}) SELECT k, shape FROM r WHERE {_REL} > 0 OR {_CTX} >= 0 OR verified", V.shapes)(lambda d: N.judged(_results(d).withColumns({"repo": c("k"), "seq": c("shape")}), _TERMS).select("k", "shape"))
 q(
     "cls05_meaningful",
     f""", r AS ({_RES}), s AS (SELECT *, {_REL} AS rel, {_CTX} AS ctx FROM r) SELECT k, shape, CASE WHEN verified OR {sql.any_in('lower(rule)', R.COMPANY_DETECTORS)} OR rel > 0.2 OR ctx > 0.3 OR {sql.any_in('lower(rule)', R.NOTED_DETECTORS)} THEN 1 WHEN raw = '' THEN 0
     WHEN {_PAT('raw')} THEN 1 WHEN length(raw) < 8 THEN 0 WHEN {sql.entropy('raw')} > 3.5 OR {sql.encoded('raw', 16, 20)} OR {_PAT('file')} THEN 1 ELSE 0 END AS meaningful FROM s""",
     V.shapes,
 )(lambda d: _results(d).select("k", "shape", N.meaningful(c("rule"), c("raw"), c("verified"), T.relevance(F.concat_ws(" ", F.nullif("raw", F.lit("")), "file", "commit"), _TERMS), N.contextual_score(c("rule"), c("raw"), c("verified")), _TERMS, c("file")).alias("meaningful")))
-q("cls08_company_pattern", f", r AS ({_RES}) SELECT k, shape, {_PAT('raw')} AS hit FROM r", V.shapes)(lambda d: _results(d).select("k", "shape", N.company_pattern(c("raw"), _words()).alias("hit")))
+q("cls08_company_pattern", f", r AS ({_RES}) SELECT k, shape, {_PAT('raw')} AS hit FROM r", V.shapes)(lambda d: _results(d).select("k", "shape", N.company_pattern(c("raw"), _TERMS).alias("hit")))
 q("srt05_judged_order", f", r AS ({_RES}) SELECT k, shape, row_number() OVER (PARTITION BY k ORDER BY verified DESC, round({_REL}::DOUBLE, 6) DESC, round({_CTX}::DOUBLE, 6) DESC, shape) AS nth FROM r WHERE {_REL} > 0 OR {_CTX} >= 0 OR verified", V.shapes)(
-    lambda d: D.numbered(N.weighed(_results(d).withColumns({"repo": c("k"), "seq": c("shape")}), _words()), ["k"], [F.desc("verified"), F.desc(F.round("relevance", 6)), F.desc(F.round("contextual", 6)), "shape"], "nth").select("k", "shape", (c("nth") + 1).cast("long").alias("nth"))
+    lambda d: D.numbered(N.weighed(_results(d).withColumns({"repo": c("k"), "seq": c("shape")}), _TERMS), ["k"], [F.desc("verified"), F.desc(F.round("relevance", 6)), F.desc(F.round("contextual", 6)), "shape"], "nth").select("k", "shape", (c("nth") + 1).cast("long").alias("nth"))
 )
 q("cls11_monitoring", f"SELECT id, CAST(NOT ({sql.one_of('dom', R.PUBLIC_DOMAINS)} OR {sql.any_in('dom', R.NOREPLY_MARKS)}) OR id % 4 = 0 AS INT) AS flag FROM (SELECT id, lower(trim(string_split(email, '@')[-1])) AS dom FROM committers)", V.committers)(lambda d: d.select("id", N.needs_monitoring(c("email"), F.when(c("id") % 4 == 0, "my-secret repo").otherwise("secretary"), c("name")).alias("flag")))
 q("j12_added_committers", "SELECT repo, name, 0 AS need_monitor FROM committers UNION ALL SELECT DISTINCT m.repo, m.nation, 0 FROM committers m", V.committers)(

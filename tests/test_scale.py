@@ -593,3 +593,23 @@ def test_meaningful_without_lambdas_but_for_entropy(spark):
     assert len(rows) == 45 and all(tuple(r.a) == tuple(r.b) for r in rows) and len({tuple(r.a) for r in rows}) > 5
     none = df.select(text.relevance(F.col("raw"), []).alias("r"), findings.company_pattern(F.col("raw"), ["zq"]).alias("p")).distinct().collect()
     assert [tuple(r) for r in none] == [(0.0, False)]
+
+
+def test_scores_of_results_without_lambdas(spark):
+    from leakloom.operators import findings
+    from leakloom.plans.registry import QUERIES
+
+    for name in ("cls06_cls07_scores", "cls08_company_pattern", "cls09_judged", "srt05_judged_order"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert not any(x in plan for x in ("lambda", "aggregate(", "exists(")), name
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:  # Java leaves methods of 8,000 bytes and more uncompiled
+            code = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+            assert all(code.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(code.size())), name
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+    rows = [(i, "r", d, raw, f, None, v) for i, (d, raw, f, v) in enumerate((d, raw, f, v) for d in (None, "AWS") for raw in (None, "", "acme test demo", "Test", "zq STANDARD") for f in (None, "", "x_ZQ") for v in (None, True))]
+    df = spark.createDataFrame(rows, "seq long, repo string, rule string, raw string, file string, commit string, verified boolean")
+    terms = ["acme", "zq", "standard"]
+    known, column = ([tuple(r) for r in findings.judged(df, t).collect()] for t in (terms, F.array(*map(F.lit, terms))))
+    assert known == column and 20 < len(known) < len(rows)
